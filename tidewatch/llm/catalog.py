@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import byte_bpe, sharding, url_filter
+from tidewatch.llm import ann, byte_bpe, quality, sharding, url_filter
 
 
 def queries() -> dict:
     return {
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+        "op1_ann": ann.op1_ann,
+        "op5_quality": quality.op5_quality,
         "op6_url_filter": url_filter.op6_url_filter,
         "op9_sharding": sharding.op9_sharding,
     }
