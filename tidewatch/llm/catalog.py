@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import ann, byte_bpe, licenses, quality, sharding, url_filter
+from tidewatch.llm import ann, byte_bpe, decontamination, licenses, quality, sharding, url_filter
 
 
 def queries() -> dict:
     return {
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op1_ann": ann.op1_ann,
+        "op2_decontamination": decontamination.op2_decontamination,
         "op5_quality": quality.op5_quality,
         "op6_url_filter": url_filter.op6_url_filter,
         "op10_licenses": licenses.op10_licenses,
@@ -17,4 +18,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_decontamination": decontamination.OP2_SQL,
+    }
