@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import ann, byte_bpe, decontamination, licenses, quality, sharding, url_filter
+from tidewatch.llm import ann, byte_bpe, decontamination, licenses, lm_scoring, quality, sharding, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_quality": quality.op5_quality,
         "op6_url_filter": url_filter.op6_url_filter,
         "op10_licenses": licenses.op10_licenses,
+        "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_sharding": sharding.op9_sharding,
     }
 
