@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import ann, byte_bpe, decontamination, jaccard, licenses, lm_scoring, quality, sharding, url_filter
+from tidewatch.llm import ann, byte_bpe, decontamination, jaccard, licenses, lm_scoring, quality, sharding, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_ann": ann.op1_ann,
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_jaccard": jaccard.op3_jaccard,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_quality": quality.op5_quality,
         "op6_url_filter": url_filter.op6_url_filter,
         "op10_licenses": licenses.op10_licenses,

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm.bits import in_table, table_of
 from tidewatch.llm.common import small_batches
 from tidewatch.llm.components import connected_components
 from tidewatch.llm.hashing import END, mix, token_hashes
@@ -41,8 +42,6 @@ from tidewatch.session import ensure_checkpoint_dir, table
 #: Least similarity is PERCENT / 100; words in a shingle; nodes in a chunk of a group.
 PERCENT, SHINGLE, CHUNK = 90, 3, 4_000
 SPARE = 3
-#: Bits that say which nodes have a partner: 8 MB on the driver, whatever the corpus' size.
-FILTER_BITS = 1 << 26
 
 _U = np.uint64
 
@@ -142,15 +141,6 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sign), pa.array(node[of])], ["sign", "node"])
 
 
-def _filter_place(node: np.ndarray) -> np.ndarray:
-    return (mix(node.astype(np.uint64)) % _U(FILTER_BITS)).astype(np.int64)
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_filter_place(batch.column("node").to_numpy()) + 1)], ["place"])
-
-
 def _sets(wanted: np.ndarray):
     """Sets of the nodes that may have a partner."""
 
@@ -160,9 +150,8 @@ def _sets(wanted: np.ndarray):
             doc, hashed = shingle_sets(batch.column("text").to_pylist())
             size, node = node_ids(doc, hashed, batch.num_rows)
             ends = np.cumsum(size)
-            place = _filter_place(node)
             nodes, raw = [], []
-            for i in np.flatnonzero((size > 0) & (wanted[place >> 3] >> (place & 7) & 1).astype(bool)):
+            for i in np.flatnonzero((size > 0) & in_table(wanted, node)):
                 if int(node[i]) not in seen:
                     seen.add(int(node[i]))
                     nodes.append(int(node[i]))
@@ -251,12 +240,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK)
     sizes = own.groupBy("grp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     member = own.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")).checkpoint()
 
-    bits = met.select("node").distinct().mapInArrow(_places, "place long")
-    pages = bits.groupBy(F.bitmap_bucket_number("place").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    wanted = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in pages.collect():  # FILTER_BITS in all; pages and the places in them count from 1
-        raw = np.frombuffer(bytes(r["bits"]), np.uint8)
-        wanted[(r["page"] - 1) * len(raw) : r["page"] * len(raw)] = raw
+    wanted = table_of(met, "node")
     sets = texts.where("doc_id is not null").select("text").mapInArrow(_sets(wanted), "node long, shingles binary").dropDuplicates(["node"]).checkpoint()
 
     group_of = member.select("node", "grp")
