@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm.common import id_fold, small_batches
-from tidewatch.session import table
+from tidewatch.session import ensure_checkpoint_dir, table
 
 NAMES = ("length", "letters", "upper", "digits", "marks", "odd_marks", "pipes", "high", "lines", "word_length", "word_spread", "distinct_words", "distinct_lines", "short_words", "end_marks")
 D = len(NAMES)
@@ -63,10 +64,20 @@ def _matrix(texts: list[str | None]) -> np.ndarray:
     return np.array([statistics(t) for t in texts]).reshape(-1, D)
 
 
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = _matrix(batch.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "x"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("x").to_pylist())).reshape(-1, D)
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = {c: np.zeros((D + 1, D + 1)) for c in (0, 1)}
     for batch in batches:
-        x = np.c_[np.ones(batch.num_rows), _matrix(batch.column("text").to_pylist())]
+        x = np.c_[np.ones(batch.num_rows), _unpacked(batch)]
         y = batch.column("label").to_numpy(zero_copy_only=False)
         for c in sums:
             own = x[y == c]
@@ -108,8 +119,8 @@ class Discriminant:
 
 
 def fit(labelled: DataFrame, towards_pooled: float = 0.3, towards_diagonal: float = 0.01) -> Discriminant:
-    """labelled: text, label. Fitted on all rows whose label is 0 or 1."""
-    rows = labelled.where("label in (0, 1)").select("text", F.col("label").cast("int").alias("label"))
+    """labelled: x, label. Fitted on all rows whose label is 0 or 1."""
+    rows = labelled.where("label in (0, 1)").select("x", F.col("label").cast("int").alias("label"))
     parts = rows.mapInArrow(_sums, "label int, i int, j int, total double")
     sums = {c: np.zeros((D + 1, D + 1)) for c in (0, 1)}
     for r in parts.groupBy("label", "i", "j").agg(F.sum("total").alias("total")).collect():  # 2 (D + 1)^2 rows
@@ -117,6 +128,17 @@ def fit(labelled: DataFrame, towards_pooled: float = 0.3, towards_diagonal: floa
     return Discriminant(sums, towards_pooled, towards_diagonal)
 
 
+def vectors(docs: DataFrame) -> DataFrame:
+    """doc_id and x, the packed statistics of each row; joins with these move no texts."""
+    return docs.select("doc_id", "text").mapInArrow(_vectors, "doc_id long, x binary")
+
+
+def training_rows(of_docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled vectors whose id is not in the held-out fold."""
+    marked = labels.select("doc_id", F.col("quality").alias("label")).where(id_fold(F.col("doc_id"), 4) != 2)
+    return of_docs.join(marked, "doc_id").select("x", "label")
+
+
 def score(docs: DataFrame, model: Discriminant) -> DataFrame:
     """docs with a column score."""
     docs = docs.drop("score")
@@ -126,21 +148,20 @@ def score(docs: DataFrame, model: Discriminant) -> DataFrame:
             found = model.score(_matrix(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled texts whose id is not in the held-out fold."""
-    marked = labels.select("doc_id", F.col("quality").alias("label")).where(id_fold(F.col("doc_id"), 4) != 2)
-    return docs.select("doc_id", "text").join(marked, "doc_id").select("text", "label")
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row. Texts are read once; their vectors are kept between fitting and scoring."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    of_docs = vectors(docs).checkpoint()
+    model = fit(training_rows(of_docs, labels))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_unpacked(batch)), pa.float64())], ["doc_id", "score"])
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row."""
-    model = fit(training_rows(docs, labels))
-    return score(docs.select("doc_id", "text"), model).select(
+    return of_docs.mapInArrow(run, "doc_id long, score double").select(
         "doc_id",
         (id_fold(F.col("doc_id"), 4) == 2).alias("held_out"),
         "score",
