@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline  # at the repository's top
 from tidewatch.llm import ann, byte_bpe, decontamination, jaccard, licenses, lm_scoring, quality, sharding, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op1_ann": ann.op1_ann,
         "op2_decontamination": decontamination.op2_decontamination,

@@ -271,6 +271,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK)
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows of docs whose id is the smallest of its component; rows without an id stay, and so do all rows of an id that stays."""
+    rest = near_duplicates(docs, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -266,6 +266,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     return rows.mapInArrow(_cut(length), schema)
 
 
+def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [k.decode(errors="ignore") for k in batch.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+
+def with_kept_text(found: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the input with what remove_repeats kept for text, less split characters, and n_chars to match; null stays null."""
+    cut = found.where("n_removed > 0")
+    cut = cut.mapInArrow(_as_text, cut.schema)
+    if "n_chars" in columns:
+        cut = cut.withColumn("n_chars", F.char_length("text").cast(found.schema["n_chars"].dataType))
+    return found.where("n_removed = 0").select(*columns).unionByName(cut.select(*columns))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
