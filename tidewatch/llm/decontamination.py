@@ -61,7 +61,8 @@ def fingerprints(texts: DataFrame, short: list[int]) -> DataFrame:
     chosen = F.filter(_upto(F.col("n_words") - (GRAM - 1)), lambda j: F.get("g", j) == F.greatest(*(F.get("m", j - k) for k in range(REACH + 1))))
     of = lambda j, n, p: F.struct(j.alias("place"), F.lit(n).alias("size"), p.alias("print"), _around(j).alias("around"))
     found = [F.transform(chosen, lambda j: of(j, SPAN, F.get("g", j)))]
-    found += [F.transform(_upto(F.col("n_words") - (n - 1)), lambda j, n=n: of(j, n, _gram(j, n))) for n in short]
+    every = lambda n: F.transform(_upto(F.col("n_words") - (n - 1)), lambda j: of(j, n, _gram(j, n)))
+    found += [every(n) for n in short]
     none = F.array(of(F.lit(None).cast("int"), SPAN, F.lit(None).cast("long")))
     return least.select(*keys, "n_words", F.inline(F.concat(none, *found)))
 
