@@ -38,7 +38,7 @@ from tidewatch.llm.hashing import END, mix, token_hashes
 from tidewatch.session import table
 
 #: Tokens that a task packs at a time, and bytes of text in a part.
-PACK, PART_BYTES = 2_000_000, 24_000_000
+PACK, PART_BYTES = 1_500_000, 16_000_000
 #: Context frequencies from 0, 1, 2, 4, ... on; the last bucket is open.
 BUCKETS = 16
 #: Bins per power of ten of the held-out histogram.
@@ -125,19 +125,17 @@ class Part:
         with np.errstate(over="ignore"):
             return (mix(self.words * _STEP) % _U(parts)).astype(np.int32)
 
-    def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the training and the retained count of its bigram."""
+    def pair_counts(self, least: int) -> np.ndarray:
+        """For each token how often its bigram stands in texts of at least this kind."""
         pair = self.h.astype(np.int64) * len(self.words) + self.w
         order = np.argsort(pair, kind="stable")
-        new = np.r_[True, np.diff(pair[order]) != 0]
-        n = np.cumsum(new) - 1
-        out = []
-        for least in (1, 2):
-            per = np.bincount(n, weights=self.kind[order] >= least)
-            back = np.empty(len(pair))
-            back[order] = per[n]
-            out.append(back)
-        return tuple(out)
+        pair = pair[order]
+        n = np.cumsum(np.r_[False, pair[1:] != pair[:-1]], dtype=np.int32)
+        del pair
+        per = np.bincount(n, weights=self.kind[order] >= least).astype(np.float32 if len(n) < 1 << 24 else np.float64)
+        back = np.empty(len(n), per.dtype)
+        back[order] = per[n]
+        return back
 
     def totals(self, answers: pd.DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
         """Training and retained counts of self.words from their homes' answers."""
@@ -185,7 +183,7 @@ def _histogram(parts: int):
     def run(blobs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         p = Part(blobs)
         _, kept = p.totals(answers, parts)
-        pair = p.pair_counts()[1]
+        pair = p.pair_counts(2)
         own = p.kind == 1
         h, w, hw = kept[p.h[own]], kept[p.w[own]], pair[own]
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -227,7 +225,7 @@ def _sums(parts: int):
     def run(blobs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         p = Part(blobs)
         train, _ = p.totals(answers, parts)
-        pair = p.pair_counts()[0]
+        pair = p.pair_counts(1)
         n, v = float(answers["total"].iloc[0]), float(answers["vocabulary"].iloc[0])
         weights = np.frombuffer(answers["weights"].iloc[0]).reshape(BUCKETS, 3)
         h, w = train[p.h], train[p.w]
