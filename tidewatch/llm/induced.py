@@ -161,6 +161,7 @@ def suffix_order(text: np.ndarray, limit: int = 4_000_000) -> np.ndarray:
         total = np.r_[np.uint64(0), np.cumsum(value * up[:-1])]
         end = np.minimum(np.r_[lms[1:], n - 1] + 1, n)
         hashed = (total[end] - total[lms]) * down[lms]
+        del up, down, value, total
     number = np.full(n, -1, np.int32)
     number[lms] = np.arange(len(lms))
     at = number[ordered]

@@ -45,9 +45,9 @@ from tidewatch.llm.induced import suffix_order
 from tidewatch.session import ensure_checkpoint_dir, table
 
 LENGTH, GRAM = 400, 32
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 2_000_000
 #: Bytes of text that are hashed at a time; a longer text is hashed alone.
-SLICE = 3_000_000
+SLICE = 1_500_000
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -165,9 +165,12 @@ def repeated_places(contents: list[bytes], length: int) -> list[np.ndarray]:
     symbols[:-1] += 2
     symbols[first[1:] - 1] = 1  # between contents, less than any byte; 0 ends the whole
     order = suffix_order(symbols)
-    left = np.repeat(first[1:] - 1, sizes + 1) - np.arange(len(raw))  # bytes to the content's end
+    del symbols
     order = order[order < len(raw)]
-    order = order[left[order] >= length]
+    whole = np.ones(len(raw), bool)  # places with at least length bytes to their content's end
+    for end in first[1:]:
+        whole[max(end - length, 0) : end] = False
+    order = order[whole[order]]
     hashed = Hashes(raw).of(order, order + length)
     same = np.r_[False, hashed[1:] == hashed[:-1], False]
     found = np.sort(order[same[1:] | same[:-1]])
@@ -221,7 +224,7 @@ def _cut(length: int):
 def repeat_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """keyed: key, text. Returns key and ranges: array<struct<begin, end>> of starts of repeated strings, for keys that have any."""
     names = keyed.select("text").mapInArrow(_names(length, gram), "name long")
-    twice = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    twice = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name").checkpoint()
     bits = table_of(twice, "name")
     found = keyed.mapInArrow(_shared(length, gram, bits), "name long, content long, key long, at long, n int, bytes binary").checkpoint()
     segments = found.select("name", "content", "key", "at", "n")
