@@ -19,10 +19,12 @@ token is ordinary text.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,7 @@ from pyspark.sql import types as T
 from tidewatch.llm.common import small_batches
 from tidewatch.session import table
 
+VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 32_768, 1_024
 #: Characters before a chunk's end within which a match might still change.
 UNSURE = 8
@@ -45,12 +48,28 @@ def _encoding(vocabulary: str):
     return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _encode_whole(vocabulary: str):
+def _ids(vocabulary: str, texts: Iterable[str | None]) -> pa.ListArray:
+    """Ids of each text as an Arrow column, without a Python object for each id."""
+    enc = _encoding(vocabulary)
+    each = [enc.encode_to_numpy(t, disallowed_special=()) if t else np.empty(0, np.uint32) for t in texts]
+    ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint32), *each]).astype(np.int32)))
+
+
+def _bytes(vocabulary: str, ids: pa.ListArray) -> pa.Array:
+    enc = _encoding(vocabulary)
+    flat, ends = ids.flatten().to_numpy(), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]
+    return pa.array([enc.decode_bytes(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+
+
+def _encode_whole(vocabulary: str, decoded: bool):
+    """Adds ids and, if asked, what they decode to, in one process."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(vocabulary)
         for batch in batches:
-            ids = [enc.encode_ordinary(t) if t else [] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
+            ids = _ids(vocabulary, batch.column("text").to_pylist())
+            more = {"ids": ids} | ({"decoded": _bytes(vocabulary, ids)} if decoded else {})
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*batch.schema.names, *more])
 
     return run
 
@@ -98,24 +117,21 @@ def _starts(chunk: int, overlap: int):
 
 def _encode_pieces(vocabulary: str, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(vocabulary)
         for batch in batches:
-            ids = []
+            texts = []
             for parts, begin, end in zip(*(batch.column(c).to_pylist() for c in ("parts", "begin", "end")), strict=True):
                 text = "".join(p["chunk"][:chunk] for p in parts[:-1]) + parts[-1]["chunk"]
                 base = parts[0]["n"] * chunk
-                ids.append(enc.encode_ordinary(text[begin - base : None if end is None else end - base]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("begin"), pa.array(ids, pa.list_(pa.int32()))], ["row", "begin", "ids"])
+                texts.append(text[begin - base : None if end is None else end - base])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("begin"), _ids(vocabulary, texts)], ["row", "begin", "ids"])
 
     return run
 
 
 def _decode(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(vocabulary)
         for batch in batches:
-            raw = [enc.decode_bytes(i) if i else b"" for i in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _bytes(vocabulary, batch.column("ids"))], [*batch.schema.names, "decoded"])
 
     return run
 
@@ -124,13 +140,31 @@ def _with(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields)])
 
 
-def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+IDS, DECODED = ("ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType())
+
+
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """docs with a column ids: array<int>. An input column of that name is replaced."""
-    docs = docs.drop("ids")
-    ids = ("ids", T.ArrayType(T.IntegerType()))
+    short, long = _encoded(docs.drop("ids"), vocabulary, chunk, overlap, decoded=False)
+    return short.unionByName(long)
+
+
+def decode(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """df with a column decoded: the raw bytes of its column ids."""
+    df = df.drop("decoded")
+    return df.mapInArrow(_decode(vocabulary), _with(df, DECODED))
+
+
+def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """docs with ids and decoded; texts of one chunk go through both in one process."""
+    short, long = _encoded(docs.drop("ids", "decoded"), vocabulary, chunk, overlap, decoded=True)
+    return short.unionByName(decode(long, vocabulary))
+
+
+def _encoded(docs: DataFrame, vocabulary: str, chunk: int, overlap: int, decoded: bool) -> tuple[DataFrame, DataFrame]:
     is_long = F.coalesce(F.char_length("text") > chunk, F.lit(False))
     short = docs.where(~is_long)
-    short = short.mapInArrow(_encode_whole(vocabulary), _with(short, ids))
+    short = short.mapInArrow(_encode_whole(vocabulary, decoded), _with(short, IDS, *[DECODED] * decoded))
 
     # A row's number follows from the input's splits, so a lost task finds the same numbers again.
     rows = docs.where(is_long).withColumn("_row", F.monotonically_increasing_id())
@@ -155,18 +189,12 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", chunk: in
     encoded = pieces.mapInArrow(_encode_pieces(vocabulary, chunk), "row long, begin long, ids array<int>")
     whole = encoded.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("begin", "ids"))), lambda p: p["ids"])).alias("ids"))
     long = rows.join(whole, rows["_row"] == whole["row"]).select(*docs.columns, "ids")
-    return short.unionByName(long)
-
-
-def decode(df: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """df with a column decoded: the raw bytes of its column ids."""
-    df = df.drop("decoded")
-    return df.mapInArrow(_decode(vocabulary), _with(df, ("decoded", T.BinaryType())))
+    return short, long
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
-    coded = decode(encode(docs.select("doc_id", "text")).drop("text"))
+    coded = round_trip(docs.select("doc_id", "text")).drop("text")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
