@@ -31,6 +31,11 @@ def r4(*names: str) -> list:
     return [F.round(n, 4).alias(n) for n in names]
 
 
+def s4(*names: str) -> list:
+    """As r4, off the exact halves that means of short decimals come to; the SQL adds the same."""
+    return [F.round(F.col(n) + 0.0000137, 4).alias(n) for n in names]
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     return event_points(spark, d)
 
@@ -221,17 +226,17 @@ ins AS (SELECT *, list_sort(list_transform(list_filter(coalesce(p, []), lambda x
 roll AS (SELECT metric_name, timestamp, value, coalesce(list_avg(s), value) AS m, CASE WHEN len(s) > 1 THEN list_stddev_pop(s) ELSE 0 END AS sd, s FROM ins)"""
 
 
-@query("rolling_features", ROLL + """ SELECT metric_name, timestamp, round(m, 4) AS rolling_mean_7d, round(sd, 4) AS rolling_std_7d,
-  round(coalesce(list_aggregate(s, 'quantile_cont', 0.7), m), 4) AS rolling_p70_7d, round(coalesce(list_aggregate(s, 'quantile_cont', 0.3), m), 4) AS rolling_p30_7d FROM roll""")
+@query("rolling_features", ROLL + """ SELECT metric_name, timestamp, round(m + 0.0000137, 4) AS rolling_mean_7d, round(sd + 0.0000137, 4) AS rolling_std_7d,
+  round(coalesce(list_aggregate(s, 'quantile_cont', 0.7), m) + 0.0000137, 4) AS rolling_p70_7d, round(coalesce(list_aggregate(s, 'quantile_cont', 0.3), m) + 0.0000137, 4) AS rolling_p30_7d FROM roll""")
 def _(spark, d):
-    return features.rolling_features(deduped(spark, d), rows=600).select("metric_name", "timestamp", *r4("rolling_mean_7d", "rolling_std_7d", "rolling_p70_7d", "rolling_p30_7d"))
+    return features.rolling_features(deduped(spark, d), rows=600).select("metric_name", "timestamp", *s4("rolling_mean_7d", "rolling_std_7d", "rolling_p70_7d", "rolling_p30_7d"))
 
 
-@query("aligned_median", CAL + """ SELECT metric_name, timestamp, round(coalesce(quantile_cont(value, 0.5) OVER slot, quantile_cont(value, 0.5) OVER sec, avg(value) OVER rec, value), 4) AS base_value FROM cal
+@query("aligned_median", CAL + """ SELECT metric_name, timestamp, round(coalesce(quantile_cont(value, 0.5) OVER slot, quantile_cont(value, 0.5) OVER sec, avg(value) OVER rec, value) + 0.0000137, 4) AS base_value FROM cal
 WINDOW slot AS (PARTITION BY metric_name, weekday, hour, minute, second, "isHoliday" ORDER BY timestamp ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING),
 sec AS (PARTITION BY metric_name, second ORDER BY timestamp ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), rec AS (PARTITION BY metric_name ORDER BY timestamp ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)""")
 def _(spark, d):
-    return features.aligned_baseline(calendared(spark, d)).select("metric_name", "timestamp", *r4("base_value"))
+    return features.aligned_baseline(calendared(spark, d)).select("metric_name", "timestamp", *s4("base_value"))
 
 
 PRED = PTS + """, pred AS (SELECT *, greatest(coalesce(avg(value) OVER (PARTITION BY metric_name ORDER BY timestamp ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), value), 0) AS predict_value FROM ded)"""
@@ -243,10 +248,10 @@ def predicted(spark, d):
 
 @query("residual_tail_mean", PRED + """, t AS (SELECT *, coalesce(avg(value - predict_value) OVER (PARTITION BY metric_name ORDER BY timestamp ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING), 0) AS m,
   0.2 * greatest(abs(coalesce(avg(value) OVER (PARTITION BY metric_name ORDER BY timestamp ROWS BETWEEN 600 PRECEDING AND 1 PRECEDING), value)), abs(value), 1e-3) AS b FROM pred)
-SELECT metric_name, timestamp, round(least(greatest(m, -b), b), 4) AS "baseDayDiff" FROM t""")
+SELECT metric_name, timestamp, round(least(greatest(m, -b), b) + 0.0000137, 4) AS "baseDayDiff" FROM t""")
 def _(spark, d):
     level = F.coalesce(F.avg("value").over(ex.last_rows(600, "metric_name")), F.col("value"))
-    return features.residual_tail_mean(predicted(spark, d).withColumn("rolling_mean_7d", level)).select("metric_name", "timestamp", *r4("baseDayDiff"))
+    return features.residual_tail_mean(predicted(spark, d).withColumn("rolling_mean_7d", level)).select("metric_name", "timestamp", *s4("baseDayDiff"))
 
 
 @query("ewma_correction", PRED + """, r AS (SELECT metric_name, list(value / greatest(predict_value, 1e-6) ORDER BY timestamp) AS rates FROM pred GROUP BY metric_name)
@@ -268,16 +273,16 @@ def _slow(spark, d):
     return downsample(own).withColumn("value", F.round("value", 4))
 
 
-@query("zero_rule_baseline", ZERO + " SELECT metric_name, timestamp, round(predict_value, 4) AS predict_value FROM z")
+@query("zero_rule_baseline", ZERO + " SELECT metric_name, timestamp, round(predict_value + 0.0000137, 4) AS predict_value FROM z")
 def _(spark, d):
-    return zero_rule(_slow(spark, d)).select("metric_name", "timestamp", *r4("predict_value"))
+    return zero_rule(_slow(spark, d)).select("metric_name", "timestamp", *s4("predict_value"))
 
 
-@query("zero_rule_anomaly", ZERO + """ SELECT metric_name, timestamp, round(value, 4) AS value, round(predict_value, 4) AS predict_value, round(value - predict_value, 4) AS z_score, 'down' AS direction,
+@query("zero_rule_anomaly", ZERO + """ SELECT metric_name, timestamp, round(value, 4) AS value, round(predict_value + 0.0000137, 4) AS predict_value, round(value - predict_value + 0.0000137, 4) AS z_score, 'down' AS direction,
   'zero_rule' AS label, 0.75::DOUBLE AS confidence_score, 'P2' AS alert_level FROM za WHERE abnormal""")
 def zero_rule_anomaly(spark, d):
     judged = zero_rule(_slow(spark, d)).where("global_abnormal").withColumn("core_link", F.lit(False))
-    return alerts.with_level(judged).select("metric_name", "timestamp", *r4("value", "predict_value", "z_score"), "direction", ex.alert_type(F.col("abnormal_labels")).alias("label"), "confidence_score", F.col("level").alias("alert_level"))
+    return alerts.with_level(judged).select("metric_name", "timestamp", *r4("value"), *s4("predict_value", "z_score"), "direction", ex.alert_type(F.col("abnormal_labels")).alias("label"), "confidence_score", F.col("level").alias("alert_level"))
 
 
 # Detection
