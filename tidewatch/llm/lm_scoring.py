@@ -232,12 +232,27 @@ def _sums(parts: int):
         by = weights[_bucket(h)]
         prob = by[:, 0] * pair / np.maximum(h, 1) + by[:, 1] * w / max(n, 1) + by[:, 2] / (v + 1)
         base = np.log10((w + 0.1) / (n + 0.1 * (v + 1)))
-        add = lambda x: np.bincount(p.d, weights=x, minlength=len(p.key))
-        return pd.DataFrame({"key": p.key, "n_tokens": np.bincount(p.d, minlength=len(p.key)), "n_known": add(w > 0).astype(np.int64), "base_score": add(base), "score": add(np.log10(prob))})
+        key, at = np.unique(p.key, return_inverse=True)
+        at = at[p.d]
+        sums = [np.bincount(at, weights=x, minlength=len(key)) for x in (np.ones(len(at)), w > 0, base, np.log10(prob))]
+        home = (mix(key.astype(np.uint64)) % _U(parts)).astype(np.int32)
+        rows = [(int(t), key[o].tobytes(), _small(sums[0][o].astype(np.int64)), _small(sums[1][o].astype(np.int64)), sums[2][o].tobytes(), sums[3][o].tobytes()) for t in np.unique(home) for o in [home == t]]
+        return pd.DataFrame(rows, columns=["home", "keys", *SUMMED])
 
     return run
 
 
+SUMMED = ["n_tokens", "n_known", "base_score", "score"]
+
+
+def _add_up(key: tuple, packed: pd.DataFrame) -> pd.DataFrame:
+    """A row per text from the sums that the parts sent to the text's home."""
+    keys, at = np.unique(np.concatenate([np.frombuffer(k, np.int64) for k in packed["keys"]]), return_inverse=True)
+    of = {c: np.concatenate([_large(x) if c.startswith("n_") else np.frombuffer(x) for x in packed[c]]) for c in SUMMED}
+    total = {c: np.bincount(at, weights=v, minlength=len(keys)) for c, v in of.items()}
+    return pd.DataFrame({"key": keys, **{c: v.astype(np.int64) if c.startswith("n_") else v for c, v in total.items()}})
+
+
 def frequent_words(texts: DataFrame, share: float = 0.001) -> np.ndarray:
     """Hashes of words with at least ``share`` of a sample's tokens. They only decide how tokens are dealt out."""
 
@@ -281,8 +296,8 @@ def score_texts(docs: DataFrame, kind: F.Column, parts: int | None = None) -> Da
         .join(facts.select("one", "total", F.col("n_words").alias("vocabulary")), "one")
     )
     told = answers.select("part", "home", "train", "kept", one).join(F.broadcast(learned), "one").drop("one")
-    scored = packed.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(_sums(parts), "key long, n_tokens long, n_known long, base_score double, score double")
-    by_key = scored.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    scored = packed.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(_sums(parts), "home int, keys binary, n_tokens binary, n_known binary, base_score binary, score binary")
+    by_key = scored.groupBy("home").applyInPandas(_add_up, "key long, n_tokens long, n_known long, base_score double, score double")
     copies = rows.groupBy("key", "doc_id", "kind").agg(F.count("*").alias("copies"))
     each = copies.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).join(by_key, "key").withColumn("one", F.lit(1))
     return each.join(F.broadcast(learned.select("one", "total")), "one").select(
