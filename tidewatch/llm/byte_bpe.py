@@ -167,9 +167,9 @@ def _encoded(docs: DataFrame, vocabulary: str, chunk: int, overlap: int, decoded
     short = short.mapInArrow(_encode_whole(vocabulary, decoded), _with(short, IDS, *[DECODED] * decoded))
 
     # A row's number follows from the input's splits, so a lost task finds the same numbers again.
-    rows = docs.where(is_long).withColumn("_row", F.monotonically_increasing_id())
+    rows = docs.where(is_long).withColumn("__tw_row", F.monotonically_increasing_id())
     chunks = (
-        rows.select(F.col("_row").alias("row"), "text")
+        rows.select(F.col("__tw_row").alias("row"), "text")
         .mapInArrow(_cut(chunk, overlap), "row long, n int, last boolean, chunk string")
         .repartition("row", "n")
     )
@@ -188,7 +188,7 @@ def _encoded(docs: DataFrame, vocabulary: str, chunk: int, overlap: int, decoded
     )
     encoded = pieces.mapInArrow(_encode_pieces(vocabulary, chunk), "row long, begin long, ids array<int>")
     whole = encoded.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("begin", "ids"))), lambda p: p["ids"])).alias("ids"))
-    long = rows.join(whole, rows["_row"] == whole["row"]).select(*docs.columns, "ids")
+    long = rows.join(whole.toDF("__tw_row", "__tw_ids"), "__tw_row").select(*docs.columns, F.col("__tw_ids").alias("ids"))
     return short, long
 
 

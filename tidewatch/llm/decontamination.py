@@ -114,9 +114,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of documents without a hit word. Rows are told apart by id and text, so ids may be null or repeat."""
-    keyed = documents.withColumn("_key", F.xxhash64("doc_id", "text"))
-    hit = hits(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark).where("item_id is not null").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(hit, "_key", "left_anti").select(*documents.columns)
+    keyed = documents.withColumn("__tw_key", F.xxhash64("doc_id", "text"))
+    hit = hits(keyed.select(F.col("__tw_key").alias("doc_id"), "text"), benchmark).where("item_id is not null").select(F.col("doc_id").alias("__tw_key")).distinct()
+    return keyed.join(hit, "__tw_key", "left_anti").select(*documents.columns)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,7 +199,7 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed, spans = [], [], []
-            for raw, ranges in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("_ranges").to_pylist(), strict=True):
+            for raw, ranges in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("__tw_ranges").to_pylist(), strict=True):
                 raw, out, at, n = raw or b"", [], 0, 0
                 for r in sorted(ranges or [], key=lambda r: r["begin"]):
                     begin, end = r["begin"], r["end"] + length - 1
@@ -212,7 +212,7 @@ def _cut(length: int):
                 kept.append(whole)
                 removed.append(len(raw) - len(whole))
                 spans.append(n)
-            names = [n for n in batch.schema.names if n != "_ranges"]
+            names = [n for n in batch.schema.names if n != "__tw_ranges"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array([len(k) + r for k, r in zip(kept, removed, strict=True)], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
                 [*names, "n_bytes", "n_removed", "n_spans", "kept"],
@@ -246,25 +246,25 @@ def repeat_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
         .where("own is not null").select("name", "content", "own")
     )
     ranges = segments.join(verdict, ["name", "content"]).select("key", F.transform("own", lambda r: F.struct((r["begin"] + F.col("at")).alias("begin"), (r["end"] + F.col("at")).alias("end"))).alias("own"))
-    return ranges.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("_ranges"))
+    return ranges.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("__tw_ranges"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (binary) for each row."""
     ensure_checkpoint_dir(docs.sparkSession)
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    ranges = repeat_ranges(keyed.select(F.col("_key").alias("key"), "text"), length, gram, shard_bytes).checkpoint()
+    keyed = docs.withColumn("__tw_key", F.xxhash64("doc_id", "text"))
+    ranges = repeat_ranges(keyed.select(F.col("__tw_key").alias("key"), "text"), length, gram, shard_bytes).checkpoint()
     bits = table_of(ranges, "key")
 
     def may_lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(in_table(bits, batch.column("_key").to_numpy().astype(np.uint64)))], [*batch.schema.names, "_may"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(in_table(bits, batch.column("__tw_key").to_numpy().astype(np.uint64)))], [*batch.schema.names, "__tw_may"])
 
-    marked = keyed.mapInArrow(may_lose, T.StructType([*keyed.schema.fields, T.StructField("_may", T.BooleanType())]))
-    losing = marked.where("_may").join(ranges.withColumnRenamed("key", "_key"), "_key", "left")
-    staying = marked.where("not _may").withColumn("_ranges", F.lit(None).cast(ranges.schema["_ranges"].dataType))
-    rows = losing.select(*docs.columns, "_ranges").unionByName(staying.select(*docs.columns, "_ranges"))
+    marked = keyed.mapInArrow(may_lose, T.StructType([*keyed.schema.fields, T.StructField("__tw_may", T.BooleanType())]))
+    losing = marked.where("__tw_may").join(ranges.withColumnRenamed("key", "__tw_key"), "__tw_key", "left")
+    staying = marked.where("not __tw_may").withColumn("__tw_ranges", F.lit(None).cast(ranges.schema["__tw_ranges"].dataType))
+    rows = losing.select(*docs.columns, "__tw_ranges").unionByName(staying.select(*docs.columns, "__tw_ranges"))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType())))])
     return rows.mapInArrow(_cut(length), schema)
 
