@@ -14,6 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewatch.llm import ann, byte_bpe, decontamination, induced, jaccard, licenses, lm_scoring, quality, sharding, suffix_dedup, url_filter
 
 rng = random.Random(7)
@@ -186,6 +187,32 @@ def test_signatures_of_sets_over_the_threshold_meet():
         assert set(sign[doc == 0]) & set(sign[doc == 1])
 
 
+def test_pipeline_keeps_one_of_near_copies_by_five_words_and_80_percent(spark):
+    words = [f"w{i}" for i in range(50)]
+    one, two = [*words[:20], "odd", *words[21:]], [*words[:20], "odd", *words[21:35], "even", *words[36:]]  # 41 of 51 and 36 of 56 five-word shingles
+    other = [f"v{i}" for i in range(50)]
+    df = spark.createDataFrame(make([" ".join(t) for t in (words, one, other, [*other[:25], *two[25:]])]), DOCS)
+    near = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df, 80, shingle=5).collect()}
+    assert near == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert {r.doc_id for r in jaccard.keep_first(df).collect()} == {0, 1, 2, 3}  # op3's contract
+    assert {r.doc_id for r in corpus_pipeline.keep_one_of_near_duplicates(spark, df, "").collect()} == {0, 2, 3}
+    far = spark.createDataFrame(make([" ".join(words), " ".join(two)]), DOCS)
+    assert corpus_pipeline.keep_one_of_near_duplicates(spark, far, "").count() == 2
+
+
+def test_signatures_of_sets_over_80_percent_meet():
+    g = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(g.integers(5, 120))
+        a = np.unique(g.integers(1, 1 << 60, n).astype(np.uint64))
+        b = np.unique(np.r_[a[int(g.integers(0, n // 6 + 1)) :], g.integers(1, 1 << 60, int(g.integers(0, n // 6 + 1))).astype(np.uint64)])
+        if 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)) or len(a) == len(b) == len(np.intersect1d(a, b)):
+            continue
+        doc, sign = jaccard.signatures(np.repeat([0, 1], [len(a), len(b)]), np.r_[a, b], np.array([len(a), len(b)]), 80)
+        least = jaccard.least_shared(np.repeat([0, 1], [len(a), len(b)]), np.r_[a, b], np.array([len(a), len(b)]), 80)
+        assert len(set(sign[doc == 0]) & set(sign[doc == 1])) >= least.max() >= 1
+
+
 # Suffix-array deduplication
 
 

@@ -1,15 +1,16 @@
 """Near duplicates by an n-gram Jaccard join over a token-group matrix.
 
-A document is the set of its three-word shingles; documents with equal sets are one node. Two nodes
-of sizes a and b that share 90 % of their union differ in at most (a + b) / 19 shingles. So if
-shingles are dealt by hash into three more parts than that, at least three parts hold the same
-shingles in both, and one of those isn't empty unless both nodes have three empty parts. Nodes
+A document is the set of its shingles of ``shingle`` words; documents with equal sets are one node.
+Two nodes of sizes a and b that share ``percent`` of their union differ in few shingles, (a + b) / 19
+at 90 %. So if shingles are dealt by hash into ``spare`` more parts than that, at least so many parts
+hold the same shingles in both, and one of those isn't empty unless both have so many empty parts. Nodes
 therefore meet in signatures (size band, part, hash of the part's shingles), which loses no link
 and which common words or passages don't make meet.
 
 Nodes that share a signature are put into groups around its smallest node. Each group stores its
 nodes' shingles and their union; a node that shares a signature with a group that isn't its own
-queries it, and the group is opened only if the query's overlap with the union can reach the
+queries it if the signatures it shares with the group are as many as two nodes over the threshold
+share at least, and the group is opened only if the query's overlap with the union can reach the
 threshold for the group's smallest node. In an opened group shingles are counted exactly: one
 central node against all, then every node that isn't connected with it, against all. What is left
 out are pairs within one component, whose links change no component. Groups are cut into chunks of
@@ -18,8 +19,8 @@ query the other chunks. Components come from label propagation over the links.
 
 Shingles count as equal if their 64-bit hashes are; sets if their sizes and 64-bit sums are.
 
-Defined cases: null and empty texts have no shingles, and no links; a text of one or two words is
-one shingle; repeated rows with one id are one document; rows without an id have no links and a
+Defined cases: null and empty texts have no shingles, and no links; a text of fewer words than
+a shingle is one shingle; repeated rows with one id are one document; rows without an id have no links and a
 null component; an empty table gives an empty result; extra columns don't matter.
 """
 
@@ -39,7 +40,7 @@ from tidewatch.llm.components import connected_components
 from tidewatch.llm.hashing import END, mix, token_hashes
 from tidewatch.session import ensure_checkpoint_dir, table
 
-#: Least similarity is PERCENT / 100; words in a shingle; nodes in a chunk of a group.
+#: op3's contract: least similarity is PERCENT / 100; words in a shingle. Nodes in a chunk of a group.
 PERCENT, SHINGLE, CHUNK = 90, 3, 4_000
 SPARE = 3
 
@@ -86,10 +87,13 @@ def node_ids(doc: np.ndarray, hashed: np.ndarray, texts: int) -> tuple[np.ndarra
         return size, mix(_segment_sums(mix(hashed), np.cumsum(size)) + size.astype(np.uint64)).astype(np.int64)
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        size, node = node_ids(*shingle_sets(batch.column("text").to_pylist()), batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64(), mask=size == 0)], ["doc_id", "n_shingles", "node"])
+def _nodes(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, node = node_ids(*shingle_sets(batch.column("text").to_pylist(), shingle), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64(), mask=size == 0)], ["doc_id", "n_shingles", "node"])
+
+    return run
 
 
 def bands(percent: int, upto: int) -> np.ndarray:
@@ -100,15 +104,17 @@ def bands(percent: int, upto: int) -> np.ndarray:
     return np.array([*first, first[-1] * 100 // percent + 1])
 
 
-def signatures(doc: np.ndarray, hashed: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, signature) of all texts; two sets over the threshold share at least one."""
+def _dealt(doc: np.ndarray, hashed: np.ndarray, size: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For a text's own band and the next: text number, signature and emptiness of each part, and each text's parts to spare."""
     first = bands(percent, int(size.max(initial=1)))
     band = np.searchsorted(first, size, side="right") - 1
-    out_doc, out_sign = [], []
+    # The largest expected share of empty parts. With three times that to spare, few sets need signatures of empty parts, which meet at random.
+    often_empty = np.exp(-((percent / 100) ** 2) * (100 + percent) / (2 * (100 - percent))) if percent < 100 else 0.0
     for up in (0, 1):
         largest = first[band + up + 1] - 1
         differ = 2 * largest * (100 - percent) // (100 + percent)
-        parts = np.where((differ > 0) & (size > 0), differ + SPARE, 0)
+        spare = SPARE + (3 * differ * often_empty).astype(np.int64)
+        parts = np.where((differ > 0) & (size > 0), differ + spare, 0)
         start = np.r_[0, np.cumsum(parts)]
         own = parts[doc] > 0
         d, h = doc[own], hashed[own]
@@ -120,43 +126,60 @@ def signatures(doc: np.ndarray, hashed: np.ndarray, size: np.ndarray, percent: i
             of = np.repeat(np.arange(len(size)), parts)
             part = np.arange(start[-1]) - start[of]
             sign = mix(mix(sums + n.astype(np.uint64)) ^ mix((band[of] + up).astype(np.uint64) * _U(1 << 32) + part.astype(np.uint64)))
-        empty = n == 0
-        many_empty = np.bincount(of[empty], minlength=len(size)) >= SPARE
+        yield of, sign, n == 0, spare
+
+
+def signatures(doc: np.ndarray, hashed: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, signature) of all texts; two sets over the threshold share at least one."""
+    out_doc, out_sign = [], []
+    for of, sign, empty, spare in _dealt(doc, hashed, size, percent):
+        many_empty = np.bincount(of[empty], minlength=len(size)) >= spare
         use = ~empty | many_empty[of]
         out_doc.append(of[use])
         out_sign.append(sign[use])
     return np.concatenate(out_doc), np.concatenate(out_sign).astype(np.int64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # a task gives a node's signatures once
-    for batch in batches:
-        doc, hashed = shingle_sets(batch.column("text").to_pylist())
-        size, node = node_ids(doc, hashed, batch.num_rows)
-        _, at = np.unique(node, return_index=True)
-        new = np.zeros(batch.num_rows, bool)
-        new[[i for i in at if int(node[i]) not in seen]] = True
-        seen.update(node[new].tolist())
-        of, sign = signatures(doc, hashed, np.where(new, size, 0))
-        yield pa.RecordBatch.from_arrays([pa.array(sign), pa.array(node[of])], ["sign", "node"])
+def least_shared(doc: np.ndarray, hashed: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """For each text how many signatures it shares at least with any other set over the threshold."""
+    return np.minimum.reduce([np.maximum(1, spare - np.bincount(of[empty], minlength=len(size))) for of, _, empty, spare in _dealt(doc, hashed, size, percent)])
+
+
+def _signatures(shingle: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task gives a node's signatures once
+        for batch in batches:
+            doc, hashed = shingle_sets(batch.column("text").to_pylist(), shingle)
+            size, node = node_ids(doc, hashed, batch.num_rows)
+            _, at = np.unique(node, return_index=True)
+            new = np.zeros(batch.num_rows, bool)
+            new[[i for i in at if int(node[i]) not in seen]] = True
+            seen.update(node[new].tolist())
+            of, sign = signatures(doc, hashed, np.where(new, size, 0), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(sign), pa.array(node[of])], ["sign", "node"])
+
+    return run
 
 
-def _sets(wanted: np.ndarray):
+def _sets(wanted: np.ndarray, shingle: int, percent: int):
     """Sets of the nodes that may have a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            doc, hashed = shingle_sets(batch.column("text").to_pylist())
+            doc, hashed = shingle_sets(batch.column("text").to_pylist(), shingle)
             size, node = node_ids(doc, hashed, batch.num_rows)
             ends = np.cumsum(size)
-            nodes, raw = [], []
-            for i in np.flatnonzero((size > 0) & in_table(wanted, node)):
+            wants = (size > 0) & in_table(wanted, node)
+            least = least_shared(doc, hashed, np.where(wants, size, 0), percent)
+            nodes, raw, need = [], [], []
+            for i in np.flatnonzero(wants):
                 if int(node[i]) not in seen:
                     seen.add(int(node[i]))
                     nodes.append(int(node[i]))
+                    need.append(int(least[i]))
                     raw.append(hashed[ends[i] - size[i] : ends[i]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raw, pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raw, pa.binary()), pa.array(need, pa.int32())], ["node", "shingles", "need"])
 
     return run
 
@@ -226,14 +249,14 @@ def _open(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     texts = docs.select("doc_id", "text")
-    all_nodes = texts.mapInArrow(_nodes, "doc_id long, n_shingles long, node long").checkpoint()
+    all_nodes = texts.mapInArrow(_nodes(shingle), "doc_id long, n_shingles long, node long").checkpoint()
 
-    signs = texts.select("text").where("doc_id is not null").mapInArrow(_signatures, "sign long, node long").repartition("sign")
+    signs = texts.select("text").where("doc_id is not null").mapInArrow(_signatures(shingle, percent), "sign long, node long").repartition("sign")
     shared = signs.groupBy("sign").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("sign", "pivot")
     met = signs.join(shared, "sign").checkpoint()
     own = met.groupBy("node").agg(F.min("pivot").alias("grp"))
@@ -241,18 +264,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK)
     member = own.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")).checkpoint()
 
     wanted = table_of(met, "node")
-    sets = texts.where("doc_id is not null").select("text").mapInArrow(_sets(wanted), "node long, shingles binary").dropDuplicates(["node"]).checkpoint()
+    sets = texts.where("doc_id is not null").select("text").mapInArrow(_sets(wanted, shingle, percent), "node long, shingles binary, need int").dropDuplicates(["node"]).checkpoint()
 
     group_of = member.select("node", "grp")
     groups_of_sign = met.select("sign", "node").join(group_of, "node").select("sign", "grp").distinct()
-    asks = met.select("sign", "node").join(groups_of_sign, "sign").select("node", "grp").distinct().join(group_of.select("node", F.col("grp").alias("own")), "node").where("grp <> own").select("node", "grp")
+    asks = met.select("sign", "node").join(groups_of_sign, "sign").groupBy("node", "grp").agg(F.count("*").alias("signs")).join(group_of.select("node", F.col("grp").alias("own")), "node").where("grp <> own").select("node", "grp", "signs")
 
     def opened(asking: DataFrame) -> DataFrame:
-        """asking: (node, grp), sent to all chunks of the group. Every chunk also has the group's centre."""
+        """asking: (node, grp, signs) is sent to all chunks of the group if signs are enough for a link. Every chunk also has the group's centre."""
         chunks = sizes.select("grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
         centres = chunks.select("grp", "chunk", F.col("grp").alias("node"))
-        inside = member.select("grp", "chunk", "node").union(centres).distinct().join(sets, "node")
-        outside = asking.join(chunks, "grp").join(sets, "node").toDF("q_node", "q_grp", "q_chunk", "q_shingles").withColumnsRenamed({"q_node": "node", "q_shingles": "shingles"})
+        inside = member.select("grp", "chunk", "node").union(centres).distinct().join(sets.select("node", "shingles"), "node")
+        outside = asking.join(sets, "node").where("signs >= need").join(chunks, "grp").select("node", "grp", "chunk", "shingles").toDF("q_node", "q_grp", "q_chunk", "q_shingles").withColumnsRenamed({"q_node": "node", "q_shingles": "shingles"})
         return inside.groupBy("grp", "chunk").cogroup(outside.groupBy("q_grp", "q_chunk")).applyInPandas(_open(percent), "a long, b long")
 
     edges = opened(asks).checkpoint()
@@ -260,7 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK)
     if sizes.where("chunks > 1").limit(1).count():
         label = member.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         centre = label.where("node = grp").select("grp", F.col("component").alias("main"))
-        apart = label.where("chunks > 1").join(centre, "grp").where("component <> main").select("node", "grp")
+        apart = label.where("chunks > 1").join(centre, "grp").where("component <> main").select("node", "grp", F.lit(1 << 30).alias("signs"))
         parts = connected_components(edges.union(opened(apart)).checkpoint())
 
     named = all_nodes.groupBy("node").agg(F.min("doc_id").alias("least")).where("node is not null and least is not null")
@@ -271,9 +294,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK)
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """Rows of docs whose id is the smallest of its component; rows without an id stay, and so do all rows of an id that stays."""
-    rest = near_duplicates(docs, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    rest = near_duplicates(docs, percent, shingle=shingle).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
 
 
