@@ -213,6 +213,43 @@ def test_signatures_of_sets_over_80_percent_meet():
         assert len(set(sign[doc == 0]) & set(sign[doc == 1])) >= least.max() >= 1
 
 
+def families_with_a_foreign_pivot(wanted):
+    """Texts in fours, of which the last two are linked in a group whose pivot is in another group."""
+    own, out = random.Random(3), []
+    for f in range(20_000):
+        words = [f"f{f}w{i}" for i in range(60)]
+        two = list(words)
+        for i in own.sample(range(60), 4):
+            two[i] = f"f{f}two{i}"
+        one = list(two)
+        for i in own.sample(range(60), 4):
+            one[i] = f"f{f}one{i}"
+        four = [*words[:30], f"f{f}four", *words[31:]]
+        texts = [" ".join(w) for w in (one, two, words, four)]
+        doc, hashed = jaccard.shingle_sets(texts)
+        size, node = jaccard.node_ids(doc, hashed, 4)
+        if list(np.argsort(node)) not in ([0, 1, 2, 3], [0, 1, 3, 2]):
+            continue
+        of, sign = jaccard.signatures(doc, hashed, size)
+        signs = [set(sign[of == i]) for i in range(4)]
+        least = jaccard.least_shared(doc, hashed, size)
+        groups = [min([node[j] for k in signs[i] for j in range(4) if k in signs[j] and sum(k in s for s in signs) > 1], default=None) for i in range(4)]
+        if groups == [node[0], node[0], node[1], node[1]] and all(len(signs[i] & (signs[0] | signs[1])) < least[i] for i in (2, 3)):
+            out += texts
+            if len(out) == 4 * wanted:
+                return out
+    return out
+
+
+def test_chunks_meet_when_the_pivot_is_in_another_group(spark):
+    texts = families_with_a_foreign_pivot(8)
+    assert len(texts) == 32
+    rows = make(texts)
+    want, _ = brute_components([(r[0], r[1]) for r in rows])
+    assert all(want[i + 3] == i + 2 and want[i + 2] == i + 2 for i in range(0, 32, 4))
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOCS), chunk=1).collect()} == want
+
+
 # Suffix-array deduplication
 
 

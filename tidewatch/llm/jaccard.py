@@ -282,7 +282,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK,
     parts = connected_components(edges)
     if sizes.where("chunks > 1").limit(1).count():
         label = member.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        centre = label.where("node = grp").select("grp", F.col("component").alias("main"))
+        # The centre may be a member of another group, so it is looked up by itself.
+        centre = sizes.where("chunks > 1").join(parts.toDF("grp", "main"), "grp", "left").select("grp", F.coalesce("main", "grp").alias("main"))
         apart = label.where("chunks > 1").join(centre, "grp").where("component <> main").select("node", "grp", F.lit(1 << 30).alias("signs"))
         parts = connected_components(edges.union(opened(apart)).checkpoint())
 
