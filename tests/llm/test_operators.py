@@ -91,6 +91,14 @@ def test_ann_is_near_brute_force_and_takes_odd_vectors(spark):
     assert fine > 0
 
 
+def test_ann_looks_into_the_same_share_of_buckets_whatever_the_size(spark, monkeypatch):
+    asked, buckets = [], ann._buckets
+    monkeypatch.setattr(ann, "_buckets", lambda first, tables, axes, seed: asked.append((first, tables, axes)) or buckets(first, tables, axes, seed))
+    for n in (100, 200_001):
+        ann.nearest(spark.range(n).select(F.col("id").alias("vec_id"), F.array((F.col("id") + 1).cast("float")).alias("embedding")), F.col("vec_id") % 100 == 0)
+    assert asked[:2] == asked[2:]
+
+
 # Benchmark decontamination
 
 

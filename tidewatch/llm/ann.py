@@ -8,8 +8,8 @@ only each query's k best of a bucket travel on, which loses none of the k best f
 
 Buckets of more than ``bucket_rows`` vectors are salted over several tasks, to all of which their
 queries go; that bounds every task without a cap. All vectors are indexed; queries meet buckets in
-a co-grouped shuffle, and nothing is broadcast. With more rows than ``rows_per_axis`` per axis a
-second axis makes the buckets finer.
+a co-grouped shuffle, and nothing is broadcast. The number of axes doesn't depend on the rows: a second
+axis makes buckets finer, and would need more tables or probes for the same recall.
 
 Defined cases: ids or vectors that are null, vectors of zero length or with null or non-finite
 components take no part; vectors meet those of their own dimension only; rows that repeat a
@@ -111,14 +111,11 @@ def usable(embedding: Column) -> Column:
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, probes: int = PROBES, axes: int | None = None,
-    bucket_rows: int = 20_000, rows_per_axis: int = 100_000, seed: int = 20_11,
+    vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, probes: int = PROBES, axes: int = 1,
+    bucket_rows: int = 20_000, seed: int = 20_11,
 ) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found; vectors: vec_id, embedding."""
     rows = vectors.select("vec_id", "embedding", is_query.alias("is_query")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).dropDuplicates(["vec_id", "embedding"])
-    if axes is None:
-        size = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-        axes = 1 if size["n"] <= 2 * (size["d"] or 1) * rows_per_axis else 2
     pair = rows.select("vec_id", "embedding")
     index = pair.mapInArrow(_buckets(1, tables, axes, seed), SCHEMA)
     asked = pair.where(rows["is_query"]).mapInArrow(_buckets(probes, tables, axes, seed), SCHEMA)
