@@ -171,7 +171,7 @@ def test_jaccard_equals_brute_force(spark, none, chunk):
     rows = make(texts)
     df = spark.createDataFrame([*rows, rows[8], (None, BASE, *rows[0][2:])], DOCS)
     want, sizes = brute_components([(r[0], r[1]) for r in rows])
-    got = jaccard.near_duplicates(df, chunk=chunk).collect()
+    got = jaccard.near_duplicates(df, 90, chunk, 3).collect()
     assert len(got) == len(rows) + 2
     for r in got:
         if r.doc_id is None:
@@ -179,7 +179,7 @@ def test_jaccard_equals_brute_force(spark, none, chunk):
         else:
             assert r.component_id == want[r.doc_id] and r.n_shingles in sizes[r.doc_id]
     assert jaccard.near_duplicates(none).count() == 0
-    kept = jaccard.keep_first(df)
+    kept = jaccard.keep_first(df, 90, 3)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {None, *(i for i, c in want.items() if i == c)}
 
 
@@ -191,7 +191,7 @@ def test_signatures_of_sets_over_the_threshold_meet():
         b = np.unique(np.r_[a[int(g.integers(0, max(1, len(a) // 12 + 1))) :], g.integers(1, 1 << 60, int(g.integers(0, len(a) // 12 + 1))).astype(np.uint64)])
         if 100 * len(np.intersect1d(a, b)) < 90 * len(np.union1d(a, b)) or len(a) == len(b) == len(np.intersect1d(a, b)):
             continue
-        doc, sign = jaccard.signatures(np.repeat([0, 1], [len(a), len(b)]), np.r_[a, b], np.array([len(a), len(b)]))
+        doc, sign = jaccard.signatures(np.repeat([0, 1], [len(a), len(b)]), np.r_[a, b], np.array([len(a), len(b)]), 90)
         assert set(sign[doc == 0]) & set(sign[doc == 1])
 
 
@@ -200,9 +200,9 @@ def test_pipeline_keeps_one_of_near_copies_by_five_words_and_80_percent(spark):
     one, two = [*words[:20], "odd", *words[21:]], [*words[:20], "odd", *words[21:35], "even", *words[36:]]  # 41 of 51 and 36 of 56 five-word shingles
     other = [f"v{i}" for i in range(50)]
     df = spark.createDataFrame(make([" ".join(t) for t in (words, one, other, [*other[:25], *two[25:]])]), DOCS)
-    near = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df, 80, shingle=5).collect()}
+    near = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
     assert near == {0: 0, 1: 0, 2: 2, 3: 3}
-    assert {r.doc_id for r in jaccard.keep_first(df).collect()} == {0, 1, 2, 3}  # op3's contract
+    assert {r.doc_id for r in jaccard.keep_first(df, 90, 3).collect()} == {0, 1, 2, 3}  # op3's contract
     assert {r.doc_id for r in corpus_pipeline.keep_one_of_near_duplicates(spark, df, "").collect()} == {0, 2, 3}
     far = spark.createDataFrame(make([" ".join(words), " ".join(two)]), DOCS)
     assert corpus_pipeline.keep_one_of_near_duplicates(spark, far, "").count() == 2
@@ -234,13 +234,13 @@ def families_with_a_foreign_pivot(wanted):
             one[i] = f"f{f}one{i}"
         four = [*words[:30], f"f{f}four", *words[31:]]
         texts = [" ".join(w) for w in (one, two, words, four)]
-        doc, hashed = jaccard.shingle_sets(texts)
+        doc, hashed = jaccard.shingle_sets(texts, 3)
         size, node = jaccard.node_ids(doc, hashed, 4)
         if list(np.argsort(node)) not in ([0, 1, 2, 3], [0, 1, 3, 2]):
             continue
-        of, sign = jaccard.signatures(doc, hashed, size)
+        of, sign = jaccard.signatures(doc, hashed, size, 90)
         signs = [set(sign[of == i]) for i in range(4)]
-        least = jaccard.least_shared(doc, hashed, size)
+        least = jaccard.least_shared(doc, hashed, size, 90)
         groups = [min([node[j] for k in signs[i] for j in range(4) if k in signs[j] and sum(k in s for s in signs) > 1], default=None) for i in range(4)]
         if groups == [node[0], node[0], node[1], node[1]] and all(len(signs[i] & (signs[0] | signs[1])) < least[i] for i in (2, 3)):
             out += texts
@@ -255,7 +255,7 @@ def test_chunks_meet_when_the_pivot_is_in_another_group(spark):
     rows = make(texts)
     want, _ = brute_components([(r[0], r[1]) for r in rows])
     assert all(want[i + 3] == i + 2 and want[i + 2] == i + 2 for i in range(0, 32, 4))
-    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOCS), chunk=1).collect()} == want
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOCS), 90, 1, 3).collect()} == want
 
 
 # Suffix-array deduplication

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm.hashing import mix
 
@@ -36,3 +37,15 @@ def table_of(df: DataFrame, column: str) -> np.ndarray:
 def in_table(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     place = places_of(numbers)
     return (bits[place >> 3] >> (place & 7) & 1).astype(bool)
+
+
+def marked(df: DataFrame, column: str, bits: np.ndarray, name: str) -> DataFrame:
+    """df with a boolean column that says whether a number of ``column`` may be in the table; nulls aren't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(column)
+            may = in_table(bits, numbers.fill_null(0).to_numpy()) & numbers.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may)], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))

@@ -11,9 +11,14 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small enough for an executor's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes, and rows, of an Arrow batch.
+BATCH_BYTES, BATCH_ROWS = 2_000_000, 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that a batch of long texts, too, fits an executor's memory. A batch has one row at least."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text hashed at a time.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)

@@ -1,21 +1,24 @@
 """Near duplicates by an n-gram Jaccard join over a token-group matrix.
 
 A document is the set of its shingles of ``shingle`` words; documents with equal sets are one node.
-Two nodes of sizes a and b that share ``percent`` of their union differ in few shingles, (a + b) / 19
-at 90 %. So if shingles are dealt by hash into ``spare`` more parts than that, at least so many parts
+Two nodes of sizes a and b that share ``percent`` of their union differ in few shingles, (a + b) / 9
+at 80 %. So if shingles are dealt by hash into ``spare`` more parts than that, at least so many parts
 hold the same shingles in both, and one of those isn't empty unless both have so many empty parts. Nodes
 therefore meet in signatures (size band, part, hash of the part's shingles), which loses no link
-and which common words or passages don't make meet.
+and which common words or passages don't make meet. Sizes are in bands of a factor of two; two
+sizes on either side of a band's edge meet in signatures of the edge, which only sizes near it have.
 
 Nodes that share a signature are put into groups around its smallest node. Each group stores its
 nodes' shingles and their union; a node that shares a signature with a group that isn't its own
-queries it if the signatures it shares with the group are as many as two nodes over the threshold
-share at least, and the group is opened only if the query's overlap with the union can reach the
-threshold for the group's smallest node. In an opened group shingles are counted exactly: one
-central node against all, then every node that isn't connected with it, against all. What is left
-out are pairs within one component, whose links change no component. Groups are cut into chunks of
-``chunk`` nodes, each with the group's centre; nodes that aren't connected with the centre then
-query the other chunks. Components come from label propagation over the links.
+queries it, and the group is opened only if the query's overlap with the union can reach the
+threshold for the group's smallest node. Two nodes over the threshold share ``need`` signatures at
+least, so a node asks by all but its need - 1 signatures of the most groups, which keeps the
+signatures that many groups share from being asked without losing a pair. In an opened group
+shingles are counted exactly: one central node against all, then every node that isn't connected
+with it, against all. What is left out are pairs within one component, whose links change no
+component. Groups are cut into chunks of ``chunk`` nodes or CHUNK_BYTES, each with the group's centre,
+and their queries into slices of the same bounds; nodes that aren't connected with the centre
+then query the other chunks. Components come from label propagation over the links.
 
 Shingles count as equal if their 64-bit hashes are; sets if their sizes and 64-bit sums are.
 
@@ -31,18 +34,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.bits import in_table, table_of
+from tidewatch.llm.bits import in_table, marked, table_of
 from tidewatch.llm.common import small_batches
 from tidewatch.llm.components import connected_components
 from tidewatch.llm.hashing import END, mix, token_hashes
 from tidewatch.session import ensure_checkpoint_dir, table
 
-#: op3's contract: least similarity is PERCENT / 100; words in a shingle. Nodes in a chunk of a group.
-PERCENT, SHINGLE, CHUNK = 90, 3, 4_000
-SPARE = 3
+#: Least similarity is PERCENT / 100; words in a shingle. op3's contract asks for 90 and 3.
+PERCENT, SHINGLE = 80, 5
+#: Nodes, and bytes of shingles, in a chunk of a group and in a slice of its queries.
+CHUNK, CHUNK_BYTES = 500, 16_000_000
+#: Parts to spare, and times the expected number of empty ones that are spared, too.
+SPARE, EMPTY = 3, 1.6
 
 _U = np.uint64
 
@@ -87,34 +93,30 @@ def node_ids(doc: np.ndarray, hashed: np.ndarray, texts: int) -> tuple[np.ndarra
         return size, mix(_segment_sums(mix(hashed), np.cumsum(size)) + size.astype(np.uint64)).astype(np.int64)
 
 
-def _nodes(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, node = node_ids(*shingle_sets(batch.column("text").to_pylist(), shingle), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64(), mask=size == 0)], ["doc_id", "n_shingles", "node"])
-
-    return run
+def bands(upto: int) -> np.ndarray:
+    """First sizes of bands. Sizes in the ratio of a threshold of at least a half are in one band or in neighbours."""
+    return 1 << np.arange(max(1, int(upto)).bit_length() + 2)
 
 
-def bands(percent: int, upto: int) -> np.ndarray:
-    """First sizes of bands such that sizes in the ratio of the threshold are in one or in neighbours."""
-    first = [1]
-    while first[-1] <= upto:
-        first.append(first[-1] * 100 // percent + 1)
-    return np.array([*first, first[-1] * 100 // percent + 1])
+def _differ(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that are in one of two sets over the threshold alone, at most."""
+    return (a + b) * (100 - percent) // (100 + percent)
 
 
 def _dealt(doc: np.ndarray, hashed: np.ndarray, size: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For a text's own band and the next: text number, signature and emptiness of each part, and each text's parts to spare."""
-    first = bands(percent, int(size.max(initial=1)))
+    """For a text's band and for the edges near its size: text number, signature and emptiness of each part, and each text's parts to spare."""
+    first = bands(size.max(initial=1))
     band = np.searchsorted(first, size, side="right") - 1
-    # The largest expected share of empty parts. With three times that to spare, few sets need signatures of empty parts, which meet at random.
-    often_empty = np.exp(-((percent / 100) ** 2) * (100 + percent) / (2 * (100 - percent))) if percent < 100 else 0.0
-    for up in (0, 1):
-        largest = first[band + up + 1] - 1
-        differ = 2 * largest * (100 - percent) // (100 + percent)
-        spare = SPARE + (3 * differ * often_empty).astype(np.int64)
-        parts = np.where((differ > 0) & (size > 0), differ + spare, 0)
+    ways = [(2 * band, first[band], _differ(first[band + 1] - 1, first[band + 1] - 1, percent), size > 0)]
+    for at in (band, band + 1):
+        edge = first[at]
+        near = (size > 0) & (at > 0) & np.where(size < edge, 100 * size >= percent * edge, 100 * (edge - 1) >= percent * size)
+        ways.append((2 * at + 1, edge * percent // 100, _differ(edge - 1, 100 * (edge - 1) // percent, percent), near))
+    for kind, smallest, differ, use in ways:
+        # With more than the expected empty parts to spare, few sets need signatures of empty parts, which meet at random.
+        often_empty = np.exp(-np.maximum(smallest, 1) / np.maximum(differ, 1))
+        spare = SPARE + np.ceil(EMPTY * differ * often_empty).astype(np.int64)
+        parts = np.where((differ > 0) & use, differ + spare, 0)
         start = np.r_[0, np.cumsum(parts)]
         own = parts[doc] > 0
         d, h = doc[own], hashed[own]
@@ -125,8 +127,8 @@ def _dealt(doc: np.ndarray, hashed: np.ndarray, size: np.ndarray, percent: int)
             sums = _segment_sums(mix(h[order] ^ _U(0x94D049BB133111EB)), np.cumsum(n))
             of = np.repeat(np.arange(len(size)), parts)
             part = np.arange(start[-1]) - start[of]
-            sign = mix(mix(sums + n.astype(np.uint64)) ^ mix((band[of] + up).astype(np.uint64) * _U(1 << 32) + part.astype(np.uint64)))
-        yield of, sign, n == 0, spare
+            sign = mix(mix(sums + n.astype(np.uint64)) ^ mix(kind[of].astype(np.uint64) * _U(1 << 32) + part.astype(np.uint64)))
+        yield of, sign, n == 0, np.where(parts > 0, spare, 1 << 30)
 
 
 def signatures(doc: np.ndarray, hashed: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +163,11 @@ def _signatures(shingle: int, percent: int):
     return run
 
 
-def _sets(wanted: np.ndarray, shingle: int, percent: int):
-    """Sets of the nodes that may have a partner."""
+NODES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary()), ("need", pa.int32())])
+
+
+def _nodes(wanted: np.ndarray, shingle: int, percent: int):
+    """Each text's node; the shingles of nodes that may have a partner go with the first of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -170,16 +175,14 @@ def _sets(wanted: np.ndarray, shingle: int, percent: int):
             doc, hashed = shingle_sets(batch.column("text").to_pylist(), shingle)
             size, node = node_ids(doc, hashed, batch.num_rows)
             ends = np.cumsum(size)
-            wants = (size > 0) & in_table(wanted, node)
-            least = least_shared(doc, hashed, np.where(wants, size, 0), percent)
-            nodes, raw, need = [], [], []
+            wants = (size > 0) & in_table(wanted, node) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            need = least_shared(doc, hashed, np.where(wants, size, 0), percent)
+            raw: list[bytes | None] = [None] * batch.num_rows
             for i in np.flatnonzero(wants):
                 if int(node[i]) not in seen:
                     seen.add(int(node[i]))
-                    nodes.append(int(node[i]))
-                    need.append(int(least[i]))
-                    raw.append(hashed[ends[i] - size[i] : ends[i]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raw, pa.binary()), pa.array(need, pa.int32())], ["node", "shingles", "need"])
+                    raw[i] = hashed[ends[i] - size[i] : ends[i]].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64(), mask=size == 0), pa.array(raw, pa.binary()), pa.array(np.minimum(need, 1 << 20), pa.int32())], schema=NODES)
 
     return run
 
@@ -232,7 +235,7 @@ def _open(percent: int):
         union, least = np.unique(np.concatenate(sets)), min(map(len, sets))
         known = set(nodes.tolist())
         let_in = []
-        for node, raw in zip(queries["node"], queries["shingles"], strict=True):
+        for node, raw in zip(queries["q_node"], queries["q_shingles"], strict=True):
             s = np.frombuffer(raw, np.uint64)
             at = np.minimum(np.searchsorted(union, s), len(union) - 1)
             overlap = int((union[at] == s).sum())
@@ -250,33 +253,39 @@ def _open(percent: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row."""
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
+    """doc_id, n_shingles, component_id for each row; percent is 50 or more."""
+    ensure_checkpoint_dir(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    all_nodes = texts.mapInArrow(_nodes(shingle), "doc_id long, n_shingles long, node long").checkpoint()
-
     signs = texts.select("text").where("doc_id is not null").mapInArrow(_signatures(shingle, percent), "sign long, node long").repartition("sign")
     shared = signs.groupBy("sign").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("sign", "pivot")
     met = signs.join(shared, "sign").checkpoint()
-    own = met.groupBy("node").agg(F.min("pivot").alias("grp"))
-    sizes = own.groupBy("grp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    member = own.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")).checkpoint()
-
-    wanted = table_of(met, "node")
-    sets = texts.where("doc_id is not null").select("text").mapInArrow(_sets(wanted, shingle, percent), "node long, shingles binary, need int").dropDuplicates(["node"]).checkpoint()
 
-    group_of = member.select("node", "grp")
-    groups_of_sign = met.select("sign", "node").join(group_of, "node").select("sign", "grp").distinct()
-    asks = met.select("sign", "node").join(groups_of_sign, "sign").groupBy("node", "grp").agg(F.count("*").alias("signs")).join(group_of.select("node", F.col("grp").alias("own")), "node").where("grp <> own").select("node", "grp", "signs")
+    every = texts.mapInArrow(_nodes(table_of(met, "node"), shingle, percent), "doc_id long, n_shingles long, node long, shingles binary, need int").checkpoint()
+    all_nodes = every.select("doc_id", "n_shingles", "node")
+    own = met.groupBy("node").agg(F.min("pivot").alias("grp"))
+    sets = every.where("shingles is not null").select("node", "shingles", "need").dropDuplicates(["node"]).join(own.withColumnRenamed("grp", "own"), "node").checkpoint()
+    bound = lambda: F.ceil(F.greatest(F.count("*") / chunk, F.sum(F.length("shingles")) / CHUNK_BYTES)).cast("int")
+    sizes = sets.groupBy(F.col("own").alias("grp")).agg(bound().alias("chunks"))
+    member = sets.select("node", F.col("own").alias("grp")).join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")).checkpoint()
+
+    # Of a sign's groups only its nodes' own ones count; signs of one group need no question.
+    groups_of_sign = met.select("sign", "node").join(own, "node").select("sign", "grp").distinct()
+    many = groups_of_sign.groupBy("sign").agg(F.count("*").alias("groups")).where("groups > 1")
+    hottest = Window.partitionBy("node").orderBy(F.desc("groups"), "sign")
+    asked = met.select("sign", "node").join(many, "sign").withColumn("n", F.row_number().over(hottest)).join(sets.select("node", "need", "own"), "node").where("n >= need").select("sign", "node", "own")
+    asks = asked.join(groups_of_sign, "sign").where("grp <> own").select("node", "grp").distinct().checkpoint()
 
     def opened(asking: DataFrame) -> DataFrame:
-        """asking: (node, grp, signs) is sent to all chunks of the group if signs are enough for a link. Every chunk also has the group's centre."""
-        chunks = sizes.select("grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-        centres = chunks.select("grp", "chunk", F.col("grp").alias("node"))
-        inside = member.select("grp", "chunk", "node").union(centres).distinct().join(sets.select("node", "shingles"), "node")
-        outside = asking.join(sets, "node").where("signs >= need").join(chunks, "grp").select("node", "grp", "chunk", "shingles").toDF("q_node", "q_grp", "q_chunk", "q_shingles").withColumnsRenamed({"q_node": "node", "q_shingles": "shingles"})
-        return inside.groupBy("grp", "chunk").cogroup(outside.groupBy("q_grp", "q_chunk")).applyInPandas(_open(percent), "a long, b long")
+        """asking: (node, grp) is sent to all chunks of the group. Every chunk also has the group's centre, and is there once for each slice of the group's queries."""
+        queries = asking.join(sets.select("node", "shingles"), "node")
+        slices = queries.groupBy("grp").agg(bound().alias("slices"))
+        cut = sizes.join(slices, "grp", "left").select("grp", "chunks", F.coalesce("slices", F.lit(1)).alias("slices"))
+        count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        centres = cut.select("grp", count("chunks").alias("chunk"), F.col("grp").alias("node"), "slices")
+        members = member.join(cut.select("grp", "slices"), "grp").select("grp", "chunk", "node", "slices").unionByName(centres).distinct()
+        inside = members.select("grp", "chunk", count("slices").alias("slice"), "node").join(sets.select("node", "shingles"), "node")
+        outside = queries.join(cut, "grp").withColumn("q_slice", F.pmod(F.xxhash64("node", F.lit(1)), "slices").cast("int")).select(F.col("grp").alias("q_grp"), count("chunks").alias("q_chunk"), "q_slice", F.col("node").alias("q_node"), F.col("shingles").alias("q_shingles"))
+        return inside.groupBy("grp", "chunk", "slice").cogroup(outside.groupBy("q_grp", "q_chunk", "q_slice")).applyInPandas(_open(percent), "a long, b long")
 
     edges = opened(asks).checkpoint()
     parts = connected_components(edges)
@@ -284,7 +293,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK,
         label = member.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # The centre may be a member of another group, so it is looked up by itself.
         centre = sizes.where("chunks > 1").join(parts.toDF("grp", "main"), "grp", "left").select("grp", F.coalesce("main", "grp").alias("main"))
-        apart = label.where("chunks > 1").join(centre, "grp").where("component <> main").select("node", "grp", F.lit(1 << 30).alias("signs"))
+        apart = label.where("chunks > 1").join(centre, "grp").where("component <> main").select("node", "grp")
         parts = connected_components(edges.union(opened(apart)).checkpoint())
 
     named = all_nodes.groupBy("node").agg(F.min("doc_id").alias("least")).where("node is not null and least is not null")
@@ -296,11 +305,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK,
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """Rows of docs whose id is the smallest of its component; rows without an id stay, and so do all rows of an id that stays."""
-    rest = near_duplicates(docs, percent, shingle=shingle).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of docs whose id is the smallest of its component; rows without an id stay, and so do all rows of an id that stays.
+
+    Only rows that a bit table of the ids to drop doesn't clear are joined with these ids, so texts that stay are hardly shuffled.
+    """
+    rest = near_duplicates(docs, percent, shingle=shingle).where("component_id <> doc_id").select("doc_id").distinct().checkpoint()
+    may_go = marked(docs, "doc_id", table_of(rest, "doc_id"), "__tw_may")
+    stays = may_go.where("not __tw_may").select(*docs.columns)
+    return stays.unionByName(may_go.where("__tw_may").join(rest, "doc_id", "left_anti").select(*docs.columns))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), 90, shingle=3)
