@@ -17,10 +17,6 @@ from tidewatch.llm import byte_bpe, decontamination, jaccard, quality, suffix_de
 from tidewatch.llm.common import small_batches
 from tidewatch.session import ensure_checkpoint_dir, table
 
-#: Near duplicates share so much of the union of their shingles of so many words; op3's contract (90 %, three words) binds op3 alone.
-NEAR_PERCENT, NEAR_SHINGLE = 80, 5
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least the threshold."""
     small_batches(spark)
@@ -29,9 +25,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document of the smallest id; documents without an id stay."""
+    """Of each component of near duplicates (80 % of five-word shingles) the document of the smallest id; documents without an id stay."""
     small_batches(spark)
-    return jaccard.keep_first(docs, NEAR_PERCENT, NEAR_SHINGLE)
+    return jaccard.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
