@@ -26,8 +26,3 @@ def test_equals_sql(spark, duck, data, tmp_path, name):
     got = f"SELECT {cols} FROM read_parquet('{tmp_path}/out/*.parquet')"
     assert duck.sql(f"SELECT {cols} FROM want EXCEPT ALL {got}").fetchall() == []
     assert duck.sql(f"{got} EXCEPT ALL SELECT {cols} FROM want").fetchall() == []
-
-
-@pytest.mark.parametrize("name", ["eligibility_throttled", "kde_bounds", "huber_forecast", "mann_kendall_p", "incident_fsm", "jump_clip_exact", "local_score"])
-def test_runs(spark, data, name):
-    assert QUERIES[name](spark, data).count() > 0

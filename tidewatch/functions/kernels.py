@@ -12,34 +12,54 @@ from pyspark.sql import types as T
 from tidewatch.settings import EPS
 
 
-def huber_forecast(values, alpha: float = 1e-4, epsilon: float = 1.35, rounds: int = 50, ahead: int = 1) -> tuple[float, float, float, float]:
-    """Robust linear trend by reweighted ridge equations: forecast, deviation of residuals, intercept, slope."""
-    y = np.asarray(values, float)
-    y = y[np.isfinite(y)]
-    n = len(y)
-    if n < 2:
-        last = float(y[-1]) if n else 0.0
-        return last, 0.0, last, 0.0
+def _middle(x: np.ndarray) -> np.ndarray:
+    """Median of each row; faster than numpy's for rows of some tens of values."""
+    n = x.shape[1]
+    x = np.sort(x, axis=1)
+    return (x[:, (n - 1) // 2] + x[:, n // 2]) / 2
+
+
+def huber_lines(y: np.ndarray, alpha: float = 1e-4, epsilon: float = 1.35, rounds: int = 50, ahead: int = 1) -> np.ndarray:
+    """Robust linear trends of the rows of a matrix by reweighted ridge equations: forecast, deviation of residuals, intercept, slope.
+
+    All rows go through a round together, and rows that have settled leave.
+    """
+    n = y.shape[1]
     x = np.arange(1.0, n + 1)
+    x2 = x * x
 
-    def solve(w: np.ndarray) -> np.ndarray:
+    def solve(w: np.ndarray, y: np.ndarray) -> np.ndarray:
         # Two equations in closed form; the ridge is on both coefficients.
-        a, b, c = w.sum() + alpha, (w * x).sum(), (w * x * x).sum() + alpha
-        p, q = (w * y).sum(), (w * x * y).sum()
-        return np.array([c * p - b * q, a * q - b * p]) / (a * c - b * b)
+        a, b, c = w.sum(axis=1) + alpha, w @ x, w @ x2 + alpha
+        p, q = (w * y).sum(axis=1), (w * y) @ x
+        return np.stack([c * p - b * q, a * q - b * p], axis=1) / (a * c - b * b)[:, None]
 
-    line = solve(np.ones(n))
+    line = solve(np.ones_like(y), y)
+    open_ = np.arange(len(y))
     for _ in range(rounds):
-        off = y - line[0] - line[1] * x
-        limit = epsilon * max(1.4826 * np.median(np.abs(off - np.median(off))), off.std(), EPS)
+        now, own = line[open_], y[open_]
+        off = own - now[:, :1] - now[:, 1:] * x
         size = np.abs(off)
-        found = solve(np.where(size > limit, limit / np.maximum(size, 1e-300), 1.0))
-        settled = np.allclose(found, line, atol=1e-6, rtol=1e-5)
-        line = found
-        if settled:
+        spread = np.sqrt(np.maximum(np.einsum("ij,ij->i", off, off) / n - off.mean(axis=1) ** 2, 0.0))
+        limit = epsilon * np.maximum(np.maximum(1.4826 * _middle(np.abs(off - _middle(off)[:, None])), spread), EPS)[:, None]
+        found = solve(np.where(size > limit, limit / np.maximum(size, 1e-300), 1.0), own)
+        line[open_] = found
+        moved = (np.abs(found - now) > 1e-6 + 1e-5 * np.abs(now)).any(axis=1)
+        open_ = open_[moved]
+        if not len(open_):
             break
-    off = y - line[0] - line[1] * x
-    return float(line[0] + line[1] * (n + ahead)), max(float(off.std()), EPS), float(line[0]), float(line[1])
+    off = y - line[:, :1] - line[:, 1:] * x
+    return np.stack([line[:, 0] + line[:, 1] * (n + ahead), np.maximum(off.std(axis=1), EPS), line[:, 0], line[:, 1]], axis=1)
+
+
+def huber_forecast(values, alpha: float = 1e-4, epsilon: float = 1.35, rounds: int = 50, ahead: int = 1) -> tuple[float, float, float, float]:
+    """huber_lines of one series of any length; values that aren't finite are left out."""
+    y = np.asarray(values, float)
+    y = y[np.isfinite(y)]
+    if len(y) < 2:
+        last = float(y[-1]) if len(y) else 0.0
+        return last, 0.0, last, 0.0
+    return tuple(huber_lines(y[None], alpha, epsilon, rounds, ahead)[0].tolist())
 
 
 def kde_bounds(values, low: float = 0.025, high: float = 0.975) -> tuple[float, float]:
@@ -77,7 +97,21 @@ def _doubles(*names: str) -> T.StructType:
 
 @F.pandas_udf(_doubles("forecast", "deviation", "intercept", "slope"))
 def huber_of(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([huber_forecast(v) for v in values], columns=["forecast", "deviation", "intercept", "slope"])
+    """Series of one length are fitted together."""
+    out = np.full((len(values), 4), np.nan)
+    by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for n, v in enumerate(values):
+        if v is None:
+            continue
+        y = np.asarray(v, float)
+        y = y[np.isfinite(y)]
+        if len(y) < 2:
+            out[n] = huber_forecast(y)
+        else:
+            by_length.setdefault(len(y), []).append((n, y))
+    for own in by_length.values():
+        out[[n for n, _ in own]] = huber_lines(np.stack([y for _, y in own]))
+    return pd.DataFrame(out, columns=["forecast", "deviation", "intercept", "slope"])
 
 
 @F.pandas_udf(_doubles("lower", "upper"))

@@ -2,50 +2,76 @@
 
 from __future__ import annotations
 
+import bisect
+from collections import deque
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import last_rows
+from tidewatch.operators.folds import fold_by_key
 from tidewatch.settings import ALIGNED_LIMIT, DEFAULTS, RECENT_LIMIT, SAME_SECOND_LIMIT, Settings
 
 WEEK = 604800
 
 
-def rolling_features(series: DataFrame, settings: Settings = DEFAULTS, rows: int | None = None) -> DataFrame:
-    """Mean, deviation, P70 and P30 of the rows of the last week among the last ``rows`` ones.
+class Rolling:
+    """The last rows of a series within a week: mean, deviation and quantiles from an ordered list and running sums.
+
+    Sums are of differences from a value of the series, and taken anew every RENEW rows, so that rounding doesn't add up.
+    """
 
-    Where the first of those rows is within the week, or the frame begins with the series, the row
-    frame is the week; only other points need the array of the frame filtered.
+    RENEW = 1000
+
+    def __init__(self, most: int):
+        self.most, self.rows, self.ordered = most, deque(), []
+        self.zero, self.total, self.square, self.age = 0.0, 0.0, 0.0, 0
+
+    def at(self, now: int, value: float) -> tuple[float, float, float, float]:
+        while self.rows and (len(self.rows) > self.most or self.rows[0][0] < now - WEEK):
+            gone = self.rows.popleft()[1]
+            del self.ordered[bisect.bisect_left(self.ordered, gone)]
+            self.total -= gone - self.zero
+            self.square -= (gone - self.zero) ** 2
+        x, n = self.ordered, len(self.ordered)
+        if not n:
+            return value, 0.0, value, value
+        if self.age >= self.RENEW:
+            self.age, self.zero = 0, x[n // 2]
+            off = np.asarray(x) - self.zero
+            self.total, self.square = float(off.sum()), float(off @ off)
+        mean = self.total / n
+
+        def cut(p: float) -> float:
+            low = int(p * (n - 1))
+            return x[low] + (p * (n - 1) - low) * (x[min(low + 1, n - 1)] - x[low])
+
+        return self.zero + mean, max(self.square / n - mean * mean, 0.0) ** 0.5, cut(0.7), cut(0.3)
+
+    def add(self, now: int, value: float) -> None:
+        if not self.rows:
+            self.zero, self.total, self.square, self.age = value, 0.0, 0.0, 0
+        self.rows.append((now, value))
+        bisect.insort(self.ordered, value)
+        self.total += value - self.zero
+        self.square += (value - self.zero) ** 2
+        self.age += 1
+
+
+def rolling_features(series: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Mean, deviation, P70 and P30 of the rows of the last week among the last ones that a granularity keeps; the point's own value without any.
+
+    A fold per series: each row enters and leaves one ordered list, so work doesn't grow with the frame.
     """
-    keys = ["metric_name", "granularity"]
-    n = F.when(F.col("granularity") == "1s", settings.second_history_window).otherwise(settings.minute_history_window)
-    most = rows or settings.second_history_window
-    frame = last_rows(most, *keys)
-    past = F.collect_list(F.struct("timestamp", "value")).over(frame)
-    inside = F.filter(
-        F.slice(F.col("_past"), -F.least(F.size("_past"), F.col("_n")), F.greatest(F.least(F.size("_past"), F.col("_n")), F.lit(1))), lambda x: x["timestamp"] >= F.col("timestamp") - WEEK
-    )
-    seen = series.withColumns({"_past": past, "_n": n if rows is None else F.lit(rows)}).withColumn("_in", F.when(F.size("_past") > 0, F.transform(inside, lambda x: x["value"])).otherwise(F.array().cast("array<double>")))
-    return summarised(seen, "_in").drop("_past", "_n", "_in")
-
-
-def summarised(df: DataFrame, values: str) -> DataFrame:
-    """rolling_* columns of an array column, with the point's own value for an empty one."""
-    x = F.array_sort(values)
-    n = F.size(values)
-    mean = F.when(n > 0, F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n).otherwise(F.col("value"))
-    square = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - F.col("rolling_mean_7d")) * (v - F.col("rolling_mean_7d")))
-
-    def quantile(p: float):
-        at = p * (F.size("_sorted") - 1)
-        low = F.get("_sorted", F.floor(at).cast("int"))
-        return F.when(F.size("_sorted") > 0, low + (at - F.floor(at)) * (F.get("_sorted", F.ceil(at).cast("int")) - low)).otherwise(F.col("rolling_mean_7d"))
-
-    return (
-        df.withColumns({"_sorted": x, "rolling_mean_7d": mean})
-        .withColumns({"rolling_std_7d": F.when(n > 1, F.sqrt(square / n)).otherwise(0.0), "rolling_p70_7d": quantile(0.7), "rolling_p30_7d": quantile(0.3)})
-        .drop("_sorted")
-    )
+    def step(s: dict, row) -> tuple:
+        if "past" not in s:
+            s["past"] = Rolling(settings.second_history_window if row.granularity == "1s" else settings.minute_history_window)
+        found = s["past"].at(int(row.timestamp), row.value)
+        s["past"].add(int(row.timestamp), row.value)
+        return found
+
+    return fold_by_key(series, ["metric_name", "granularity"], ["timestamp"], dict, step, "rolling_mean_7d double, rolling_std_7d double, rolling_p70_7d double, rolling_p30_7d double")
 
 
 def aligned_baseline(points: DataFrame) -> DataFrame:
@@ -69,10 +95,13 @@ def residual_tail_mean(pairs: DataFrame) -> DataFrame:
 
 
 def ewma_correction(observed: DataFrame) -> DataFrame:
-    """Final clipped moving correction of each key from its observed rates in order, as a fold of an expression."""
-    rates = F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "rate"))), lambda x: x["rate"])
-    step = lambda a, r: F.least(F.greatest(0.9 * a + 0.1 * r, F.lit(0.5)), F.lit(1.5))
-    return observed.groupBy("metric_name").agg(F.aggregate(rates, F.lit(1.0), step).alias("correction_rate"))
+    """Final clipped moving correction of each key from its observed rates in order."""
+    def step(s: list, row) -> tuple:
+        s[0] = min(max(0.9 * s[0] + 0.1 * row.rate, 0.5), 1.5)
+        return (s[0],)
+
+    folded = fold_by_key(observed.select("metric_name", "timestamp", "rate"), ["metric_name"], ["timestamp"], lambda: [1.0], step, "correction double")
+    return folded.groupBy("metric_name").agg(F.max_by("correction", "timestamp").alias("correction_rate"))
 
 
 def recent(df: DataFrame, n: int, keys: tuple[str, ...], since: int | None = None) -> DataFrame:

@@ -33,12 +33,16 @@ def drop_metric(df: DataFrame, metric: str) -> DataFrame:
 
 def aligned_history(raw: DataFrame, asked: DataFrame, limit: int = 28, fallback: int = 60) -> DataFrame:
     """asked (metric_name, timestamp, weekday, hour, minute, second, isHoliday) with aligned_values: earlier values at the same slot, else at the same second, newest first."""
+
     def values(on: list[str], n: int, name: str) -> DataFrame:
-        met = asked.select("metric_name", F.col("timestamp").alias("at"), *on).join(raw.select("metric_name", "timestamp", "value", *on), ["metric_name", *on]).where("timestamp < at")
-        newest = Window.partitionBy("metric_name", "at").orderBy(F.desc("timestamp"))
-        kept = met.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n)
-        lists = kept.groupBy("metric_name", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "value"))), lambda x: x["value"]).alias(name))
-        return lists.withColumnRenamed("at", "timestamp")
+        # Each point's place in its slot is known, so a question names the places that it wants and meets them by an equal join.
+        key = ["metric_name", *on]
+        both = raw.select("timestamp", "value", *key, F.lit(1).alias("_raw")).unionByName(asked.select("timestamp", F.lit(None).cast("double").alias("value"), *key, F.lit(0).alias("_raw")))
+        placed = both.withColumn("_place", F.sum("_raw").over(Window.partitionBy(*key).orderBy("timestamp", "_raw")))
+        wanted = placed.where("_raw = 0 and _place > 0").select("metric_name", *on, "timestamp", F.col("_place").alias("_last"), F.explode(F.sequence(F.greatest(F.col("_place") - n + 1, F.lit(1).cast("long")), F.col("_place"))).alias("_place"))
+        met = wanted.join(placed.where("_raw = 1").select(*key, "_place", "value"), [*key, "_place"])
+        newest_first = F.array_sort(F.collect_list(F.struct((F.col("_last") - F.col("_place")).alias("age"), "value")))
+        return met.groupBy("metric_name", "timestamp").agg(F.transform(newest_first, lambda x: x["value"]).alias(name))
 
     slot = values(["weekday", "hour", "minute", "second", "isHoliday"], limit, "_slot")
     second = values(["second"], fallback, "_second")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+from collections import deque
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,23 +85,36 @@ def clip_jumps_given_history(points: DataFrame, settings: Settings = DEFAULTS) -
     return points.withColumns({"_limit": limit, "_enough": enough}).withColumns(_clipped(F.col("value"), F.col("_limit"), F.col("_enough"))).drop("_limit", "_enough")
 
 
+class Tail:
+    """The last values of a series, and the same in order."""
+
+    def __init__(self, most: int):
+        self.most, self.values, self.sizes = most, deque(), []
+
+    def add(self, value: float) -> None:
+        self.values.append(value)
+        bisect.insort(self.sizes, value)
+        if len(self.values) > self.most:
+            del self.sizes[bisect.bisect_left(self.sizes, self.values.popleft())]
+
+    def quantile(self, p: float) -> float:
+        at = p * (len(self.sizes) - 1)
+        low = int(at)
+        return self.sizes[low] + (at - low) * (self.sizes[min(low + 1, len(self.sizes) - 1)] - self.sizes[low])
+
+
 def clip_jumps(points: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Exact clipping: the limit comes from values that were clipped themselves, so a metric's points are folded in order."""
 
-    def start():
-        return []
-
-    def step(tail: list, row) -> tuple:
+    def step(tail: Tail, row) -> tuple:
         value, new = row.value, row.value
-        if len(tail) >= CLIP_LEAST:
-            limit = settings.jump_clip_multiplier * max(float(np.quantile(np.abs(tail), 0.99)), EPS)
-            new = min(max(value, 0.0), limit)
-        tail.append(new)
-        del tail[: -settings.jump_clip_history_window]
+        if len(tail.sizes) >= CLIP_LEAST:
+            new = min(max(value, 0.0), settings.jump_clip_multiplier * max(tail.quantile(0.99), EPS))
+        tail.add(abs(new))
         return (new,)
 
     keys = points.select("metric_name", "timestamp", "ingest_seq", "is_interpolated", "value")
-    folded = fold_by_key(keys, ["metric_name"], ["timestamp", "ingest_seq"], start, step, "new_value double")
+    folded = fold_by_key(keys, ["metric_name"], ["timestamp", "ingest_seq"], lambda: Tail(settings.jump_clip_history_window), step, "new_value double")
     joined = points.join(folded.select("metric_name", "timestamp", "ingest_seq", "is_interpolated", "new_value"), ["metric_name", "timestamp", "ingest_seq", "is_interpolated"])
     return joined.withColumns(_clipped(F.col("value"), F.col("new_value"), F.col("new_value") >= 0)).drop("new_value")
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import bisect
+import math
+from array import array
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import coefficient_of_variation, granularity_label, priority_score, route_seconds
+from tidewatch.operators.folds import fold_by_key
 from tidewatch.settings import DEFAULTS, EPS, PRIORITY_SCORES, Settings
 
 SECOND_LAGS, MINUTE_LAGS = (86400, 604800), (1440, 10080)
@@ -63,24 +65,27 @@ def assess(points: DataFrame, registry: DataFrame, settings: Settings = DEFAULTS
 def eligibility_times(points: DataFrame, registry: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Throttled assessments: metric_name, since, eligible. At first sight, then a day later, or a week after a success.
 
-    A forced metric is assessed once. History is what lies within eligibility_history_sec before a point.
+    A forced metric is assessed once. History is what lies within eligibility_history_sec before a point;
+    the fold keeps as much of a metric, and what came since its last assessment.
     """
 
-    def of_metric(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("timestamp")
-        ts, v, priority = rows["timestamp"].to_numpy(), rows["value"].to_numpy(), rows["priority"].iloc[0]
-        found, at = [], 0
-        while at < len(ts):
-            low = bisect.bisect_left(ts, ts[at] - settings.eligibility_history_sec)
-            ok = bool(rows["force_ai"].iloc[0]) or _score(ts[low : at + 1], v[low : at + 1], priority, settings) >= LEAST_SCORE
-            found.append((key[0], int(ts[at]), ok))
-            if rows["force_ai"].iloc[0]:
-                break
-            at = bisect.bisect_left(ts, ts[at] + (settings.eligibility_refresh_interval_sec if ok else settings.eligibility_retry_interval_sec))
-        return pd.DataFrame(found, columns=["metric_name", "since", "eligible"])
+    def start() -> dict:
+        return {"due": None, "ts": array("q"), "v": array("d")}
+
+    def step(s: dict, row) -> tuple | None:
+        now = int(row.timestamp)
+        s["ts"].append(now)
+        s["v"].append(row.value)
+        if s["due"] is not None and now < s["due"]:
+            return None
+        first = bisect.bisect_left(s["ts"], now - settings.eligibility_history_sec)
+        s["ts"], s["v"] = s["ts"][first:], s["v"][first:]
+        ok = bool(row.force_ai) or _score(np.asarray(s["ts"]), np.asarray(s["v"]), row.priority, settings) >= LEAST_SCORE
+        s["due"] = math.inf if row.force_ai else now + (settings.eligibility_refresh_interval_sec if ok else settings.eligibility_retry_interval_sec)
+        return now, ok
 
     known = points.select("metric_name", "timestamp", "value").join(registry.select("metric_name", "priority", "force_ai"), "metric_name")
-    return known.groupBy("metric_name").applyInPandas(of_metric, "metric_name string, since long, eligible boolean")
+    return fold_by_key(known, ["metric_name"], ["timestamp"], start, step, "since long, eligible boolean").select("metric_name", "since", "eligible")
 
 
 def _score(ts: np.ndarray, v: np.ndarray, priority: str, settings: Settings) -> float:

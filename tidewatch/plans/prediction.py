@@ -8,50 +8,22 @@ window expressions around the fold.
 
 from __future__ import annotations
 
-import bisect
 from collections import deque
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 from tidewatch.functions.kernels import huber_forecast, kde_bounds
+from tidewatch.operators.features import Rolling
 from tidewatch.operators.folds import fold_by_key
 from tidewatch.settings import DEFAULTS, EPS, MAX_Z_HISTORY, RECENT_LIMIT, Settings
 
-WEEK = 604800
 ADDED = (
     "predict_value double, predict_lower double, predict_upper double, model_name string, baseDayDiff double, rolling_mean_7d double, rolling_std_7d double, "
     "rolling_p70_7d double, rolling_p30_7d double, z_score double, lower_bound double, upper_bound double, segment string, direction string, global_abnormal boolean"
 )
 
 
-class Rolling:
-    """The last rows of a series within a week: mean, deviation and quantiles from an ordered list."""
-
-    def __init__(self, most: int):
-        self.most, self.rows, self.ordered = most, deque(), []
-
-    def at(self, now: int, value: float) -> tuple[float, float, float, float]:
-        while self.rows and (len(self.rows) > self.most or self.rows[0][0] < now - WEEK):
-            del self.ordered[bisect.bisect_left(self.ordered, self.rows.popleft()[1])]
-        x, n = self.ordered, len(self.ordered)
-        if not n:
-            return value, 0.0, value, value
-        whole = np.asarray(x)
-        mean, spread = float(whole.mean()), float(whole.std())
-
-        def cut(p: float) -> float:
-            low = int(p * (n - 1))
-            return x[low] + (p * (n - 1) - low) * (x[min(low + 1, n - 1)] - x[low])
-
-        return mean, spread, cut(0.7), cut(0.3)
-
-    def add(self, now: int, value: float) -> None:
-        self.rows.append((now, value))
-        bisect.insort(self.ordered, value)
-
-
 @dataclass
 class Bounds:
     z: list = field(default_factory=list)
@@ -129,7 +101,7 @@ def predict_and_judge(series: DataFrame, settings: Settings = DEFAULTS) -> DataF
         rolling, tail = s.of(row.granularity, settings)
         x, now = row.value, int(row.timestamp)
         mean, sd, p70, p30 = rolling.at(now, x)
-        off = sum(a - p for a, p, _ in tail) / len(tail) if tail else 0.0
+        off = sum([a - p for a, p, _ in tail]) / len(tail) if tail else 0.0
         bound = 0.2 * max(abs(mean), abs(x), 1e-3)
         diff = min(max(off, -bound), bound)
         if row.mode == "ai":

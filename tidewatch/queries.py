@@ -11,6 +11,7 @@ from tidewatch.operators import alerts, calendars, detect, features, history, in
 from tidewatch.operators.downsample import downsample
 from tidewatch.operators.zero_rule import zero_rule
 from tidewatch.plans.replay import replay
+from tidewatch.settings import MAX_Z_HISTORY
 from tidewatch.sources.points import demo_points, demo_registry, event_points
 
 QUERIES: dict = {}
@@ -93,7 +94,17 @@ def _(spark, d):
     return ingest.clip_jumps_given_history(jumps).select("metric_name", "timestamp", *r4("value"), "clipped")
 
 
-@query("jump_clip_exact")
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH pts", "WITH RECURSIVE pts", 1)
+
+
+@query("jump_clip_exact", _recursive(PTS) + """, s AS MATERIALIZED (SELECT metric_name, timestamp, CASE WHEN ingest_seq % 500 = 0 THEN value * 100 ELSE value END AS value, row_number() OVER (PARTITION BY metric_name ORDER BY timestamp) AS n FROM ded),
+c AS (
+  SELECT metric_name, n, timestamp, value AS raw, value, [value] AS tail FROM s WHERE n = 1
+  UNION ALL SELECT metric_name, n, timestamp, raw, x, list_append(CASE WHEN len(tail) >= 600 THEN tail[2:] ELSE tail END, x) FROM (
+    SELECT s.metric_name, s.n, s.timestamp, s.value AS raw, tail, CASE WHEN len(tail) >= 20 THEN least(greatest(s.value, 0), 10 * greatest(list_aggregate(list_transform(tail, lambda t: abs(t)), 'quantile_cont', 0.99), 1e-6)) ELSE s.value END AS x
+    FROM c JOIN s ON s.metric_name = c.metric_name AND s.n = c.n + 1))
+SELECT metric_name, timestamp, round(value, 4) AS value, abs(value - raw) > 1e-6 AS clipped FROM c""")
 def _(spark, d):
     jumps = deduped(spark, d).withColumn("value", F.when(F.col("ingest_seq") % 500 == 0, F.col("value") * 100).otherwise(F.col("value")))
     return ingest.clip_jumps(jumps).select("metric_name", "timestamp", *r4("value"), "clipped")
@@ -156,7 +167,23 @@ def _(spark, d):
     return routing.assess(deduped(spark, d), ingest.register(points(spark, d))).select("metric_name", "eligible", *r4("score"))
 
 
-@query("eligibility_throttled")
+def _lag_sql(n: int) -> str:
+    x, y = f"v[{n + 1}:]", f"v[:len(v) - {n}]"
+    spread = f"len(v) > {n} AND list_stddev_pop({x}) > 1e-6 AND list_stddev_pop({y}) > 1e-6"
+    return f"CASE WHEN {spread} THEN (list_dot_product({x}, {y}) / len({x}) - list_avg({x}) * list_avg({y})) / (list_stddev_pop({x}) * list_stddev_pop({y})) ELSE 0 END"
+
+
+@query("eligibility_throttled", _recursive(REG) + f""", known AS MATERIALIZED (SELECT metric_name, timestamp, value, reg.priority, reg.force_ai FROM ded JOIN reg USING (metric_name)),
+told AS (
+  SELECT metric_name, min(timestamp) AS since, any_value(force_ai) AS eligible, any_value(force_ai) AS forced FROM known GROUP BY metric_name
+  UNION ALL SELECT metric_name, since, CASE WHEN len(v) < 2 OR t[-1] - t[1] < 4 * 604800 THEN false ELSE
+      0.30 * CASE WHEN list_sort(list_transform(range(2, len(t) + 1), lambda i: t[i] - t[i - 1]))[(len(t) - 1) // 2 + 1] <= 1 THEN greatest({_lag_sql(86400)}, {_lag_sql(604800)}, 0) ELSE greatest({_lag_sql(1440)}, {_lag_sql(10080)}, 0) END
+      + 0.25 * least(len(list_filter(v, lambda x: x > 0)) / len(v) / 0.7, 1) + 0.20 * CASE p WHEN 'P0' THEN 1 WHEN 'P1' THEN 0.8 WHEN 'P2' THEN 0.5 WHEN 'P3' THEN 0.3 ELSE 0.5 END
+      + 0.25 * greatest(0, 1 - list_stddev_pop(v) / greatest(list_avg(list_transform(v, lambda x: abs(x))), 1e-6) / 0.8) >= 0.65 END, false
+  FROM (SELECT h.metric_name, since, list(value ORDER BY h.timestamp) AS v, list(h.timestamp ORDER BY h.timestamp) AS t, any_value(h.priority) AS p FROM (
+      SELECT told.metric_name, min(k.timestamp) AS since FROM told JOIN known k ON k.metric_name = told.metric_name AND k.timestamp >= told.since + CASE WHEN eligible THEN 604800 ELSE 86400 END WHERE NOT forced GROUP BY told.metric_name) n
+    JOIN known h ON h.metric_name = n.metric_name AND h.timestamp BETWEEN n.since - 28 * 86400 AND n.since GROUP BY h.metric_name, since))
+SELECT metric_name, since, eligible FROM told""")
 def _(spark, d):
     return routing.eligibility_times(deduped(spark, d), ingest.register(points(spark, d)))
 
@@ -221,15 +248,15 @@ def _(spark, d):
     return calendared(spark, d).select("metric_name", "timestamp", F.round(ex.feature_factor(F.col("isHoliday"), F.col("isHotSpot"), F.col("isRCA"), F.col("business_line")), 4).alias("factor"))
 
 
-ROLL = PTS + """, past AS (SELECT *, list(struct_pack(t := timestamp, v := value)) OVER (PARTITION BY metric_name ORDER BY timestamp ROWS BETWEEN 600 PRECEDING AND 1 PRECEDING) AS p FROM ded),
-ins AS (SELECT *, list_sort(list_transform(list_filter(coalesce(p, []), lambda x: x.t >= timestamp - 604800), lambda x: x.v)) AS s FROM past),
+ROLL = PTS + """, past AS (SELECT *, list(value) OVER (PARTITION BY metric_name ORDER BY timestamp RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING) AS p FROM ded),
+ins AS (SELECT *, list_sort(CASE WHEN p IS NULL THEN [] WHEN len(p) > 4000 THEN p[len(p) - 3999:] ELSE p END) AS s FROM past),
 roll AS (SELECT metric_name, timestamp, value, coalesce(list_avg(s), value) AS m, CASE WHEN len(s) > 1 THEN list_stddev_pop(s) ELSE 0 END AS sd, s FROM ins)"""
 
 
 @query("rolling_features", ROLL + """ SELECT metric_name, timestamp, round(m + 0.0000137, 4) AS rolling_mean_7d, round(sd + 0.0000137, 4) AS rolling_std_7d,
   round(coalesce(list_aggregate(s, 'quantile_cont', 0.7), m) + 0.0000137, 4) AS rolling_p70_7d, round(coalesce(list_aggregate(s, 'quantile_cont', 0.3), m) + 0.0000137, 4) AS rolling_p30_7d FROM roll""")
 def _(spark, d):
-    return features.rolling_features(deduped(spark, d), rows=600).select("metric_name", "timestamp", *s4("rolling_mean_7d", "rolling_std_7d", "rolling_p70_7d", "rolling_p30_7d"))
+    return features.rolling_features(deduped(spark, d)).select("metric_name", "timestamp", *s4("rolling_mean_7d", "rolling_std_7d", "rolling_p70_7d", "rolling_p30_7d"))
 
 
 @query("aligned_median", CAL + """ SELECT metric_name, timestamp, round(coalesce(quantile_cont(value, 0.5) OVER slot, quantile_cont(value, 0.5) OVER sec, avg(value) OVER rec, value) + 0.0000137, 4) AS base_value FROM cal
@@ -287,6 +314,20 @@ def zero_rule_anomaly(spark, d):
 
 # Detection
 
+def _huber_sql(of: str, rounds: int) -> str:
+    """Reweighted ridge lines of the lists y of CTE ``of`` (id, y), a round per recursion."""
+    sums = "a := list_sum(w) + 1e-4, b := list_dot_product(w, x), c := list_dot_product(w, x2) + 1e-4, p := list_dot_product(w, y), q := list_dot_product(w, xy)"
+    line = "struct_pack(i := (z.c * z.p - z.b * z.q) / (z.a * z.c - z.b * z.b), s := (z.a * z.q - z.b * z.p) / (z.a * z.c - z.b * z.b))"
+    off = "list_transform(range(1, len(y) + 1), lambda k: y[k] - l.i - l.s * k)"
+    return f"""hub0 AS MATERIALIZED (SELECT id, y, list_transform(range(1, len(y) + 1), lambda k: k::DOUBLE) AS x, list_transform(range(1, len(y) + 1), lambda k: (k * k)::DOUBLE) AS x2, list_transform(range(1, len(y) + 1), lambda k: k * y[k]) AS xy FROM {of}),
+hub AS (
+  SELECT id, 0 AS r, {line} AS l, false AS done FROM (SELECT *, struct_pack({sums}) AS z FROM (SELECT *, list_transform(y, lambda v: 1.0::DOUBLE) AS w FROM hub0))
+  UNION ALL SELECT id, r + 1, f, abs(f.i - l.i) <= 1e-6 + 1e-5 * abs(l.i) AND abs(f.s - l.s) <= 1e-6 + 1e-5 * abs(l.s) FROM (SELECT *, {line} AS f FROM (SELECT *, struct_pack({sums}) AS z FROM (
+    SELECT *, list_transform(o, lambda v: CASE WHEN abs(v) > lim THEN lim / abs(v) ELSE 1 END) AS w FROM (SELECT *, 1.35 * greatest(1.4826 * list_median(list_transform(o, lambda v: abs(v - m))), sd, 1e-6) AS lim FROM (
+      SELECT *, list_median(o) AS m, list_stddev_pop(o) AS sd FROM (SELECT hub.*, y, x, x2, xy, {off} AS o FROM hub JOIN hub0 USING (id) WHERE NOT done AND r < {rounds})))))),
+hubl AS (SELECT id, l.i + l.s * (len(y) + 1) AS forecast, greatest(list_stddev_pop({off}), 1e-6) AS deviation FROM (SELECT id, arg_max(l, r) AS l FROM hub GROUP BY id) JOIN hub0 USING (id))"""
+
+
 LOCAL = PTS + """, p AS (SELECT *, list(value) OVER (PARTITION BY metric_name ORDER BY timestamp ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS w, list(value) OVER (PARTITION BY metric_name ORDER BY timestamp ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS t FROM ded),
 q AS (SELECT *, list_aggregate(w, 'quantile_cont', 0.25) AS q1, list_aggregate(w, 'quantile_cont', 0.5) AS med, list_aggregate(w, 'quantile_cont', 0.75) AS q3, list_avg(w) AS m, list_stddev_pop(w) AS sd, list_avg(t) AS tm, list_stddev_pop(t) AS tsd,
   list_transform(range(1, len(t) + 1), lambda i: list_append(t, value)[i + 1] - t[i]) AS df FROM p),
@@ -302,7 +343,11 @@ def _(spark, d):
     return detect.local_detectors(deduped(spark, d)).select("metric_name", "timestamp", "boxplot", "n_sigma", "trend")
 
 
-@query("local_score")
+@query("local_score", _recursive(LOCAL) + """, reg30 AS (SELECT metric_name || timestamp AS id, metric_name, timestamp, value, list(value) OVER (PARTITION BY metric_name ORDER BY timestamp ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS y FROM ded),
+long_ AS (SELECT id, y FROM reg30 WHERE len(y) >= 8), """ + _huber_sql("long_", 50) + """,
+four AS (SELECT f.*, coalesce(abs(g.value - h.forecast) > greatest(3 * h.deviation, 0.01), false) AS robust_regression FROM flags f JOIN reg30 g USING (metric_name, timestamp) LEFT JOIN hubl h USING (id))
+SELECT metric_name, timestamp, robust_regression, (robust_regression::INT + boxplot::INT + n_sigma::INT + trend::INT) / 4 AS local_score,
+  concat_ws('+', CASE WHEN robust_regression THEN 'robust_regression' END, CASE WHEN boxplot THEN 'boxplot' END, CASE WHEN n_sigma THEN 'n_sigma' END, CASE WHEN trend THEN 'trend' END) AS labels FROM four""")
 def _(spark, d):
     return detect.local_detectors(deduped(spark, d)).select("metric_name", "timestamp", "robust_regression", "local_score", F.array_join("local_labels", "+").alias("labels"))
 
@@ -323,7 +368,7 @@ def _(spark, d):
 
 @query("segment", ROLL + """ SELECT metric_name, timestamp, CASE WHEN value >= coalesce(list_aggregate(s, 'quantile_cont', 0.7), m) THEN 'peak' WHEN value <= coalesce(list_aggregate(s, 'quantile_cont', 0.3), m) THEN 'valley' ELSE 'mid' END AS segment FROM roll""")
 def _(spark, d):
-    rolled = features.rolling_features(deduped(spark, d), rows=600)
+    rolled = features.rolling_features(deduped(spark, d))
     return rolled.select("metric_name", "timestamp", ex.segment(F.col("value"), F.col("rolling_p70_7d"), F.col("rolling_p30_7d")).alias("segment"))
 
 
@@ -367,19 +412,40 @@ def _(spark, d):
     return detect.periodic(deduped(spark, d).withColumn("flag", F.col("value") > 60)).select("metric_name", "timestamp", "is_periodic")
 
 
-@query("kde_bounds")
+KDE = ROLL + """, pr AS (SELECT metric_name, timestamp, greatest(coalesce(avg(value) OVER (PARTITION BY metric_name ORDER BY timestamp ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), value), 0) AS p FROM ded),
+sg AS (SELECT metric_name, timestamp, (value - p) / greatest(sqrt(abs(p)), 1e-6) AS z, CASE WHEN p >= coalesce(list_aggregate(s, 'quantile_cont', 0.7), m) THEN 'peak' WHEN p <= coalesce(list_aggregate(s, 'quantile_cont', 0.3), m) THEN 'valley' ELSE 'mid' END AS segment
+  FROM roll JOIN pr USING (metric_name, timestamp)),
+zs AS (SELECT metric_name, segment, z FROM sg QUALIFY row_number() OVER (PARTITION BY metric_name, segment ORDER BY timestamp DESC) <= 5000),
+st AS (SELECT metric_name, segment, count(*) AS n, quantile_cont(z, 0.025) AS ql, quantile_cont(z, 0.975) AS qh, greatest(1.06 * stddev_pop(z) * pow(count(*), -0.2), 0.1) AS h, min(z) AS lo, max(z) AS hi FROM zs GROUP BY ALL),
+gr AS (SELECT st.*, i, lo - 3 * h + i * (hi - lo + 6 * h) / 511 AS g FROM st, range(512) AS r(i) WHERE n >= 20),
+dn AS (SELECT metric_name, segment, i, g, sum(exp(-0.5 * pow((g - z) / h, 2))) AS d FROM gr JOIN zs USING (metric_name, segment) GROUP BY ALL),
+sh AS (SELECT *, sum(d) OVER (PARTITION BY metric_name, segment ORDER BY i) / greatest(sum(d) OVER (PARTITION BY metric_name, segment), 1e-6) AS share FROM dn),
+pt AS (SELECT *, lag(share) OVER w AS ps, lag(g) OVER w AS pg FROM sh WINDOW w AS (PARTITION BY metric_name, segment ORDER BY i)),
+cut AS (SELECT metric_name, segment, min(CASE WHEN share >= 0.025 THEN CASE WHEN ps IS NULL THEN g ELSE pg + (0.025 - ps) * (g - pg) / (share - ps) END END) AS kl, min(CASE WHEN share >= 0.975 THEN CASE WHEN ps IS NULL THEN g ELSE pg + (0.975 - ps) * (g - pg) / (share - ps) END END) AS kh FROM pt GROUP BY ALL)"""
+
+
+@query("kde_bounds", KDE + " SELECT metric_name, segment, round(CASE WHEN n < 20 THEN ql ELSE kl END, 4) AS lower, round(CASE WHEN n < 20 THEN qh ELSE kh END, 4) AS upper FROM st LEFT JOIN cut USING (metric_name, segment)")
 def _(spark, d):
-    last = features.recent(scored(spark, d), 2000, ("metric_name",))
-    return last.groupBy("metric_name").agg(F.array_sort(F.collect_list("z_score")).alias("z")).select("metric_name", kde_of("z").alias("k")).select("metric_name", F.round("k.lower", 4).alias("lower"), F.round("k.upper", 4).alias("upper"))
+    rolled = features.rolling_features(scored(spark, d))
+    segmented = rolled.withColumn("segment", ex.segment(F.col("predict_value"), F.col("rolling_p70_7d"), F.col("rolling_p30_7d")))
+    last = features.recent(segmented, MAX_Z_HISTORY, ("metric_name", "segment"))
+    found = last.groupBy("metric_name", "segment").agg(F.array_sort(F.collect_list("z_score")).alias("z")).select("metric_name", "segment", kde_of("z").alias("k"))
+    return found.select("metric_name", "segment", F.round("k.lower", 4).alias("lower"), F.round("k.upper", 4).alias("upper"))
 
 
-@query("huber_forecast")
+@query("huber_forecast", _recursive(PTS) + """, past AS (SELECT metric_name || timestamp AS id, metric_name, timestamp, list(value) OVER (PARTITION BY metric_name ORDER BY timestamp ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS y FROM ded),
+long_ AS (SELECT id, y FROM past WHERE len(y) >= 5), """ + _huber_sql("long_", 50) + " SELECT metric_name, timestamp, round(forecast, 4) AS forecast, round(deviation, 4) AS deviation FROM past JOIN hubl USING (id)")
 def _(spark, d):
     past = deduped(spark, d).withColumn("past", F.collect_list("value").over(ex.last_rows(60, "metric_name"))).where(F.size("past") >= 5)
     return past.select("metric_name", "timestamp", huber_of("past").alias("f")).select("metric_name", "timestamp", F.round("f.forecast", 4).alias("forecast"), F.round("f.deviation", 4).alias("deviation"))
 
 
-@query("mann_kendall_p")
+#: p is one minus the normal density's integral from -z to z, by Simpson's rule.
+@query("mann_kendall_p", PTS + """, past AS (SELECT metric_name, timestamp, list(value) OVER (PARTITION BY metric_name ORDER BY timestamp ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS x FROM ded),
+k AS (SELECT *, len(x) AS n, list_sum(list_transform(range(1, len(x)), lambda i: list_sum(list_transform(range(i + 1, len(x) + 1), lambda j: sign(x[j] - x[i]))))) AS s FROM past WHERE len(x) >= 5),
+z AS (SELECT *, abs(s - sign(s)) / sqrt(n * (n - 1) * (2 * n + 5) / 18) AS z FROM k),
+p AS (SELECT z, 1 - 2 / sqrt(2 * pi()) * z / 600 * list_sum(list_transform(range(0, 201), lambda i: CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * pow(z * i / 200, 2)))) AS p FROM (SELECT DISTINCT z FROM z))
+SELECT metric_name, timestamp, round(p, 6) AS p FROM z JOIN p USING (z)""")
 def _(spark, d):
     past = deduped(spark, d).withColumn("past", F.collect_list("value").over(ex.last_rows(15, "metric_name"))).where(F.size("past") >= 5)
     return past.select("metric_name", "timestamp", F.round(mann_kendall_p("past"), 6).alias("p"))
@@ -403,15 +469,27 @@ def _(spark, d):
     return levelled(spark, d).select("metric_name", "timestamp", "level")
 
 
-@query("alert_message", LEVEL + """ SELECT metric_name, timestamp, printf('%s %s abnormal: current=%.4f, predict=%.4f, duration=%s', business_line, metric_name, value, 1.0::DOUBLE,
+@query("alert_message", LEVEL + """ SELECT metric_name, timestamp, printf('%s %s abnormal: current=%.4f, predict=%.4f, z=%.3f, confidence=%.3f, duration=%s', business_line, metric_name, value, predict_value, z, conf,
   CASE WHEN timestamp % 500 < 60 THEN (timestamp % 500)::VARCHAR || 's' ELSE (timestamp % 500 // 60)::VARCHAR || 'm' || (timestamp % 500 % 60)::VARCHAR || 's' END) AS message FROM al WHERE level IS NOT NULL""")
 def _(spark, d):
     rows = levelled(spark, d).where("level is not null")
-    text = ex.alert_message(F.col("business_line"), F.col("metric_name"), F.col("value"), F.lit(1.0), F.lit(0.0), F.lit(0.0), F.col("timestamp") % 500)
-    return rows.select("metric_name", "timestamp", F.regexp_replace(text, r"z=[^,]*, confidence=[^,]*, ", "").alias("message"))
+    text = ex.alert_message(F.col("business_line"), F.col("metric_name"), F.col("value"), F.col("predict_value"), F.col("z_score"), F.col("confidence_score"), F.col("timestamp") % 500)
+    return rows.select("metric_name", "timestamp", text.alias("message"))
+
+
+FSM = _recursive(LEVEL) + """, lv1 AS MATERIALIZED (SELECT metric_name, timestamp, level, core, row_number() OVER (PARTITION BY metric_name ORDER BY timestamp) AS n FROM al),
+inc AS (
+  SELECT metric_name, 0::BIGINT AS n, 0::BIGINT AS timestamp, NULL::BIGINT AS opened, 'P3' AS lvl, 0 AS normal, NULL::BIGINT AS emitted, NULL::VARCHAR AS status, NULL::VARCHAR AS alert_level, NULL::BIGINT AS duration_sec FROM (SELECT DISTINCT metric_name FROM lv1)
+  UNION ALL SELECT metric_name, n, timestamp, CASE WHEN back THEN NULL ELSE o END, CASE WHEN back THEN 'P3' ELSE l END, CASE WHEN back THEN 0 ELSE nn END, CASE WHEN back THEN NULL WHEN told THEN timestamp ELSE emitted END,
+    CASE WHEN back THEN 'recovered' WHEN told AND up THEN 'escalated' WHEN told THEN 'firing' END, CASE WHEN back OR told THEN l END, CASE WHEN back OR told THEN greatest(timestamp - o, 0) END
+  FROM (SELECT *, level IS NULL AND nn >= 3 AS back, level IS NOT NULL AND (up OR emitted IS NULL OR timestamp - emitted >= 300) AS told FROM (
+    SELECT lv1.metric_name, lv1.n, lv1.timestamp, lv1.level, inc.emitted, CASE WHEN level IS NOT NULL THEN 0 WHEN opened IS NULL THEN normal ELSE normal + 1 END AS nn, CASE WHEN level IS NOT NULL THEN coalesce(opened, lv1.timestamp) ELSE opened END AS o,
+      coalesce(opened IS NOT NULL AND level IS NOT NULL AND (level < lvl OR (lvl = 'P1' AND core AND lv1.timestamp - opened >= 600)), false) AS up,
+      CASE WHEN level IS NULL THEN lvl WHEN opened IS NULL THEN level WHEN level < lvl THEN level WHEN lvl = 'P1' AND core AND lv1.timestamp - opened >= 600 THEN 'P0' ELSE lvl END AS l
+    FROM inc JOIN lv1 ON lv1.metric_name = inc.metric_name AND lv1.n = inc.n + 1)))"""
 
 
-@query("incident_fsm")
+@query("incident_fsm", FSM + " SELECT metric_name, timestamp, status, alert_level, duration_sec FROM inc WHERE status IS NOT NULL")
 def _(spark, d):
     told = alerts.incidents(levelled(spark, d))
     return told.select("metric_name", "timestamp", "status", "alert_level", "duration_sec")
@@ -445,15 +523,11 @@ def _(spark, d):
     return history.latest(points(spark, d), ("metric_name", "timestamp")).select("metric_name", "timestamp", "value")
 
 
-@query("aligned_history", CAL + """, ask AS (SELECT * FROM cal WHERE timestamp >= 1706000000),
-slot AS (SELECT ask.metric_name, ask.timestamp, cal.value, cal.timestamp AS t FROM ask JOIN cal ON ask.metric_name = cal.metric_name AND ask.weekday = cal.weekday AND ask.hour = cal.hour AND ask.minute = cal.minute AND ask.second = cal.second AND ask."isHoliday" = cal."isHoliday" AND cal.timestamp < ask.timestamp),
-sec AS (SELECT ask.metric_name, ask.timestamp, cal.value, cal.timestamp AS t FROM ask JOIN cal ON ask.metric_name = cal.metric_name AND ask.second = cal.second AND cal.timestamp < ask.timestamp QUALIFY row_number() OVER (PARTITION BY ask.metric_name, ask.timestamp ORDER BY cal.timestamp DESC) <= 60),
-a AS (SELECT metric_name, timestamp, count(*) AS n, sum(value) AS s FROM slot GROUP BY ALL), b AS (SELECT metric_name, timestamp, count(*) AS n, sum(value) AS s FROM sec GROUP BY ALL)
-SELECT metric_name, timestamp, coalesce(a.n, b.n, 0) AS n, round(coalesce(a.s, b.s, 0), 4) AS total FROM ask LEFT JOIN a USING (metric_name, timestamp) LEFT JOIN b USING (metric_name, timestamp)""")
+@query("aligned_history", CAL + """ SELECT metric_name, timestamp, CASE WHEN count(value) OVER slot > 0 THEN count(value) OVER slot ELSE count(value) OVER sec END AS n, round(coalesce(sum(value) OVER slot, sum(value) OVER sec, 0), 4) AS total FROM cal
+WINDOW slot AS (PARTITION BY metric_name, weekday, hour, minute, second, "isHoliday" ORDER BY timestamp ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), sec AS (PARTITION BY metric_name, second ORDER BY timestamp ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)""")
 def _(spark, d):
     cal = calendared(spark, d).select("metric_name", "timestamp", "value", "weekday", "hour", "minute", "second", "isHoliday")
-    asked = cal.where("timestamp >= 1706000000").drop("value")
-    got = history.aligned_history(cal, asked)
+    got = history.aligned_history(cal, cal.drop("value"))
     return got.select("metric_name", "timestamp", F.size("aligned_values").cast("long").alias("n"), F.round(F.aggregate("aligned_values", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
