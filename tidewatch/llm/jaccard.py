@@ -8,17 +8,19 @@ therefore meet in signatures (size band, part, hash of the part's shingles), whi
 and which common words or passages don't make meet. Sizes are in bands of a factor of two; two
 sizes on either side of a band's edge meet in signatures of the edge, which only sizes near it have.
 
-Nodes that share a signature are put into groups around its smallest node. Each group stores its
-nodes' shingles and their union; a node that shares a signature with a group that isn't its own
-queries it, and the group is opened only if the query's overlap with the union can reach the
-threshold for the group's smallest node. Two nodes over the threshold share ``need`` signatures at
-least, so a node asks by all but its need - 1 signatures of the most groups, which keeps the
-signatures that many groups share from being asked without losing a pair. In an opened group
-shingles are counted exactly: one central node against all, then every node that isn't connected
-with it, against all. What is left out are pairs within one component, whose links change no
-component. Groups are cut into chunks of ``chunk`` nodes or CHUNK_BYTES, each with the group's centre,
-and their queries into slices of the same bounds; nodes that aren't connected with the centre
-then query the other chunks. Components come from label propagation over the links.
+Nodes that share a signature are put into groups around its smallest node; a node that shares a
+signature with a group that isn't its own queries it. Two nodes over the threshold share ``need``
+signatures at least, so a node asks by all but its need - 1 signatures of the most groups, which
+keeps signatures that many groups share from being asked without losing a pair. Groups meet twice:
+first with rows of the token matrix, a few bits for each shingle, which leave the nodes that may
+have a partner; then with these nodes' shingles. There each group has the union of its shingles,
+and is opened to a query only if the overlap with the union can reach the threshold for the
+group's smallest node. In an opened group shingles are counted exactly: one central node against
+all, then every node that isn't connected with it, against all. What is left out are pairs within
+one component, whose links change no component. Groups are cut into chunks of ``chunk`` nodes (rows
+of the matrix: eight times as many) or CHUNK_BYTES, each with the group's centre, and their queries
+into slices of the same bounds; nodes that aren't connected with the centre then query the other
+chunks. Components come from label propagation over the links.
 
 Shingles count as equal if their 64-bit hashes are; sets if their sizes and 64-bit sums are.
 
@@ -29,7 +31,7 @@ null component; an empty table gives an empty result; extra columns don't matter
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -163,26 +165,119 @@ def _signatures(shingle: int, percent: int):
     return run
 
 
-NODES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary()), ("need", pa.int32())])
+NODES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("need", pa.int32()), ("bits", pa.binary())])
+
+
+def parities(doc: np.ndarray, hashed: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """A row of the token matrix for each text: shingles folded into a power of two of bits, two for each shingle at least, a bit for an odd number."""
+    width = 1 << np.ceil(np.log2(2 * np.maximum(size, 32))).astype(np.int64)
+    start = np.r_[0, np.cumsum(width)]
+    odd = np.bincount(start[doc] + (hashed % width[doc].astype(np.uint64)).astype(np.int64), minlength=start[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return [packed[x // 8 : y // 8].tobytes() for x, y in zip(start[:-1], start[1:], strict=True)]
 
 
 def _nodes(wanted: np.ndarray, shingle: int, percent: int):
-    """Each text's node; the shingles of nodes that may have a partner go with the first of a task."""
+    """Each text's node; rows of the token matrix, for nodes that may have a partner, go with the first of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             doc, hashed = shingle_sets(batch.column("text").to_pylist(), shingle)
             size, node = node_ids(doc, hashed, batch.num_rows)
-            ends = np.cumsum(size)
             wants = (size > 0) & in_table(wanted, node) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            need = least_shared(doc, hashed, np.where(wants, size, 0), percent)
-            raw: list[bytes | None] = [None] * batch.num_rows
             for i in np.flatnonzero(wants):
+                wants[i] = int(node[i]) not in seen
+                seen.add(int(node[i]))
+            need = least_shared(doc, hashed, np.where(wants, size, 0), percent)
+            number = np.cumsum(wants) - 1
+            own = wants[doc]
+            rows = parities(number[doc[own]], hashed[own], size[wants]) if wants.any() else []
+            bits = [rows[number[i]] if wants[i] else None for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64(), mask=size == 0), pa.array(np.minimum(need, 1 << 20), pa.int32()), pa.array(bits, pa.binary())], schema=NODES)
+
+    return run
+
+
+def _sets(wanted: np.ndarray, shingle: int):
+    """Shingles of the nodes that may be in a table, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            doc, hashed = shingle_sets(batch.column("text").to_pylist(), shingle)
+            size, node = node_ids(doc, hashed, batch.num_rows)
+            ends = np.cumsum(size)
+            nodes, raw = [], []
+            for i in np.flatnonzero((size > 0) & in_table(wanted, node)):
                 if int(node[i]) not in seen:
                     seen.add(int(node[i]))
-                    raw[i] = hashed[ends[i] - size[i] : ends[i]].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64(), mask=size == 0), pa.array(raw, pa.binary()), pa.array(np.minimum(need, 1 << 20), pa.int32())], schema=NODES)
+                    nodes.append(int(node[i]))
+                    raw.append(hashed[ends[i] - size[i] : ends[i]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raw, pa.binary())], ["node", "shingles"])
+
+    return run
+
+
+def partnered(size: np.ndarray, bits: list[bytes], percent: int = PERCENT, first: int = 0) -> np.ndarray:
+    """Whether a set may be over the threshold with another one; number ``first`` meets the others before they meet each other.
+
+    Each bit in which two rows of the token matrix differ stands for a shingle that only one set has,
+    so no pair over the threshold is lost. Wider rows are folded to meet narrower ones.
+    """
+    found = np.zeros(len(size), bool)
+    wide = np.array([len(b) for b in bits])
+    for w in np.unique(wide):
+        own = np.flatnonzero((wide == w) | (wide == 2 * w))
+        matrix = np.zeros((len(own), w // 8), np.uint64)
+        for n, i in enumerate(own):
+            row = np.frombuffer(bits[i], np.uint64)
+            matrix[n] = row if wide[i] == w else row[: w // 8] ^ row[w // 8 :]
+        for n in sorted(range(len(own)), key=lambda n: (own[n] != first, own[n])):
+            if found[own[n]] or wide[own[n]] != w:
+                continue
+            off = np.bitwise_count(matrix ^ matrix[n]).sum(axis=1)
+            near = off <= _differ(size[own], size[own[n]], percent)
+            near[n] = False
+            found[own[near]] = True
+            found[own[n]] = near.any()
+    # A wide set without a partner of its width may have narrower ones.
+    for i in np.flatnonzero(~found):
+        narrow = np.flatnonzero(2 * wide == wide[i])
+        if len(narrow):
+            row = np.frombuffer(bits[i], np.uint64)
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+            off = np.bitwise_count(np.stack([np.frombuffer(bits[n], np.uint64) for n in narrow]) ^ row).sum(axis=1)
+            found[i] = (off <= _differ(size[narrow], size[i], percent)).any()
+    return found
+
+
+def _each(key: Sequence[str], chunks: pd.DataFrame, queries: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of each chunk of a bin, and of its queries."""
+    of: dict[tuple, tuple[list[int], list[int]]] = {}
+    for n, k in enumerate(zip(*(chunks[c] for c in key), strict=True)):
+        of.setdefault(k, ([], []))[0].append(n)
+    for n, k in enumerate(zip(*(queries[f"q_{c}"] for c in key), strict=True)):
+        if k in of:
+            of[k][1].append(n)
+    for mine, asks in of.values():
+        yield np.array(mine), np.array(asks, np.int64)
+
+
+def _sift(percent: int):
+    """Nodes of chunks and of their queries that may have a partner in the chunk."""
+
+    def run(chunks: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        size = np.r_[chunks["size"].to_numpy(np.int64), queries["q_size"].to_numpy(np.int64)]
+        node = np.r_[chunks["node"].to_numpy(np.int64), queries["q_node"].to_numpy(np.int64)]
+        bits, found = [*chunks["bits"], *queries["q_bits"]], [np.empty(0, np.int64)]
+        for mine, asks in _each(GROUP, chunks, queries):
+            at = np.r_[mine, asks + len(chunks)]
+            _, first = np.unique(node[at], return_index=True)
+            at = at[first]
+            if len(at) > 1:
+                found.append(node[at[partnered(size[at], [bits[i] for i in at], percent)]])
+        return pd.DataFrame({"node": np.unique(np.concatenate(found))})
 
     return run
 
@@ -223,78 +318,102 @@ def links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int
     return out
 
 
+def _opened(nodes: np.ndarray, sets: list[np.ndarray], ask: np.ndarray, asking: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of a chunk's nodes and of the queries that its union lets in."""
+    union, least = np.unique(np.concatenate(sets)), min(map(len, sets))
+    known, nodes, sets = set(nodes.tolist()), nodes.tolist(), list(sets)
+    for node, s in zip(ask.tolist(), asking, strict=True):
+        at = np.minimum(np.searchsorted(union, s), len(union) - 1)
+        overlap = int((union[at] == s).sum())
+        if node not in known and (100 + percent) * overlap >= percent * (len(s) + max(least, len(s) * percent // 100)):
+            known.add(node)
+            nodes.append(node)
+            sets.append(s)
+    return [(nodes[a], nodes[b]) for a, b in links(sets, percent)] if len(nodes) > 1 else []
+
+
 def _open(percent: int):
-    """Links of a chunk's nodes and of the queries that the union lets in."""
-
-    def run(chunk: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        if not len(chunk):
-            return none
-        nodes = chunk["node"].to_numpy()
-        sets = [np.frombuffer(s, np.uint64) for s in chunk["shingles"]]
-        union, least = np.unique(np.concatenate(sets)), min(map(len, sets))
-        known = set(nodes.tolist())
-        let_in = []
-        for node, raw in zip(queries["q_node"], queries["q_shingles"], strict=True):
-            s = np.frombuffer(raw, np.uint64)
-            at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-            overlap = int((union[at] == s).sum())
-            if node not in known and (100 + percent) * overlap >= percent * (len(s) + max(least, len(s) * percent // 100)):
-                known.add(node)
-                let_in.append(node)
-                sets.append(s)
-        nodes = np.r_[nodes, np.array(let_in, np.int64)]
-        if len(nodes) < 2:
-            return none
-        found = links(sets, percent)
-        return pd.DataFrame({"a": nodes[[x for x, _ in found]], "b": nodes[[y for _, y in found]]}) if found else none
+    def run(chunks: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        own, asked = chunks["node"].to_numpy(np.int64), queries["q_node"].to_numpy(np.int64)
+        sets, asking = ([np.frombuffer(x, np.uint64) for x in c] for c in (chunks["shingles"], queries["q_shingles"]))
+        found = []
+        for mine, asks in _each(GROUP, chunks, queries):
+            found += _opened(own[mine], [sets[i] for i in mine], asked[asks], [asking[i] for i in asks], percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+GROUP = ("grp", "chunk", "slice")
+
+
+def _met(what: str, members: DataFrame, asking: DataFrame, facts: DataFrame, rows: int):
+    """(chunks with their nodes cogrouped with slices of the nodes that ask them, groups of several chunks).
+
+    members: (node, grp); asking: (node, grp) is sent to all chunks of the group; facts: node and the columns that both sides carry,
+    of which ``what`` is bytes. Every chunk also has the group's centre, its least node, and is there once for each slice. A bin holds
+    chunks of about CHUNK_BYTES, since most groups are small.
+    """
+    size = facts.agg(F.sum(F.length(what)).alias("n")).first()["n"] or 0
+    bins = max(12, -(-4 * size // CHUNK_BYTES))
+    bound = F.ceil(F.greatest(F.count("*") / rows, F.sum(F.length(what)) / CHUNK_BYTES)).cast("int")
+    of_group = members.join(facts, "node")
+    sizes = of_group.groupBy("grp").agg(bound.alias("chunks"), F.min("node").alias("centre"))
+    queries = asking.join(facts, "node")
+    slices = queries.groupBy("grp").agg(bound.alias("slices"))
+    cut = sizes.join(slices, "grp", "left").select("grp", "chunks", "centre", F.coalesce("slices", F.lit(1)).alias("slices"))
+    count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    in_bin = lambda *of: F.pmod(F.xxhash64(*of), F.lit(bins)).cast("int")
+    carried = [c for c in facts.columns if c != "node"]
+    dealt = members.join(cut, "grp").select("grp", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), "node", "slices")
+    centres = cut.select("grp", count("chunks").alias("chunk"), F.col("centre").alias("node"), "slices")
+    inside = dealt.union(centres).distinct().select("grp", "chunk", count("slices").alias("slice"), "node").join(facts, "node").withColumn("bin", in_bin(*GROUP))
+    own_slice = queries.join(cut.drop("centre"), "grp").withColumn("q_slice", F.pmod(F.xxhash64("node", F.lit(1)), "slices").cast("int"))
+    outside = own_slice.select(F.col("grp").alias("q_grp"), count("chunks").alias("q_chunk"), "q_slice", F.col("node").alias("q_node"), *(F.col(c).alias(f"q_{c}") for c in carried))
+    outside = outside.withColumn("q_bin", in_bin(*(f"q_{c}" for c in GROUP)))
+    return inside.groupBy("bin").cogroup(outside.groupBy("q_bin")), sizes.where("chunks > 1").select("grp", "centre")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id for each row; percent is 50 or more."""
     ensure_checkpoint_dir(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    signs = texts.select("text").where("doc_id is not null").mapInArrow(_signatures(shingle, percent), "sign long, node long").repartition("sign")
+    with_id = texts.where("doc_id is not null").select("text")
+    signs = with_id.mapInArrow(_signatures(shingle, percent), "sign long, node long").repartition("sign")
     shared = signs.groupBy("sign").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("sign", "pivot")
     met = signs.join(shared, "sign").checkpoint()
 
-    every = texts.mapInArrow(_nodes(table_of(met, "node"), shingle, percent), "doc_id long, n_shingles long, node long, shingles binary, need int").checkpoint()
+    every = texts.mapInArrow(_nodes(table_of(met, "node"), shingle, percent), "doc_id long, n_shingles long, node long, need int, bits binary").checkpoint()
     all_nodes = every.select("doc_id", "n_shingles", "node")
-    own = met.groupBy("node").agg(F.min("pivot").alias("grp"))
-    sets = every.where("shingles is not null").select("node", "shingles", "need").dropDuplicates(["node"]).join(own.withColumnRenamed("grp", "own"), "node").checkpoint()
-    bound = lambda: F.ceil(F.greatest(F.count("*") / chunk, F.sum(F.length("shingles")) / CHUNK_BYTES)).cast("int")
-    sizes = sets.groupBy(F.col("own").alias("grp")).agg(bound().alias("chunks"))
-    member = sets.select("node", F.col("own").alias("grp")).join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")).checkpoint()
+    own = met.groupBy("node").agg(F.min("pivot").alias("grp")).checkpoint()
+    rows = every.where("bits is not null").select("node", F.col("n_shingles").alias("size"), "bits", "need").dropDuplicates(["node"])
 
     # Of a sign's groups only its nodes' own ones count; signs of one group need no question.
-    groups_of_sign = met.select("sign", "node").join(own, "node").select("sign", "grp").distinct()
+    groups_of_sign = met.select("sign", "node").join(own, "node").select("sign", "grp").distinct().checkpoint()
     many = groups_of_sign.groupBy("sign").agg(F.count("*").alias("groups")).where("groups > 1")
     hottest = Window.partitionBy("node").orderBy(F.desc("groups"), "sign")
-    asked = met.select("sign", "node").join(many, "sign").withColumn("n", F.row_number().over(hottest)).join(sets.select("node", "need", "own"), "node").where("n >= need").select("sign", "node", "own")
-    asks = asked.join(groups_of_sign, "sign").where("grp <> own").select("node", "grp").distinct().checkpoint()
-
-    def opened(asking: DataFrame) -> DataFrame:
-        """asking: (node, grp) is sent to all chunks of the group. Every chunk also has the group's centre, and is there once for each slice of the group's queries."""
-        queries = asking.join(sets.select("node", "shingles"), "node")
-        slices = queries.groupBy("grp").agg(bound().alias("slices"))
-        cut = sizes.join(slices, "grp", "left").select("grp", "chunks", F.coalesce("slices", F.lit(1)).alias("slices"))
-        count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        centres = cut.select("grp", count("chunks").alias("chunk"), F.col("grp").alias("node"), "slices")
-        members = member.join(cut.select("grp", "slices"), "grp").select("grp", "chunk", "node", "slices").unionByName(centres).distinct()
-        inside = members.select("grp", "chunk", count("slices").alias("slice"), "node").join(sets.select("node", "shingles"), "node")
-        outside = queries.join(cut, "grp").withColumn("q_slice", F.pmod(F.xxhash64("node", F.lit(1)), "slices").cast("int")).select(F.col("grp").alias("q_grp"), count("chunks").alias("q_chunk"), "q_slice", F.col("node").alias("q_node"), F.col("shingles").alias("q_shingles"))
-        return inside.groupBy("grp", "chunk", "slice").cogroup(outside.groupBy("q_grp", "q_chunk", "q_slice")).applyInPandas(_open(percent), "a long, b long")
-
-    edges = opened(asks).checkpoint()
+    asked = met.select("sign", "node").join(many, "sign").withColumn("n", F.row_number().over(hottest)).join(rows.select("node", "need"), "node").where("n >= need").select("sign", "node")
+    asks = asked.join(groups_of_sign, "sign").select("node", "grp").distinct().join(own.toDF("node", "own"), "node").where("grp <> own").select("node", "grp").checkpoint()
+
+    # The matrix' rows leave the nodes that may have a partner; of large groups those that aren't near the centre meet all chunks.
+    facts = rows.select("node", "size", "bits").checkpoint()
+    groups, large = _met("bits", own, asks, facts, 8 * chunk)
+    likely = groups.applyInPandas(_sift(percent), "node long").distinct().checkpoint()
+    if large.limit(1).count():
+        apart = own.join(large, "grp").join(likely, "node", "left_anti").select("node", "grp")
+        likely = likely.union(_met("bits", own, apart, facts, 8 * chunk)[0].applyInPandas(_sift(percent), "node long")).distinct().checkpoint()
+
+    # Their shingles are counted.
+    sets = with_id.mapInArrow(_sets(table_of(likely, "node"), shingle), "node long, shingles binary").dropDuplicates(["node"]).join(likely, "node").checkpoint()
+    member = own.join(sets.select("node"), "node").select("node", "grp").checkpoint()
+    groups, large = _met("shingles", member, asks.join(sets.select("node"), "node"), sets, chunk)
+    edges = groups.applyInPandas(_open(percent), "a long, b long").checkpoint()
     parts = connected_components(edges)
-    if sizes.where("chunks > 1").limit(1).count():
-        label = member.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # The centre may be a member of another group, so it is looked up by itself.
-        centre = sizes.where("chunks > 1").join(parts.toDF("grp", "main"), "grp", "left").select("grp", F.coalesce("main", "grp").alias("main"))
-        apart = label.where("chunks > 1").join(centre, "grp").where("component <> main").select("node", "grp")
-        parts = connected_components(edges.union(opened(apart)).checkpoint())
+    if large.limit(1).count():
+        centre = large.join(parts.toDF("centre", "main"), "centre", "left").select("grp", F.coalesce("main", "centre").alias("main"))
+        label = member.join(parts, "node", "left").join(centre, "grp").where(F.coalesce("component", "node") != F.col("main"))
+        more, _ = _met("shingles", member, label.select("node", "grp"), sets, chunk)
+        parts = connected_components(edges.union(more.applyInPandas(_open(percent), "a long, b long")).checkpoint())
 
     named = all_nodes.groupBy("node").agg(F.min("doc_id").alias("least")).where("node is not null and least is not null")
     whole = named.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -318,3 +437,19 @@ def keep_first(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"), 90, shingle=3)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT r, doc_id, array_to_string(w[i:i + 2], ' ') AS shingle FROM w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT r, doc_id, count(*) AS n FROM s GROUP BY ALL),
+pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS common_ FROM s a JOIN s b ON a.shingle = b.shingle AND a.r < b.r GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM pairs JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common_ >= 90 * (x.n + y.n - common_) AND x.doc_id <> y.doc_id),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, b AS other FROM both_ways UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON a = other),
+least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(other, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (r) LEFT JOIN least ON least.doc_id = w.doc_id
+"""
