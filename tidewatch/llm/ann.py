@@ -25,59 +25,62 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.session import table
 
-TABLES, PROBES, K = 16, 8, 10
+TABLES, PROBES, K = 8, 16, 10
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of each row."""
-    n, d = x.shape
+    """Fast Walsh-Hadamard transform of each column."""
+    d, n = x.shape
     half = 1
     while half < d:
-        x = x.reshape(n, d // (2 * half), 2, half)
-        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2).reshape(n, d)
+        x = x.reshape(d // (2 * half), 2, half, n)
+        x = np.stack([x[:, 0] + x[:, 1], x[:, 0] - x[:, 1]], axis=1).reshape(d, n)
         half *= 2
-    return x / np.sqrt(d)
+    return x
 
 
 def signed_axes(x: np.ndarray, at: int, first: int, seed: int) -> np.ndarray:
     """For each row the numbers of its ``first`` nearest signed axes after rotation number ``at``, nearest first."""
     d = x.shape[1]
     wide = 1 << max(0, d - 1).bit_length()
-    y = np.zeros((len(x), wide))
-    y[:, :d] = x
-    signs = np.random.default_rng([seed, at, wide]).choice([-1.0, 1.0], (3, wide))
+    y = np.zeros((wide, len(x)), np.float32)
+    y[:d] = x.T
+    signs = np.random.default_rng([seed, at, wide]).choice(np.array([-1, 1], np.float32), (3, wide))
     for s in signs:
-        y = _hadamard(y * s)
+        y = _hadamard(y * s[:, None])
     # An axis of negative value is nearest at its negative end; both ends of it are never among the first.
-    order = np.argsort(-np.abs(y), axis=1, kind="stable")[:, : min(first, wide)]
-    return 2 * order + (np.take_along_axis(y, order, 1) > 0)
+    far = np.abs(y)
+    order = far.argmax(axis=0)[None] if first == 1 else np.argsort(-far, axis=0, kind="stable")[: min(first, wide)]
+    return (2 * order + (np.take_along_axis(y, order, 0) > 0)).T
 
 
 def _buckets(first: int, tables: int, axes: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            vectors = [np.asarray(v, np.float64) for v in batch.column("embedding").to_pylist()]
-            dims = np.array([len(v) for v in vectors])
+            lists = batch.column("embedding")
+            ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+            flat, dims = lists.flatten().to_numpy(), np.diff(ends)
             for d in np.unique(dims):
                 own = np.flatnonzero(dims == d)
-                x = np.stack([vectors[i] for i in own])
-                raw = [v.tobytes() for v in x]
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                x = flat[ends[own][:, None] + np.arange(d)]
+                raw = pa.array([v.tobytes() for v in x], pa.binary())
+                unit = x.astype(np.float64)
+                unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
                 for t in range(tables):
                     near = [signed_axes(unit, t * axes + a, first, seed) for a in range(axes)]
                     for picks in itertools.product(*(range(n.shape[1]) for n in near)):
                         code = np.zeros(len(own), np.int64)
                         for n, p in zip(near, picks, strict=True):
                             code = code * 4 * d + n[:, p]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(own), d, np.int32)), pa.array(np.full(len(own), t, np.int32)), pa.array(code), pa.array(ids[own]), pa.array(raw, pa.binary())], ["dim", "tab", "code", "vec_id", "vector"]
-                        )
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), d, np.int32)), pa.array(np.full(len(own), t, np.int32)), pa.array(code), pa.array(ids[own]), raw], ["dim", "tab", "code", "vec_id", "vector"])
 
     return run
 
@@ -86,20 +89,36 @@ BUCKET = ["dim", "tab", "code"]
 SCHEMA = "dim int, tab int, code long, vec_id long, vector binary"
 
 
-def _nearest(k: int):
+def _nearest(k: int, kind: str):
+    """Each query's k nearest of a bucket: all distances by one product, then the exact ones of whatever rounding leaves in question."""
+    none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+
     def run(index: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(probes):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        x = np.stack([np.frombuffer(v, np.float64) for v in index["vector"]])
-        ids, out = index["vec_id"].to_numpy(), []
-        for query, raw in zip(probes["vec_id"].to_numpy(), probes["vector"], strict=True):
-            score = np.sqrt(((x - np.frombuffer(raw, np.float64)) ** 2).sum(axis=1))
-            order = np.lexsort((ids, score))
-            order = order[ids[order] != query]
-            _, first = np.unique(ids[order], return_index=True)  # a repeated id counts once
-            best = order[np.sort(first)][:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": score[best]}))
-        return pd.concat(out)
+            return none
+        unpack = lambda rows: np.frombuffer(b"".join(rows["vector"]), kind).reshape(len(rows), -1).astype(np.float64)
+        x, y = unpack(index), unpack(probes)
+        ids, queries = index["vec_id"].to_numpy(), probes["vec_id"].to_numpy()
+        x2, out, repeated = (x * x).sum(axis=1), [[], [], []], len(np.unique(ids)) < len(ids)
+        for begin in range(0, len(y), 256):
+            part = y[begin : begin + 256]
+            y2 = (part * part).sum(axis=1)
+            near = x2[None] - 2 * (part @ x.T) + y2[:, None]
+            near[queries[begin : begin + 256, None] == ids[None]] = np.inf
+            kth = np.partition(near, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+            for n, query in enumerate(queries[begin : begin + 256]):
+                slack = 1e-9 * (x2.max() + y2[n])
+                some = np.flatnonzero(near[n] <= (np.finfo(float).max if repeated else kth[n] + slack))
+                some = some[np.isfinite(near[n][some])]
+                score = np.sqrt(((x[some] - part[n]) ** 2).sum(axis=1))
+                order = np.lexsort((ids[some], score))
+                if repeated:  # a repeated id counts once
+                    order = order[np.sort(np.unique(ids[some][order], return_index=True)[1])]
+                order = order[:k]
+                out[0].append(np.full(len(order), query))
+                out[1].append(ids[some][order])
+                out[2].append(score[order])
+        return pd.DataFrame(dict(zip(none.columns, map(np.concatenate, out), strict=True)))
 
     return run
 
@@ -115,7 +134,9 @@ def nearest(
     bucket_rows: int = 20_000, seed: int = 20_11,
 ) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found; vectors: vec_id, embedding."""
-    rows = vectors.select("vec_id", "embedding", is_query.alias("is_query")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).dropDuplicates(["vec_id", "embedding"])
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
+    exact = F.col("embedding") if kind == "<f4" else F.col("embedding").cast("array<double>")
+    rows = vectors.select("vec_id", exact.alias("embedding"), is_query.alias("is_query")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).dropDuplicates(["vec_id", "embedding"])
     pair = rows.select("vec_id", "embedding")
     index = pair.mapInArrow(_buckets(1, tables, axes, seed), SCHEMA)
     asked = pair.where(rows["is_query"]).mapInArrow(_buckets(probes, tables, axes, seed), SCHEMA)
@@ -124,7 +145,7 @@ def nearest(
     spread = salts.toDF(*BUCKET, "spread")
     asked = asked.join(spread, BUCKET).select(*(F.col(c).alias(f"q_{c}") for c in BUCKET), F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("q_salt"), "vec_id", "vector")
     key = [*BUCKET, "salt"]
-    found = dealt.groupBy(*key).cogroup(asked.groupBy(*(f"q_{c}" for c in key))).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
+    found = dealt.groupBy(*key).cogroup(asked.groupBy(*(f"q_{c}" for c in key))).applyInPandas(_nearest(k, kind), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
         found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
