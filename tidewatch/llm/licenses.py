@@ -3,23 +3,28 @@
 A text's and a template's words are aligned by patience: words that occur once in both are
 anchors, the longest increasing subsequence of their places is kept, and the gaps between kept
 anchors are aligned in the same way (runs of equal words at a gap's ends are taken first). A
-template's coverage is the share of its words that the alignment matches; a template of at least
+template's coverage is the share of its words that the alignment matches; a place of at least
 the asked coverage is found.
 
-Texts are scanned whole. Two exact filters keep that linear: a text that holds none of a
-template's ``needed`` words can't cover it (the other words are too few), which the scan tests on
-the JVM before any text goes to Python; and only places within a template's length of template
-words are aligned, region by region, so scattered words of a long text neither add up to a
-license nor cost time.
+Texts are scanned whole. A place is a window of at most WIDE times the template's words. Whatever is
+covered holds all but a few of the words that the template has once, so only windows with enough
+distinct ones of these are aligned, the shortest ones first, from left to right. Words are unique
+or not within such a window, so neither a second copy of a license nor common words around it
+take anchors away; what a window leaves of the template's ends is aligned with the words next to it.
+Each place of a template is reported, and the scan goes on behind it. A text that holds none of a
+template's ``needed`` words can't cover it (the other words are too few), which is tested on the
+JVM before any text goes to Python.
 
 Defined cases: null and empty texts have no license; repeated rows give a row each; several
 templates may be found in one text, but where their places overlap only the one with the most
-matched words stays (then the best covered, then the smaller name); extra columns don't matter.
+matched words stays (then the best covered, then the smaller name, then the earlier); extra
+columns don't matter.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
@@ -43,9 +48,41 @@ TEMPLATES = {
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "MIT-full": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD-3-Clause-full": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+        "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+        "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "ISC-full": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE "
+        "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "Unlicense-full": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the "
+        "software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment "
+        "in perpetuity of all present and future rights to this software under copyright law."
+    ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 COVERAGE = 0.85
+#: A place has at most so many times the template's words.
+WIDE = 2
 WORD = re.compile(r"[0-9A-Za-z]+")
 
 
@@ -104,30 +141,71 @@ def align(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def scan(text: str, templates: Mapping[str, Sequence[str]], coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
-    """(name, coverage, begin, end) in characters of each template's best place, best covered first."""
+class Template:
+    """The words of a license, and which of them a covered window must hold."""
+
+    def __init__(self, words: Sequence[str], coverage: float):
+        self.words, self.least = list(words), math.ceil(coverage * len(words) - 1e-9)
+        times = Counter(words)
+        self.once = {w: k for k, w in enumerate(words) if times[w] == 1}
+        # Each word that isn't matched may be one that the template has once.
+        self.need = max(1, len(self.once) - (len(words) - self.least))
+
+    def fit(self, words: Sequence[str], begin: int, end: int, after: int) -> list[tuple[int, int]]:
+        """Matched places (of words, of the template) from a window, and from the words next to it for what is left of the template's ends."""
+        pairs = [(begin + a, b) for a, b in align(words[begin:end], self.words)]
+        if not pairs:
+            return pairs
+        (first, missing), (last, known) = pairs[0], pairs[-1]
+        if missing:
+            low = max(after, first - WIDE * missing)
+            pairs = [(low + a, b) for a, b in align(words[low:first], self.words[:missing])] + pairs
+        if rest := len(self.words) - known - 1:
+            pairs += [(last + 1 + a, known + 1 + b) for a, b in align(words[last + 1 : last + 1 + WIDE * rest], self.words[known + 1 :])]
+        return pairs
+
+    def places(self, words: Sequence[str], at: Mapping[str, Sequence[int]]) -> Iterator[list[tuple[int, int]]]:
+        met = sorted((n, k) for w, k in self.once.items() for n in at.get(w, ()))
+        if len({k for _, k in met}) < self.need:
+            return
+        held: Counter[int] = Counter()
+        left = after = 0
+        for right, (n, k) in enumerate(met):
+            if n < after:
+                continue
+            held[k] += 1
+            while left < right:
+                place, word = met[left]
+                if place > n - WIDE * len(self.words) and held[word] == 1 and len(held) <= self.need:
+                    break
+                left += 1
+                held[word] -= 1
+                if not held[word]:
+                    del held[word]
+            if len(held) < self.need:
+                continue
+            pairs = self.fit(words, met[left][0], n + 1, after)
+            if len(pairs) >= self.least:
+                yield pairs
+                after, held = pairs[-1][0] + 1, Counter()
+                left = bisect.bisect_left(met, (after, -1))
+
+
+def scan(text: str, templates: Mapping[str, Template]) -> list[tuple[str, float, int, int]]:
+    """(name, coverage, begin, end) in characters of each template's places, best covered first."""
     spans = [(m.start(), m.end()) for m in WORD.finditer(text)]
     words = [text[a:b].lower() for a, b in spans]
+    known = set().union(*(t.once for t in templates.values()))
+    at: dict[str, list[int]] = {}
+    for n, w in enumerate(words):
+        if w in known:
+            at.setdefault(w, []).append(n)
     found = []
     for name, template in templates.items():
-        own = set(template)
-        # Consecutive places within a template's length of each other form a region.
-        places = [n for n, w in enumerate(words) if w in own]
-        best, begin = None, 0
-        for n in range(len(places)):
-            if n + 1 < len(places) and places[n + 1] - places[n] <= max(2, len(template) // 4):
-                continue
-            lo, hi = places[begin], places[n] + 1
-            begin, here = n + 1, n + 1 - begin
-            if here < coverage * len(template):
-                continue
-            pairs = align(words[lo:hi], template)
-            if pairs and (best is None or len(pairs) > best[0]):
-                best = (len(pairs), spans[lo + pairs[0][0]][0], spans[lo + pairs[-1][0]][1])
-        if best and best[0] >= coverage * len(template):
-            found.append((best[0], name, best[0] / len(template), best[1], best[2]))
+        for pairs in template.places(words, at):
+            found.append((len(pairs), name, len(pairs) / len(template.words), spans[pairs[0][0]][0], spans[pairs[-1][0]][1]))
     kept: list[tuple[str, float, int, int]] = []
-    for _, *f in sorted(found, key=lambda f: (-f[0], -f[2], f[1])):  # where templates overlap, the one with most words
+    for _, *f in sorted(found, key=lambda f: (-f[0], -f[2], f[1], f[3])):  # where templates overlap, the one with most words
         if all(f[2] >= k[3] or f[3] <= k[2] for k in kept):
             kept.append(tuple(f))
     return sorted(kept, key=lambda f: (-f[1], f[2], f[0]))
@@ -138,12 +216,12 @@ FOUND = pa.list_(pa.struct([("name", pa.string()), ("coverage", pa.float64()), (
 
 def find_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """doc_id and licenses: array<struct<name, coverage, begin, end>>, best first, for each row."""
-    split = {name: words_of(text) for name, text in templates.items()}
-    needed = sorted(set().union(*(needed_words(w, coverage) for w in split.values())))
+    split = {name: Template(words_of(text), coverage) for name, text in templates.items()}
+    needed = sorted(set().union(*(needed_words(t.words, coverage) for t in split.values())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[dict(zip(("name", "coverage", "begin", "end"), f, strict=True)) for f in scan(t, split, coverage)] if t else [] for t in batch.column("text").to_pylist()]
+            found = [[dict(zip(("name", "coverage", "begin", "end"), f, strict=True)) for f in scan(t, split)] if t else [] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, FOUND)], ["doc_id", "licenses"])
 
     may = F.col("text").rlike("(?i)" + "|".join(needed))
@@ -155,5 +233,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.try_element_at("licenses", F.lit(1))
     return find_licenses(table(spark, sf_dir, "documents")).select(
         "doc_id", best["name"].alias("license"), best["coverage"].alias("coverage"), best["begin"].alias("begin"), best["end"].alias("end"),
-        F.array_join(F.transform("licenses", lambda x: x["name"]), ",").alias("licenses"),
+        F.array_join(F.array_distinct(F.transform("licenses", lambda x: x["name"])), ",").alias("licenses"), F.size("licenses").alias("n_places"),
     )
