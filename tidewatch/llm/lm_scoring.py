@@ -7,12 +7,14 @@ those under which the held-out bigrams are likeliest. Scores then use the counts
 texts. A text's first word and its end have the end token for context and token, so c(h) is the
 unigram count of h for every h.
 
-Nothing is broadcast but the weights, whose number is fixed. The counts live in the shuffle: tokens
-are hashed to 64 bits and packed per task into arrays, dealt out by their word (very frequent
-words also by their context), so that a part holds all occurrences of its bigrams. A part sends its
-words' counts to the words' homes and gets totals back; from these come first the held-out
-histogram for the weights, in bins whose number is fixed, then the sums per text. numpy works on
-arrays inside the tasks; Spark partitions, shuffles and adds up.
+Nothing is broadcast but the weights, whose number is fixed, and the keys of hot words and bigrams,
+a few for each part. The counts live in the shuffle: tokens are hashed to 64 bits and packed per
+task into arrays, dealt out by their word, those of hot words also by their context, and those of
+hot bigrams by their text, so that no key fills a part. A part holds all occurrences of its other
+bigrams. It gives the counts of its words and hot bigrams as rows, which are added up by key and
+joined back; from the totals come first the held-out histogram for the weights, in bins whose
+number is fixed, then the sums per text. numpy works on arrays inside the tasks; Spark partitions,
+shuffles and adds up.
 
 Words count as equal if their 64-bit hashes are.
 
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import id_fold, small_batches
@@ -44,15 +46,25 @@ BUCKETS = 16
 #: Bins per power of ten of the held-out histogram.
 FINE = 10
 EM_ROUNDS = 50
+#: A word or bigram is hot if its share of the tokens is over one in so many times the parts.
+HOT = 4
 
 _U, _STEP = np.uint64, np.uint64(0x9E3779B97F4A7C15)
 def _contexts(w: np.ndarray) -> np.ndarray:
     return np.r_[END, w[:-1]]  # the token before a text's first is the END of the text before, or this one
 
 
-def _part(h: np.ndarray, w: np.ndarray, frequent: np.ndarray, parts: int) -> np.ndarray:
+def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A key of the bigram, which isn't a word's."""
     with np.errstate(over="ignore"):
-        return (mix(w ^ np.where(np.isin(w, frequent), h * _STEP, _U(0))) % _U(parts)).astype(np.int32)
+        return mix(w ^ mix(h * _STEP + _U(1)))
+
+
+def _part(h: np.ndarray, w: np.ndarray, key: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    """key: of the token's text."""
+    with np.errstate(over="ignore"):
+        by = mix(w ^ np.where(np.isin(w, hot), h * _STEP, _U(0)))
+        return (np.where(np.isin(_pair(h, w), hot), mix(key.astype(np.uint64)), by) % _U(parts)).astype(np.int32)
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -68,12 +80,12 @@ def _large(raw: bytes) -> np.ndarray:
 PACKED = "part int, key binary, kind binary, context binary, context_at binary, word binary, word_n binary, doc_at binary"
 
 
-def _pack(frequent: np.ndarray, parts: int):
+def _pack(hot: np.ndarray, parts: int):
     """Rows of (key, kind, text) to blobs of tokens for each part."""
 
     def blobs(keys: np.ndarray, kinds: np.ndarray, w: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
         h = _contexts(w)
-        part = _part(h, w, frequent, parts)
+        part = _part(h, w, keys[d], hot, parts)
         order = np.lexsort((h, w, part))
         cut = np.searchsorted(part[order], np.arange(parts + 1))
         for p in range(parts):
@@ -105,7 +117,7 @@ def _pack(frequent: np.ndarray, parts: int):
 class Part:
     """All tokens of a part: context h, word w, text (key and kind)."""
 
-    def __init__(self, blobs: pd.DataFrame):
+    def __init__(self, blobs: pd.DataFrame, hot: np.ndarray):
         keys, kinds, hs, ws, ds, base = [], [], [], [], [], 0
         for b in blobs.itertuples(index=False):
             key = np.frombuffer(b.key, np.int64)
@@ -119,14 +131,18 @@ class Part:
         h, w, self.d = np.concatenate(hs), np.concatenate(ws), np.concatenate(ds)
         self.kind = kind[self.d]
         self.words = np.union1d(h, w)
+        self.hot = np.flatnonzero(np.isin(pair := _pair(h, w), hot))
+        self.pairs, self.pair_at = np.unique(pair[self.hot], return_inverse=True)
         self.h, self.w = (np.searchsorted(self.words, x).astype(np.int32) for x in (h, w))
 
-    def homes(self, parts: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (mix(self.words * _STEP) % _U(parts)).astype(np.int32)
+    def asked(self) -> pd.DataFrame:
+        """Words, and then hot bigrams, with their training and retained counts in this part."""
+        both = [np.r_[np.bincount(self.w, weights=self.kind >= k, minlength=len(self.words)), np.bincount(self.pair_at, weights=self.kind[self.hot] >= k, minlength=len(self.pairs))] for k in (1, 2)]
+        word = np.r_[self.words, self.pairs].astype(np.int64)
+        return pd.DataFrame({"word": word, "is_pair": np.arange(len(word)) >= len(self.words), "train": both[0].astype(np.int64), "kept": both[1].astype(np.int64)})
 
-    def pair_counts(self, least: int) -> np.ndarray:
-        """For each token how often its bigram stands in texts of at least this kind."""
+    def pair_counts(self, least: int, of_hot: np.ndarray) -> np.ndarray:
+        """For each token how often its bigram stands in texts of at least this kind; of_hot: totals of self.pairs."""
         pair = self.h.astype(np.int64) * len(self.words) + self.w
         order = np.argsort(pair, kind="stable")
         pair = pair[order]
@@ -135,55 +151,42 @@ class Part:
         per = np.bincount(n, weights=self.kind[order] >= least).astype(np.float32 if len(n) < 1 << 24 else np.float64)
         back = np.empty(len(n), per.dtype)
         back[order] = per[n]
+        if len(self.hot):
+            back = back.astype(np.float64)
+            back[self.hot] = of_hot[self.pair_at]
         return back
 
-    def totals(self, answers: pd.DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Training and retained counts of self.words from their homes' answers."""
-        home, out = self.homes(parts), np.zeros((2, len(self.words)))
-        for a in answers.itertuples(index=False):
-            own = home == a.home
-            out[0, own], out[1, own] = _large(a.train), _large(a.kept)
+    def totals(self, answers: pd.DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of self.words and of self.pairs."""
+        of_pair = answers["is_pair"].to_numpy(bool)
+        out = []
+        for keys, own in ((self.words, ~of_pair), (self.pairs, of_pair)):
+            known, n = answers["word"].to_numpy(np.int64)[own].astype(np.uint64), answers[column].to_numpy(np.float64)[own]
+            order = np.argsort(known)
+            out.append(n[order][np.searchsorted(known[order], keys)] if len(keys) else np.empty(0))
         return out[0], out[1]
 
 
-def _ask(parts: int):
-    """A part's words and their counts in it, to each word's home."""
-
+def _ask(hot: np.ndarray):
     def run(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
-        p = Part(blobs)
-        train, kept = (np.bincount(p.w, weights=p.kind >= k, minlength=len(p.words)).astype(np.int64) for k in (1, 2))
-        home = p.homes(parts)
-        rows = [(int(t), int(key[0]), p.words[o].tobytes(), _small(train[o]), _small(kept[o])) for t in np.unique(home) for o in [home == t]]
-        return pd.DataFrame(rows, columns=["home", "part", "words", "train", "kept"])
+        found = Part(blobs, hot).asked()
+        found.insert(0, "part", np.int32(key[0]))
+        return found
 
     return run
 
 
-def _answer(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
-    """Totals of a home's words, to each part in the order it asked; the home's own sums go with the first."""
-    words = [np.frombuffer(x, np.uint64) for x in asked["words"]]
-    known, at = np.unique(np.concatenate(words), return_inverse=True)
-    train, kept = (np.bincount(at, weights=np.concatenate([_large(x) for x in asked[c]]), minlength=len(known)).astype(np.int64) for c in ("train", "kept"))
-    cuts = np.cumsum([0, *map(len, words)])
-    rows = []
-    for n, part in enumerate(asked["part"]):
-        own = at[cuts[n] : cuts[n + 1]]
-        sums = (int(train.sum()), int(kept.sum()), int((train > 0).sum())) if n == 0 else (0, 0, 0)
-        rows.append((int(part), int(key[0]), _small(train[own]), _small(kept[own]), *sums))
-    return pd.DataFrame(rows, columns=["part", "home", "train", "kept", "n_train", "n_kept", "n_words"])
-
-
 def _bucket(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(n + 1)), BUCKETS - 1).astype(np.int64)
 
 
-def _histogram(parts: int):
+def _histogram(hot: np.ndarray):
     """Held-out tokens by the context's bucket and by bins of both estimates, with sums of their logarithms."""
 
     def run(blobs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        p = Part(blobs)
-        _, kept = p.totals(answers, parts)
-        pair = p.pair_counts(2)
+        p = Part(blobs, hot)
+        kept, of_hot = p.totals(answers, "all_kept")
+        pair = p.pair_counts(2, of_hot)
         own = p.kind == 1
         h, w, hw = kept[p.h[own]], kept[p.w[own]], pair[own]
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -221,11 +224,11 @@ def _weights(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"weights": [weights.tobytes()]})
 
 
-def _sums(parts: int):
+def _sums(hot: np.ndarray, homes: int):
     def run(blobs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        p = Part(blobs)
-        train, _ = p.totals(answers, parts)
-        pair = p.pair_counts(1)
+        p = Part(blobs, hot)
+        train, of_hot = p.totals(answers, "all_train")
+        pair = p.pair_counts(1, of_hot)
         n, v = float(answers["total"].iloc[0]), float(answers["vocabulary"].iloc[0])
         weights = np.frombuffer(answers["weights"].iloc[0]).reshape(BUCKETS, 3)
         h, w = train[p.h], train[p.w]
@@ -235,7 +238,7 @@ def _sums(parts: int):
         key, at = np.unique(p.key, return_inverse=True)
         at = at[p.d]
         sums = [np.bincount(at, weights=x, minlength=len(key)) for x in (np.ones(len(at)), w > 0, base, np.log10(prob))]
-        home = (mix(key.astype(np.uint64)) % _U(parts)).astype(np.int32)
+        home = (mix(key.astype(np.uint64)) % _U(homes)).astype(np.int32)
         rows = [(int(t), key[o].tobytes(), _small(sums[0][o].astype(np.int64)), _small(sums[1][o].astype(np.int64)), sums[2][o].tobytes(), sums[3][o].tobytes()) for t in np.unique(home) for o in [home == t]]
         return pd.DataFrame(rows, columns=["home", "keys", *SUMMED])
 
@@ -253,19 +256,22 @@ def _add_up(key: tuple, packed: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": keys, **{c: v.astype(np.int64) if c.startswith("n_") else v for c, v in total.items()}})
 
 
-def frequent_words(texts: DataFrame, share: float = 0.001) -> np.ndarray:
-    """Hashes of words with at least ``share`` of a sample's tokens. They only decide how tokens are dealt out."""
+def hot_keys(texts: DataFrame, share: float) -> np.ndarray:
+    """Words, and bigrams of these, with at least ``share`` of a sample's tokens, 2 / share at most. They only decide how tokens are dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w, _ = token_hashes(batch.column("text").to_pylist())
-            word, n = np.unique(w, return_counts=True)
-            top = n >= share * len(w)
-            yield pa.RecordBatch.from_arrays([pa.array(word[top].astype(np.int64)), pa.array(n[top]), pa.array(np.full(top.sum(), len(w)))], ["word", "n", "tokens"])
+            for keys in (w, _pair(_contexts(w), w)):
+                key, n = np.unique(keys, return_counts=True)
+                top = n >= share * len(w) / 4
+                yield pa.RecordBatch.from_arrays([pa.array(key[top].astype(np.int64)), pa.array(n[top])], ["key", "n"])
 
-    seen = texts.where(F.pmod(F.col("key"), F.lit(50)) == 0).select("text").mapInArrow(run, "word long, n long, tokens long")
-    often = seen.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(int(1 / share))
-    return np.sort(np.array([r["word"] for r in often.collect()], np.int64).astype(np.uint64))
+    seen = texts.where(F.pmod(F.col("key"), F.lit(50)) == 0).select("text")
+    # Tokens are counted as blanks, near enough for a share.
+    tokens = seen.agg(F.sum(F.length("text") - F.length(F.translate("text", " ", ""))).alias("n")).first()["n"] or 0
+    often = seen.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, share * tokens)).orderBy(F.desc("n"), "key").limit(int(2 / share))
+    return np.sort(np.array([r["key"] for r in often.collect()], np.int64).astype(np.uint64))
 
 
 def score_texts(docs: DataFrame, kind: F.Column, parts: int | None = None) -> DataFrame:
@@ -277,14 +283,17 @@ def score_texts(docs: DataFrame, kind: F.Column, parts: int | None = None) -> Da
     if parts is None:
         size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
         parts = max(12, -(-size // PART_BYTES))
-    frequent = frequent_words(rows)
-    packed = rows.select("key", "kind", "text").mapInArrow(_pack(frequent, parts), PACKED)
-    asked = packed.groupBy("part").applyInPandas(_ask(parts), "home int, part int, words binary, train binary, kept binary")
-    answers = asked.groupBy("home").applyInPandas(_answer, "part int, home int, train binary, kept binary, n_train long, n_kept long, n_words long")
-    sums = answers.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("total"), F.coalesce(F.sum("n_kept"), F.lit(0)).alias("n_kept"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("vocabulary"))
+    hot = hot_keys(rows, 1 / max(1000, HOT * parts))
+    packed = rows.select("key", "kind", "text").mapInArrow(_pack(hot, parts), PACKED)
+    asked = packed.groupBy("part").applyInPandas(_ask(hot), "part int, word long, is_pair boolean, train long, kept long")
+    of_word = Window.partitionBy("word", "is_pair")
+    answers = asked.select("part", "word", "is_pair", F.sum("train").over(of_word).alias("all_train"), F.sum("kept").over(of_word).alias("all_kept"), (F.row_number().over(of_word.orderBy("part")) == 1).alias("first"))
+    own = F.col("first") & ~F.col("is_pair")
+    number = lambda c: F.coalesce(F.sum(F.when(own, c)), F.lit(0))
+    sums = answers.agg(number(F.col("all_train")).alias("total"), number(F.col("all_kept")).alias("n_kept"), number((F.col("all_train") > 0).cast("long")).alias("vocabulary"))
     bins = (
         packed.groupBy("part").cogroup(answers.groupBy("part"))
-        .applyInPandas(_histogram(parts), "bucket long, bin2 long, bin1 long, n long, sum2 double, sum1 double")
+        .applyInPandas(_histogram(hot), "bucket long, bin2 long, bin1 long, n long, sum2 double, sum1 double")
         .groupBy("bucket", "bin2", "bin1").agg(F.sum("n").alias("n"), F.sum("sum2").alias("sum2"), F.sum("sum1").alias("sum1"))
     )
     one = F.lit(1).alias("one")
@@ -295,8 +304,8 @@ def score_texts(docs: DataFrame, kind: F.Column, parts: int | None = None) -> Da
         .groupBy("one").applyInPandas(_weights, "weights binary").withColumn("one", F.lit(1))
         .join(facts.select("one", "total", F.col("n_words").alias("vocabulary")), "one")
     )
-    told = answers.select("part", "home", "train", "kept", one).join(F.broadcast(learned), "one").drop("one")
-    scored = packed.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(_sums(parts), "home int, keys binary, n_tokens binary, n_known binary, base_score binary, score binary")
+    told = answers.select("part", "word", "is_pair", "all_train", one).join(F.broadcast(learned), "one").drop("one")
+    scored = packed.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(_sums(hot, max(12, parts // 8)), "home int, keys binary, n_tokens binary, n_known binary, base_score binary, score binary")
     by_key = scored.groupBy("home").applyInPandas(_add_up, "key long, n_tokens long, n_known long, base_score double, score double")
     copies = rows.groupBy("key", "doc_id", "kind").agg(F.count("*").alias("copies"))
     each = copies.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).join(by_key, "key").withColumn("one", F.lit(1))
