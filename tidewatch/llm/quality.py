@@ -139,16 +139,16 @@ def training_rows(of_docs: DataFrame, labels: DataFrame) -> DataFrame:
     return of_docs.join(marked, "doc_id").select("x", "label")
 
 
-def score(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """docs with a column score."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, model: Discriminant, name: str = "score") -> DataFrame:
+    """docs with the score in a column of that name, which replaces one of the input."""
+    docs = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = model.score(_matrix(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -15,16 +15,19 @@ string's least hash of GRAM bytes is the same wherever it stands:
 
 A name's first filter is a bit table of fixed size that may let single names through but never
 loses one. Copies of a text cost a row a segment, but their content travels once per task at
-most, and only texts that may lose bytes are shuffled. Shards have about SHARD_BYTES; one name's
-contents stay together, and sorting spills beyond its budget. Common-prefix values are used only
-against ``length``, so they are not carried through the induction.
+most, and only texts that may lose bytes are shuffled. Shards have about SHARD_BYTES, in which one
+name's contents stay together; a name of more bytes than that (a short passage in many different
+surroundings) isn't sorted but has its strings' hashes counted, which is a sum over all tasks and
+bounds every shard by a few times SHARD_BYTES. Common-prefix values are used only against ``length``,
+so they are not carried through the induction.
 
 Segments and strings count as equal if their 64-bit hashes (and lengths) are.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``length`` lose none;
 repeated rows repeat each other like any two texts; null ids are ids like others; matches never
-cross texts; cuts may split a character, so what is kept is bytes; extra columns stay in
-``remove_repeats`` unless they are called n_bytes, n_removed, n_spans or kept.
+cross texts; cuts may split a character, so what is kept is bytes; extra columns stay, in
+``remove_repeats`` unless they are called n_bytes, n_removed, n_spans or kept, and all of them in
+``without_repeats``.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.bits import in_table, table_of
+from tidewatch.llm.bits import in_table, marked, table_of
 from tidewatch.llm.common import small_batches
 from tidewatch.llm.hashing import mix
 from tidewatch.llm.induced import suffix_order
@@ -193,6 +196,22 @@ def _sort_shard(length: int):
     return run
 
 
+def _hash_strings(length: int):
+    """The hash and start of every string of contents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, contents = batch.column("name").to_numpy(), batch.column("content").to_numpy()
+            for n, raw in enumerate(batch.column("bytes").to_pylist()):
+                hashed = Hashes(np.frombuffer(raw, np.uint8)).each(length).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashed), names[n])), pa.array(np.full(len(hashed), contents[n])), pa.array(np.arange(len(hashed))), pa.array(hashed)], ["name", "content", "begin", "string"])
+
+    return run
+
+
+FOUND = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
+
+
 def _cut(length: int):
     """Bytes kept of each text, from ranges of starts of repeats."""
 
@@ -213,10 +232,9 @@ def _cut(length: int):
                 removed.append(len(raw) - len(whole))
                 spans.append(n)
             names = [n for n in batch.schema.names if n != "__tw_ranges"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array([len(k) + r for k, r in zip(kept, removed, strict=True)], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-                [*names, "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+            sizes = pa.array([len(k) + r for k, r in zip(kept, removed, strict=True)], pa.int64())
+            found = pa.StructArray.from_arrays([sizes, pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], FOUND.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), found], [*names, "__tw_found"])
 
     return run
 
@@ -236,9 +254,13 @@ def repeat_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     to_sort = contents.join(places.join(alone, "name").select("name"), "name").checkpoint()
     size = to_sort.agg(F.sum(F.length("bytes")).alias("n")).first()["n"] or 0
     shards = max(1, -(-size // shard_bytes))
-    dealt = to_sort.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
+    heavy = to_sort.groupBy("name").agg(F.sum(F.length("bytes")).alias("n")).where(F.col("n") > shard_bytes).select("name")
+    dealt = to_sort.join(heavy, "name", "left_anti").withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
     sorted_ = dealt.groupBy("shard").applyInPandas(_sort_shard(length), "name long, content long, begins array<long>, ends array<long>")
-    some = sorted_.where(F.size("begins") > 0).select("name", "content", F.arrays_zip(F.col("begins").alias("begin"), F.col("ends").alias("end")).alias("own"))
+    strings = to_sort.join(heavy, "name").select("name", "content", "bytes").mapInArrow(_hash_strings(length), "name long, content long, begin long, string long")
+    standing_twice = strings.groupBy("name", "string").agg(F.count("*").alias("n")).where("n > 1").select("name", "string")
+    counted = strings.join(standing_twice, ["name", "string"]).groupBy("name", "content").agg(F.transform(F.array_sort(F.collect_list("begin")), lambda b: F.struct(b.alias("begin"), (b + 1).alias("end"))).alias("own"))
+    some = sorted_.where(F.size("begins") > 0).select("name", "content", F.arrays_zip(F.col("begins").alias("begin"), F.col("ends").alias("end")).alias("own")).unionByName(counted)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n").cast("long").alias("end")))
     verdict = (
         counts.join(some, ["name", "content"], "left")
@@ -249,42 +271,68 @@ def repeat_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     return ranges.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("__tw_ranges"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and kept (binary) for each row."""
+def _searched(docs: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
+    """docs with __tw_found, a struct of n_bytes, n_removed, n_spans and kept. Only texts that a bit table doesn't clear are shuffled."""
     ensure_checkpoint_dir(docs.sparkSession)
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     keyed = docs.withColumn("__tw_key", F.xxhash64("doc_id", "text"))
     ranges = repeat_ranges(keyed.select(F.col("__tw_key").alias("key"), "text"), length, gram, shard_bytes).checkpoint()
-    bits = table_of(ranges, "key")
+    may = marked(keyed, "__tw_key", table_of(ranges, "key"), "__tw_may")
+    losing = may.where("__tw_may").join(ranges.withColumnRenamed("key", "__tw_key"), "__tw_key", "left")
+    staying = may.where("not __tw_may").withColumn("__tw_ranges", F.lit(None).cast(ranges.schema["__tw_ranges"].dataType))
+    rows = losing.select(*docs.columns, "__tw_ranges").unionByName(staying.select(*docs.columns, "__tw_ranges"))
+    return rows.mapInArrow(_cut(length), T.StructType([*docs.schema.fields, T.StructField("__tw_found", FOUND)]))
 
-    def may_lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(in_table(bits, batch.column("__tw_key").to_numpy().astype(np.uint64)))], [*batch.schema.names, "__tw_may"])
 
-    marked = keyed.mapInArrow(may_lose, T.StructType([*keyed.schema.fields, T.StructField("__tw_may", T.BooleanType())]))
-    losing = marked.where("__tw_may").join(ranges.withColumnRenamed("key", "__tw_key"), "__tw_key", "left")
-    staying = marked.where("not __tw_may").withColumn("__tw_ranges", F.lit(None).cast(ranges.schema["__tw_ranges"].dataType))
-    rows = losing.select(*docs.columns, "__tw_ranges").unionByName(staying.select(*docs.columns, "__tw_ranges"))
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType())))])
-    return rows.mapInArrow(_cut(length), schema)
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and kept (binary) for each row."""
+    found = _searched(docs.drop(*FOUND.names), length, gram, shard_bytes)
+    return found.select(*[c for c in found.columns if c != "__tw_found"], "__tw_found.*")
 
 
 def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [k.decode(errors="ignore") for k in batch.column("kept").to_pylist()]
+        texts = [k.decode(errors="ignore") for k in batch.column("__tw_found").field("kept").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names], batch.schema.names)
 
 
-def with_kept_text(found: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of the input with what remove_repeats kept for text, less split characters, and n_chars to match; null stays null."""
-    cut = found.where("n_removed > 0")
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows and columns of docs with what is kept for text, less characters that a cut splits, and n_chars to match; null stays null."""
+    found = _searched(docs, length, gram, shard_bytes)
+    cut = found.where("__tw_found.n_removed > 0")
     cut = cut.mapInArrow(_as_text, cut.schema)
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(found.schema["n_chars"].dataType))
-    return found.where("n_removed = 0").select(*columns).unionByName(cut.select(*columns))
+    return found.where("__tw_found.n_removed = 0").select(*docs.columns).unionByName(cut.select(*docs.columns))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _doubled_sql() -> str:
+    """Keys of strings of 2, 4, ... 256 bytes, each from two halves, and of 400 from three of these."""
+    steps, of, by = [], "p1", "OVER (PARTITION BY r ORDER BY i)"
+    for n in (2, 4, 8, 16, 32, 64, 128, 256):
+        kept = ", k16" if n > 16 else ""
+        kept += ", k128" if n > 128 else ""
+        steps.append(f"p{n} AS (SELECT r, i{kept}, hash(k{n // 2}, lead(k{n // 2}, {n // 2}) {by}) AS k{n}{f', k{n // 2}' if n == 256 else ''} FROM {of})".replace(", k128, hash", ", hash"))
+        of = f"p{n}"
+    return ",\n".join(steps) + f",\np400 AS (SELECT r, i, hash(k256, lead(k128, 256) {by}, lead(k16, 384) {by}) AS k FROM p256)"
+
+
+OP4_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+p1 AS (SELECT r, unnest(range(0, len(h) // 2)) AS i, hash(unnest(regexp_extract_all(h, '..'))) AS k1 FROM d WHERE len(h) >= 800),
+{_doubled_sql()},
+full_ AS (SELECT p400.* FROM p400 JOIN d USING (r) WHERE i <= len(h) // 2 - 400),
+twice AS (SELECT k FROM full_ GROUP BY k HAVING count(*) > 1),
+starts AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM full_ JOIN twice USING (k)),
+islands AS (SELECT r, i, sum((before IS NULL OR i > before + 400)::INT) OVER (PARTITION BY r ORDER BY i) AS island FROM starts),
+spans AS (SELECT r, island, min(i) AS a, max(i) + 400 AS b, coalesce(lag(max(i) + 400) OVER (PARTITION BY r ORDER BY island), 0) AS kept_from FROM islands GROUP BY r, island),
+cut AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS ended, string_agg(substring(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) AS head FROM spans JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substring(h, 2 * ended + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
