@@ -25,4 +25,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": decontamination.OP2_SQL,
+        "op3_jaccard": jaccard.OP3_SQL,
+        "op4_suffix_dedup": suffix_dedup.OP4_SQL,
+        "op6_url_filter": url_filter.OP6_SQL,
     }

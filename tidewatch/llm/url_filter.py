@@ -28,8 +28,9 @@ from tidewatch.session import table
 #: (rule, verdict); a rule is host and path prefix.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: Public suffixes of two labels; other suffixes are the last label.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.au", "gov.uk", "net.au", "or.jp", "org.au", "org.uk")
+#: Labels that stand for a kind of holder below a country's two letters, and so make a public suffix of two labels (co.uk, com.br, or.jp).
+KIND_LABELS = ("ac", "asn", "co", "com", "edu", "firm", "gen", "go", "gob", "gouv", "gov", "gv", "id", "ind", "info", "k12", "lg", "ltd", "mil", "mod", "muni", "ne", "net", "nhs", "nic", "nom", "or", "org", "plc", "police", "pro", "res", "sch")
+WIDE_SUFFIX = rf"^({'|'.join(KIND_LABELS)})\.[a-z]{{2}}$"
 
 #: One-sided 95 % bound, and the least good rate that a page's host must be able to have.
 Z, LEAST_GOOD = 1.6448536269514722, 0.5
@@ -59,7 +60,7 @@ def domain_columns(host: Column) -> tuple[Column, Column]:
     bare = F.regexp_replace(F.regexp_replace(host, r"^[^@]*@", ""), r":\d*$", "")
     address = bare.rlike(r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$")
     two = F.substring_index(bare, ".", -2)
-    wide = two.isin(*TWO_LABEL_SUFFIXES)
+    wide = two.rlike(WIDE_SUFFIX)
     suffix = F.when(address, bare).when(wide, two).otherwise(F.substring_index(bare, ".", -1))
     domain = F.when(address, bare).when(wide, F.substring_index(bare, ".", -3)).otherwise(two)
     return domain, suffix
@@ -130,3 +131,37 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
     good = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"))
     return filter_urls(pages, pages.join(good, "page_id").select("url", "good")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _level_sql(name: str, child: str, key: str, parent: str, on: str) -> str:
+    """Posterior of ``child`` (n, good by key and on) by a prior around its parent's mean, whose strength is fitted to the parent's children."""
+    using = f"USING ({on})" if on else "ON true"
+    by = f"GROUP BY {on}" if on else ""
+    first = f"{on}, " if on else ""
+    return f"""{name}_fit AS (SELECT {first}sum(n) AS n_all, sum(good) / sum(n) AS m, count(*) AS k, sum(n * n) AS n_sq, sum(good * good / n) - sum(good) * sum(good) / sum(n) AS between_ FROM {child} {by}),
+{name}_strength AS (SELECT {first}least(greatest(m * (1 - m) / greatest(greatest(between_ - (k - 1) * m * (1 - m), 0) / greatest(n_all - n_sq / n_all, 1e-9), 1e-9) - 1, 2), 1000) AS s FROM {name}_fit),
+{name} AS (SELECT {key}, good + up * s AS a, n - good + (1 - up) * s AS b FROM {child} JOIN {name}_strength {using} JOIN (SELECT {first}a / (a + b) AS up FROM {parent}) {using})"""
+
+
+OP6_SQL = f"""
+WITH split AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+page AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
+good AS (SELECT doc_id AS page_id, min((quality = 1 AND toxic = 0)::INT) AS good FROM labels GROUP BY doc_id),
+seen AS (SELECT host, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM page JOIN good USING (page_id) WHERE good IS NOT NULL GROUP BY host),
+bare AS (SELECT DISTINCT host, string_split(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':\\d*$', ''), '.') AS x FROM page),
+named AS (SELECT host, array_to_string(x, '.') AS whole, array_to_string(x[greatest(len(x) - 1, 1):], '.') AS two, array_to_string(x[greatest(len(x) - 2, 1):], '.') AS three, x[-1] AS one FROM bare),
+names AS (SELECT host, CASE WHEN address THEN whole WHEN wide THEN three ELSE two END AS domain, CASE WHEN address THEN whole WHEN wide THEN two ELSE one END AS suffix FROM (
+  SELECT *, regexp_matches(whole, '^(\\d{{1,3}}(\\.\\d{{1,3}}){{3}}|\\[.*\\])$') AS address, regexp_matches(two, '{WIDE_SUFFIX}') AS wide FROM named)),
+hosts AS (SELECT host, domain, suffix, n, good FROM seen JOIN names USING (host)),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY suffix),
+t AS (SELECT coalesce(sum(good), 0) + 1 AS a, coalesce(sum(n), 0) - coalesce(sum(good), 0) + 1 AS b FROM suffixes),
+{_level_sql("s", "suffixes", "suffix", "t", "")},
+{_level_sql("d", "domains", "domain, suffix", "s", "suffix")},
+{_level_sql("h", "hosts", "host", "d", "domain")},
+rated AS (SELECT names.host, coalesce(h.a, d.a, s.a, t.a) AS a, coalesce(h.b, d.b, s.b, t.b) AS b FROM names LEFT JOIN h USING (host) LEFT JOIN d ON d.domain = names.domain LEFT JOIN s ON s.suffix = names.suffix, t),
+bound AS (SELECT host, a / (a + b) + {Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS good_bound FROM rated),
+ruled AS (SELECT *, CASE WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM page)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN good_bound < {LEAST_GOOD} THEN 'block' ELSE 'allow' END AS verdict FROM ruled JOIN bound USING (host)
+"""
