@@ -287,8 +287,9 @@ def test_repeats_equal_brute_force(docs, none, length, gram):
     assert Counter((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found.collect()) == want
     assert any(k[1] for k in want)
     assert suffix_dedup.remove_repeats(none).count() == 0
-    back = suffix_dedup.with_kept_text(found, docs.columns)
-    assert back.columns == docs.columns and back.count() == docs.count()
+    back = suffix_dedup.without_repeats(docs, length, gram, shard_bytes=2000)
+    assert back.columns == docs.columns and Counter(tuple(r)[2:3] + tuple(r)[5:] for r in back.collect()) == Counter(tuple(r)[2:3] + tuple(r)[5:] for r in docs.collect())
+    assert Counter(r.text or "" for r in back.collect()) == Counter(k[3].decode(errors="ignore") for k in want.elements())
 
 
 # Quality classifier
