@@ -1,6 +1,8 @@
 """Acceptance behaviour of the monitoring engine and its streaming form."""
 
 import json
+import pickle
+import time
 
 import numpy as np
 import pandas as pd
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import kernels
 from tidewatch.operators import alerts, history, ingest, models, routing
+from tidewatch.plans.online import Monitor
 from tidewatch.plans.prediction import Bounds, State, judge, predict_minute, predict_second
 from tidewatch.plans.replay import replay
 from tidewatch.schemas import POINT
@@ -26,8 +29,13 @@ def points_of(spark, rows):
 
 
 @pytest.fixture(scope="module")
-def demo(spark):
-    return replay(src.demo_points(spark), src.demo_registry(spark)).alerts.toPandas()
+def replayed(spark):
+    return replay(src.demo_points(spark), src.demo_registry(spark))
+
+
+@pytest.fixture(scope="module")
+def demo(replayed):
+    return replayed.alerts.toPandas()
 
 
 def test_demo_fires_and_recovers(demo):
@@ -202,3 +210,91 @@ def test_stream_incidents_equal_the_batch(spark, tmp_path):
     want = alerts.incidents(static.withColumns({"granularity": F.lit("1m"), "ingest_seq": F.lit(0)}))
     cols = ["metric_name", "timestamp", "status", "alert_level", "duration_sec"]
     assert {tuple(r) for r in spark.table("told").select(cols).collect()} == {tuple(r) for r in want.select(cols).collect()}
+
+
+TOLD = ["metric_name", "timestamp", "granularity", "alert_level", "alert_type", "duration_sec", "message", "status"]
+
+
+def told(alerts_):
+    return sorted(tuple(r) for r in alerts_.select(TOLD).collect())
+
+
+def test_batches_go_on_where_the_last_one_ended(spark, tmp_path, demo, replayed):
+    """Two processes after one another, the second of which is run again, tell what one replay tells, and fill all tables."""
+    points, got = src.demo_points(spark), []
+    cuts = [0, T + 750, T + 10_000]
+    for n in (0, 1, 1):
+        part = points.where(F.col("timestamp").between(cuts[n], cuts[n + 1] - 1))
+        monitor_ = Monitor(history.HistoryStore(spark, str(tmp_path / "h")), src.demo_registry(spark), cleanup_every=1)
+        got.append(told(monitor_.process(part, n, flush=n == 1)))
+    assert got[1] == got[2]
+    got = got[0] + got[1]
+    assert sorted(got) == sorted(tuple(r) for r in demo[TOLD].itertuples(index=False))
+    store = history.HistoryStore(spark, str(tmp_path / "h"))
+    whole = replayed
+    assert store.read("raw_points").count() == points.count()
+    key = ["metric_name", "granularity", "timestamp"]
+    stored = {tuple(r[c] for c in key): (round(r.predict_value, 6), r.model_version) for r in store.read("predictions").collect()}
+    assert stored == {tuple(r[c] for c in key): (round(r.predict_value, 6), r.model_version) for r in whole.judged.collect()}
+    feature = store.read("predictions").where("granularity = '1s'").select("features.*").first().asDict()
+    assert len(feature) == 11 and feature["business_unit"] == "AA" and feature["day_of_week"] == 5
+    assert store.read("anomalies").count() == whole.judged.count() == store.read("series_points").count()
+
+
+def test_idle_metrics_are_forgotten_and_old_points_dropped(spark, tmp_path):
+    store = history.HistoryStore(spark, str(tmp_path / "h"))
+    own = Monitor(store, settings=Settings(state_ttl_sec=50, data_retention_sec=80))
+    at = lambda m, t: points_of(spark, [(m, t, 0.9, "AA", "P1", "rate", {"force_ai": "true"})])
+    own.process(at("a", T), 0)
+    own.process(at("b", T + 100), 1)
+    assert {r.metric_name for r in store.read("states").collect()} == {"a", "b"}
+    own.clean_up(1)
+    assert {r.metric_name for r in store.read("states").collect()} == {"b"}
+    assert [r.metric_name for r in store.read("raw_points").collect()] == ["b"]
+    own.process(at("b", T + 101), 2)
+    assert store.read("raw_points").count() == 2 and store.next_batch() == 3
+
+
+def test_stored_points_count_for_eligibility(spark, tmp_path):
+    store = history.HistoryStore(spark, str(tmp_path / "h"))
+    own = Monitor(store, settings=Settings(history_weeks_required=0))
+    rows = lambda *tv: points_of(spark, [("a", t, v, "AA", "P1", "rate", {}) for t, v in tv])
+    own.process(rows((T - 100, 0.91), (T - 50, 0.92)), 0)
+    for name in ("states", "assessments"):
+        store.rewrite(name, lambda d: d.limit(0), 0)
+    own.process(rows((T, 0.93)), 1)
+    (state,) = store.read("states").where("kind = 'eligibility'").collect()
+    assert list(pickle.loads(state.state)["v"]) == [0.91, 0.92, 0.93]
+    want = routing.assess(rows((T - 100, 0.91), (T - 50, 0.92), (T, 0.93)), ingest.register(rows((T, 0.93))), own.settings).first()
+    assert [(r.since, r.eligible) for r in store.read("assessments").collect()] == [(T, want.eligible)]
+
+
+def test_stream_of_points_equals_the_batch(spark, tmp_path, demo):
+    """All modes as micro-batches; the last buckets stay open in a stream, so alerts of the time before them are compared."""
+    inp, got = tmp_path / "in", []
+    inp.mkdir()
+    for n in range(2):
+        part = src.demo_points(spark).where(F.col("timestamp").between(T + 900 * n, T + 900 * n + 899))
+        (inp / f"{n}.json").write_text("\n".join(r.line for r in part.orderBy("ingest_seq").select(F.to_json(F.struct(*POINT.names)).alias("line")).collect()))
+        time.sleep(1.1)
+    own = Monitor(history.HistoryStore(spark, str(tmp_path / "h")), src.demo_registry(spark))
+    query = own.start(monitor.read_points(spark, str(inp), 1), str(tmp_path / "ck"), lambda alerts_, n: got.extend(told(alerts_)))
+    query.awaitTermination(300)
+    assert query.exception() is None
+    want = [tuple(r) for r in demo[TOLD].itertuples(index=False)]
+    assert [a for a in sorted(got) if a[0].endswith("rate")] == [a for a in sorted(want) if a[0].endswith("rate")]
+    assert set(got) <= set(want)
+
+
+def test_states_expire_with_event_time(spark, tmp_path):
+    """A timer that passes drops the incident of an idle metric: its next alert opens a new one."""
+    rows = [("a", T, "P1"), ("b", T + 10_000, "P1"), ("b", T + 20_000, None), ("a", T + 30_000, "P1")]
+    (tmp_path / "in").mkdir()
+    for n, (m, t, level) in enumerate(rows):
+        (tmp_path / "in" / f"{n}.json").write_text(json.dumps({"metric_name": m, "timestamp": t, "level": level, "core_link": True}))
+        time.sleep(1.1)
+    stream = spark.readStream.schema("metric_name string, timestamp long, level string, core_link boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")).withColumn("event_time", F.timestamp_seconds("timestamp"))
+    query = monitor.stream_incidents(stream, Settings(state_ttl_sec=1000)).writeStream.format("memory").queryName("expired").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert query.exception() is None
+    assert {(r.metric_name, r.timestamp, r.status, r.duration_sec) for r in spark.table("expired").collect()} >= {("a", T, "firing", 0), ("a", T + 30_000, "firing", 0)}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import alert_level, alert_message, alert_type, humanize_duration
-from tidewatch.operators.folds import fold_by_key
+from tidewatch.operators.folds import Carry, fold_by_key
 from tidewatch.settings import DEFAULTS, LEVELS, Settings
 
 
@@ -48,17 +48,17 @@ def with_level(judged: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return judged.withColumn("level", alert_level(F.col("global_abnormal"), F.col("local_score"), F.col("abnormal_labels"), F.col("confidence_score"), F.col("core_link"), settings))
 
 
-def incidents(levelled: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def incidents(levelled: DataFrame, settings: Settings = DEFAULTS, carry: Carry | None = None) -> DataFrame:
     """Rows at which an incident tells something, with status, alert_level and duration_sec."""
     step = lambda i, row: advance(i, int(row.timestamp), row.level, bool(row.core_link), settings)
     slim = levelled.select("metric_name", "timestamp", "granularity", "ingest_seq", "level", "core_link")
-    return fold_by_key(slim, ["metric_name"], ["timestamp", "ingest_seq"], Incident, step, "status string, alert_level string, duration_sec long").drop("level", "core_link")
+    return fold_by_key(slim, ["metric_name"], ["timestamp", "ingest_seq"], Incident, step, "status string, alert_level string, duration_sec long", carry, "incident").drop("level", "core_link")
 
 
-def alert_events(judged: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def alert_events(judged: DataFrame, settings: Settings = DEFAULTS, carry: Carry | None = None) -> DataFrame:
     """Alerts of judged points (series, prediction and anomaly columns, core_link and business_line of the registry)."""
     levelled = with_level(judged, settings)
-    told = incidents(levelled, settings)
+    told = incidents(levelled, settings, carry)
     rows = told.join(levelled.drop("level"), ["metric_name", "timestamp", "granularity", "ingest_seq"])
     back = F.col("status") == "recovered"
     gone = F.concat(F.col("metric_name"), F.lit(" recovered after "), humanize_duration(F.col("duration_sec")))

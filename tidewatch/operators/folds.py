@@ -1,36 +1,83 @@
-"""Ordered folds over keys for operators that read their own earlier results."""
+"""Ordered folds over keys for operators that read their own earlier results, and what they carry from batch to batch."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Columns of stored states besides the key: which fold a state belongs to, and the pickled state itself, written and read by this engine alone.
+STATE = "metric_name string, kind string, state binary"
 
-def fold_by_key(df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, added: str) -> DataFrame:
+
+@dataclass
+class Carry:
+    """States of earlier batches (STATE), and those that this batch's folds have left by their kind."""
+
+    states: DataFrame | None = None
+    left: dict[str, DataFrame] = field(default_factory=dict)
+
+
+def _empty(kind: T.DataType):
+    """A value that isn't null for columns of rows that only carry a state."""
+    if isinstance(kind, T.StringType):
+        return F.lit("")
+    if isinstance(kind, T.BooleanType):
+        return F.lit(False)
+    if isinstance(kind, T.NumericType):
+        return F.lit(0).cast(kind)
+    return F.lit(None).cast(kind)
+
+
+def fold_by_key(df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, added: str, carry: Carry | None = None, kind: str = "") -> DataFrame:
     """df with the columns of ``added`` that step(state, row) gives for each row, in order within a key.
 
     Rows are dealt out and sorted by key, and read batch by batch with the state of the current key,
-    so a key may have more rows than fit in memory. step returns a tuple, or None for no row.
+    so a key may have more rows than fit in memory. step returns a tuple, or None for no row. With a
+    carry, keys of one name begin with the states of that kind, and their last states are left in it.
     """
-    extra = T.StructType.fromDDL(added)
+    extra, carries = T.StructType.fromDDL(added), carry is not None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        current, state, last = None, None, None
         for batch in batches:
-            out, kept = [], []
+            out, kept, ended = [], [], []
             of = list(zip(*(batch[k] for k in keys), strict=True))
+            held = batch["_state"].tolist() if carries else None
             for n, row in enumerate(batch.itertuples(index=False)):
                 if of[n] != current:
-                    current, state = of[n], start()
+                    if last is not None:
+                        ended.append(last.assign(_state=pickle.dumps(state)))
+                    current, state, last = of[n], start(), None
+                if held and held[n] is not None:
+                    state = pickle.loads(held[n])
+                    continue
                 got = step(state, row)
+                last = n if carries else None
                 if got is not None:
                     kept.append(n)
                     out.append(got)
+                if carries and (n + 1 == len(of) or of[n + 1] != current):
+                    last = batch.iloc[[n]].reset_index(drop=True)
             more = pd.DataFrame(out, columns=extra.names, index=batch.index[kept])
             yield pd.concat([batch.iloc[kept], more], axis=1)
+            for row in ended:
+                yield row.assign(**{c: pd.Series([None], dtype=object) for c in extra.names})
+        if last is not None:
+            yield last.assign(_state=pickle.dumps(state), **{c: pd.Series([None], dtype=object) for c in extra.names})
 
-    schema = T.StructType([*df.schema.fields, *extra.fields])
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    if carry is None:
+        return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, T.StructType([*df.schema.fields, *extra.fields]))
+    rows = df.withColumns({"_given": F.lit(1), "_state": F.lit(None).cast("binary")})
+    if carry.states is not None:
+        known = carry.states.where(F.col("kind") == kind).select(*keys, *(_empty(f.dataType).alias(f.name) for f in df.schema.fields if f.name not in keys), F.lit(0).alias("_given"), F.col("state").alias("_state"))
+        rows = rows.unionByName(known)
+    fields = [T.StructField(f.name, f.dataType) for f in rows.schema.fields]
+    found = rows.repartition(*keys).sortWithinPartitions(*keys, "_given", *order).mapInPandas(run, T.StructType([*fields, *extra.fields])).checkpoint()
+    carry.left[kind] = found.where("_state is not null").select("metric_name", F.lit(kind).alias("kind"), F.col("_state").alias("state"))
+    return found.where("_state is null").drop("_given", "_state")

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import local_time
 
-#: Tables and their keys.
+#: Tables and their keys. Tables of points are laid out by date; the others are small.
 KEYS = {
     "raw_points": ("metric_name", "timestamp"),
     "series_points": ("metric_name", "granularity", "timestamp"),
     "predictions": ("metric_name", "granularity", "timestamp"),
     "anomalies": ("metric_name", "granularity", "timestamp"),
+    "registry": ("metric_name",),
+    "assessments": ("metric_name", "since"),
+    "states": ("metric_name", "kind"),
 }
+POINTS = ("raw_points", "series_points", "predictions", "anomalies")
 
 
 def latest(df: DataFrame, keys: tuple[str, ...], version: str = "ingest_seq") -> DataFrame:
@@ -54,21 +58,53 @@ class HistoryStore:
     """Parquet tables under one path, appended by batch and read as their latest rows.
 
     An append carries its batch's number as version; a batch that is written again replaces its own
-    files, so a retried micro-batch changes nothing.
+    files, so a retried micro-batch changes nothing. A rewrite goes to a new generation, which counts
+    once its mark is there; only then the old one is removed, so a failure between loses nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, timezone: str = "Asia/Shanghai"):
         self.spark, self.path, self.timezone = spark, path, timezone
+        self._folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._files = self._folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def append(self, name: str, rows: DataFrame, batch: int) -> None:
+    def _at(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+
+    def _generation(self, name: str) -> str:
         if name not in KEYS:
             raise ValueError(f"no table {name}")
-        dated = rows.withColumns({"date": F.to_date(local_time(F.col("timestamp"), self.timezone)), "batch": F.lit(batch).cast("long")})
+        folder = self._at(name)
+        found = [f.getPath().getName() for f in self._files.listStatus(folder)] if self._files.exists(folder) else []
+        whole = [f for f in found if f.startswith("gen=") and self._files.exists(self._at(name, f, "_WHOLE"))]
+        return max(whole, key=lambda f: int(f[4:]), default="gen=0")
+
+    def append(self, name: str, rows: DataFrame, batch: int, generation: str | None = None) -> None:
+        target = f"{self.path}/{name}/{generation or self._generation(name)}/batch={batch}"
+        if name not in POINTS:
+            rows.drop("batch").write.mode("overwrite").parquet(target)
+            return
         # The date of a row is part of its file's path, and the batch above it is what a retry overwrites.
-        dated.drop("batch").write.mode("overwrite").partitionBy("date").parquet(f"{self.path}/{name}/batch={batch}")
+        dated = rows.drop("batch").withColumn("date", F.to_date(local_time(F.col("timestamp"), self.timezone)))
+        dated.write.mode("overwrite").partitionBy("date").parquet(target)
+
+    def _batches(self, name: str) -> list[int]:
+        folder = self._at(name, self._generation(name))
+        found = [f.getPath().getName() for f in self._files.listStatus(folder)] if self._files.exists(folder) else []
+        # A batch without a row has left a folder without data.
+        return [int(f[6:]) for f in found if f.startswith("batch=") and any(not x.getPath().getName().startswith("_") for x in self._files.listStatus(self._at(name, self._generation(name), f)))]
+
+    def next_batch(self) -> int:
+        """One more than the last batch of raw points."""
+        return max(self._batches("raw_points"), default=-1) + 1
 
-    def read(self, name: str) -> DataFrame:
-        return latest(self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}"), KEYS[name], "batch")
+    def has(self, name: str) -> bool:
+        return bool(self._batches(name))
+
+    def read(self, name: str, before: int | None = None) -> DataFrame:
+        """The latest row of each key; of batches before a number only, if one is given."""
+        base = f"{self.path}/{name}/{self._generation(name)}"
+        rows = self.spark.read.option("basePath", base).parquet(*(f"{base}/batch={n}" for n in self._batches(name)))
+        return latest(rows if before is None else rows.where(F.col("batch") < before), KEYS[name], "batch")
 
     def recent(self, name: str, metric: str, limit: int | None = None, since: int | None = None, granularity: str | None = None) -> DataFrame:
         rows = self.read(name).where(F.col("metric_name") == metric)
@@ -77,11 +113,30 @@ class HistoryStore:
         return rows.orderBy("timestamp") if limit is None else rows.orderBy(F.desc("timestamp")).limit(limit).orderBy("timestamp")
 
     def rewrite(self, name: str, keep, batch: int) -> int:
-        """Replace a table by what keep(DataFrame) leaves of it, as one batch; returns how many rows went."""
-        before = self.read(name)
-        left = keep(before).drop("batch", "date").checkpoint()
-        gone = before.count() - left.count()
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
-        self.append(name, left, batch)
+        """Replace a table by what keep(DataFrame) leaves of batches up to this number, as one batch; returns how many rows went."""
+        now = self._generation(name)
+        new = f"gen={int(now[4:]) + 1}"
+        before = self.read(name, before=batch + 1)
+        left = keep(before).drop("date").checkpoint()
+        if kept := left.count():
+            self.append(name, left, batch, new)
+        gone = before.count() - kept
+        self._files.create(self._at(name, new, "_WHOLE"), True).close()
+        self._files.delete(self._at(name, now), True)
         return gone
+
+    def retain(self, cutoff: int, batch: int) -> int:
+        """Drop points older than cutoff from all tables of points."""
+        return sum(self.rewrite(name, lambda d: prune(d, cutoff), batch) for name in POINTS if self.has(name))
+
+    def forget_idle(self, now: int, ttl: int, batch: int) -> list[str]:
+        """Drop the states and assessments of metrics without a point for ttl seconds; their points stay. Returns their names."""
+        if not self.has("raw_points") or not self.has("states"):
+            return []
+        idle = self.read("raw_points").groupBy("metric_name").agg(F.max("timestamp").alias("seen")).where(F.lit(now) - F.col("seen") >= ttl).select("metric_name")
+        gone = self.read("states").select("metric_name").distinct().join(idle, "metric_name").checkpoint()
+        names = sorted(r["metric_name"] for r in gone.collect())  # one row for each metric that has just become idle
+        if names:
+            for name in ("states", "assessments"):
+                self.rewrite(name, lambda d: d.join(gone, "metric_name", "left_anti"), batch)
+        return names

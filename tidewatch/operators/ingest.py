@@ -8,7 +8,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.folds import fold_by_key
+from tidewatch.operators.folds import Carry, fold_by_key
 from tidewatch.settings import DEFAULTS, EPS, Settings
 
 #: A point must have so many earlier ones before its jumps are clipped.
@@ -103,7 +103,7 @@ class Tail:
         return self.sizes[low] + (at - low) * (self.sizes[min(low + 1, len(self.sizes) - 1)] - self.sizes[low])
 
 
-def clip_jumps(points: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def clip_jumps(points: DataFrame, settings: Settings = DEFAULTS, carry: Carry | None = None) -> DataFrame:
     """Exact clipping: the limit comes from values that were clipped themselves, so a metric's points are folded in order."""
 
     def step(tail: Tail, row) -> tuple:
@@ -114,7 +114,7 @@ def clip_jumps(points: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         return (new,)
 
     keys = points.select("metric_name", "timestamp", "ingest_seq", "is_interpolated", "value")
-    folded = fold_by_key(keys, ["metric_name"], ["timestamp", "ingest_seq"], lambda: Tail(settings.jump_clip_history_window), step, "new_value double")
+    folded = fold_by_key(keys, ["metric_name"], ["timestamp", "ingest_seq"], lambda: Tail(settings.jump_clip_history_window), step, "new_value double", carry, "clip")
     joined = points.join(folded.select("metric_name", "timestamp", "ingest_seq", "is_interpolated", "new_value"), ["metric_name", "timestamp", "ingest_seq", "is_interpolated"])
     return joined.withColumns(_clipped(F.col("value"), F.col("new_value"), F.col("new_value") >= 0)).drop("new_value")
 

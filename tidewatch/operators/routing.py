@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import coefficient_of_variation, granularity_label, priority_score, route_seconds
-from tidewatch.operators.folds import fold_by_key
+from tidewatch.operators.folds import Carry, fold_by_key
 from tidewatch.settings import DEFAULTS, EPS, PRIORITY_SCORES, Settings
 
 SECOND_LAGS, MINUTE_LAGS = (86400, 604800), (1440, 10080)
@@ -62,11 +62,12 @@ def assess(points: DataFrame, registry: DataFrame, settings: Settings = DEFAULTS
     )
 
 
-def eligibility_times(points: DataFrame, registry: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def eligibility_times(points: DataFrame, registry: DataFrame, settings: Settings = DEFAULTS, carry: Carry | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """Throttled assessments: metric_name, since, eligible. At first sight, then a day later, or a week after a success.
 
     A forced metric is assessed once. History is what lies within eligibility_history_sec before a point;
-    the fold keeps as much of a metric, and what came since its last assessment.
+    the fold keeps as much of a metric, and what came since its last assessment. earlier: stored points
+    of metrics that the carry has no state of; they are history and aren't assessed themselves.
     """
 
     def start() -> dict:
@@ -76,6 +77,8 @@ def eligibility_times(points: DataFrame, registry: DataFrame, settings: Settings
         now = int(row.timestamp)
         s["ts"].append(now)
         s["v"].append(row.value)
+        if row.earlier:
+            return None
         if s["due"] is not None and now < s["due"]:
             return None
         first = bisect.bisect_left(s["ts"], now - settings.eligibility_history_sec)
@@ -84,8 +87,11 @@ def eligibility_times(points: DataFrame, registry: DataFrame, settings: Settings
         s["due"] = math.inf if row.force_ai else now + (settings.eligibility_refresh_interval_sec if ok else settings.eligibility_retry_interval_sec)
         return now, ok
 
-    known = points.select("metric_name", "timestamp", "value").join(registry.select("metric_name", "priority", "force_ai"), "metric_name")
-    return fold_by_key(known, ["metric_name"], ["timestamp"], start, step, "since long, eligible boolean").select("metric_name", "since", "eligible")
+    rows = points.select("metric_name", "timestamp", "value", F.lit(False).alias("earlier"))
+    if earlier is not None:
+        rows = rows.unionByName(earlier.select("metric_name", "timestamp", "value", F.lit(True).alias("earlier")))
+    known = rows.join(registry.select("metric_name", "priority", "force_ai"), "metric_name")
+    return fold_by_key(known, ["metric_name"], ["timestamp"], start, step, "since long, eligible boolean", carry, "eligibility").select("metric_name", "since", "eligible")
 
 
 def _score(ts: np.ndarray, v: np.ndarray, priority: str, settings: Settings) -> float:

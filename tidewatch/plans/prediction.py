@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from tidewatch.functions.kernels import huber_forecast, kde_bounds
 from tidewatch.operators.features import Rolling
-from tidewatch.operators.folds import fold_by_key
+from tidewatch.operators.folds import Carry, fold_by_key
 from tidewatch.settings import DEFAULTS, EPS, MAX_Z_HISTORY, RECENT_LIMIT, Settings
 
 ADDED = (
@@ -94,7 +94,7 @@ def judge(s: State, now: int, x: float, p: float, p70: float, p30: float, label:
     return z, low, high, name, "up" if z > high else "down" if z < low else "normal", abnormal
 
 
-def predict_and_judge(series: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def predict_and_judge(series: DataFrame, settings: Settings = DEFAULTS, carry: Carry | None = None) -> DataFrame:
     """series: metric_name, timestamp, granularity, value, mode, base_value, factor, local_score; rows of zero_rule have their own plan."""
 
     def step(s: State, row) -> tuple:
@@ -113,4 +113,4 @@ def predict_and_judge(series: DataFrame, settings: Settings = DEFAULTS) -> DataF
         rolling.add(now, x)
         return p, low, high, "seasonal_adjustment" if row.mode == "ai" else "minute_huber", diff, mean, sd, p70, p30, z, lower, upper, name, way, abnormal
 
-    return fold_by_key(series, ["metric_name"], ["timestamp", "ingest_seq"], State, step, ADDED)
+    return fold_by_key(series, ["metric_name"], ["timestamp", "ingest_seq"], State, step, ADDED, carry, "prediction")

@@ -17,7 +17,6 @@ CANDIDATE_PERIODS = {"1s": (60, 300, 3600, 86400), "1m": (60, 1440), "5m": (12,
 @dataclass(frozen=True)
 class Settings:
     timezone: str = "Asia/Shanghai"
-    max_history_points: int = 12000
     history_weeks_required: int = 4
     max_missing_fill: int = 3
     jump_clip_multiplier: float = 10.0
@@ -49,7 +48,6 @@ class Settings:
     data_retention_sec: int = 2592000
     second_history_window: int = 4000
     minute_history_window: int = 600
-    prediction_window: int = 600
     anomaly_window: int = 4000
     priority_route_seconds: dict[str, int] = field(default_factory=lambda: {"P0": 60, "P1": 300, "P2": 600, "P3": 1800})
 
