@@ -324,7 +324,7 @@ hub AS (
   SELECT id, 0 AS r, {line} AS l, false AS done FROM (SELECT *, struct_pack({sums}) AS z FROM (SELECT *, list_transform(y, lambda v: 1.0::DOUBLE) AS w FROM hub0))
   UNION ALL SELECT id, r + 1, f, abs(f.i - l.i) <= 1e-6 + 1e-5 * abs(l.i) AND abs(f.s - l.s) <= 1e-6 + 1e-5 * abs(l.s) FROM (SELECT *, {line} AS f FROM (SELECT *, struct_pack({sums}) AS z FROM (
     SELECT *, list_transform(o, lambda v: CASE WHEN abs(v) > lim THEN lim / abs(v) ELSE 1 END) AS w FROM (SELECT *, 1.35 * greatest(1.4826 * list_median(list_transform(o, lambda v: abs(v - m))), sd, 1e-6) AS lim FROM (
-      SELECT *, list_median(o) AS m, list_stddev_pop(o) AS sd FROM (SELECT hub.*, y, x, x2, xy, {off} AS o FROM hub JOIN hub0 USING (id) WHERE NOT done AND r < {rounds})))))),
+      SELECT *, list_median(o) AS m, list_stddev_pop(o) AS sd FROM (SELECT hub.*, y, x, x2, xy, {off} AS o FROM hub JOIN hub0 USING (id) WHERE NOT done AND r < {rounds}))))))),
 hubl AS (SELECT id, l.i + l.s * (len(y) + 1) AS forecast, greatest(list_stddev_pop({off}), 1e-6) AS deviation FROM (SELECT id, arg_max(l, r) AS l FROM hub GROUP BY id) JOIN hub0 USING (id))"""
 
 
@@ -421,7 +421,7 @@ gr AS (SELECT st.*, i, lo - 3 * h + i * (hi - lo + 6 * h) / 511 AS g FROM st, ra
 dn AS (SELECT metric_name, segment, i, g, sum(exp(-0.5 * pow((g - z) / h, 2))) AS d FROM gr JOIN zs USING (metric_name, segment) GROUP BY ALL),
 sh AS (SELECT *, sum(d) OVER (PARTITION BY metric_name, segment ORDER BY i) / greatest(sum(d) OVER (PARTITION BY metric_name, segment), 1e-6) AS share FROM dn),
 pt AS (SELECT *, lag(share) OVER w AS ps, lag(g) OVER w AS pg FROM sh WINDOW w AS (PARTITION BY metric_name, segment ORDER BY i)),
-cut AS (SELECT metric_name, segment, min(CASE WHEN share >= 0.025 THEN CASE WHEN ps IS NULL THEN g ELSE pg + (0.025 - ps) * (g - pg) / (share - ps) END END) AS kl, min(CASE WHEN share >= 0.975 THEN CASE WHEN ps IS NULL THEN g ELSE pg + (0.975 - ps) * (g - pg) / (share - ps) END END) AS kh FROM pt GROUP BY ALL)"""
+cut AS (SELECT metric_name, segment, arg_min(CASE WHEN ps IS NULL THEN g ELSE pg + (0.025 - ps) * (g - pg) / (share - ps) END, i) FILTER (WHERE share >= 0.025) AS kl, arg_min(CASE WHEN ps IS NULL THEN g ELSE pg + (0.975 - ps) * (g - pg) / (share - ps) END, i) FILTER (WHERE share >= 0.975) AS kh FROM pt GROUP BY ALL)"""
 
 
 @query("kde_bounds", KDE + " SELECT metric_name, segment, round(CASE WHEN n < 20 THEN ql ELSE kl END, 4) AS lower, round(CASE WHEN n < 20 THEN qh ELSE kh END, 4) AS upper FROM st LEFT JOIN cut USING (metric_name, segment)")
