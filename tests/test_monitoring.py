@@ -120,6 +120,14 @@ def test_kernels():
     assert kernels.mann_kendall(range(10))[0] and kernels.mann_kendall([1, 2, 3]) == (False, 1.0)
 
 
+@pytest.mark.parametrize("width", [0.1, 0.4, 1.5])
+def test_density_equals_the_sum_over_all_pairs(width):
+    x = np.random.default_rng(2).standard_t(3, 3000)
+    grid = np.linspace(x.min() - 3 * width, x.max() + 3 * width, 512)
+    want = np.exp(-0.5 * ((grid[None] - x[:, None]) / width) ** 2).sum(axis=0)
+    assert np.allclose(kernels._density(x, grid, width), want, rtol=1e-10, atol=1e-9)
+
+
 def test_minutes_that_were_abnormal_count_as_predicted():
     tail = [(1.0, 1.0, False)] * 2 + [(5.0, 40.0, True)]
     assert predict_minute(State(), 3.0, tail)[0] == pytest.approx((1 + 1 + 40) / 3)
