@@ -443,3 +443,68 @@ def test_every_covered_text_holds_a_needed_word():
         words = licenses.words_of(t)
         need = licenses.needed_words(words, licenses.COVERAGE)
         assert sum(w not in need for w in words) < licenses.COVERAGE * len(words)
+
+
+def test_licenses_stand_twice_cut_up_and_side_by_side(spark):
+    prose = "the use of software in the language is a matter of taste and you may think of it "
+    mit, apache = licenses.TEMPLATES["MIT-text"], licenses.TEMPLATES["Apache-2.0-notice"]
+    words = mit.split()
+    texts = {
+        prose + mit + " " + prose + mit + " " + prose: ["MIT-text", "MIT-text"],
+        prose + " ".join([*words[:25], *["zork"] * 12, *words[25:]]) + " " + prose: ["MIT-text"],
+        apache + " " + apache + " " + apache: ["Apache-2.0-notice"] * 3,
+        prose + licenses.TEMPLATES["MIT-full"].upper() + " " + prose: ["MIT-full"],
+        licenses.TEMPLATES["BSD-3-Clause-full"] + prose + licenses.TEMPLATES["ISC-full"]: ["BSD-3-Clause-full", "ISC-full"],
+        " ".join(words[: len(words) // 2]): [],
+        "Released under the MIT License. " * 4: ["MIT"] * 4,
+        prose * 5000 + mit + prose * 5000: ["MIT-text"],
+    }
+    df = spark.createDataFrame(make([*texts, next(iter(texts))]), DOCS)
+    got = {r.doc_id: r.licenses for r in licenses.find_licenses(df).collect()}
+    for n, (text, want) in enumerate(texts.items()):
+        assert sorted(x.name for x in got[n]) == want
+        for x in got[n]:
+            found, own = licenses.words_of(text[x.begin : x.end]), licenses.words_of(licenses.TEMPLATES[x.name])
+            assert round(x.coverage * len(own)) <= brute_align(found, own) and x.coverage >= licenses.COVERAGE
+    assert got[len(texts)] == got[0]
+
+
+def test_very_long_texts(spark):
+    """One text of a few megabytes among short ones, and a copy of it with a word less."""
+    g = np.random.default_rng(6)
+    words = [f"w{n}" for n in g.integers(0, 40_000, 300_000)]
+    long = " ".join(words)
+    df = spark.createDataFrame(make([long, " ".join(words[:-1]), "short", None, "x" * 200_000, "Released under the MIT License."]), DOCS)
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
+    assert near[0][1] == near[1][1] == 0 and near[2] == (1, 2) and near[0][0] >= 299_000
+    cut = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert cut[0] == (len(long), len(long) - len(words[-1]) - 1) or cut[0][1] >= len(long) - 10
+    assert cut[2] == (5, 0) and cut[4] == (200_000, 200_000)
+    coded = byte_bpe.round_trip(df.where("doc_id <> 1")).select("doc_id", "text", "decoded").collect()
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in coded)
+    lm = {r.doc_id: r.n_tokens for r in lm_scoring.score_texts(df, F.when(F.col("doc_id") == 1, 1).otherwise(2)).collect()}
+    assert lm == {0: 300_001, 1: 300_000, 2: 2, 3: 1, 4: 2, 5: 6}
+    found = {r.doc_id: [x.name for x in r.licenses] for r in licenses.find_licenses(df).collect()}
+    assert found == {0: [], 1: [], 2: [], 3: [], 4: [], 5: ["MIT"]}
+    bench = spark.createDataFrame([(1, " ".join(words[1000:1010]))], "item_id long, text string")
+    hit = {r.doc_id: (r.n_words, r.n_hit) for r in decontamination.decontaminate(df, bench).collect()}
+    assert hit[0] == (300_000, 10) and hit[1] == (299_999, 10) and hit[2] == (1, 0)
+    assert {r.doc_id for r in quality.vectors(df).collect()} == set(range(6))
+    assert {r.doc_id: r.size for r in sharding.interleaved_shards(df).collect()}[0] == len(long) + 8
+
+
+def test_rows_without_ids_spread_over_shards(spark):
+    df = spark.createDataFrame([(None, f"t{n}", "en", "s", 1) for n in range(240)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert Counter(r.shard for r in sharding.interleaved_shards(df).collect()) == {s: 10 for s in range(24)}
+
+
+def test_heavy_names_are_counted_like_sorted_ones(spark):
+    """A passage shorter than the length in many surroundings, some of which repeat."""
+    own = random.Random(5)
+    noise = lambda n: "".join(own.choice("abcdefghij ") for _ in range(n))
+    middle, pairs = noise(60), [noise(80) for _ in range(12)]
+    texts = [noise(70) + pairs[n % 12][:40] + middle + pairs[n % 12][40:] + noise(70) for n in range(60)]
+    df = spark.createDataFrame(make(texts), DOCS)
+    few = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, 100, 16, shard_bytes=500).collect()}
+    assert few == {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, 100, 16, shard_bytes=1 << 30).collect()}
+    assert all(v[0] >= 140 for v in few.values())

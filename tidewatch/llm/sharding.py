@@ -27,7 +27,8 @@ from tidewatch.session import table
 def interleaved_shards(docs: DataFrame, n_shards: int = 24, seed: str = "mix-1", buckets: int = 4096) -> DataFrame:
     """Return doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
     digits = next(d for d in range(1, 9) if 16**d >= buckets)
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # Rows without an id go by their text, so that they don't all share one key.
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.sha1(F.coalesce("text", F.lit("")))))))
     rows = docs.select(
         "doc_id",
         F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")).alias("stratum"),

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import UPPER
-from tidewatch.session import table
+from tidewatch.session import ensure_checkpoint_dir, table
 
 #: (rule, verdict); a rule is host and path prefix.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -83,9 +83,10 @@ def _strength(rates: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def host_reputation(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """From (host, good 0/1): posterior (a, b) by host, domain, suffix and for all."""
+    ensure_checkpoint_dir(labelled.sparkSession)
     domain, suffix = domain_columns(F.col("host"))
-    hosts = labelled.where("good is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").cast("double").alias("good")).withColumns({"domain": domain, "suffix": suffix})
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    hosts = labelled.where("good is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").cast("double").alias("good")).withColumns({"domain": domain, "suffix": suffix}).checkpoint()  # four levels read these counts
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).checkpoint()
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0.0)).alias("good"))
 
