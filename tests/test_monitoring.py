@@ -306,3 +306,11 @@ def test_states_expire_with_event_time(spark, tmp_path):
     query.awaitTermination(120)
     assert query.exception() is None
     assert {(r.metric_name, r.timestamp, r.status, r.duration_sec) for r in spark.table("expired").collect()} >= {("a", T, "firing", 0), ("a", T + 30_000, "firing", 0)}
+
+
+def test_registry_is_read_named_and_cleared(spark):
+    reg = ingest.register(points_of(spark, [("a", T, 1, "AA", "P0", "rate", {}), ("b", T, 1, "BB", "P3", "count", {})]))
+    assert sorted(r.metric_name for r in ingest.registry_names(reg).collect()) == ["a", "b"]
+    assert ingest.registry_entry(reg, "b").first().priority == "P3" and ingest.registry_entry(reg, "c").first() is None
+    known = spark.createDataFrame([("a", T, True), ("b", T, False)], "metric_name string, since long, eligible boolean")
+    assert [r.metric_name for r in ingest.clear_eligibility(known, "a").collect()] == ["b"] and ingest.clear_eligibility(known).count() == 0

@@ -136,3 +136,17 @@ def reload_registry(current: DataFrame, loaded: DataFrame, eligibility: DataFram
 
 def upsert_registry(current: DataFrame, changed: DataFrame) -> DataFrame:
     return changed.unionByName(current.join(changed.select("metric_name"), "metric_name", "left_anti"))
+
+
+def registry_names(registry: DataFrame) -> DataFrame:
+    return registry.select("metric_name").distinct()
+
+
+def registry_entry(registry: DataFrame, metric: str) -> DataFrame:
+    """The row of one metric, or none."""
+    return registry.where(F.col("metric_name") == metric)
+
+
+def clear_eligibility(assessed: DataFrame, metric: str | None = None) -> DataFrame:
+    """Assessments without those of one metric, or without any."""
+    return assessed.where(F.col("metric_name") != metric) if metric is not None else assessed.limit(0)

@@ -10,6 +10,7 @@ from tidewatch.functions.kernels import huber_of, kde_of, mann_kendall_p
 from tidewatch.operators import alerts, calendars, detect, features, history, ingest, routing
 from tidewatch.operators.downsample import downsample
 from tidewatch.operators.zero_rule import zero_rule
+from tidewatch.plans.prediction import predict_and_judge
 from tidewatch.plans.replay import replay
 from tidewatch.settings import MAX_Z_HISTORY
 from tidewatch.sources.points import demo_points, demo_registry, event_points
@@ -288,6 +289,25 @@ def _(spark, d):
     return features.ewma_correction(rates).select("metric_name", *r4("correction_rate"))
 
 
+SEASON = _recursive(CAL) + ROLL[len(PTS):] + """, base AS (SELECT metric_name, timestamp, coalesce(quantile_cont(value, 0.5) OVER slot, quantile_cont(value, 0.5) OVER sec, avg(value) OVER rec, value) AS b FROM cal
+  WINDOW slot AS (PARTITION BY metric_name, weekday, hour, minute, second, "isHoliday" ORDER BY timestamp ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING),
+  sec AS (PARTITION BY metric_name, second ORDER BY timestamp ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), rec AS (PARTITION BY metric_name ORDER BY timestamp ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)),
+rows_ AS MATERIALIZED (SELECT metric_name, timestamp, value AS x, b, 0.2 * greatest(abs(m), abs(value), 1e-3) AS most, row_number() OVER (PARTITION BY metric_name ORDER BY timestamp) AS n FROM base JOIN roll USING (metric_name, timestamp)),
+sea AS (
+  SELECT metric_name, 0::BIGINT AS n, 0::BIGINT AS timestamp, 1.0::DOUBLE AS correction, 0.01::DOUBLE AS sd, []::DOUBLE[] AS tail, 0.0::DOUBLE AS p, 0.0::DOUBLE AS lower, 0.0::DOUBLE AS upper, 0.0::DOUBLE AS diff FROM (SELECT DISTINCT metric_name FROM rows_)
+  UNION ALL SELECT metric_name, n, timestamp, least(greatest(0.9 * correction + 0.1 * x / greatest(pre, 1e-6), 0.5), 1.5), greatest(0.9 * sd + 0.1 * abs(x - p), 0.001),
+    list_append(CASE WHEN len(tail) >= 120 THEN tail[2:] ELSE tail END, x - p), p, greatest(p - 2 * sd, 0), p + 2 * sd, diff FROM (
+    SELECT *, greatest(pre * correction, 1e-6) AS p FROM (SELECT *, greatest(b + diff, 0.5 * b, 1e-6) AS pre FROM (
+      SELECT rows_.*, correction, sd, tail, least(greatest(coalesce(list_avg(tail), 0), -most), most) AS diff FROM sea JOIN rows_ ON rows_.metric_name = sea.metric_name AND rows_.n = sea.n + 1))))"""
+
+
+@query("seasonal_predict", SEASON + ' SELECT metric_name, timestamp, round(p + 0.0000137, 4) AS predict_value, round(lower + 0.0000137, 4) AS predict_lower, round(upper + 0.0000137, 4) AS predict_upper, round(diff + 0.0000137, 4) AS "baseDayDiff" FROM sea WHERE n > 0')
+def _(spark, d):
+    series = features.aligned_baseline(calendared(spark, d)).withColumns({"mode": F.lit("ai"), "factor": F.lit(1.0), "local_score": F.lit(0.0)})
+    slim = series.select("metric_name", "timestamp", "granularity", "value", "ingest_seq", "mode", "base_value", "factor", "local_score")
+    return predict_and_judge(slim).select("metric_name", "timestamp", *s4("predict_value", "predict_lower", "predict_upper", "baseDayDiff"))
+
+
 # Zero rule
 
 ZERO = PTS + ", b AS (" + _buckets("CASE priority WHEN 'P2' THEN 600 ELSE 1800 END").replace("FROM ded)", "FROM ded WHERE priority IN ('P2', 'P3'))") + """),
