@@ -470,25 +470,25 @@ def test_licenses_stand_twice_cut_up_and_side_by_side(spark):
 
 
 def test_very_long_texts(spark):
-    """One text of a few megabytes among short ones, and a copy of it with a word less."""
+    """One text of more than half a megabyte among short ones, and a copy of it with a word less."""
     g = np.random.default_rng(6)
-    words = [f"w{n}" for n in g.integers(0, 40_000, 300_000)]
+    words = [f"w{n}" for n in g.integers(0, 40_000, 100_000)]
     long = " ".join(words)
     df = spark.createDataFrame(make([long, " ".join(words[:-1]), "short", None, "x" * 200_000, "Released under the MIT License."]), DOCS)
     near = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
-    assert near[0][1] == near[1][1] == 0 and near[2] == (1, 2) and near[0][0] >= 299_000
+    assert near[0][1] == near[1][1] == 0 and near[2] == (1, 2) and near[0][0] >= 99_000
     cut = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect()}
     assert cut[0] == (len(long), len(long) - len(words[-1]) - 1) or cut[0][1] >= len(long) - 10
     assert cut[2] == (5, 0) and cut[4] == (200_000, 200_000)
     coded = byte_bpe.round_trip(df.where("doc_id <> 1")).select("doc_id", "text", "decoded").collect()
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in coded)
     lm = {r.doc_id: r.n_tokens for r in lm_scoring.score_texts(df, F.when(F.col("doc_id") == 1, 1).otherwise(2)).collect()}
-    assert lm == {0: 300_001, 1: 300_000, 2: 2, 3: 1, 4: 2, 5: 6}
+    assert lm == {0: 100_001, 1: 100_000, 2: 2, 3: 1, 4: 2, 5: 6}
     found = {r.doc_id: [x.name for x in r.licenses] for r in licenses.find_licenses(df).collect()}
     assert found == {0: [], 1: [], 2: [], 3: [], 4: [], 5: ["MIT"]}
     bench = spark.createDataFrame([(1, " ".join(words[1000:1010]))], "item_id long, text string")
     hit = {r.doc_id: (r.n_words, r.n_hit) for r in decontamination.decontaminate(df, bench).collect()}
-    assert hit[0] == (300_000, 10) and hit[1] == (299_999, 10) and hit[2] == (1, 0)
+    assert hit[0] == (100_000, 10) and hit[1] == (99_999, 10) and hit[2] == (1, 0)
     assert {r.doc_id for r in quality.vectors(df).collect()} == set(range(6))
     assert {r.doc_id: r.size for r in sharding.interleaved_shards(df).collect()}[0] == len(long) + 8
 
