@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.llm.common import tidy
 from tidewatch.llm.hashing import mix
 
 #: 8 MB on the driver and in a task, whatever the corpus' size.
@@ -25,7 +26,7 @@ def table_of(df: DataFrame, column: str) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(places_of(batch.column(0).to_numpy()) + 1)], ["place"])
 
-    found = df.select(column).where(F.col(column).isNotNull()).mapInArrow(places, "place long")
+    found = df.select(column).where(F.col(column).isNotNull()).mapInArrow(tidy(places), "place long")
     pages = found.groupBy(F.bitmap_bucket_number("place").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     bits = np.zeros(BITS // 8, np.uint8)
     for r in pages.collect():  # BITS in all; pages and the places in them count from 1
@@ -48,4 +49,4 @@ def marked(df: DataFrame, column: str, bits: np.ndarray, name: str) -> DataFrame
             may = in_table(bits, numbers.fill_null(0).to_numpy()) & numbers.is_valid().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may)], [*batch.schema.names, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))

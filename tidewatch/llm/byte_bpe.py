@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import small_batches
+from tidewatch.llm.common import small_batches, tidy
 from tidewatch.session import ensure_checkpoint_dir, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -45,7 +45,7 @@ UNSURE = 8
 
 
 #: Distinct pre-tokens that a task keeps, and bytes of the longest; the rank of a pair that is no token.
-KEPT, KEPT_BYTES, NEVER = 200_000, 64, 1 << 62
+KEPT, KEPT_BYTES, NEVER = 50_000, 64, 1 << 62
 
 
 def merged(raw: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -236,7 +236,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, ov
 def decode(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """df with a column decoded: the raw bytes of its column ids."""
     df = df.drop("decoded")
-    return df.mapInArrow(_decode(vocabulary), _with(df, DECODED))
+    return df.mapInArrow(tidy(_decode(vocabulary)), _with(df, DECODED))
 
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -249,16 +249,16 @@ def _encoded(docs: DataFrame, vocabulary: str, chunk: int, overlap: int, decoded
     ensure_checkpoint_dir(docs.sparkSession)
     is_long = F.coalesce(F.char_length("text") > chunk, F.lit(False))
     short = docs.where(~is_long)
-    short = short.mapInArrow(_encode_whole(vocabulary, decoded), _with(short, IDS, *[DECODED] * decoded))
+    short = short.mapInArrow(tidy(_encode_whole(vocabulary, decoded)), _with(short, IDS, *[DECODED] * decoded))
 
     # A row's number follows from the input's splits, so a lost task finds the same numbers again.
     rows = docs.where(is_long).withColumn("__tw_row", F.monotonically_increasing_id())
     chunks = (
         rows.select(F.col("__tw_row").alias("row"), "text")
-        .mapInArrow(_cut(chunk, overlap), "row long, n int, last boolean, chunk string")
+        .mapInArrow(tidy(_cut(chunk, overlap)), "row long, n int, last boolean, chunk string")
         .repartition("row", "n")
     )
-    marked = chunks.mapInArrow(_starts(vocabulary, chunk, overlap), _with(chunks, ("head", T.ArrayType(T.LongType())), ("tail", T.ArrayType(T.LongType()))))
+    marked = chunks.mapInArrow(tidy(_starts(vocabulary, chunk, overlap)), _with(chunks, ("head", T.ArrayType(T.LongType())), ("tail", T.ArrayType(T.LongType()))))
     in_row = Window.partitionBy("row").orderBy("n")
     stitched = (
         marked.withColumn("end", F.array_min(F.array_intersect("tail", F.lead("head").over(in_row))))
@@ -271,7 +271,7 @@ def _encoded(docs: DataFrame, vocabulary: str, chunk: int, overlap: int, decoded
         pieces = cut.groupBy("row", "piece").agg(
             F.sort_array(F.collect_list(F.struct("n", "chunk"))).alias("parts"), F.coalesce(F.min_by("begin", "n"), F.lit(0).cast("long")).alias("begin"), F.max_by("end", "n").alias("end")
         )
-        return pieces.mapInArrow(_encode_pieces(vocabulary, chunk), "row long, begin long, ids array<int>, passes boolean")
+        return pieces.mapInArrow(tidy(_encode_pieces(vocabulary, chunk)), "row long, begin long, ids array<int>, passes boolean")
 
     first = encoded(stitched).checkpoint()
     astray = first.where("not passes").select("row").distinct()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import small_batches
+from tidewatch.llm.common import small_batches, tidy
 from tidewatch.session import table
 
 #: Usual wordings of license notices.
@@ -225,7 +225,7 @@ def find_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cov
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, FOUND)], ["doc_id", "licenses"])
 
     may = F.col("text").rlike("(?i)" + "|".join(needed))
-    return docs.select("doc_id", F.when(may, F.col("text")).alias("text")).mapInArrow(run, "doc_id long, licenses array<struct<name: string, coverage: double, begin: long, end: long>>")
+    return docs.select("doc_id", F.when(may, F.col("text")).alias("text")).mapInArrow(tidy(run), "doc_id long, licenses array<struct<name: string, coverage: double, begin: long, end: long>>")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import id_fold, small_batches
+from tidewatch.llm.common import id_fold, small_batches, tidy, tidy_group
 from tidewatch.llm.hashing import END, mix, token_hashes
 from tidewatch.session import table
 
@@ -270,7 +270,7 @@ def hot_keys(texts: DataFrame, share: float) -> np.ndarray:
     seen = texts.where(F.pmod(F.col("key"), F.lit(50)) == 0).select("text")
     # Tokens are counted as blanks, near enough for a share.
     tokens = seen.agg(F.sum(F.length("text") - F.length(F.translate("text", " ", ""))).alias("n")).first()["n"] or 0
-    often = seen.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, share * tokens)).orderBy(F.desc("n"), "key").limit(int(2 / share))
+    often = seen.mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, share * tokens)).orderBy(F.desc("n"), "key").limit(int(2 / share))
     return np.sort(np.array([r["key"] for r in often.collect()], np.int64).astype(np.uint64))
 
 
@@ -284,8 +284,8 @@ def score_texts(docs: DataFrame, kind: F.Column, parts: int | None = None) -> Da
         size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
         parts = max(12, -(-size // PART_BYTES))
     hot = hot_keys(rows, 1 / max(1000, HOT * parts))
-    packed = rows.select("key", "kind", "text").mapInArrow(_pack(hot, parts), PACKED)
-    asked = packed.groupBy("part").applyInPandas(_ask(hot), "part int, word long, is_pair boolean, train long, kept long")
+    packed = rows.select("key", "kind", "text").mapInArrow(tidy(_pack(hot, parts)), PACKED)
+    asked = packed.groupBy("part").applyInPandas(tidy_group(_ask(hot)), "part int, word long, is_pair boolean, train long, kept long")
     of_word = Window.partitionBy("word", "is_pair")
     answers = asked.select("part", "word", "is_pair", F.sum("train").over(of_word).alias("all_train"), F.sum("kept").over(of_word).alias("all_kept"), (F.row_number().over(of_word.orderBy("part")) == 1).alias("first"))
     own = F.col("first") & ~F.col("is_pair")
@@ -293,7 +293,7 @@ def score_texts(docs: DataFrame, kind: F.Column, parts: int | None = None) -> Da
     sums = answers.agg(number(F.col("all_train")).alias("total"), number(F.col("all_kept")).alias("n_kept"), number((F.col("all_train") > 0).cast("long")).alias("vocabulary"))
     bins = (
         packed.groupBy("part").cogroup(answers.groupBy("part"))
-        .applyInPandas(_histogram(hot), "bucket long, bin2 long, bin1 long, n long, sum2 double, sum1 double")
+        .applyInPandas(tidy_group(_histogram(hot)), "bucket long, bin2 long, bin1 long, n long, sum2 double, sum1 double")
         .groupBy("bucket", "bin2", "bin1").agg(F.sum("n").alias("n"), F.sum("sum2").alias("sum2"), F.sum("sum1").alias("sum1"))
     )
     one = F.lit(1).alias("one")
@@ -301,12 +301,12 @@ def score_texts(docs: DataFrame, kind: F.Column, parts: int | None = None) -> Da
     # Without held-out tokens one empty bin stands for them, so the weights are there in any case.
     learned = (
         facts.join(bins.withColumn("one", F.lit(1)), "one", "left").na.fill(0)
-        .groupBy("one").applyInPandas(_weights, "weights binary").withColumn("one", F.lit(1))
+        .groupBy("one").applyInPandas(tidy_group(_weights), "weights binary").withColumn("one", F.lit(1))
         .join(facts.select("one", "total", F.col("n_words").alias("vocabulary")), "one")
     )
     told = answers.select("part", "word", "is_pair", "all_train", one).join(F.broadcast(learned), "one").drop("one")
-    scored = packed.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(_sums(hot, max(12, parts // 8)), "home int, keys binary, n_tokens binary, n_known binary, base_score binary, score binary")
-    by_key = scored.groupBy("home").applyInPandas(_add_up, "key long, n_tokens long, n_known long, base_score double, score double")
+    scored = packed.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(tidy_group(_sums(hot, max(12, parts // 8))), "home int, keys binary, n_tokens binary, n_known binary, base_score binary, score binary")
+    by_key = scored.groupBy("home").applyInPandas(tidy_group(_add_up), "key long, n_tokens long, n_known long, base_score double, score double")
     copies = rows.groupBy("key", "doc_id", "kind").agg(F.count("*").alias("copies"))
     each = copies.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).join(by_key, "key").withColumn("one", F.lit(1))
     return each.join(F.broadcast(learned.select("one", "total")), "one").select(

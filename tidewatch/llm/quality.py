@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import id_fold, small_batches
+from tidewatch.llm.common import id_fold, small_batches, tidy
 from tidewatch.session import ensure_checkpoint_dir, table
 
 NAMES = ("length", "letters", "upper", "digits", "marks", "odd_marks", "pipes", "high", "lines", "word_length", "word_spread", "distinct_words", "distinct_lines", "short_words", "end_marks")
@@ -121,7 +121,7 @@ class Discriminant:
 def fit(labelled: DataFrame, towards_pooled: float = 0.3, towards_diagonal: float = 0.01) -> Discriminant:
     """labelled: x, label. Fitted on all rows whose label is 0 or 1."""
     rows = labelled.where("label in (0, 1)").select("x", F.col("label").cast("int").alias("label"))
-    parts = rows.mapInArrow(_sums, "label int, i int, j int, total double")
+    parts = rows.mapInArrow(tidy(_sums), "label int, i int, j int, total double")
     sums = {c: np.zeros((D + 1, D + 1)) for c in (0, 1)}
     for r in parts.groupBy("label", "i", "j").agg(F.sum("total").alias("total")).collect():  # 2 (D + 1)^2 rows
         sums[r["label"]][r["i"], r["j"]] = r["total"]
@@ -130,7 +130,7 @@ def fit(labelled: DataFrame, towards_pooled: float = 0.3, towards_diagonal: floa
 
 def vectors(docs: DataFrame) -> DataFrame:
     """doc_id and x, the packed statistics of each row; joins with these move no texts."""
-    return docs.select("doc_id", "text").mapInArrow(_vectors, "doc_id long, x binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_vectors), "doc_id long, x binary")
 
 
 def training_rows(of_docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: Discriminant, name: str = "score") -> DataFram
             found = model.score(_matrix(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -161,7 +161,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_unpacked(batch)), pa.float64())], ["doc_id", "score"])
 
-    return of_docs.mapInArrow(run, "doc_id long, score double").select(
+    return of_docs.mapInArrow(tidy(run), "doc_id long, score double").select(
         "doc_id",
         (id_fold(F.col("doc_id"), 4) == 2).alias("held_out"),
         "score",
