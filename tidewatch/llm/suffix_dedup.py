@@ -37,12 +37,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.bits import in_table, marked, table_of
-from tidewatch.llm.common import small_batches
+from tidewatch.llm.common import small_batches, tidy, tidy_group
 from tidewatch.llm.hashing import mix
 from tidewatch.llm.induced import suffix_order
 from tidewatch.session import ensure_checkpoint_dir, table
@@ -218,14 +219,18 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed, spans = [], [], []
-            for raw, ranges in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("__tw_ranges").to_pylist(), strict=True):
+            ranges = batch.column("__tw_ranges")
+            cut = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(ranges), 0).to_numpy())]
+            begins, ends = (ranges.flatten().field(c).to_numpy() for c in ("begin", "end"))
+            for row, raw in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
                 raw, out, at, n = raw or b"", [], 0, 0
-                for r in sorted(ranges or [], key=lambda r: r["begin"]):
-                    begin, end = r["begin"], r["end"] + length - 1
-                    if begin > at or not n:
-                        out.append(raw[at:begin])
+                begin, end = begins[cut[row] : cut[row + 1]], ends[cut[row] : cut[row + 1]] + length - 1
+                order = np.argsort(begin)
+                for x, y in zip(begin[order].tolist(), end[order].tolist(), strict=True):
+                    if x > at or not n:
+                        out.append(raw[at:x])
                         n += 1
-                    at = max(at, end)
+                    at = max(at, y)
                 out.append(raw[at:])
                 whole = b"".join(out)
                 kept.append(whole)
@@ -241,10 +246,10 @@ def _cut(length: int):
 
 def repeat_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """keyed: key, text. Returns key and ranges: array<struct<begin, end>> of starts of repeated strings, for keys that have any."""
-    names = keyed.select("text").mapInArrow(_names(length, gram), "name long")
+    names = keyed.select("text").mapInArrow(tidy(_names(length, gram)), "name long")
     twice = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name").checkpoint()
     bits = table_of(twice, "name")
-    found = keyed.mapInArrow(_shared(length, gram, bits), "name long, content long, key long, at long, n int, bytes binary").checkpoint()
+    found = keyed.mapInArrow(tidy(_shared(length, gram, bits)), "name long, content long, key long, at long, n int, bytes binary").checkpoint()
     segments = found.select("name", "content", "key", "at", "n")
     counts = segments.groupBy("name", "content").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
     # A name needs sorting if it has several contents, or several places within one content.
@@ -256,10 +261,13 @@ def repeat_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     shards = max(1, -(-size // shard_bytes))
     heavy = to_sort.groupBy("name").agg(F.sum(F.length("bytes")).alias("n")).where(F.col("n") > shard_bytes).select("name")
     dealt = to_sort.join(heavy, "name", "left_anti").withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
-    sorted_ = dealt.groupBy("shard").applyInPandas(_sort_shard(length), "name long, content long, begins array<long>, ends array<long>")
-    strings = to_sort.join(heavy, "name").select("name", "content", "bytes").mapInArrow(_hash_strings(length), "name long, content long, begin long, string long")
+    sorted_ = dealt.groupBy("shard").applyInPandas(tidy_group(_sort_shard(length)), "name long, content long, begins array<long>, ends array<long>")
+    strings = to_sort.join(heavy, "name").select("name", "content", "bytes").mapInArrow(tidy(_hash_strings(length)), "name long, content long, begin long, string long")
     standing_twice = strings.groupBy("name", "string").agg(F.count("*").alias("n")).where("n > 1").select("name", "string")
-    counted = strings.join(standing_twice, ["name", "string"]).groupBy("name", "content").agg(F.transform(F.array_sort(F.collect_list("begin")), lambda b: F.struct(b.alias("begin"), (b + 1).alias("end"))).alias("own"))
+    in_content = Window.partitionBy("name", "content").orderBy("begin")
+    in_rows = strings.join(standing_twice, ["name", "string"]).withColumn("run", F.col("begin") - F.row_number().over(in_content))
+    runs = in_rows.groupBy("name", "content", "run").agg(F.min("begin").alias("begin"), (F.max("begin") + 1).alias("end"))
+    counted = runs.groupBy("name", "content").agg(F.collect_list(F.struct("begin", "end")).alias("own"))
     some = sorted_.where(F.size("begins") > 0).select("name", "content", F.arrays_zip(F.col("begins").alias("begin"), F.col("ends").alias("end")).alias("own")).unionByName(counted)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n").cast("long").alias("end")))
     verdict = (
@@ -280,7 +288,7 @@ def _searched(docs: DataFrame, length: int, gram: int, shard_bytes: int) -> Data
     losing = may.where("__tw_may").join(ranges.withColumnRenamed("key", "__tw_key"), "__tw_key", "left")
     staying = may.where("not __tw_may").withColumn("__tw_ranges", F.lit(None).cast(ranges.schema["__tw_ranges"].dataType))
     rows = losing.select(*docs.columns, "__tw_ranges").unionByName(staying.select(*docs.columns, "__tw_ranges"))
-    return rows.mapInArrow(_cut(length), T.StructType([*docs.schema.fields, T.StructField("__tw_found", FOUND)]))
+    return rows.mapInArrow(tidy(_cut(length)), T.StructType([*docs.schema.fields, T.StructField("__tw_found", FOUND)]))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -299,7 +307,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     """The rows and columns of docs with what is kept for text, less characters that a cut splits, and n_chars to match; null stays null."""
     found = _searched(docs, length, gram, shard_bytes)
     cut = found.where("__tw_found.n_removed > 0")
-    cut = cut.mapInArrow(_as_text, cut.schema)
+    cut = cut.mapInArrow(tidy(_as_text), cut.schema)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(found.schema["n_chars"].dataType))
     return found.where("__tw_found.n_removed = 0").select(*docs.columns).unionByName(cut.select(*docs.columns))
