@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.bits import in_table, marked, table_of
-from tidewatch.llm.common import small_batches
+from tidewatch.llm.common import compact, small_batches, tidy, tidy_group
 from tidewatch.llm.components import connected_components
 from tidewatch.llm.hashing import END, mix, token_hashes
 from tidewatch.session import ensure_checkpoint_dir, table
@@ -379,41 +379,41 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK,
     ensure_checkpoint_dir(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     with_id = texts.where("doc_id is not null").select("text")
-    signs = with_id.mapInArrow(_signatures(shingle, percent), "sign long, node long").repartition("sign")
+    signs = with_id.mapInArrow(tidy(_signatures(shingle, percent)), "sign long, node long").repartition("sign")
     shared = signs.groupBy("sign").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("sign", "pivot")
-    met = signs.join(shared, "sign").checkpoint()
+    met = compact(signs.join(shared, "sign"))
 
-    every = texts.mapInArrow(_nodes(table_of(met, "node"), shingle, percent), "doc_id long, n_shingles long, node long, need int, bits binary").checkpoint()
+    every = texts.mapInArrow(tidy(_nodes(table_of(met, "node"), shingle, percent)), "doc_id long, n_shingles long, node long, need int, bits binary").checkpoint()
     all_nodes = every.select("doc_id", "n_shingles", "node")
-    own = met.groupBy("node").agg(F.min("pivot").alias("grp")).checkpoint()
+    own = compact(met.groupBy("node").agg(F.min("pivot").alias("grp")))
     rows = every.where("bits is not null").select("node", F.col("n_shingles").alias("size"), "bits", "need").dropDuplicates(["node"])
 
     # Of a sign's groups only its nodes' own ones count; signs of one group need no question.
-    groups_of_sign = met.select("sign", "node").join(own, "node").select("sign", "grp").distinct().checkpoint()
+    groups_of_sign = compact(met.select("sign", "node").join(own, "node").select("sign", "grp").distinct())
     many = groups_of_sign.groupBy("sign").agg(F.count("*").alias("groups")).where("groups > 1")
     hottest = Window.partitionBy("node").orderBy(F.desc("groups"), "sign")
     asked = met.select("sign", "node").join(many, "sign").withColumn("n", F.row_number().over(hottest)).join(rows.select("node", "need"), "node").where("n >= need").select("sign", "node")
-    asks = asked.join(groups_of_sign, "sign").select("node", "grp").distinct().join(own.toDF("node", "own"), "node").where("grp <> own").select("node", "grp").checkpoint()
+    asks = compact(asked.join(groups_of_sign, "sign").select("node", "grp").distinct().join(own.toDF("node", "own"), "node").where("grp <> own").select("node", "grp"))
 
     # The matrix' rows leave the nodes that may have a partner; of large groups those that aren't near the centre meet all chunks.
-    facts = rows.select("node", "size", "bits").checkpoint()
+    facts = compact(rows.select("node", "size", "bits"))
     groups, large = _met("bits", own, asks, facts, 8 * chunk)
-    likely = groups.applyInPandas(_sift(percent), "node long").distinct().checkpoint()
+    likely = compact(groups.applyInPandas(tidy_group(_sift(percent)), "node long").distinct())
     if large.limit(1).count():
         apart = own.join(large, "grp").join(likely, "node", "left_anti").select("node", "grp")
-        likely = likely.union(_met("bits", own, apart, facts, 8 * chunk)[0].applyInPandas(_sift(percent), "node long")).distinct().checkpoint()
+        likely = compact(likely.union(_met("bits", own, apart, facts, 8 * chunk)[0].applyInPandas(tidy_group(_sift(percent)), "node long")).distinct())
 
     # Their shingles are counted.
-    sets = with_id.mapInArrow(_sets(table_of(likely, "node"), shingle), "node long, shingles binary").dropDuplicates(["node"]).join(likely, "node").checkpoint()
-    member = own.join(sets.select("node"), "node").select("node", "grp").checkpoint()
+    sets = with_id.mapInArrow(tidy(_sets(table_of(likely, "node"), shingle)), "node long, shingles binary").dropDuplicates(["node"]).join(likely, "node").checkpoint()
+    member = compact(own.join(sets.select("node"), "node").select("node", "grp"))
     groups, large = _met("shingles", member, asks.join(sets.select("node"), "node"), sets, chunk)
-    edges = groups.applyInPandas(_open(percent), "a long, b long").checkpoint()
+    edges = compact(groups.applyInPandas(tidy_group(_open(percent)), "a long, b long"))
     parts = connected_components(edges)
     if large.limit(1).count():
         centre = large.join(parts.toDF("centre", "main"), "centre", "left").select("grp", F.coalesce("main", "centre").alias("main"))
         label = member.join(parts, "node", "left").join(centre, "grp").where(F.coalesce("component", "node") != F.col("main"))
         more, _ = _met("shingles", member, label.select("node", "grp"), sets, chunk)
-        parts = connected_components(edges.union(more.applyInPandas(_open(percent), "a long, b long")).checkpoint())
+        parts = connected_components(compact(edges.union(more.applyInPandas(tidy_group(_open(percent)), "a long, b long"))))
 
     named = all_nodes.groupBy("node").agg(F.min("doc_id").alias("least")).where("node is not null and least is not null")
     whole = named.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
