@@ -55,7 +55,7 @@ class IncidentProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("incident", "opened long, level string, normal int, emitted long, seen long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else (None, "P3", 0, None, 0)
         incident, seen = Incident(*held[:4]), held[4]
         told = []
@@ -70,7 +70,7 @@ class IncidentProcessor(StatefulProcessor):
         self.handle.registerTimer((seen + self.settings.state_ttl_sec) * 1000)
         yield pd.DataFrame(told, columns=["metric_name", "timestamp", "status", "alert_level", "duration_sec"])
 
-    def handleExpiredTimer(self, key: Any, timer: Any, expired: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self.state.clear()
         return iter([])
 
