@@ -22,7 +22,7 @@ QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 @pytest.fixture(scope="module")
 def duck(data):
     con = duckdb.connect()
-    for name in ("documents", "benchmark", "pages", "labels"):
+    for name in ("documents", "benchmark", "pages", "labels", "conversations"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{data}/{name}.parquet')")
     return con
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline  # at the repository's top
-from tidewatch.llm import ann, byte_bpe, conversations, decontamination, jaccard, licenses, lm_scoring, periodic, quality, sharding, suffix_dedup, url_filter
+from tidewatch.llm import ann, byte_bpe, conversations, decontamination, jaccard, licenses, lm_scoring, periodic, quality, sharding, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_licenses": licenses.op10_licenses,
         "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_sharding": sharding.op9_sharding,
+        "op11_warc": warc.op11_warc,
         "op12_conversations": conversations.op12_conversations,
         "op13_periodic_runs": periodic.op13_periodic_runs,
     }
@@ -30,6 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_jaccard": jaccard.OP3_SQL,
         "op4_suffix_dedup": suffix_dedup.OP4_SQL,
         "op6_url_filter": url_filter.OP6_SQL,
+        "op11_warc": warc.OP11_SQL,
         "op12_conversations": conversations.OP12_SQL,
         "op13_periodic_runs": periodic.OP13_SQL,
     }

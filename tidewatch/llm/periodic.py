@@ -48,7 +48,7 @@ from tidewatch.session import table
 LEAST = 12
 #: Pairs of places that are extended at a time.
 PAIRS = 1_000_000
-RUNS = "array<struct<start: bigint, length: bigint, period: bigint>>"
+RUNS = "runs array<struct<start: bigint, length: bigint, period: bigint>>"
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -233,7 +233,7 @@ def periodic_runs(docs: DataFrame, text: str = "text", least: int = LEAST) -> Da
     """docs with ``runs``, by start, then period, and ``collapsed``: the words without those that a run holds after its first period, joined by blanks."""
     small_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name not in ("runs", "collapsed")]
-    schema = T.StructType([*kept, T.StructField("runs", T._parse_datatype_string(RUNS)), T.StructField("collapsed", T.StringType())])
+    schema = T.StructType([*kept, *T.StructType.fromDDL(RUNS).fields, T.StructField("collapsed", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
