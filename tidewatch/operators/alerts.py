@@ -59,7 +59,11 @@ def alert_events(judged: DataFrame, settings: Settings = DEFAULTS, carry: Carry
     """Alerts of judged points (series, prediction and anomaly columns, core_link and business_line of the registry)."""
     levelled = with_level(judged, settings)
     told = incidents(levelled, settings, carry)
-    rows = told.join(levelled.drop("level"), ["metric_name", "timestamp", "granularity", "ingest_seq"])
+    return alert_rows(told.join(levelled.drop("level"), ["metric_name", "timestamp", "granularity", "ingest_seq"]))
+
+
+def alert_rows(rows: DataFrame) -> DataFrame:
+    """Alerts of judged rows at which an incident tells something (status, alert_level, duration_sec)."""
     back = F.col("status") == "recovered"
     gone = F.concat(F.col("metric_name"), F.lit(" recovered after "), humanize_duration(F.col("duration_sec")))
     text = alert_message(F.col("business_line"), F.col("metric_name"), F.col("value"), F.col("predict_value"), F.col("z_score"), F.col("confidence_score"), F.col("duration_sec"))

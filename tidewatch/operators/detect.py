@@ -34,10 +34,19 @@ def local_detectors(series: DataFrame, settings: Settings = DEFAULTS) -> DataFra
 
     One array of the last 60 values a row serves all detectors; the narrower ones slice it.
     """
-    wide = max(settings.local_boxplot_window, settings.local_nsigma_window)
-    past = F.collect_list("value").over(last_rows(wide, "metric_name", "granularity"))
+    past = F.collect_list("value").over(last_rows(detector_rows(settings), "metric_name", "granularity"))
+    return detectors_of(series.withColumn("_past", past), settings)
+
+
+def detector_rows(settings: Settings = DEFAULTS) -> int:
+    """How many earlier values the detectors look at."""
+    return max(settings.local_boxplot_window, settings.local_nsigma_window, settings.local_regression_window, settings.local_trend_window)
+
+
+def detectors_of(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """df, whose ``_past`` has the values before each row's, with the flags; row by row, so it also serves a stream."""
     tail = lambda n: F.when(F.size("_past") > 0, F.slice("_past", -F.least(F.size("_past"), F.lit(n)), F.greatest(F.least(F.size("_past"), F.lit(n)), F.lit(1)))).otherwise(F.array().cast("array<double>"))
-    df = series.withColumn("_past", past).withColumns({"_box": F.array_sort(tail(settings.local_boxplot_window)), "_sig": tail(settings.local_nsigma_window), "_reg": tail(settings.local_regression_window), "_trd": tail(settings.local_trend_window)})
+    df = df.withColumns({"_box": F.array_sort(tail(settings.local_boxplot_window)), "_sig": tail(settings.local_nsigma_window), "_reg": tail(settings.local_regression_window), "_trd": tail(settings.local_trend_window)})
     for name in ("_sig", "_box", "_trd"):
         df = df.withColumn(f"{name}_mean", _mean(name))
         df = df.withColumn(f"{name}_sd", _deviation(name, F.col(f"{name}_mean")))
@@ -77,6 +86,29 @@ def scored(predicted: DataFrame) -> DataFrame:
     return predicted.withColumn("z_score", z_score(F.col("value"), F.col("predict_value"))).withColumn("severity", severity(F.col("z_score"), F.col("lower_bound"), F.col("upper_bound")))
 
 
+def graded(judged: DataFrame) -> DataFrame:
+    """judged (predictions, bounds, global_abnormal, local_score, local_labels) with z_score, severity and abnormal_labels."""
+    labels = F.concat(F.when(F.col("global_abnormal"), F.array(F.lit("global"))).otherwise(F.array().cast("array<string>")), F.col("local_labels"))
+    return scored(judged).withColumn("severity", F.greatest("severity", "local_score")).withColumn("abnormal_labels", labels)
+
+
+def is_periodic(flags: list[bool], granularity: str, settings: Settings = DEFAULTS) -> bool:
+    """Whether a flagged point comes after flags around whole periods before it; flags: of the points before, oldest first."""
+    repeats, most = settings.periodic_week_lookback, settings.second_history_window if granularity == "1s" else settings.minute_history_window
+    n, length = len(flags), min(len(flags), most) + 1
+    if length < 10:
+        return False
+    for p in CANDIDATE_PERIODS.get(granularity, (60,)):
+        ks = [k for k in range(1, repeats + 1) if length - 1 - k * p > 0]
+        if p > length // (repeats + 1) or len(ks) < settings.periodic_min_matches:
+            continue
+        wide = max(1, min(10, p // 10))
+        hits = sum(any(flags[max(n - k * p - wide, 0) : n + min(-1, -k * p + wide) + 1]) for k in ks)
+        if hits / len(ks) >= settings.periodic_ratio_threshold:
+            return True
+    return False
+
+
 def periodic(flagged: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """is_periodic of points whose ``flag`` is set, from earlier flags around whole periods before them.
 
@@ -111,8 +143,14 @@ def confidence(df: DataFrame) -> DataFrame:
     size = F.avg(F.abs("value")).over(last)
     error = F.avg(F.abs(F.col("value") - F.col("predict_value"))).over(last)
     cv = F.when((F.count("value").over(last) <= 1) | (size <= EPS), 0.0).otherwise(F.stddev_pop("value").over(last) / size)
+    return confidence_of(df.withColumns({"_size": size, "_error": error, "_cv": cv}))
+
+
+def confidence_of(df: DataFrame) -> DataFrame:
+    """confidence_score and its components from severity, is_periodic, and the mean magnitude, mean error and variation (_size, _error, _cv) of the last values."""
+    size, error, cv = F.col("_size"), F.col("_error"), F.col("_cv")
     clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     parts = df.withColumns({"_rel": clamp(1 - error / F.greatest(size, F.lit(1.0))), "_vol": clamp(1 - F.least(cv, F.lit(1.0))), "_per": F.when(F.col("is_periodic"), 0.0).otherwise(1.0)})
     total = 0.25 * F.col("_rel") + 0.35 * F.col("severity") + 0.20 * F.col("_vol") + 0.20 * F.col("_per")
     components = F.struct(F.col("_rel").alias("metric_reliability"), F.col("severity").alias("anomaly_severity"), F.col("_vol").alias("volatility_level"), F.col("_per").alias("is_periodic"))
-    return parts.withColumns({"confidence_score": clamp(total), "confidence_components": components}).drop("_rel", "_vol", "_per")
+    return parts.withColumns({"confidence_score": clamp(total), "confidence_components": components}).drop("_rel", "_vol", "_per", "_size", "_error", "_cv")

@@ -28,6 +28,13 @@ class Rolling:
         self.most, self.rows, self.ordered = most, deque(), []
         self.zero, self.total, self.square, self.age = 0.0, 0.0, 0.0, 0
 
+    @classmethod
+    def of(cls, most: int, times: list[int], values: list[float]) -> Rolling:
+        """The window that rows one after another would have left."""
+        own = cls(most)
+        own.rows, own.ordered, own.age = deque(zip(times, values, strict=True)), sorted(values), cls.RENEW
+        return own
+
     def at(self, now: int, value: float) -> tuple[float, float, float, float]:
         while self.rows and (len(self.rows) > self.most or self.rows[0][0] < now - WEEK):
             gone = self.rows.popleft()[1]

@@ -28,9 +28,9 @@ def split_valid(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, points.where(~ok)
 
 
-def validate(points: DataFrame) -> DataFrame:
-    """Strict: one invalid point fails the job."""
-    checked = points.withColumn("value", F.when(is_valid(points), F.col("value")).otherwise(F.raise_error(F.lit("invalid metric point"))))
+def validate(points: DataFrame, asked: Column | bool = True) -> DataFrame:
+    """Strict: one invalid point, of those asked for, fails the job."""
+    checked = points.withColumn("value", F.when(is_valid(points) | ~F.lit(asked), F.col("value")).otherwise(F.raise_error(F.lit("invalid metric point"))))
     return checked.withColumns({"metric_name": F.trim("metric_name"), "business_line": F.trim("business_line")})
 
 
@@ -102,16 +102,19 @@ class Tail:
         low = int(at)
         return self.sizes[low] + (at - low) * (self.sizes[min(low + 1, len(self.sizes) - 1)] - self.sizes[low])
 
+    def clip(self, value: float, settings: Settings) -> float:
+        """value, in the limits that the tail sets once it is long enough; the tail learns its size."""
+        if len(self.sizes) >= CLIP_LEAST:
+            value = min(max(value, 0.0), settings.jump_clip_multiplier * max(self.quantile(0.99), EPS))
+        self.add(abs(value))
+        return value
+
 
 def clip_jumps(points: DataFrame, settings: Settings = DEFAULTS, carry: Carry | None = None) -> DataFrame:
     """Exact clipping: the limit comes from values that were clipped themselves, so a metric's points are folded in order."""
 
     def step(tail: Tail, row) -> tuple:
-        value, new = row.value, row.value
-        if len(tail.sizes) >= CLIP_LEAST:
-            new = min(max(value, 0.0), settings.jump_clip_multiplier * max(tail.quantile(0.99), EPS))
-        tail.add(abs(new))
-        return (new,)
+        return (tail.clip(row.value, settings),)
 
     keys = points.select("metric_name", "timestamp", "ingest_seq", "is_interpolated", "value")
     folded = fold_by_key(keys, ["metric_name"], ["timestamp", "ingest_seq"], lambda: Tail(settings.jump_clip_history_window), step, "new_value double", carry, "clip")

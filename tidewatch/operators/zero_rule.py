@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import last_rows
 from tidewatch.settings import DEFAULTS, Settings
 
 
-def zero_rule(series: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """series (metric_name, granularity, timestamp, value) with prediction and anomaly columns."""
-    mean = F.avg("value").over(last_rows(6, "metric_name", "granularity"))
-    base = series.withColumns({"has_history": mean.isNotNull(), "predict_value": F.greatest(F.coalesce(mean, F.col("value")), F.lit(0.0))})
-    ratio = F.when(F.col("predict_value") > 0, F.col("value") / F.col("predict_value"))
+def rule_columns(mean: Column, settings: Settings = DEFAULTS) -> dict[str, Column]:
+    """Prediction and anomaly columns of a row's value; mean: of the six values before it, null without any."""
+    predicted = F.greatest(F.coalesce(mean, F.col("value")), F.lit(0.0))
+    ratio = F.when(predicted > 0, F.col("value") / predicted)
     hit = (F.col("value") <= settings.zero_rule_floor) | F.coalesce(ratio <= settings.zero_rule_drop_ratio, F.lit(False))
-    one = F.when(F.col("global_abnormal"), 1.0).otherwise(0.0)
+    one = F.when(hit, 1.0).otherwise(0.0)
     none = F.array().cast("array<string>")
-    return base.withColumn("global_abnormal", hit).withColumns({
-        "local_score": one, "is_periodic": F.lit(False), "z_score": F.col("value") - F.col("predict_value"), "lower_bound": F.lit(0.0), "upper_bound": F.col("predict_value"), "severity": one,
-        "direction": F.when(F.col("global_abnormal"), "down").otherwise("normal"), "abnormal_labels": F.when(F.col("global_abnormal"), F.array(F.lit("zero_rule"))).otherwise(none),
-        "confidence_score": F.when(F.col("global_abnormal"), 0.75).otherwise(0.0),
-        "confidence_components": F.struct(F.when(F.col("has_history"), 1.0).otherwise(0.5).alias("metric_reliability"), one.alias("anomaly_severity"), F.lit(1.0).alias("volatility_level"), F.lit(1.0).alias("is_periodic")),
+    return {
+        "predict_value": predicted, "global_abnormal": hit, "local_score": one, "is_periodic": F.lit(False), "z_score": F.col("value") - predicted, "lower_bound": F.lit(0.0), "upper_bound": predicted,
+        "severity": one, "direction": F.when(hit, "down").otherwise("normal"), "abnormal_labels": F.when(hit, F.array(F.lit("zero_rule"))).otherwise(none),
+        "confidence_score": F.when(hit, 0.75).otherwise(0.0),
+        "confidence_components": F.struct(F.when(mean.isNotNull(), 1.0).otherwise(0.5).alias("metric_reliability"), one.alias("anomaly_severity"), F.lit(1.0).alias("volatility_level"), F.lit(1.0).alias("is_periodic")),
         "model_name": F.lit("zero_rule_baseline"), "model_version": F.lit("rule_v1"),
-    }).drop("has_history")
+    }
+
+
+def zero_rule(series: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """series (metric_name, granularity, timestamp, value) with prediction and anomaly columns."""
+    known = series.withColumn("_mean", F.avg("value").over(last_rows(6, "metric_name", "granularity")))
+    return known.withColumns(rule_columns(F.col("_mean"), settings)).drop("_mean")

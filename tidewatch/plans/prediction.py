@@ -23,6 +23,8 @@ ADDED = (
     "rolling_p70_7d double, rolling_p30_7d double, z_score double, lower_bound double, upper_bound double, segment string, direction string, global_abnormal boolean"
 )
 
+NAMES = [x.split()[0] for x in ADDED.split(", ")]
+
 
 @dataclass
 class Bounds:
@@ -94,23 +96,25 @@ def judge(s: State, now: int, x: float, p: float, p70: float, p30: float, label:
     return z, low, high, name, "up" if z > high else "down" if z < low else "normal", abnormal
 
 
-def predict_and_judge(series: DataFrame, settings: Settings = DEFAULTS, carry: Carry | None = None) -> DataFrame:
-    """series: metric_name, timestamp, granularity, value, mode, base_value, factor, local_score; rows of zero_rule have their own plan."""
+def predict_row(s: State, row, settings: Settings) -> tuple:
+    """The ADDED values of a row (value, timestamp, granularity, mode, base_value, factor, local_score), which the state learns."""
+    rolling, tail = s.of(row.granularity, settings)
+    x, now = row.value, int(row.timestamp)
+    mean, sd, p70, p30 = rolling.at(now, x)
+    off = sum([a - p for a, p, _ in tail]) / len(tail) if tail else 0.0
+    bound = 0.2 * max(abs(mean), abs(x), 1e-3)
+    diff = min(max(off, -bound), bound)
+    if row.mode == "ai":
+        p, low, high = predict_second(s, x, row.base_value, diff, row.factor)
+    else:
+        p, low, high = predict_minute(s, x, tail)
+    z, lower, upper, name, way, abnormal = judge(s, now, x, p, p70, p30, row.granularity, settings)
+    tail.append((x, p, bool(abnormal or row.local_score > 0)))
+    rolling.add(now, x)
+    return p, low, high, "seasonal_adjustment" if row.mode == "ai" else "minute_huber", diff, mean, sd, p70, p30, z, lower, upper, name, way, abnormal
 
-    def step(s: State, row) -> tuple:
-        rolling, tail = s.of(row.granularity, settings)
-        x, now = row.value, int(row.timestamp)
-        mean, sd, p70, p30 = rolling.at(now, x)
-        off = sum([a - p for a, p, _ in tail]) / len(tail) if tail else 0.0
-        bound = 0.2 * max(abs(mean), abs(x), 1e-3)
-        diff = min(max(off, -bound), bound)
-        if row.mode == "ai":
-            p, low, high = predict_second(s, x, row.base_value, diff, row.factor)
-        else:
-            p, low, high = predict_minute(s, x, tail)
-        z, lower, upper, name, way, abnormal = judge(s, now, x, p, p70, p30, row.granularity, settings)
-        tail.append((x, p, abnormal or row.local_score > 0))
-        rolling.add(now, x)
-        return p, low, high, "seasonal_adjustment" if row.mode == "ai" else "minute_huber", diff, mean, sd, p70, p30, z, lower, upper, name, way, abnormal
 
+def predict_and_judge(series: DataFrame, settings: Settings = DEFAULTS, carry: Carry | None = None) -> DataFrame:
+    """series: metric_name, timestamp, granularity, value, mode, base_value, factor, local_score; rows of zero_rule have their own plan."""
+    step = lambda s, row: predict_row(s, row, settings)
     return fold_by_key(series, ["metric_name"], ["timestamp", "ingest_seq"], State, step, ADDED, carry, "prediction")

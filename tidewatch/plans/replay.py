@@ -116,14 +116,12 @@ def replay(
     judged = predict_and_judge(modelled.select(*SERIES, "local_score", "local_labels"), settings, carry)
     judged = of_past(judged.withColumn("flag", F.col("global_abnormal") | (F.col("local_score") > 0)), "metric_name", "granularity", "timestamp", "value", "predict_value", "flag")
     judged = detect.periodic(judged, settings)
-    labels = F.concat(F.when(F.col("global_abnormal"), F.array(F.lit("global"))).otherwise(F.array().cast("array<string>")), F.col("local_labels"))
-    graded = detect.scored(judged).withColumn("severity", F.greatest("severity", "local_score")).withColumn("abnormal_labels", labels)
     record = F.struct(
         "isHoliday", "isRCA", "isHotSpot", F.col("registry_line").alias("business_unit"), "baseDayDiff", F.col("hour").alias("hour_of_day"), F.col("weekday").alias("day_of_week"),
         "rolling_mean_7d", "rolling_std_7d", "rolling_p70_7d", "rolling_p30_7d",
     )
     version = F.when(F.col("model_name") == "seasonal_adjustment", "sec_v1").otherwise("min_v1")
-    modelled = of_now(detect.confidence(graded)).withColumns({"features": record, "model_version": version})
+    modelled = of_now(detect.confidence(detect.graded(judged))).withColumns({"features": record, "model_version": version})
     ruled = of_now(zero_rule(of_past(slow.where("mode = 'zero_rule'"), "metric_name", "granularity", "timestamp", "value"), settings))
     ruled = ruled.withColumns({"predict_lower": F.lit(0.0), "predict_upper": F.col("predict_value"), "features": F.lit(None).cast(FEATURES)})
     whole = modelled.select(*JUDGED).unionByName(ruled.select(*JUDGED)).checkpoint()

@@ -19,13 +19,13 @@ EVENT_METRICS = {
 DEMO_START, DEMO_SECONDS = 1711180800, 1800
 
 
-def with_defaults(points: DataFrame) -> DataFrame:
+def with_defaults(points: DataFrame, *more: str) -> DataFrame:
     return points.select(
         "metric_name", "timestamp", "value", "business_line",
         F.coalesce("tags", F.create_map().cast("map<string,string>")).alias("tags"),
         F.coalesce("priority", F.lit("P1")).alias("priority"), F.coalesce("metric_type", F.lit("gauge")).alias("metric_type"),
         F.coalesce("granularity", F.lit("1s")).alias("granularity"), F.coalesce("trusted", F.lit(True)).alias("trusted"),
-        F.coalesce("is_interpolated", F.lit(False)).alias("is_interpolated"),
+        F.coalesce("is_interpolated", F.lit(False)).alias("is_interpolated"), *more,
     )
 
 

@@ -1,32 +1,25 @@
-"""Structured Streaming: watermarked buckets, keyed state for incidents with idle timers, and idempotent sinks."""
+"""Structured Streaming of single operators: watermarked buckets, incidents, and zero-rule monitoring with idempotent sinks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import astuple
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.functions.exprs import granularity_label
-from tidewatch.operators.alerts import Incident, advance
 from tidewatch.operators.history import HistoryStore
 from tidewatch.operators.zero_rule import zero_rule
 from tidewatch.schemas import POINT
 from tidewatch.settings import DEFAULTS, Settings
 from tidewatch.sources.points import with_defaults
-
-#: How long points may be late: the reordering that the monitored sources are known to do.
-LATENESS = "5 seconds"
+from tidewatch.streaming.engine import ALERTED, LATENESS, Incidents, keyed, schema_of
 
 
 def read_points(spark: SparkSession, path: str, files_per_batch: int = 10) -> DataFrame:
-    """A folder of JSON lines as a stream of points with event time."""
-    lines = spark.readStream.schema(POINT).option("maxFilesPerTrigger", files_per_batch).json(path)
-    return with_defaults(lines).withColumn("event_time", F.timestamp_seconds("timestamp"))
+    """A folder of JSON lines as a stream of points, and of commands, with event time."""
+    lines = spark.readStream.schema(T.StructType([*POINT.fields, T.StructField("command", T.StringType())])).option("maxFilesPerTrigger", files_per_batch).json(path)
+    return with_defaults(lines, "command").withColumn("event_time", F.timestamp_seconds("timestamp"))
 
 
 def stream_buckets(points: DataFrame, seconds: int, lateness: str = LATENESS) -> DataFrame:
@@ -45,44 +38,10 @@ def stream_buckets(points: DataFrame, seconds: int, lateness: str = LATENESS) ->
     return got.select("metric_name", F.unix_timestamp("w.start").alias("bucket"), "timestamp", value.alias("value"), "first.business_line", "first.metric_type", "bucket_size", granularity_label(F.lit(seconds)).alias("granularity"), F.col("w.end").alias("closed"))
 
 
-class IncidentProcessor(StatefulProcessor):
-    """The incident of each metric as keyed state, dropped when the metric has been idle for ttl seconds of event time."""
-
-    def __init__(self, settings: Settings):
-        self.settings = settings
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("incident", "opened long, level string, normal int, emitted long, seen long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else (None, "P3", 0, None, 0)
-        incident, seen = Incident(*held[:4]), held[4]
-        told = []
-        for r in pd.concat(list(rows)).sort_values("timestamp").itertuples(index=False):
-            level = r.level if isinstance(r.level, str) else None
-            if got := advance(incident, int(r.timestamp), level, bool(r.core_link), self.settings):
-                told.append((key[0], int(r.timestamp), *got))
-            seen = max(seen, int(r.timestamp))
-        self.state.update((*astuple(incident), seen))
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        self.handle.registerTimer((seen + self.settings.state_ttl_sec) * 1000)
-        yield pd.DataFrame(told, columns=["metric_name", "timestamp", "status", "alert_level", "duration_sec"])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
-
 def stream_incidents(levelled: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Incidents of a stream of (metric_name, timestamp, event_time, level, core_link). Needs the RocksDB state store."""
-    return levelled.withWatermark("event_time", LATENESS).groupBy("metric_name").transformWithStateInPandas(
-        IncidentProcessor(settings), "metric_name string, timestamp long, status string, alert_level string, duration_sec long", "Append", "EventTime"
-    )
+    rows = levelled.withWatermark("event_time", LATENESS)
+    return keyed(rows, Incidents, f"{schema_of(rows)}, {ALERTED}", settings).where("status is not null").drop("level", "core_link")
 
 
 class ZeroRuleMonitor:
