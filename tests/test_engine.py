@@ -3,11 +3,12 @@
 import json
 import time
 
-import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators import ingest, routing
 from tidewatch.plans.replay import replay
-from tidewatch.schemas import POINT
+from tidewatch.schemas import POINT, REGISTRY
+from tidewatch.settings import Settings
 from tidewatch.sources import points as src
 from tidewatch.streaming import engine as eng
 from tidewatch.streaming.monitor import read_points
@@ -16,6 +17,12 @@ T = 1711180800
 TOLD = ["metric_name", "timestamp", "granularity", "alert_level", "alert_type", "duration_sec", "message", "status"]
 
 
+def points_of(spark, rows):
+    """rows: (metric, ts, value, line, priority, type, tags)."""
+    full = [(m, t, float(v), line, tags, p, k, "1s", True, False) for m, t, v, line, p, k, tags in rows]
+    return spark.createDataFrame(full, POINT).withColumn("ingest_seq", F.monotonically_increasing_id())
+
+
 def lines_of(points):
     return [r.line for r in points.orderBy("ingest_seq").select(F.to_json(F.struct(*POINT.names)).alias("line")).collect()]
 
@@ -48,4 +55,92 @@ def test_stream_tells_what_the_replay_tells_with_no_bucket_left_out(spark, tmp_p
     want = replay(points, registry).alerts
     cols = ["metric_name", "timestamp", "granularity", "alert_level", "alert_type", "duration_sec", "message", "status"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
-    assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in query.recentProgress) == 0
+    assert sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]) == 0
+
+
+def point(metric, t, value=1.0, **more):
+    return {"metric_name": metric, "timestamp": t, "value": value, "business_line": "AA", "priority": "P0", "metric_type": "count", **more}
+
+
+def names_in(spark, checkpoint, kind, batch):
+    return {name: {r.metric_name for r in df.collect()} for name, df in eng.states_of(spark, str(checkpoint), kind, batch).items()}
+
+
+def test_timers_run_are_set_anew_and_clear_all_states(spark, tmp_path):
+    s = Settings(state_ttl_sec=1000)
+    forced = {"tags": {"force_ai": "true"}}
+    batches = [
+        [point("a", T + i, **forced) for i in range(30)] + [point("m", T + i) for i in range(70)],
+        [point("a", T + 900, **forced)],
+        [point("b", T + 1500)],  # the watermark passes the first timer of a and m: a has come again, m hasn't
+        [point("b", T + 1600)],
+        [point("b", T + 3000)],
+        [point("b", T + 3001)],
+        [point("m", T + 3002), point("m", T + 3061)],
+    ]
+    got, _ = run(spark, tmp_path, batches, spark.createDataFrame([], REGISTRY), "idle", s, name="judged")
+    ck = tmp_path / "ck_idle"
+    for kind in (eng.Repair, eng.Series, eng.Judge):
+        first, before, after = (names_in(spark, ck, kind, n) for n in (0, 3, 5))
+        assert "a" in first["seen"] and ("m" in first["seen"])
+        assert all("m" not in x for x in before.values()) and "a" in before["seen"], kind
+        assert all("a" not in x for x in after.values()), kind
+    # m's open bucket of ten points has gone unsaid, and what comes starts anew.
+    assert sorted((r.timestamp, r.value) for r in got.where("metric_name = 'm'").collect()) == [(T + 59, 60.0), (T + 3002, 1.0)]
+
+
+def test_late_points_have_a_place(spark, tmp_path):
+    """Within the lateness they are taken when they come, and close the open bucket; beyond it they are dropped."""
+    batches = [
+        [point("a", T + 57), point("a", T + 58), point("a", T + 61, 5.0)],
+        [point("a", T + 59, 2.0)],  # fills nothing, closes the second bucket, opens the first one again
+        [point("a", T + 62, 7.0)],  # the next gap is measured from 61
+        [point("z", T + 200)],
+        [point("z", T + 201)],  # a batch drops what was late for the batch before it
+        [point("a", T + 190, 3.0), point("z", T + 202)],
+    ]
+    got, query = run(spark, tmp_path, [*batches, [flush("a", T + 202)]], spark.createDataFrame([], REGISTRY), "late", name="judged")
+    rows = [(r.bucket, r.timestamp, r.value, r.bucket_size) for r in got.where("metric_name = 'a'").collect()]
+    # 57 and 58; two fills and 61; 59 alone; 62 alone.
+    assert sorted(rows) == [(T, T + 59, 2.0, 1), (T, T + 59, 2.0, 3), (T + 60, T + 61, 5.0, 2), (T + 60, T + 62, 7.0, 1)]
+    assert sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]) == 1
+
+
+def test_tails_are_trimmed(spark, tmp_path):
+    s = Settings(jump_clip_history_window=40, second_history_window=150, minute_history_window=5)
+    rows = [point("a", T + i, float(i % 7), tags={"force_ai": "true"}) for i in range(700)] + [point("m", T + i, float(i % 5)) for i in range(700)]
+    run(spark, tmp_path, [[r for r in rows if r["timestamp"] < T + 350], [r for r in rows if r["timestamp"] >= T + 350]], spark.createDataFrame([], REGISTRY), "trim", s, name="judged")
+    held = lambda kind, name: {(r.metric_name, str(r[name][0]) if hasattr(r[name], "key") else ""): r[name] for r in eng.states_of(spark, str(tmp_path / "ck_trim"), kind)[name].collect()}
+    assert all(len(x["size"]) == 40 for x in held(eng.Repair, "sizes").values())
+    assert all(len(x["value"]) == 120 for x in held(eng.Series, "recent").values())
+    assert all(len(x.value["value"]) <= 60 for x in held(eng.Series, "seconds").values())
+    assert all(len(x.value["value"]) <= 60 for x in held(eng.Series, "tails").values())
+    sizes = {k: (len(x.value["value"])) for k, x in held(eng.Judge, "rolling").items()}
+    assert {n for (m, _), n in sizes.items() if m == "a"} == {151} and {n for (m, _), n in sizes.items() if m == "m"} == {6}
+    assert max(len(x.value["flag"]) for x in held(eng.Judge, "judged").values()) <= 4000
+
+
+def test_a_query_primed_from_stored_states_goes_on(spark, tmp_path):
+    points, registry = src.demo_points(spark), src.demo_registry(spark)
+    cut = T + 745  # inside the dip: an incident and a bucket are open
+    first, _ = run(spark, tmp_path, [lines_of(points.where(F.col("timestamp") < cut))], registry, "before")
+    eng.snapshot(spark, str(tmp_path / "ck_before"), str(tmp_path / "states"))
+    again, _ = run(spark, tmp_path, [lines_of(points.where(F.col("timestamp") >= cut)), [flush("payment.success_rate", T + 1800), flush("payment.long_tail_count", T + 1800)]], registry, "after", primed=str(tmp_path / "states"))
+    told = lambda df: [tuple(r) for r in df.select(TOLD).collect()]
+    assert sorted(told(first) + told(again)) == sorted(told(replay(points, registry).alerts))
+
+
+def test_assessments_come_as_commands(spark, tmp_path):
+    """A metric becomes eligible in mid-stream: seconds from then on, and a flush closes its bucket under the mode it has by then."""
+    registry = ingest.register(points_of(spark, [("a", T, 1, "AA", "P1", "rate", {}), ("f", T, 1, "AA", "P0", "rate", {"force_ai": "true"})]))
+    history = points_of(spark, [("a", T - 1000 + i, 0.9, "AA", "P1", "rate", {}) for i in range(100)])
+    none = spark.createDataFrame([], "metric_name string, since long, eligible boolean")
+    s = Settings(history_weeks_required=0)
+    (due,) = routing.assess_due(history, registry, none, T + 10, s).collect()
+    want = routing.assess(history, registry.where("metric_name = 'a'"), s).first()
+    assert (due.metric_name, due.command == "eligible") == ("a", want.eligible)
+    known = spark.createDataFrame([("a", T, True)], none.schema)
+    assert routing.assess_due(history, registry, known, T + 86400, s).count() == 0 and routing.assess_due(history.withColumn("timestamp", F.col("timestamp") + 600_000), registry, known, T + 604800, s).count() == 1
+    batches = [[point("a", T + i, 0.9, priority="P1", metric_type="rate") for i in range(5)], [{"metric_name": "a", "timestamp": T + 5, "command": "eligible"}, point("a", T + 6, 0.9), flush("a", T + 7)]]
+    got, _ = run(spark, tmp_path, batches, registry.where("metric_name = 'a'"), "modes", s, name="judged")
+    assert sorted((r.timestamp, r.mode, r.granularity) for r in got.collect()) == [(T + 4, "ai", "1s"), (T + 6, "ai", "1s")]

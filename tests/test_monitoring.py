@@ -263,6 +263,18 @@ def test_idle_metrics_are_forgotten_and_old_points_dropped(spark, tmp_path):
     assert store.read("raw_points").count() == 2 and store.next_batch() == 3
 
 
+def test_flush_closes_buckets_of_metrics_without_new_points(spark, tmp_path):
+    store = history.HistoryStore(spark, str(tmp_path / "h"))
+    own = Monitor(store)
+    rows = lambda m, n: points_of(spark, [(m, T + i, 1.0, "AA", "P0", "count", {"core_link": "true"}) for i in range(n)])
+    own.process(rows("a", 90), 0)
+    own.process(rows("b", 5), 1)
+    assert [(r.metric_name, r.value) for r in store.read("series_points").collect()] == [("a", 60.0)]
+    own.process(rows("a", 1).limit(0), 2, flush=True)
+    assert sorted((r.metric_name, r.value) for r in store.read("series_points").collect()) == [("a", 30.0), ("a", 60.0), ("b", 5.0)]
+    assert own.process(rows("c", 1), 3, flush=True).count() == 0 and store.read("series_points").count() == 4
+
+
 def test_stored_points_count_for_eligibility(spark, tmp_path):
     store = history.HistoryStore(spark, str(tmp_path / "h"))
     own = Monitor(store, settings=Settings(history_weeks_required=0))

@@ -62,6 +62,18 @@ def assess(points: DataFrame, registry: DataFrame, settings: Settings = DEFAULTS
     )
 
 
+def assess_due(points: DataFrame, registry: DataFrame, assessed: DataFrame, now: int, settings: Settings = DEFAULTS) -> DataFrame:
+    """Commands (metric_name, timestamp, command) for a stream, of the metrics whose assessment is due: at first sight, then a day later, or a week after a success.
+
+    points: stored raw points; assessed: metric_name, since, eligible of earlier assessments. Forced metrics need none.
+    """
+    last = assessed.groupBy("metric_name").agg(F.max("since").alias("since"), F.max_by("eligible", "since").alias("eligible"))
+    wait = F.when(F.col("eligible"), settings.eligibility_refresh_interval_sec).otherwise(settings.eligibility_retry_interval_sec)
+    due = registry.where(~F.col("force_ai")).join(last, "metric_name", "left").where(F.col("since").isNull() | (F.lit(now) - F.col("since") >= wait)).select(*registry.columns)
+    history = points.where(F.col("timestamp").between(now - settings.eligibility_history_sec, now)).join(due.select("metric_name"), "metric_name", "left_semi")
+    return assess(history, due, settings).select("metric_name", F.lit(now).cast("long").alias("timestamp"), F.when(F.col("eligible"), "eligible").otherwise("ineligible").alias("command"))
+
+
 def eligibility_times(points: DataFrame, registry: DataFrame, settings: Settings = DEFAULTS, carry: Carry | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """Throttled assessments: metric_name, since, eligible. At first sight, then a day later, or a week after a success.
 

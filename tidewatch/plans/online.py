@@ -43,8 +43,11 @@ class Monitor:
             return self.store.spark.createDataFrame([], none)
         return self.store.read(name, before=batch).join(names, "metric_name", "left_semi").drop("batch", "date")
 
-    def _past(self, points: DataFrame, batch: int) -> Past:
-        names = points.select("metric_name").distinct().checkpoint()
+    def _past(self, points: DataFrame, batch: int, flush: bool) -> Past:
+        names = points.select("metric_name")
+        if flush and self.store.has("states"):  # metrics without a point in this batch have open buckets, too
+            names = names.union(self.store.read("states", before=batch).select("metric_name"))
+        names = names.distinct().checkpoint()
         series = self._before("series_points", names, batch, f"{KEY}, value double, mode string, bucket long").select("metric_name", "granularity", "timestamp", "value", "bucket")
         last = Window.partitionBy("metric_name", "granularity").orderBy(F.desc("timestamp"))
         tail = series.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= self.settings.anomaly_window).drop("_n")
@@ -57,10 +60,10 @@ class Monitor:
         return Past(raw.checkpoint(), judged.checkpoint(), self._before("assessments", names, batch, "metric_name string, since long, eligible boolean"), Carry(self._before("states", names, batch, STATE)))
 
     def process(self, points: DataFrame, batch: int, flush: bool = False) -> DataFrame:
-        """Alerts of a batch of points (POINT and ingest_seq)."""
+        """Alerts of a batch of points (POINT and ingest_seq). With flush the open buckets of all metrics close, not only of those in the batch."""
         if batch and batch % self.cleanup_every == 0:
             self.clean_up(batch - 1)  # of what is whole, so that this batch may run again
-        past = self._past(points, batch)
+        past = self._past(points, batch, flush)
         registry = self.store.read("registry", before=batch).drop("batch") if self.store.has("registry") else None
         if self.registry is not None:  # what is given counts before what is stored
             registry = self.registry if registry is None else ingest.upsert_registry(registry, self.registry)

@@ -21,12 +21,13 @@ Commands are rows of the same stream without a value: ``flush`` closes a metric'
 metric has now; ``eligible`` and ``ineligible`` are results of assessments, which need weeks of history and are made
 once a day or week by a batch over it (``assess_due``). Without one, a metric that isn't forced is not eligible.
 
-Start. ``snapshot`` reads the states of a stopped query from its checkpoint into Parquet tables, a row a metric, and
-``Engine(primed=...)`` gives them to a new query as its initial states.
+Start. ``snapshot`` reads the states of a stopped query from its checkpoint into Parquet tables, a row for each value or
+entry of a map, and ``Engine(primed=...)`` gives them to a new query as its initial states.
 """
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Iterator
 from typing import Any
@@ -67,16 +68,22 @@ def _names(ddl: str) -> list[str]:
 class Keyed(StatefulProcessor):
     """Rows of one metric in order of time, and states that go together once the metric is idle."""
 
-    #: Kinds and schemas of the operator's states: ("value", value), ("list", value) or ("map", key, value).
+    #: Kinds and schemas of the operator's states: ("value", value) or ("map", key, value).
     STATES: dict[str, tuple[str, ...]] = {}
 
     def __init__(self, settings: Settings, out: list[str]):
         self.settings, self.out = settings, out
+        self.types = {name: [T.StructType.fromDDL(x) for x in schemas] for name, (_, *schemas) in self.all_states().items()}
+        self.maps = {name for name, types in self.types.items() if len(types) == 2}
+
+    @classmethod
+    def all_states(cls) -> dict[str, tuple[str, ...]]:
+        return {"seen": ("value", "at long"), **cls.STATES}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        make = {"value": handle.getValueState, "list": handle.getListState, "map": handle.getMapState}
-        self.held = {name: make[kind](name, *schemas) for name, (kind, *schemas) in {"seen": ("value", "at long"), **self.STATES}.items()}
+        make = {"value": handle.getValueState, "map": handle.getMapState}
+        self.held = {name: make[kind](name, *schemas) for name, (kind, *schemas) in self.all_states().items()}
 
     def step(self, metric: str, rows: pd.DataFrame) -> list[tuple]:
         raise NotImplementedError
@@ -103,21 +110,13 @@ class Keyed(StatefulProcessor):
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
         for row in initialState.to_dict("records"):
-            for name, state in self.held.items():
-                given = row.get(name)
-                if given is None or (isinstance(given, float) and given != given):
-                    continue
-                kind = self.STATES.get(name, ("value",))[0]
-                if kind == "value":
-                    state.update(_tuple(given))
-                elif kind == "list":
-                    state.put([_tuple(x) for x in given])
-                else:
-                    for pair in given:
-                        k, v = _tuple(pair)
-                        state.updateValue(_tuple(k), _tuple(v))
-        if seen := self.get("seen"):
-            self.handle.registerTimer((seen[0] + self.settings.state_ttl_sec) * 1000)
+            name = row["state"]
+            if name in self.maps:
+                self.held[name].updateValue(*(_tuple(x, t) for x, t in zip(row[name].values(), self.types[name], strict=True)))
+            else:
+                self.put(name, _tuple(row[name], self.types[name][0]))
+            if name == "seen":
+                self.handle.registerTimer((self.get(name)[0] + self.settings.state_ttl_sec) * 1000)
 
     def forget(self) -> None:
         for state in self.held.values():
@@ -133,10 +132,17 @@ class Keyed(StatefulProcessor):
         pass
 
 
-def _tuple(x: Any) -> tuple:
-    """A struct as pandas gives it, as the tuple that a state takes."""
-    values = x.values() if isinstance(x, dict) else x
-    return tuple(v.tolist() if isinstance(v, np.ndarray) else v for v in values)
+def _tuple(struct: dict, kind: T.StructType) -> tuple:
+    """A struct as pandas gives it, where a whole number beside a null has become a float, as the tuple that a state takes."""
+
+    def typed(v: Any, of: T.DataType) -> Any:
+        if isinstance(of, T.ArrayType):
+            return [typed(x, of.elementType) for x in v]
+        if v is None or v != v:
+            return None
+        return int(v) if isinstance(of, T.IntegralType) else bool(v) if isinstance(of, T.BooleanType) else v
+
+    return tuple(typed(struct[f.name], f.dataType) for f in kind.fields)
 
 
 def _list(x: Any) -> list:
@@ -351,7 +357,7 @@ class Incidents(Keyed):
 
 
 def keyed(df: DataFrame, kind: type[Keyed], out: str, settings: Settings, primed: DataFrame | None = None) -> DataFrame:
-    """df through a keyed operator of its metrics; primed: initial states, a row a metric."""
+    """df through a keyed operator of its metrics; primed: initial states, of which a row has one."""
     given = {"initialState": primed.groupBy("metric_name")} if primed is not None else {}
     return df.groupBy("metric_name").transformWithStateInPandas(kind(settings, _names(out)), out, "Append", "EventTime", eventTimeColumnName="event_time", **given)
 
@@ -359,6 +365,31 @@ def keyed(df: DataFrame, kind: type[Keyed], out: str, settings: Settings, primed
 OPERATORS = (Repair, Series, Judge, Incidents)
 
 
+def states_of(spark: SparkSession, checkpoint: str, kind: type[Keyed], batch: int | None = None) -> dict[str, DataFrame]:
+    """metric_name and value (for maps: key and value) of each state of an operator, after a batch or the last one."""
+    meta = spark.read.format("state-metadata").load(checkpoint).select("operatorId", "operatorProperties").distinct().collect()  # a row an operator
+    has = lambda r: {v["stateName"] for v in json.loads(r["operatorProperties"])["stateVariables"]} >= set(kind.STATES)
+    number = next(r["operatorId"] for r in meta if has(r))
+    read = spark.read.format("statestore").option("operatorId", number)
+    read = read if batch is None else read.option("batchId", batch)
+    out = {}
+    for name, (shape, *_) in kind.all_states().items():
+        rows = read.option("stateVarName", name).load(checkpoint)
+        entry = F.struct(F.col("user_map_key").alias("key"), F.col("user_map_value").alias("value")) if shape == "map" else F.col("value")
+        out[name] = rows.select("key.metric_name", entry.alias(name))
+    return out
+
+
+def snapshot(spark: SparkSession, checkpoint: str, folder: str) -> None:
+    """Write the states of a stopped query to Parquet tables, one an operator, for Engine(primed=folder)."""
+    for kind in OPERATORS:
+        rows = None
+        for name, df in states_of(spark, checkpoint, kind).items():
+            df = df.withColumn("state", F.lit(name))
+            rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
+        rows.write.mode("overwrite").parquet(f"{folder}/{kind.__name__.lower()}")
+
+
 def schema_of(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
