@@ -116,7 +116,7 @@ def test_tails_are_trimmed(spark, tmp_path):
     assert all(len(x.value["value"]) <= 60 for x in held(eng.Series, "seconds").values())
     assert all(len(x.value["value"]) <= 60 for x in held(eng.Series, "tails").values())
     sizes = {k: (len(x.value["value"])) for k, x in held(eng.Judge, "rolling").items()}
-    assert {n for (m, _), n in sizes.items() if m == "a"} == {151} and {n for (m, _), n in sizes.items() if m == "m"} == {6}
+    assert {n for (m, _), n in sizes.items() if m == "a"} == {150} and {n for (m, _), n in sizes.items() if m == "m"} == {5}
     assert max(len(x.value["flag"]) for x in held(eng.Judge, "judged").values()) <= 4000
 
 

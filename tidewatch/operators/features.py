@@ -2,83 +2,50 @@
 
 from __future__ import annotations
 
-import bisect
-from collections import deque
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import last_rows
+from tidewatch.functions.ranks import rolling_stats
 from tidewatch.operators.folds import fold_by_key
 from tidewatch.settings import ALIGNED_LIMIT, DEFAULTS, RECENT_LIMIT, SAME_SECOND_LIMIT, Settings
 
-WEEK = 604800
-
 
-class Rolling:
-    """The last rows of a series within a week: mean, deviation and quantiles from an ordered list and running sums.
+ROLLING = ("rolling_mean_7d", "rolling_std_7d", "rolling_p70_7d", "rolling_p30_7d")
 
-    Sums are of differences from a value of the series, and taken anew every RENEW rows, so that rounding doesn't add up.
-    """
 
-    RENEW = 1000
+class Tail:
+    """Times and values of the last rows of a series, from which the next ones' windows reach back."""
 
-    def __init__(self, most: int):
-        self.most, self.rows, self.ordered = most, deque(), []
-        self.zero, self.total, self.square, self.age = 0.0, 0.0, 0.0, 0
+    def __init__(self, most: int, times=(), values=()):
+        self.most, self.times, self.values = most, np.asarray(times, np.int64), np.asarray(values, float)
 
     @classmethod
-    def of(cls, most: int, times: list[int], values: list[float]) -> Rolling:
-        """The window that rows one after another would have left."""
-        own = cls(most)
-        own.rows, own.ordered, own.age = deque(zip(times, values, strict=True)), sorted(values), cls.RENEW
-        return own
-
-    def at(self, now: int, value: float) -> tuple[float, float, float, float]:
-        while self.rows and (len(self.rows) > self.most or self.rows[0][0] < now - WEEK):
-            gone = self.rows.popleft()[1]
-            del self.ordered[bisect.bisect_left(self.ordered, gone)]
-            self.total -= gone - self.zero
-            self.square -= (gone - self.zero) ** 2
-        x, n = self.ordered, len(self.ordered)
-        if not n:
-            return value, 0.0, value, value
-        if self.age >= self.RENEW:
-            self.age, self.zero = 0, x[n // 2]
-            off = np.asarray(x) - self.zero
-            self.total, self.square = float(off.sum()), float(off @ off)
-        mean = self.total / n
-
-        def cut(p: float) -> float:
-            low = int(p * (n - 1))
-            return x[low] + (p * (n - 1) - low) * (x[min(low + 1, n - 1)] - x[low])
-
-        return self.zero + mean, max(self.square / n - mean * mean, 0.0) ** 0.5, cut(0.7), cut(0.3)
-
-    def add(self, now: int, value: float) -> None:
-        if not self.rows:
-            self.zero, self.total, self.square, self.age = value, 0.0, 0.0, 0
-        self.rows.append((now, value))
-        bisect.insort(self.ordered, value)
-        self.total += value - self.zero
-        self.square += (value - self.zero) ** 2
-        self.age += 1
+    def of(cls, label: str, settings: Settings, times=(), values=()) -> Tail:
+        return cls(settings.second_history_window if label == "1s" else settings.minute_history_window, times, values)
+
+    def take(self, times: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """ROLLING of new rows in order, which the tail then ends with."""
+        old = len(self.times)
+        times, values = np.r_[self.times, times.astype(np.int64)], np.r_[self.values, values.astype(float)]
+        found = rolling_stats(times, values, self.most, old)
+        self.times, self.values = times[-self.most :], values[-self.most :]
+        return found
 
 
 def rolling_features(series: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Mean, deviation, P70 and P30 of the rows of the last week among the last ones that a granularity keeps; the point's own value without any.
 
-    A fold per series: each row enters and leaves one ordered list, so work doesn't grow with the frame.
+    Series are dealt out and sorted, and a batch of rows is answered at once from a tree of ranks over it and the tail before it.
     """
-    def step(s: dict, row) -> tuple:
-        if "past" not in s:
-            s["past"] = Rolling(settings.second_history_window if row.granularity == "1s" else settings.minute_history_window)
-        found = s["past"].at(int(row.timestamp), row.value)
-        s["past"].add(int(row.timestamp), row.value)
-        return found
 
-    return fold_by_key(series, ["metric_name", "granularity"], ["timestamp"], dict, step, "rolling_mean_7d double, rolling_std_7d double, rolling_p70_7d double, rolling_p30_7d double")
+    def prepare(s: dict, rows: pd.DataFrame) -> dict[str, np.ndarray]:
+        tail = s.setdefault("tail", Tail.of(rows["granularity"].iloc[0], settings))
+        return dict(zip(ROLLING, tail.take(rows["timestamp"].to_numpy(), rows["value"].to_numpy()).T, strict=True))
+
+    return fold_by_key(series, ["metric_name", "granularity"], ["timestamp"], dict, None, ", ".join(f"{c} double" for c in ROLLING), prepare=prepare)
 
 
 def aligned_baseline(points: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +35,15 @@ def _empty(kind: T.DataType):
     return F.lit(None).cast(kind)
 
 
-def fold_by_key(df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, added: str, carry: Carry | None = None, kind: str = "") -> DataFrame:
+def fold_by_key(
+    df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable | None, added: str, carry: Carry | None = None, kind: str = "", prepare: Callable | None = None
+) -> DataFrame:
     """df with the columns of ``added`` that step(state, row) gives for each row, in order within a key.
 
     Rows are dealt out and sorted by key, and read batch by batch with the state of the current key,
-    so a key may have more rows than fit in memory. step returns a tuple, or None for no row. With a
+    so a key may have more rows than fit in memory. step returns a tuple, or None for no row. What
+    doesn't need earlier results goes into prepare(state, rows), which gets a key's rows of a batch at
+    once and gives columns, as arrays, for step's rows; without a step they are the result. With a
     carry, keys of one name begin with the states of that kind, and their last states are left in it.
     """
     extra, carries = T.StructType.fromDDL(added), carry is not None
@@ -46,25 +51,37 @@ def fold_by_key(df: DataFrame, keys: list[str], order: list[str], start: Callabl
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, last = None, None, None
         for batch in batches:
-            out, kept, ended = [], [], []
+            if not len(batch):
+                continue
+            out, kept, ended, arrays = [], [], [], []
             of = list(zip(*(batch[k] for k in keys), strict=True))
             held = batch["_state"].tolist() if carries else None
-            for n, row in enumerate(batch.itertuples(index=False)):
-                if of[n] != current:
+            cuts = [0, *(n for n in range(1, len(of)) if of[n] != of[n - 1]), len(of)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if of[a] != current:
                     if last is not None:
                         ended.append(last.assign(_state=pickle.dumps(state)))
-                    current, state, last = of[n], start(), None
-                if held and held[n] is not None:
-                    state = pickle.loads(held[n])
+                    current, state, last = of[a], start(), None
+                if held and held[a] is not None:
+                    state = pickle.loads(held[a])
+                    a += 1
+                if a == b:
                     continue
-                got = step(state, row)
-                last = n if carries else None
-                if got is not None:
-                    kept.append(n)
-                    out.append(got)
-                if carries and (n + 1 == len(of) or of[n + 1] != current):
-                    last = batch.iloc[[n]].reset_index(drop=True)
-            more = pd.DataFrame(out, columns=extra.names, index=batch.index[kept])
+                rows = batch.iloc[a:b]
+                if prepare is not None:
+                    found = prepare(state, rows)
+                    if step is None:
+                        arrays.append(np.column_stack([found[c] for c in extra.names]))
+                        kept.extend(range(a, b))
+                    else:
+                        rows = rows.assign(**found)
+                if step is not None:
+                    for n, row in enumerate(rows.itertuples(index=False), a):
+                        if (got := step(state, row)) is not None:
+                            kept.append(n)
+                            out.append(got)
+                last = batch.iloc[[b - 1]].reset_index(drop=True) if carries else None
+            more = pd.DataFrame(np.concatenate(arrays) if arrays else out, columns=extra.names, index=batch.index[kept])
             yield pd.concat([batch.iloc[kept], more], axis=1)
             for row in ended:
                 yield row.assign(**{c: pd.Series([None], dtype=object) for c in extra.names})

@@ -11,10 +11,12 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidewatch.functions.kernels import huber_forecast, kde_bounds
-from tidewatch.operators.features import Rolling
+from tidewatch.operators.features import ROLLING, Tail
 from tidewatch.operators.folds import Carry, fold_by_key
 from tidewatch.settings import DEFAULTS, EPS, MAX_Z_HISTORY, RECENT_LIMIT, Settings
 
@@ -44,11 +46,10 @@ class State:
     bounds: dict = field(default_factory=lambda: {s: Bounds() for s in ("peak", "valley", "mid")})
     series: dict = field(default_factory=dict)
 
-    def of(self, label: str, settings: Settings) -> tuple[Rolling, deque]:
-        """Rolling window, and (actual, predicted, flag) of the last points, of one granularity."""
+    def of(self, label: str, settings: Settings) -> tuple[Tail, deque]:
+        """The tail of values, and (actual, predicted, flag) of the last points, of one granularity."""
         if label not in self.series:
-            most = settings.second_history_window if label == "1s" else settings.minute_history_window
-            self.series[label] = (Rolling(most), deque(maxlen=RECENT_LIMIT))
+            self.series[label] = (Tail.of(label, settings), deque(maxlen=RECENT_LIMIT))
         return self.series[label]
 
 
@@ -97,10 +98,10 @@ def judge(s: State, now: int, x: float, p: float, p70: float, p30: float, label:
 
 
 def predict_row(s: State, row, settings: Settings) -> tuple:
-    """The ADDED values of a row (value, timestamp, granularity, mode, base_value, factor, local_score), which the state learns."""
-    rolling, tail = s.of(row.granularity, settings)
+    """The ADDED values of a row (value, timestamp, granularity, mode, base_value, factor, local_score, ROLLING), which the state learns."""
+    tail = s.of(row.granularity, settings)[1]
     x, now = row.value, int(row.timestamp)
-    mean, sd, p70, p30 = rolling.at(now, x)
+    mean, sd, p70, p30 = row.rolling_mean_7d, row.rolling_std_7d, row.rolling_p70_7d, row.rolling_p30_7d
     off = sum([a - p for a, p, _ in tail]) / len(tail) if tail else 0.0
     bound = 0.2 * max(abs(mean), abs(x), 1e-3)
     diff = min(max(off, -bound), bound)
@@ -110,11 +111,20 @@ def predict_row(s: State, row, settings: Settings) -> tuple:
         p, low, high = predict_minute(s, x, tail)
     z, lower, upper, name, way, abnormal = judge(s, now, x, p, p70, p30, row.granularity, settings)
     tail.append((x, p, bool(abnormal or row.local_score > 0)))
-    rolling.add(now, x)
     return p, low, high, "seasonal_adjustment" if row.mode == "ai" else "minute_huber", diff, mean, sd, p70, p30, z, lower, upper, name, way, abnormal
 
 
+def with_rolling(s: State, rows: pd.DataFrame, settings: Settings) -> dict[str, np.ndarray]:
+    """ROLLING of rows of a metric, series by series: they read actual values only, so they need no loop."""
+    found = np.empty((len(rows), len(ROLLING)))
+    labels, times, values = (rows[c].to_numpy() for c in ("granularity", "timestamp", "value"))
+    for label in dict.fromkeys(labels):
+        own = labels == label
+        found[own] = s.of(label, settings)[0].take(times[own], values[own])
+    return dict(zip(ROLLING, found.T, strict=True))
+
+
 def predict_and_judge(series: DataFrame, settings: Settings = DEFAULTS, carry: Carry | None = None) -> DataFrame:
     """series: metric_name, timestamp, granularity, value, mode, base_value, factor, local_score; rows of zero_rule have their own plan."""
     step = lambda s, row: predict_row(s, row, settings)
-    return fold_by_key(series, ["metric_name"], ["timestamp", "ingest_seq"], State, step, ADDED, carry, "prediction")
+    return fold_by_key(series, ["metric_name"], ["timestamp", "ingest_seq"], State, step, ADDED, carry, "prediction", lambda s, rows: with_rolling(s, rows, settings))

@@ -63,12 +63,15 @@ def repaired(points: DataFrame, settings: Settings = DEFAULTS, past: Past | None
 
 
 def routed(raw: DataFrame, registry: DataFrame, times: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """raw with the mode and granularity that the metric's priority and latest assessment give each point."""
+    """raw with the mode and granularity that the metric's priority and latest assessment give each point.
+
+    Points and assessments meet in one pass over each metric in order of time, an assessment before the points of its second.
+    """
     known = registry.select("metric_name", "force_ai", "core_link", F.col("priority").alias("registry_priority"), F.col("business_line").alias("registry_line"))
-    spans = times.groupBy("metric_name").agg(F.array_sort(F.collect_list(F.struct("since", "eligible"))).alias("assessed"))  # one a day at most
-    latest = F.element_at(F.filter("assessed", lambda a: a["since"] <= F.col("timestamp")), -1)["eligible"]
-    whole = raw.join(known, "metric_name").join(spans, "metric_name").withColumn("eligible", latest).drop("assessed")
-    named = whole.withColumn("_own", F.col("priority")).withColumn("priority", F.col("registry_priority"))
+    both = raw.withColumn("_point", F.lit(True)).unionByName(times.select("metric_name", F.col("since").alias("timestamp"), "eligible").withColumn("_point", F.lit(False)), allowMissingColumns=True)
+    in_order = Window.partitionBy("metric_name").orderBy("timestamp", "_point")
+    latest = both.withColumn("eligible", F.last("eligible", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0))).where("_point").drop("_point")
+    named = latest.join(known, "metric_name").withColumn("_own", F.col("priority")).withColumn("priority", F.col("registry_priority"))
     return routing.route(named, settings).withColumn("priority", F.col("_own")).drop("_own", "registry_priority")
 
 

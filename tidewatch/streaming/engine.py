@@ -43,9 +43,9 @@ from tidewatch.functions.exprs import feature_factor, local_time
 from tidewatch.operators import ingest, routing
 from tidewatch.operators.alerts import Incident, advance, alert_rows, with_level
 from tidewatch.operators.detect import confidence_of, detector_rows, detectors_of, graded, is_periodic
-from tidewatch.operators.features import Rolling
+from tidewatch.operators.features import Tail
 from tidewatch.operators.zero_rule import rule_columns
-from tidewatch.plans.prediction import ADDED, NAMES, Bounds, State, predict_row
+from tidewatch.plans.prediction import ADDED, NAMES, Bounds, State, predict_row, with_rolling
 from tidewatch.schemas import POINT
 from tidewatch.settings import ALIGNED_LIMIT, DEFAULTS, RECENT_LIMIT, SAME_SECOND_LIMIT, Settings
 
@@ -307,19 +307,20 @@ class Judge(Keyed):
                 state.bounds[name] = Bounds(_list(z), None if low is None else (low, high), dirty, at)
         past: dict[str, deque] = {}
         passed = [None] * (len(NAMES) + 4)
+        for label in rows.loc[rows["mode"] != "zero_rule", "granularity"].unique():
+            most, limit = (s.second_history_window, s.anomaly_window) if label == "1s" else (s.minute_history_window,) * 2
+            old = self.held["judged"].getValue((label,)) if self.held["judged"].containsKey((label,)) else ([], [], [])
+            past[label] = deque(zip(*old, strict=True), max(limit, most, CONFIDENCE_ROWS))
+            tail = self.held["rolling"].getValue((label,)) if self.held["rolling"].containsKey((label,)) else ((), ())
+            state.series[label] = (Tail.of(label, s, *tail), deque(list(past[label])[-RECENT_LIMIT:], RECENT_LIMIT))
+        modelled = rows[rows["mode"] != "zero_rule"]
+        known = iter(modelled.assign(**with_rolling(state, modelled, s)).itertuples(index=False))
         for r in rows.itertuples(index=False):
             if r.mode == "zero_rule":
                 out.append((*r, *passed))
                 continue
-            label = r.granularity
-            if label not in past:
-                most, limit = (s.second_history_window, s.anomaly_window) if label == "1s" else (s.minute_history_window,) * 2
-                old = self.held["judged"].getValue((label,)) if self.held["judged"].containsKey((label,)) else ([], [], [])
-                past[label] = deque(zip(*old, strict=True), max(limit, most, CONFIDENCE_ROWS))
-                times, values = self.held["rolling"].getValue((label,)) if self.held["rolling"].containsKey((label,)) else ([], [])
-                state.series[label] = (Rolling.of(most, _list(times), _list(values)), deque(list(past[label])[-RECENT_LIMIT:], RECENT_LIMIT))
-            found = predict_row(state, r, s)
-            rolling, tail = state.series[label]
+            label, tail = r.granularity, state.series[r.granularity][1]
+            found = predict_row(state, next(known), s)
             flag = tail[-1][2]
             own = past[label]
             periodic = flag and is_periodic([x[2] for x in own], label, s)
@@ -335,8 +336,8 @@ class Judge(Keyed):
             if past and (b.z or b.now):
                 self.held["bounds"].updateValue((name,), (b.z, *(b.now or (None, None)), b.dirty, b.at))
         for label, own in past.items():
-            rolling = state.series[label][0]
-            self.held["rolling"].updateValue((label,), ([int(t) for t, _ in rolling.rows], [float(v) for _, v in rolling.rows]))
+            tail = state.series[label][0]
+            self.held["rolling"].updateValue((label,), (tail.times.tolist(), tail.values.tolist()))
             self.held["judged"].updateValue((label,), tuple(map(list, zip(*own, strict=True))))
         return out
 
