@@ -44,8 +44,8 @@ CHUNK, OVERLAP = 32_768, 1_024
 UNSURE = 8
 
 
-#: Distinct pre-tokens that a task keeps, and bytes of the longest; the rank of a pair that is no token.
-KEPT, KEPT_BYTES, NEVER = 50_000, 64, 1 << 62
+#: Distinct pre-tokens that a task keeps in each of two generations, some 300 bytes each, and bytes of the longest; the rank of a pair that is no token.
+KEPT, KEPT_BYTES, NEVER = 200_000, 64, 1 << 62
 
 
 def merged(raw: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -97,7 +97,7 @@ def _merged_long(raw: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Encoder(dict):
-    """Pre-tokens and their ids, those seen lately."""
+    """Pre-tokens and their ids, those seen lately: when there are too many they become the old ones, and come back as they are met."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
@@ -109,14 +109,19 @@ class Encoder(dict):
         for token, rank in self.ranks.items():
             self.words[rank] = token
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, pre_token: str) -> tuple[int, ...]:
-        raw = pre_token.encode()
-        ids = merged(raw, self.ranks)
-        if len(raw) <= KEPT_BYTES:
-            if len(self) >= KEPT:
-                self.clear()
-            self[pre_token] = ids
+        ids = self.old.get(pre_token)
+        if ids is None:
+            raw = pre_token.encode()
+            ids = merged(raw, self.ranks)
+            if len(raw) > KEPT_BYTES:
+                return ids
+        if len(self) >= KEPT:
+            self.old = dict(self)
+            self.clear()
+        self[pre_token] = ids
         return ids
 
     def encode(self, text: str) -> Iterator[int]:
