@@ -27,6 +27,7 @@ columns don't matter.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from tidewatch.llm.hashing import END, mix, token_hashes
 from tidewatch.session import table
 
 #: Tokens that a task packs at a time, and bytes of text in a part.
-PACK, PART_BYTES = 1_500_000, 16_000_000
+PACK, PART_BYTES = 2_000_000, 16_000_000
 #: Context frequencies from 0, 1, 2, 4, ... on; the last bucket is open.
 BUCKETS = 16
 #: Bins per power of ten of the held-out histogram.
@@ -68,13 +69,13 @@ def _part(h: np.ndarray, w: np.ndarray, key: np.ndarray, hot: np.ndarray, parts:
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Non-negative numbers in as few bytes as the largest needs, after one that says how many."""
+    """Non-negative numbers in as few bytes as the largest needs, deflated, after one that says how many."""
     kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(x) or int(x.max()) <= np.iinfo(k).max)
-    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+    return bytes([np.dtype(kind).itemsize]) + zlib.compress(x.astype(kind).tobytes(), 1)
 
 
 def _large(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+    return np.frombuffer(zlib.decompress(raw[1:]), f"<u{raw[0]}")
 
 
 PACKED = "part int, key binary, kind binary, context binary, context_at binary, word binary, word_n binary, doc_at binary"
@@ -291,8 +292,9 @@ def score_texts(docs: DataFrame, kind: F.Column, parts: int | None = None) -> Da
     own = F.col("first") & ~F.col("is_pair")
     number = lambda c: F.coalesce(F.sum(F.when(own, c)), F.lit(0))
     sums = answers.agg(number(F.col("all_train")).alias("total"), number(F.col("all_kept")).alias("n_kept"), number((F.col("all_train") > 0).cast("long")).alias("vocabulary"))
+    dealt = answers.repartition("part")  # one exchange, for the histogram and for the scores
     bins = (
-        packed.groupBy("part").cogroup(answers.groupBy("part"))
+        packed.groupBy("part").cogroup(dealt.groupBy("part"))
         .applyInPandas(tidy_group(_histogram(hot)), "bucket long, bin2 long, bin1 long, n long, sum2 double, sum1 double")
         .groupBy("bucket", "bin2", "bin1").agg(F.sum("n").alias("n"), F.sum("sum2").alias("sum2"), F.sum("sum1").alias("sum1"))
     )
@@ -304,7 +306,7 @@ def score_texts(docs: DataFrame, kind: F.Column, parts: int | None = None) -> Da
         .groupBy("one").applyInPandas(tidy_group(_weights), "weights binary").withColumn("one", F.lit(1))
         .join(facts.select("one", "total", F.col("n_words").alias("vocabulary")), "one")
     )
-    told = answers.select("part", "word", "is_pair", "all_train", one).join(F.broadcast(learned), "one").drop("one")
+    told = dealt.withColumn("one", one).join(F.broadcast(learned), "one").drop("one")
     scored = packed.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(tidy_group(_sums(hot, max(12, parts // 8))), "home int, keys binary, n_tokens binary, n_known binary, base_score binary, score binary")
     by_key = scored.groupBy("home").applyInPandas(tidy_group(_add_up), "key long, n_tokens long, n_known long, base_score double, score double")
     copies = rows.groupBy("key", "doc_id", "kind").agg(F.count("*").alias("copies"))
