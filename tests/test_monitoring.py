@@ -182,6 +182,28 @@ def test_history_store(spark, tmp_path):
     assert [r.timestamp for r in store.recent("series_points", "a").collect()] == [T + 500]
 
 
+def test_questions_open_few_folders_and_retention_writes_nothing(spark, tmp_path):
+    store = history.HistoryStore(spark, str(tmp_path / "h"))
+    day = 86400
+    rows = lambda m, *ts: spark.createDataFrame([(m, "1s", t, 1.0) for t in ts], "metric_name string, granularity string, timestamp long, value double")
+    for batch, m in enumerate("abcdefgh"):
+        store.append("series_points", rows(m, *(T + day * k for k in range(4)), T + 3 * day + 500), batch)
+    asked = store.recent("series_points", "a", since=T + 2 * day)
+    assert [r.timestamp for r in asked.collect()] == [T + 2 * day, T + 3 * day, T + 3 * day + 500]
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    filters = next(x for x in plan.splitlines() if "PartitionFilters" in x).split("PartitionFilters: [")[1].split("]")[0]
+    assert "metric_bucket" in filters and "date" in filters and "metric_bucket#" in filters
+    files = lambda: {str(p.relative_to(tmp_path)) for p in (tmp_path / "h").rglob("*.parquet")}
+    before = files()
+    assert store.retain(T + 3 * day + 100, 7) == 8 * 4
+    after = files()
+    assert after < before and len(after) == len([f for f in before if "date=2024-03-26" in f])
+    assert [(r.metric_name, r.timestamp) for r in store.read("series_points").orderBy("metric_name").collect()] == [(m, T + 3 * day + 500) for m in "abcdefgh"]
+    assert store.retain(T + 3 * day + 100, 7) == 0 and store.newest("series_points") == T + 3 * day + 500
+    store.append("series_points", rows("a", T + 3 * day + 50, T + 3 * day + 600), 8)  # an old point that comes after doesn't count
+    assert [r.timestamp for r in store.recent("series_points", "a", limit=9).collect()] == [T + 3 * day + 500, T + 3 * day + 600]
+
+
 def test_model_versions(spark):
     p = spark.createDataFrame([("a", {"x": 1.0})], "metric_name string, params map<string,double>")
     q = spark.createDataFrame([("a", {"x": 2.0})], "metric_name string, params map<string,double>")

@@ -1,13 +1,13 @@
-"""History tables: typed Parquet by date, upserts by key, recent rows, retention and removal."""
+"""History tables: typed Parquet by date and bucket of metrics, upserts by key, recent rows, retention and removal."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import local_time
 
-#: Tables and their keys. Tables of points are laid out by date; the others are small.
+#: Tables and their keys. Tables of points are laid out by date and by bucket of their metric; the others are small.
 KEYS = {
     "raw_points": ("metric_name", "timestamp"),
     "series_points": ("metric_name", "granularity", "timestamp"),
@@ -18,6 +18,13 @@ KEYS = {
     "states": ("metric_name", "kind"),
 }
 POINTS = ("raw_points", "series_points", "predictions", "anomalies")
+BUCKETS = 16
+LAYOUT = ("batch", "date", "metric_bucket")
+
+
+def bucket_of(metric: Column) -> Column:
+    """The bucket of a metric's points; of a constant name the planner knows it, and reads no other folder."""
+    return F.pmod(F.hash(metric), F.lit(BUCKETS))
 
 
 def latest(df: DataFrame, keys: tuple[str, ...], version: str = "ingest_seq") -> DataFrame:
@@ -27,7 +34,7 @@ def latest(df: DataFrame, keys: tuple[str, ...], version: str = "ingest_seq") ->
 
 
 def prune(df: DataFrame, cutoff: int) -> DataFrame:
-    """Rows not older than cutoff; with tables by date the filter drops whole partitions."""
+    """Rows not older than cutoff."""
     return df.where(F.col("timestamp") >= cutoff)
 
 
@@ -60,6 +67,9 @@ class HistoryStore:
     An append carries its batch's number as version; a batch that is written again replaces its own
     files, so a retried micro-batch changes nothing. A rewrite goes to a new generation, which counts
     once its mark is there; only then the old one is removed, so a failure between loses nothing.
+    Points of a batch lie in folders by local date and by bucket of their metric, so questions about a
+    metric or a time open only those. Retention removes whole folders of dates and leaves a mark, from
+    which on points count; it rewrites nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, timezone: str = "Asia/Shanghai"):
@@ -83,15 +93,25 @@ class HistoryStore:
         if name not in POINTS:
             rows.drop("batch").write.mode("overwrite").parquet(target)
             return
-        # The date of a row is part of its file's path, and the batch above it is what a retry overwrites.
-        dated = rows.drop("batch").withColumn("date", F.to_date(local_time(F.col("timestamp"), self.timezone)))
-        dated.write.mode("overwrite").partitionBy("date").parquet(target)
+        # The date and bucket of a row are part of its file's path, and the batch above it is what a retry overwrites.
+        placed = rows.drop(*LAYOUT).withColumns({"date": self._date(F.col("timestamp")), "metric_bucket": bucket_of(F.col("metric_name"))})
+        placed.write.mode("overwrite").partitionBy("date", "metric_bucket").parquet(target)
+
+    def _date(self, timestamp: Column) -> Column:
+        return F.to_date(local_time(timestamp, self.timezone))
+
+    def _names(self, *parts: str) -> list[str]:
+        folder = self._at(*parts)
+        return [f.getPath().getName() for f in self._files.listStatus(folder)] if self._files.exists(folder) else []
+
+    def _since(self, name: str) -> int | None:
+        """From when on points count, if retention has left a mark."""
+        return max((int(f[7:]) for f in self._names(name, self._generation(name)) if f.startswith("_SINCE=")), default=None)
 
     def _batches(self, name: str) -> list[int]:
-        folder = self._at(name, self._generation(name))
-        found = [f.getPath().getName() for f in self._files.listStatus(folder)] if self._files.exists(folder) else []
+        now = self._generation(name)
         # A batch without a row has left a folder without data.
-        return [int(f[6:]) for f in found if f.startswith("batch=") and any(not x.getPath().getName().startswith("_") for x in self._files.listStatus(self._at(name, self._generation(name), f)))]
+        return [int(f[6:]) for f in self._names(name, now) if f.startswith("batch=") and any(not x.startswith("_") for x in self._names(name, now, f))]
 
     def next_batch(self) -> int:
         """One more than the last batch of raw points."""
@@ -100,16 +120,32 @@ class HistoryStore:
     def has(self, name: str) -> bool:
         return bool(self._batches(name))
 
-    def read(self, name: str, before: int | None = None) -> DataFrame:
-        """The latest row of each key; of batches before a number only, if one is given."""
+    def _rows(self, name: str, since: int | None = None) -> DataFrame:
+        """All rows that count, of points only those since a time."""
         base = f"{self.path}/{name}/{self._generation(name)}"
         rows = self.spark.read.option("basePath", base).parquet(*(f"{base}/batch={n}" for n in self._batches(name)))
-        return latest(rows if before is None else rows.where(F.col("batch") < before), KEYS[name], "batch")
+        since = max((t for t in (since, self._since(name)) if t is not None), default=None) if name in POINTS else None
+        return rows if since is None else rows.where((F.col("timestamp") >= since) & (F.col("date") >= self._date(F.lit(since))))
+
+    def read(self, name: str, before: int | None = None, metrics: DataFrame | None = None, since: int | None = None) -> DataFrame:
+        """The latest row of each key; of batches before a number, of some metrics, or of points since a time only, if these are given."""
+        rows = self._rows(name, since)
+        rows = rows if before is None else rows.where(F.col("batch") < before)
+        if metrics is not None:
+            named = metrics.select("metric_name", *([bucket_of(F.col("metric_name")).alias("metric_bucket")] if name in POINTS else []))
+            rows = rows.join(named, named.columns, "left_semi")
+        return latest(rows, KEYS[name], "batch").drop("metric_bucket")
+
+    def newest(self, name: str) -> int | None:
+        """The time of the newest point, from the last date that has one."""
+        dates = [d[5:] for n in self._batches(name) for d in self._names(name, self._generation(name), f"batch={n}") if d.startswith("date=")]
+        return self._rows(name).where(F.col("date") == F.lit(max(dates)).cast("date")).agg(F.max("timestamp").alias("t")).first()["t"] if dates else None
 
     def recent(self, name: str, metric: str, limit: int | None = None, since: int | None = None, granularity: str | None = None) -> DataFrame:
-        rows = self.read(name).where(F.col("metric_name") == metric)
-        rows = rows if granularity is None else rows.where(F.col("granularity") == granularity)
-        rows = rows if since is None else rows.where(F.col("timestamp") >= since)
+        """The latest rows of a metric in order of time; its bucket and the dates asked for are all that is read."""
+        rows = self._rows(name, since).where(F.col("metric_name") == metric)
+        rows = rows.where(F.col("metric_bucket") == bucket_of(F.lit(metric))).drop("metric_bucket") if name in POINTS else rows
+        rows = latest(rows if granularity is None else rows.where(F.col("granularity") == granularity), KEYS[name], "batch")
         return rows.orderBy("timestamp") if limit is None else rows.orderBy(F.desc("timestamp")).limit(limit).orderBy("timestamp")
 
     def rewrite(self, name: str, keep, batch: int) -> int:
@@ -117,7 +153,7 @@ class HistoryStore:
         now = self._generation(name)
         new = f"gen={int(now[4:]) + 1}"
         before = self.read(name, before=batch + 1)
-        left = keep(before).drop("date").checkpoint()
+        left = keep(before).drop(*LAYOUT).checkpoint()
         if kept := left.count():
             self.append(name, left, batch, new)
         gone = before.count() - kept
@@ -126,15 +162,30 @@ class HistoryStore:
         return gone
 
     def retain(self, cutoff: int, batch: int) -> int:
-        """Drop points older than cutoff from all tables of points."""
-        return sum(self.rewrite(name, lambda d: prune(d, cutoff), batch) for name in POINTS if self.has(name))
+        """Drop points older than cutoff, of batches up to this number, from all tables of points; returns how many went.
+
+        Folders of dates that have passed are removed. Older points of the cutoff's own date stay in their
+        files until the date has passed, but no longer count.
+        """
+        gone = 0
+        for name in (n for n in POINTS if self.has(n)):
+            day = self.spark.range(1).select(self._date(F.lit(cutoff)).cast("string").alias("d")).first()["d"]
+            gone += latest(self._rows(name).where((F.col("date") <= F.lit(day).cast("date")) & (F.col("timestamp") < cutoff)), KEYS[name], "batch").count()
+            now = self._generation(name)
+            self._files.mkdirs(self._at(name, now))
+            self._files.create(self._at(name, now, f"_SINCE={cutoff}"), True).close()
+            for n in (n for n in self._batches(name) if n <= batch):
+                for date in self._names(name, now, f"batch={n}"):
+                    if date.startswith("date=") and date[5:] < day:
+                        self._files.delete(self._at(name, now, f"batch={n}", date), True)
+        return gone
 
     def forget_idle(self, now: int, ttl: int, batch: int) -> list[str]:
         """Drop the states and assessments of metrics without a point for ttl seconds; their points stay. Returns their names."""
         if not self.has("raw_points") or not self.has("states"):
             return []
-        idle = self.read("raw_points").groupBy("metric_name").agg(F.max("timestamp").alias("seen")).where(F.lit(now) - F.col("seen") >= ttl).select("metric_name")
-        gone = self.read("states").select("metric_name").distinct().join(idle, "metric_name").checkpoint()
+        active = self._rows("raw_points", now - ttl + 1).select("metric_name").distinct()
+        gone = self.read("states").select("metric_name").distinct().join(active, "metric_name", "left_anti").checkpoint()
         names = sorted(r["metric_name"] for r in gone.collect())  # one row for each metric that has just become idle
         if names:
             for name in ("states", "assessments"):

@@ -41,7 +41,7 @@ class Monitor:
         """The latest rows of earlier batches for some metrics; none: the columns of a table that isn't there."""
         if not self.store.has(name):
             return self.store.spark.createDataFrame([], none)
-        return self.store.read(name, before=batch).join(names, "metric_name", "left_semi").drop("batch", "date")
+        return self.store.read(name, before=batch, metrics=names).drop("batch", "date")
 
     def _past(self, points: DataFrame, batch: int, flush: bool) -> Past:
         names = points.select("metric_name")
@@ -88,7 +88,7 @@ class Monitor:
 
     def clean_up(self, batch: int, now: int | None = None) -> None:
         """Forget the states of idle metrics and drop points beyond the retained time."""
-        now = self.store.read("raw_points").agg(F.max("timestamp").alias("t")).first()["t"] if now is None else now
+        now = self.store.newest("raw_points") if now is None else now
         self.store.forget_idle(now, self.settings.state_ttl_sec, batch)
         if self.settings.data_retention_sec > 0:
             self.store.retain(now - self.settings.data_retention_sec, batch)
