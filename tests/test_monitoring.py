@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import kernels
-from tidewatch.operators import alerts, history, ingest, models, routing
+from tidewatch.operators import alerts, detect, history, ingest, models, routing
 from tidewatch.plans.online import Monitor
 from tidewatch.plans.prediction import Bounds, State, judge, predict_minute, predict_second
 from tidewatch.plans.replay import replay
@@ -120,6 +120,77 @@ def test_kernels():
     assert kernels.mann_kendall(range(10))[0] and kernels.mann_kendall([1, 2, 3]) == (False, 1.0)
 
 
+def test_joint_lines_equal_a_plain_descent():
+    rng = np.random.default_rng(8)
+    n, x = 40, (np.arange(1.0, 41) - 20.5) / np.arange(1.0, 41).std()
+    y = rng.normal(size=(100, n)) * rng.uniform(0.1, 3, (100, 1)) + rng.normal(size=(100, 1)) * 5 + rng.normal(size=(100, 1)) * x
+    y[rng.random(y.shape) < 0.1] += 30
+    got = kernels.joint_lines(y)
+
+    def loss(b):  # of intercept, slope and the logarithm of the scale
+        s, r = np.exp(b[:, 2:]), np.abs(y - b[:, :1] - b[:, 1:2] * x)
+        return (s + np.where(r < 1.35 * s, r * r / s, 2 * 1.35 * r - 1.35**2 * s)).sum(axis=1) + 1e-4 * b[:, 1] ** 2
+
+    b = np.c_[np.median(y, axis=1), np.zeros(100), np.zeros(100)]
+    step, best = np.full((100, 3), 1.0), loss(b)
+    while step.max() > 1e-9:  # a pattern search, coordinate by coordinate
+        better = np.zeros((100, 3), bool)
+        for k in range(3):
+            for way in (1, -1):
+                tried = b.copy()
+                tried[:, k] += way * step[:, k]
+                found = loss(tried)
+                low = found < best
+                b[low], best[low], better[low, k] = tried[low], found[low], True
+        step = np.where(better, step * 1.3, step * 0.6)
+    assert np.allclose(got[:, 2:], b[:, :2], atol=1e-4) and np.allclose(got[:, 0], b[:, 0] + b[:, 1] * (41 - 20.5) / np.arange(1.0, 41).std(), atol=1e-4)
+    assert kernels.huber_forecast([1.0, 2.0, 3.0, 4.0], joint=True)[0] == pytest.approx(5, abs=1e-3)
+    p, _, _ = predict_minute(State(), 3.0, [(float(v), 0.0, False) for v in range(10)], Settings(line_rule="joint"))
+    assert p == pytest.approx(10, abs=1e-2)
+
+
+def test_density_by_covariance_is_a_choice():
+    z = np.random.default_rng(4).normal(size=500)
+    plain, other = kernels.kde_bounds(z), kernels.kde_bounds(z, by_covariance=True)
+    assert plain != other and np.allclose(plain, other, atol=0.2) and kernels.kde_bounds([2.0] * 30, by_covariance=True) == kernels.kde_bounds([2.0] * 30)
+    s = State()
+    s.bounds["peak"] = Bounds(list(z))
+    judge(s, T, 0.95, 0.95, 0.94, 0.90, "1s", Settings(density_rule="covariance"))
+    assert s.bounds["peak"].now == other
+
+
+@pytest.mark.parametrize("repeats", [4, 6])
+def test_periods_equal_a_loop(spark, repeats):
+    rng, s = np.random.default_rng(repeats), Settings(periodic_week_lookback=repeats, minute_history_window=150)
+    n = 400
+    values = np.cumsum(rng.normal(size=n)) * 3 + np.arange(n) * 0.3
+    flags = (np.arange(n) % 12 == 0) & (rng.random(n) < 0.55) | (rng.random(n) < 0.1)
+
+    def looked(i):
+        v, f = values[max(i - 150, 0) : i + 1].tolist(), flags[max(i - 150, 0) : i + 1].tolist()
+        at = len(v) - 1
+        for p in (12, 288):
+            if len(v) < 10 or p > len(v) // (repeats + 1):
+                continue
+            hits, apart, wide = [], [], max(1, min(10, p // 10))
+            for k in range(1, repeats + 1):
+                if at - k * p > 0:
+                    a, b = max(0, at - k * p - wide), min(at - 1, at - k * p + wide) + 1
+                    hits.append(any(f[a:b]))
+                    apart.append((v[at] - np.mean(v[a:b])) / max(np.std(v[a:b]), 1.0))
+            if len(hits) >= 3:
+                if np.mean(hits) >= 0.6:
+                    return True
+                if kernels.mann_kendall(apart)[0]:
+                    return False
+        return False
+
+    want = [bool(flags[i]) and looked(i) for i in range(n)]
+    df = spark.createDataFrame([("a", "5m", T + 300 * i, float(values[i]), bool(flags[i])) for i in range(n)], "metric_name string, granularity string, timestamp long, value double, flag boolean")
+    assert [r.is_periodic for r in detect.periodic(df, s).orderBy("timestamp").collect()] == want and any(want)
+    assert [bool(flags[i]) and detect.is_periodic(values[:i].tolist(), flags[:i].tolist(), values[i], "5m", s) for i in range(n)] == want
+
+
 @pytest.mark.parametrize("width", [0.1, 0.4, 1.5])
 def test_density_equals_the_sum_over_all_pairs(width):
     x = np.random.default_rng(2).standard_t(3, 3000)

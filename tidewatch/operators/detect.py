@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import candidate_periods, last_rows, mann_kendall_z, severity, z_score
-from tidewatch.functions.kernels import huber_of
+from tidewatch.functions.kernels import huber_of, joint_of, mann_kendall
 from tidewatch.settings import CANDIDATE_PERIODS, DEFAULTS, EPS, Settings
 
 LABELS = ("robust_regression", "boxplot", "n_sigma", "trend")
@@ -52,7 +53,7 @@ def detectors_of(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         df = df.withColumn(f"{name}_sd", _deviation(name, F.col(f"{name}_mean")))
     x = F.col("value")
     q1, q3 = _quantile("_box", 0.25), _quantile("_box", 0.75)
-    df = df.withColumns({"_q1": q1, "_q3": q3, "_med": _quantile("_box", 0.5), "_fit": F.when(F.size("_reg") >= LEAST, huber_of("_reg"))})
+    df = df.withColumns({"_q1": q1, "_q3": q3, "_med": _quantile("_box", 0.5), "_fit": F.when(F.size("_reg") >= LEAST, (joint_of if settings.line_rule == "joint" else huber_of)("_reg"))})
     gate = lambda off, sd: F.abs(off) >= F.greatest(2 * sd, F.lit(0.005))
     iqr = F.col("_q3") - F.col("_q1")
     # Differences of the last values and of the current one; their order is the same for doubles as in a loop.
@@ -92,49 +93,58 @@ def graded(judged: DataFrame) -> DataFrame:
     return scored(judged).withColumn("severity", F.greatest("severity", "local_score")).withColumn("abnormal_labels", labels)
 
 
-def is_periodic(flags: list[bool], granularity: str, settings: Settings = DEFAULTS) -> bool:
-    """Whether a flagged point comes after flags around whole periods before it; flags: of the points before, oldest first."""
+#: With so many repeats a trend test of their differences can be significant.
+TREND_REPEATS = 5
+
+
+def is_periodic(values: list[float], flags: list[bool], now: float, granularity: str, settings: Settings = DEFAULTS) -> bool:
+    """Whether a flagged point comes after flags around whole periods before it; values and flags: of the points before, oldest first."""
     repeats, most = settings.periodic_week_lookback, settings.second_history_window if granularity == "1s" else settings.minute_history_window
     n, length = len(flags), min(len(flags), most) + 1
     if length < 10:
         return False
     for p in CANDIDATE_PERIODS.get(granularity, (60,)):
-        ks = [k for k in range(1, repeats + 1) if length - 1 - k * p > 0]
-        if p > length // (repeats + 1) or len(ks) < settings.periodic_min_matches:
-            continue
         wide = max(1, min(10, p // 10))
-        hits = sum(any(flags[max(n - k * p - wide, 0) : n + min(-1, -k * p + wide) + 1]) for k in ks)
-        if hits / len(ks) >= settings.periodic_ratio_threshold:
+        spans = [slice(max(n - k * p - wide, n + 1 - length), n + min(-1, -k * p + wide) + 1) for k in range(1, repeats + 1) if length - 1 - k * p > 0]
+        if p > length // (repeats + 1) or len(spans) < settings.periodic_min_matches:
+            continue
+        if sum(any(flags[x]) for x in spans) / len(spans) >= settings.periodic_ratio_threshold:
             return True
+        if len(spans) >= TREND_REPEATS and mann_kendall([(now - np.mean(values[x])) / max(np.std(values[x]), 1.0) for x in spans])[0]:
+            return False
     return False
 
 
 def periodic(flagged: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """is_periodic of points whose ``flag`` is set, from earlier flags around whole periods before them.
 
-    Each of the possible (period, repeat) pairs is one frame of rows; with at most four repeats a
-    trend test of the differences can never be significant, so the hits alone decide.
+    Each of the possible (period, repeat) pairs is one frame of rows, for its flags and, from TREND_REPEATS
+    repeats on, for the point's difference from the frame's values. Periods are tried in order: enough flags
+    say yes, and a trend of the differences ends the search.
     """
-    if settings.periodic_week_lookback > 4:
-        raise ValueError("beyond four repeats the trend test needs the windows' values")
-    keys = ("metric_name", "granularity")
+    keys, repeats = ("metric_name", "granularity"), settings.periodic_week_lookback
     df = flagged.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp")) - 1)
     most = F.when(F.col("granularity") == "1s", settings.second_history_window).otherwise(settings.minute_history_window)
     length = F.least(F.col("_i"), most) + 1
-    periods = sorted({p for ps in CANDIDATE_PERIODS.values() for p in ps if p <= (settings.second_history_window + 1) // (settings.periodic_week_lookback + 1)})
-    found = F.lit(False)
+    largest = max(settings.second_history_window, settings.minute_history_window)
+    periods = sorted({p for ps in CANDIDATE_PERIODS.values() for p in ps if p <= (largest + 1) // (repeats + 1)})
+    found = ended = F.lit(False)
     for p in periods:
-        tolerance = max(1, min(10, p // 10))
-        hits, seen = F.lit(0.0), F.lit(0)
-        for k in range(1, settings.periodic_week_lookback + 1):
-            first, last = -k * p - tolerance, min(-1, -k * p + tolerance)
-            any_flag = F.max(F.col("flag").cast("int")).over(Window.partitionBy(*keys).orderBy("timestamp").rowsBetween(first, last))
+        wide = max(1, min(10, p // 10))
+        hits, seen, apart = F.lit(0.0), F.lit(0), []
+        for k in range(1, repeats + 1):
+            frame = Window.partitionBy(*keys).orderBy("timestamp").rowsBetween(-k * p - wide, min(-1, -k * p + wide))
             there = length - 1 - k * p > 0
-            hits += F.when(there, F.coalesce(any_flag, F.lit(0))).otherwise(0)
+            hits += F.when(there, F.coalesce(F.max(F.col("flag").cast("int")).over(frame), F.lit(0))).otherwise(0)
             seen += F.when(there, 1).otherwise(0)
-        fits = F.array_contains(candidate_periods(F.col("granularity")), F.lit(p)) & (p <= F.floor(length / (settings.periodic_week_lookback + 1)))
-        found = found | (fits & (seen >= settings.periodic_min_matches) & (hits / F.greatest(seen, F.lit(1)) >= settings.periodic_ratio_threshold))
-    return df.withColumn("is_periodic", F.col("flag") & (length >= 10) & found).drop("_i")
+            apart.append(F.when(there, (F.col("value") - F.avg("value").over(frame)) / F.greatest(F.stddev_pop("value").over(frame), F.lit(1.0))))
+        fits = F.array_contains(candidate_periods(F.col("granularity")), F.lit(p)) & (p <= F.floor(length / (repeats + 1))) & (seen >= settings.periodic_min_matches)
+        enough = hits / F.greatest(seen, F.lit(1)) >= settings.periodic_ratio_threshold
+        found = found | (~ended & fits & enough)
+        if repeats >= TREND_REPEATS:
+            df = df.withColumn(f"_apart_{p}", F.array_compact(F.array(*apart)))
+            ended = ended | (fits & ~enough & F.coalesce(F.abs(mann_kendall_z(F.col(f"_apart_{p}"))) > NORMAL_5, F.lit(False)))
+    return df.withColumn("is_periodic", F.col("flag") & (length >= 10) & found).drop("_i", *(f"_apart_{p}" for p in periods))
 
 
 def confidence(df: DataFrame) -> DataFrame:

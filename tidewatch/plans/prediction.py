@@ -62,13 +62,13 @@ def predict_second(s: State, x: float, base: float, day_diff: float, factor: flo
     return p, low, high
 
 
-def predict_minute(s: State, x: float, tail: deque) -> tuple[float, float, float]:
+def predict_minute(s: State, x: float, tail: deque, settings: Settings = DEFAULTS) -> tuple[float, float, float]:
     clean = [p if flag else a for a, p, flag in list(tail)[-60:]]
     if len(clean) < 5:
         p = sum(clean) / len(clean) if clean else x
         sd = (sum((c - p) ** 2 for c in clean) / len(clean)) ** 0.5 if len(clean) > 1 else (0.0 if clean else s.minute_sd)
     else:
-        p, sd, _, _ = huber_forecast(clean, rounds=200)
+        p, sd, _, _ = huber_forecast(clean, rounds=200, joint=settings.line_rule == "joint")
     s.minute_sd = max(0.8 * s.minute_sd + 0.2 * sd, 0.001)
     return max(p, EPS), max(p - 2 * s.minute_sd, 0.0), p + 2 * s.minute_sd
 
@@ -79,7 +79,7 @@ def judge(s: State, now: int, x: float, p: float, p70: float, p30: float, label:
     b = s.bounds[name]
 
     def refresh(z: list) -> None:
-        b.now, b.dirty, b.at = kde_bounds(z, settings.global_lower_quantile, settings.global_upper_quantile), 0, now
+        b.now, b.dirty, b.at = kde_bounds(z, settings.global_lower_quantile, settings.global_upper_quantile, settings.density_rule == "covariance"), 0, now
 
     if b.now is None or now - b.at >= settings.kde_refresh_interval_sec:
         refresh(b.z)
@@ -108,7 +108,7 @@ def predict_row(s: State, row, settings: Settings) -> tuple:
     if row.mode == "ai":
         p, low, high = predict_second(s, x, row.base_value, diff, row.factor)
     else:
-        p, low, high = predict_minute(s, x, tail)
+        p, low, high = predict_minute(s, x, tail, settings)
     z, lower, upper, name, way, abnormal = judge(s, now, x, p, p70, p30, row.granularity, settings)
     tail.append((x, p, bool(abnormal or row.local_score > 0)))
     return p, low, high, "seasonal_adjustment" if row.mode == "ai" else "minute_huber", diff, mean, sd, p70, p30, z, lower, upper, name, way, abnormal

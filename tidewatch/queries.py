@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import exprs as ex
-from tidewatch.functions.kernels import huber_of, kde_of, mann_kendall_p
+from tidewatch.functions.kernels import covariance_kde_of, huber_of, kde_of, mann_kendall_p
 from tidewatch.operators import alerts, calendars, detect, features, history, ingest, routing
 from tidewatch.operators.downsample import downsample
 from tidewatch.operators.zero_rule import zero_rule
@@ -444,15 +444,34 @@ pt AS (SELECT *, lag(share) OVER w AS ps, lag(g) OVER w AS pg FROM sh WINDOW w A
 cut AS (SELECT metric_name, segment, arg_min(CASE WHEN ps IS NULL THEN g ELSE pg + (0.025 - ps) * (g - pg) / (share - ps) END, i) FILTER (WHERE share >= 0.025) AS kl, arg_min(CASE WHEN ps IS NULL THEN g ELSE pg + (0.975 - ps) * (g - pg) / (share - ps) END, i) FILTER (WHERE share >= 0.975) AS kh FROM pt GROUP BY ALL)"""
 
 
-@query("kde_bounds", KDE + " SELECT metric_name, segment, round(CASE WHEN n < 20 THEN ql ELSE kl END, 4) AS lower, round(CASE WHEN n < 20 THEN qh ELSE kh END, 4) AS upper FROM st LEFT JOIN cut USING (metric_name, segment)")
-def _(spark, d):
+def _bounds(spark, d, of):
+    """Bounds of each metric's segments by a density of the last scores."""
     rolled = features.rolling_features(scored(spark, d))
     segmented = rolled.withColumn("segment", ex.segment(F.col("predict_value"), F.col("rolling_p70_7d"), F.col("rolling_p30_7d")))
     last = features.recent(segmented, MAX_Z_HISTORY, ("metric_name", "segment"))
-    found = last.groupBy("metric_name", "segment").agg(F.array_sort(F.collect_list("z_score")).alias("z")).select("metric_name", "segment", kde_of("z").alias("k"))
+    found = last.groupBy("metric_name", "segment").agg(F.array_sort(F.collect_list("z_score")).alias("z")).select("metric_name", "segment", of("z").alias("k"))
     return found.select("metric_name", "segment", F.round("k.lower", 4).alias("lower"), F.round("k.upper", 4).alias("upper"))
 
 
+KDE_TOLD = " SELECT metric_name, segment, round(CASE WHEN n < 20 THEN ql ELSE kl END, 4) AS lower, round(CASE WHEN n < 20 THEN qh ELSE kh END, 4) AS upper FROM st LEFT JOIN cut USING (metric_name, segment)"
+
+
+@query("kde_bounds", KDE + KDE_TOLD)
+def _(spark, d):
+    return _bounds(spark, d, kde_of)
+
+
+KDE_COVARIANCE = (
+    KDE.replace("greatest(1.06 * stddev_pop(z) * pow(count(*), -0.2), 0.1) AS h", "stddev_samp(z) * pow(count(*), -0.2) AS h, stddev_pop(z) AS far")
+    .replace("lo - 3 * h + i * (hi - lo + 6 * h) / 511 AS g FROM st, range(512)", "lo - 3 * far + i * (hi - lo + 6 * far) / 1023 AS g FROM st, range(1024)")
+)
+
+
+@query("kde_bounds_covariance", KDE_COVARIANCE + KDE_TOLD)
+def _(spark, d):
+    return _bounds(spark, d, covariance_kde_of)
+
+
 @query("huber_forecast", _recursive(PTS) + """, past AS (SELECT metric_name || timestamp AS id, metric_name, timestamp, list(value) OVER (PARTITION BY metric_name ORDER BY timestamp ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS y FROM ded),
 long_ AS (SELECT id, y FROM past WHERE len(y) >= 5), """ + _huber_sql("long_", 50) + " SELECT metric_name, timestamp, round(forecast, 4) AS forecast, round(deviation, 4) AS deviation FROM past JOIN hubl USING (id)")
 def _(spark, d):

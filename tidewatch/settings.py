@@ -49,6 +49,10 @@ class Settings:
     second_history_window: int = 4000
     minute_history_window: int = 600
     anomaly_window: int = 4000
+    #: "plain", or "joint": robust lines and their scale by one convex minimisation.
+    line_rule: str = "plain"
+    #: "plain", or "covariance": kernels scaled by the sample deviation, on 1,024 points.
+    density_rule: str = "plain"
     priority_route_seconds: dict[str, int] = field(default_factory=lambda: {"P0": 60, "P1": 300, "P2": 600, "P3": 1800})
 
 

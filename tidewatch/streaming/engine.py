@@ -323,7 +323,7 @@ class Judge(Keyed):
             found = predict_row(state, next(known), s)
             flag = tail[-1][2]
             own = past[label]
-            periodic = flag and is_periodic([x[2] for x in own], label, s)
+            periodic = flag and is_periodic([x[0] for x in own], [x[2] for x in own], r.value, label, s)
             own.append(tail[-1])
             last = np.array([x[:2] for x in list(own)[-CONFIDENCE_ROWS:]])
             size = float(np.abs(last[:, 0]).mean())
