@@ -40,8 +40,8 @@ from tidewatch.llm.common import id_fold, small_batches, tidy, tidy_group
 from tidewatch.llm.hashing import END, mix, token_hashes
 from tidewatch.session import table
 
-#: Tokens that a task packs at a time, and bytes of text in a part.
-PACK, PART_BYTES = 2_000_000, 16_000_000
+#: Tokens that a task packs at a time, bytes of text in a part, and tokens that are scored at a time.
+PACK, PART_BYTES, SLICE = 2_000_000, 24_000_000, 500_000
 #: Context frequencies from 0, 1, 2, 4, ... on; the last bucket is open.
 BUCKETS = 16
 #: Bins per power of ten of the held-out histogram.
@@ -230,15 +230,18 @@ def _sums(hot: np.ndarray, homes: int):
         p = Part(blobs, hot)
         train, of_hot = p.totals(answers, "all_train")
         pair = p.pair_counts(1, of_hot)
-        n, v = float(answers["total"].iloc[0]), float(answers["vocabulary"].iloc[0])
-        weights = np.frombuffer(answers["weights"].iloc[0]).reshape(BUCKETS, 3)
-        h, w = train[p.h], train[p.w]
-        by = weights[_bucket(h)]
-        prob = by[:, 0] * pair / np.maximum(h, 1) + by[:, 1] * w / max(n, 1) + by[:, 2] / (v + 1)
-        base = np.log10((w + 0.1) / (n + 0.1 * (v + 1)))
+        n, v = float(blobs["total"].iloc[0]), float(blobs["vocabulary"].iloc[0])
+        weights = np.frombuffer(blobs["weights"].iloc[0]).reshape(BUCKETS, 3)
         key, at = np.unique(p.key, return_inverse=True)
-        at = at[p.d]
-        sums = [np.bincount(at, weights=x, minlength=len(key)) for x in (np.ones(len(at)), w > 0, base, np.log10(prob))]
+        sums = [np.zeros(len(key)) for _ in SUMMED]
+        for begin in range(0, len(p.d), SLICE):
+            own = slice(begin, begin + SLICE)
+            h, w, text = train[p.h[own]], train[p.w[own]], at[p.d[own]]
+            by = weights[_bucket(h)]
+            prob = by[:, 0] * pair[own] / np.maximum(h, 1) + by[:, 1] * w / max(n, 1) + by[:, 2] / (v + 1)
+            base = np.log10((w + 0.1) / (n + 0.1 * (v + 1)))
+            for total, x in zip(sums, (np.ones(len(h)), w > 0, base, np.log10(prob)), strict=True):
+                total += np.bincount(text, weights=x, minlength=len(key))
         home = (mix(key.astype(np.uint64)) % _U(homes)).astype(np.int32)
         rows = [(int(t), key[o].tobytes(), _small(sums[0][o].astype(np.int64)), _small(sums[1][o].astype(np.int64)), sums[2][o].tobytes(), sums[3][o].tobytes()) for t in np.unique(home) for o in [home == t]]
         return pd.DataFrame(rows, columns=["home", "keys", *SUMMED])
@@ -286,6 +289,7 @@ def score_texts(docs: DataFrame, kind: F.Column, parts: int | None = None) -> Da
         parts = max(12, -(-size // PART_BYTES))
     hot = hot_keys(rows, 1 / max(1000, HOT * parts))
     packed = rows.select("key", "kind", "text").mapInArrow(tidy(_pack(hot, parts)), PACKED)
+    packed = packed.repartition("part")  # one exchange, for all three passes
     asked = packed.groupBy("part").applyInPandas(tidy_group(_ask(hot)), "part int, word long, is_pair boolean, train long, kept long")
     of_word = Window.partitionBy("word", "is_pair")
     answers = asked.select("part", "word", "is_pair", F.sum("train").over(of_word).alias("all_train"), F.sum("kept").over(of_word).alias("all_kept"), (F.row_number().over(of_word.orderBy("part")) == 1).alias("first"))
@@ -306,8 +310,8 @@ def score_texts(docs: DataFrame, kind: F.Column, parts: int | None = None) -> Da
         .groupBy("one").applyInPandas(tidy_group(_weights), "weights binary").withColumn("one", F.lit(1))
         .join(facts.select("one", "total", F.col("n_words").alias("vocabulary")), "one")
     )
-    told = dealt.withColumn("one", one).join(F.broadcast(learned), "one").drop("one")
-    scored = packed.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(tidy_group(_sums(hot, max(12, parts // 8))), "home int, keys binary, n_tokens binary, n_known binary, base_score binary, score binary")
+    weighed = packed.withColumn("one", one).join(F.broadcast(learned), "one").drop("one")
+    scored = weighed.groupBy("part").cogroup(dealt.groupBy("part")).applyInPandas(tidy_group(_sums(hot, max(12, parts // 8))), "home int, keys binary, n_tokens binary, n_known binary, base_score binary, score binary")
     by_key = scored.groupBy("home").applyInPandas(tidy_group(_add_up), "key long, n_tokens long, n_known long, base_score double, score double")
     copies = rows.groupBy("key", "doc_id", "kind").agg(F.count("*").alias("copies"))
     each = copies.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).join(by_key, "key").withColumn("one", F.lit(1))
