@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from tidewatch.operators import ingest, routing
+from tidewatch.operators.history import HistoryStore
 from tidewatch.plans.replay import replay
 from tidewatch.schemas import POINT, REGISTRY
 from tidewatch.settings import Settings
@@ -130,6 +131,28 @@ def test_a_query_primed_from_stored_states_goes_on(spark, tmp_path):
     assert sorted(told(first) + told(again)) == sorted(told(replay(points, registry).alerts))
 
 
+def test_a_started_stream_fills_the_tables(spark, tmp_path):
+    points, registry, told = src.demo_points(spark, 800), src.demo_registry(spark), []
+    inp = tmp_path / "in"
+    inp.mkdir()
+    (inp / "0.json").write_text("\n".join(lines_of(points)))
+    time.sleep(1.05)
+    (inp / "1.json").write_text(json.dumps(flush("payment.long_tail_count", T + 800)))
+    store = HistoryStore(spark, str(tmp_path / "h"))
+    own = eng.Engine(registry, *src.empty_calendar(spark))
+    for query in (own.start(read_points(spark, str(inp), 1), str(tmp_path / "c1"), store, lambda df, n: told.extend(df.select(TOLD).collect())), own.keep(read_points(spark, str(inp), 1), str(tmp_path / "c2"), store)):
+        query.awaitTermination(300)
+        assert query.exception() is None
+    whole = replay(points, registry)
+    assert sorted(map(tuple, told)) == sorted(map(tuple, whole.alerts.select(TOLD).collect()))
+    key = ["metric_name", "granularity", "timestamp"]
+    rounded = lambda df, c: sorted((*(r[k] for k in key), round(r[c], 6)) for r in df.collect())
+    assert rounded(store.read("predictions"), "predict_value") == rounded(whole.judged, "predict_value")
+    assert rounded(store.read("anomalies"), "confidence_score") == rounded(whole.judged, "confidence_score")
+    assert rounded(store.read("series_points"), "value") == rounded(whole.series, "value")
+    assert store.read("raw_points").count() == points.count()
+
+
 def test_assessments_come_as_commands(spark, tmp_path):
     """A metric becomes eligible in mid-stream: seconds from then on, and a flush closes its bucket under the mode it has by then."""
     registry = ingest.register(points_of(spark, [("a", T, 1, "AA", "P1", "rate", {}), ("f", T, 1, "AA", "P0", "rate", {"force_ai": "true"})]))

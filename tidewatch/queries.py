@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,10 @@ from tidewatch.operators.downsample import downsample
 from tidewatch.operators.zero_rule import zero_rule
 from tidewatch.plans.prediction import predict_and_judge
 from tidewatch.plans.replay import replay
-from tidewatch.settings import MAX_Z_HISTORY
-from tidewatch.sources.points import demo_points, demo_registry, event_points
+from tidewatch.session import ensure_checkpoint_dir
+from tidewatch.settings import MAX_Z_HISTORY, Settings
+from tidewatch.sources.points import demo_points, demo_registry, empty_calendar, event_points, event_stream
+from tidewatch.streaming import engine
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -213,6 +217,21 @@ def _(spark, d):
     return downsample(deduped(spark, d).withColumn("granularity_sec", ex.route_seconds(F.col("priority")))).select("metric_name", "bucket", "timestamp", "bucket_size", *r4("value"))
 
 
+@query("stream_buckets", PTS + " " + _buckets("CASE priority WHEN 'P0' THEN 60 WHEN 'P1' THEN 300 WHEN 'P2' THEN 600 ELSE 1800 END").replace("FROM ded) GROUP", "FROM ded WHERE metric_name <> 'events.error') GROUP"))
+def _(spark, d):
+    """The events as a stream through the engine's keyed states, with commands that close the last buckets; forced metrics have none."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    registry = ingest.register(points(spark, d))
+    ends = points(spark, d).groupBy("metric_name").agg((F.max("timestamp") + 1).alias("timestamp")).withColumn("command", F.lit("flush"))
+    ends.write.json(f"{folder}/commands")
+    commands = spark.readStream.schema("metric_name string, timestamp long, command string").json(f"{folder}/commands").withColumn("event_time", F.timestamp_seconds("timestamp"))
+    own = engine.Engine(registry, *empty_calendar(spark), Settings(max_missing_fill=0, jump_clip_multiplier=1e12))
+    engine.use_state_store(spark)
+    closed = own.series(own.repaired(event_stream(spark, d).unionByName(commands, allowMissingColumns=True))).where("mode <> 'ai'").select("metric_name", "bucket", "timestamp", "bucket_size", *r4("value"))
+    closed.writeStream.format("parquet").option("path", f"{folder}/closed").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(closed.schema).parquet(f"{folder}/closed")
+
+
 # Calendar and features
 
 

@@ -88,8 +88,18 @@ def demo_registry(spark: SparkSession) -> DataFrame:
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of events as metric points, one metric for each type."""
+    return as_points(table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream with event time."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern the path may be a file, too
+    return as_points(events).withColumn("event_time", F.timestamp_seconds("timestamp"))
+
+
+def as_points(events: DataFrame) -> DataFrame:
     pick = lambda n: F.create_map(*[F.lit(x) for k, v in EVENT_METRICS.items() for x in (k, v[n])])[F.col("event_type")]
-    return table(spark, sf_dir, "events").where(F.col("event_type").isin(*EVENT_METRICS)).select(
+    return events.where(F.col("event_type").isin(*EVENT_METRICS)).select(
         F.concat(F.lit("events."), "event_type").alias("metric_name"),
         F.unix_timestamp(F.col("ts").cast("timestamp")).alias("timestamp"), "value", pick(4).alias("business_line"),
         F.create_map(F.lit("core_link"), pick(2).cast("string"), F.lit("force_ai"), pick(3).cast("string")).alias("tags"),

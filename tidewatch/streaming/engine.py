@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import json
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -37,16 +37,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidewatch.functions.exprs import feature_factor, local_time
 from tidewatch.operators import ingest, routing
 from tidewatch.operators.alerts import Incident, advance, alert_rows, with_level
 from tidewatch.operators.detect import confidence_of, detector_rows, detectors_of, graded, is_periodic
 from tidewatch.operators.features import Tail
+from tidewatch.operators.history import HistoryStore
 from tidewatch.operators.zero_rule import rule_columns
 from tidewatch.plans.prediction import ADDED, NAMES, Bounds, State, predict_row, with_rolling
-from tidewatch.schemas import POINT
+from tidewatch.schemas import ANOMALY, POINT
 from tidewatch.settings import ALIGNED_LIMIT, DEFAULTS, RECENT_LIMIT, SAME_SECOND_LIMIT, Settings
 
 #: How long points may be late: the reordering that the monitored sources are known to do.
@@ -364,6 +365,12 @@ def keyed(df: DataFrame, kind: type[Keyed], out: str, settings: Settings, primed
 
 
 OPERATORS = (Repair, Series, Judge, Incidents)
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Keyed operators need the RocksDB state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
 def states_of(spark: SparkSession, checkpoint: str, kind: type[Keyed], batch: int | None = None) -> dict[str, DataFrame]:
@@ -448,6 +455,40 @@ class Engine:
         levelled = with_level(judged, self.settings).drop("past")
         return self._keyed(levelled, Incidents, f"{schema_of(levelled)}, {ALERTED}")
 
+    def whole(self, points: DataFrame) -> DataFrame:
+        """All judged rows of a stream, with what their incidents tell."""
+        return self.told(self.judged(self.series(self.repaired(points))))
+
     def alerts(self, points: DataFrame) -> DataFrame:
-        rows = self.told(self.judged(self.series(self.repaired(points)))).where("status is not null")
-        return alert_rows(rows.withColumnRenamed("registry_line", "business_line"))
+        return _alerts(self.whole(points))
+
+    def start(self, points: DataFrame, checkpoint: str, store: HistoryStore, tell: Callable[[DataFrame, int], None], available_now: bool = True) -> StreamingQuery:
+        """Run the stream: series points, predictions and anomalies go to the store, tell(alerts, batch) gets each batch's alerts. A batch that is run again replaces what it wrote."""
+
+        def write(rows: DataFrame, batch: int) -> None:
+            rows.persist()
+            store.append("series_points", rows.select("metric_name", "granularity", "timestamp", "value", "mode", "bucket"), batch)
+            record = F.struct(
+                "isHoliday", "isRCA", "isHotSpot", F.col("registry_line").alias("business_unit"), "baseDayDiff", F.col("hour").alias("hour_of_day"), F.col("weekday").alias("day_of_week"),
+                "rolling_mean_7d", "rolling_std_7d", "rolling_p70_7d", "rolling_p30_7d",
+            )
+            known = rows.withColumns({"features": F.when(F.col("mode") != "zero_rule", record)})
+            store.append("predictions", known.select("metric_name", "timestamp", "granularity", F.col("value").alias("actual_value"), "predict_value", F.col("predict_lower").alias("lower_bound"), F.col("predict_upper").alias("upper_bound"), "model_name", "model_version", "features"), batch)
+            store.append("anomalies", rows.select(*ANOMALY.names), batch)
+            tell(_alerts(rows), batch)
+            rows.unpersist()
+
+        use_state_store(store.spark)
+        writer = self.whole(points).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+    def keep(self, points: DataFrame, checkpoint: str, store: HistoryStore, available_now: bool = True) -> StreamingQuery:
+        """Run the repair alone and keep its points, which assessments are made of."""
+        use_state_store(store.spark)
+        rows = self.repaired(points).where("command is null").select(*POINT.names)
+        writer = rows.writeStream.foreachBatch(lambda df, n: store.append("raw_points", df, n)).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _alerts(told: DataFrame) -> DataFrame:
+    return alert_rows(told.where("status is not null").withColumnRenamed("registry_line", "business_line"))
