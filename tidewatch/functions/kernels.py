@@ -9,7 +9,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.settings import EPS
+from tidewatch.settings import EPS, Settings
+
+LABELS = ("robust_regression", "boxplot", "n_sigma", "trend")
+#: Values that a detector needs, and those of the trend.
+LEAST, LEAST_TREND = 8, 6
+#: |z| of a two-sided normal test at 5 %.
+NORMAL_5 = 1.959963984540054
 
 
 def _middle(x: np.ndarray) -> np.ndarray:
@@ -159,6 +165,46 @@ def mann_kendall(values) -> tuple[bool, float]:
     return p < 0.05, p
 
 
+def mann_kendall_scores(values: np.ndarray) -> np.ndarray:
+    """z of each row of a matrix, with continuity correction, without ties' correction; 0 below five values."""
+    n = values.shape[1]
+    if n < 5:
+        return np.zeros(len(values))
+    early, late = np.triu_indices(n, 1)
+    s = np.sign(values[:, late] - values[:, early]).sum(axis=1)
+    return (s - np.sign(s)) / math.sqrt(n * (n - 1) * (2 * n + 5) / 18)
+
+
+def local_flags(past: np.ndarray, x: np.ndarray, settings: Settings) -> np.ndarray:
+    """LABELS of values x after the rows of past, the latest values last."""
+    tail = lambda n: past[:, -n:]
+    far = lambda off, sd, times, least: np.abs(off) >= np.maximum(times * sd, least)
+    none, out = np.zeros(len(x), bool), []
+    line = tail(settings.local_regression_window)
+    if line.shape[1] >= LEAST:
+        fit = joint_lines(line) if settings.line_rule == "joint" else huber_lines(line)
+        out.append(np.abs(x - fit[:, 0]) > np.maximum(3 * fit[:, 1], 0.01))
+    else:
+        out.append(none)
+    box = tail(settings.local_boxplot_window)
+    if box.shape[1] >= LEAST:
+        low, middle, high = np.quantile(box, (0.25, 0.5, 0.75), axis=1)
+        wide = 1.5 * (high - low)
+        out.append(far(x - middle, box.std(axis=1), 2, 0.005) & ((x < low - wide) | (x > high + wide)))
+    else:
+        out.append(none)
+    near = tail(settings.local_nsigma_window)
+    off, sd = x - near.mean(axis=1), near.std(axis=1)
+    out.append((sd > 0) & far(off, sd, 2, 0.005) & (np.abs(off) > 3 * sd) if near.shape[1] >= LEAST else none)
+    run = tail(settings.local_trend_window)
+    if run.shape[1] >= LEAST_TREND:
+        z = mann_kendall_scores(np.diff(np.c_[run, x], axis=1))
+        out.append((np.abs(z) > NORMAL_5) & (np.abs(x - run.mean(axis=1)) > np.maximum(2 * run.std(axis=1), 0.005)))
+    else:
+        out.append(none)
+    return np.stack(out, axis=1)
+
+
 def _doubles(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
 
@@ -186,11 +232,6 @@ def huber_of(values: pd.Series) -> pd.DataFrame:
     return _fitted(values, huber_lines)
 
 
-@F.pandas_udf(_doubles("forecast", "deviation", "intercept", "slope"))
-def joint_of(values: pd.Series) -> pd.DataFrame:
-    return _fitted(values, joint_lines)
-
-
 @F.pandas_udf(_doubles("lower", "upper"))
 def kde_of(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kde_bounds(v) for v in values], columns=["lower", "upper"])

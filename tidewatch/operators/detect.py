@@ -3,32 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.exprs import candidate_periods, last_rows, mann_kendall_z, severity, z_score
-from tidewatch.functions.kernels import huber_of, joint_of, mann_kendall
+from tidewatch.functions.kernels import LABELS, NORMAL_5, local_flags, mann_kendall
 from tidewatch.settings import CANDIDATE_PERIODS, DEFAULTS, EPS, Settings
 
-LABELS = ("robust_regression", "boxplot", "n_sigma", "trend")
-LEAST = 8
-#: |z| of a two-sided normal test at 5 %.
-NORMAL_5 = 1.959963984540054
-
-
-def _mean(values: str) -> Column:
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values))
-
-
-def _deviation(values: str, mean: Column) -> Column:
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.nullif(F.size(values), F.lit(0)))
-
-
-def _quantile(ordered: str, p: float) -> Column:
-    at = p * (F.size(ordered) - 1)
-    low = F.get(ordered, F.floor(at).cast("int"))
-    return low + (at - F.floor(at)) * (F.get(ordered, F.ceil(at).cast("int")) - low)
-
 
 def local_detectors(series: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """series with the four flags, local_score and local_labels. They read actual values only, so they need no fold.
@@ -45,27 +28,21 @@ def detector_rows(settings: Settings = DEFAULTS) -> int:
 
 
 def detectors_of(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """df, whose ``_past`` has the values before each row's, with the flags; row by row, so it also serves a stream."""
-    tail = lambda n: F.when(F.size("_past") > 0, F.slice("_past", -F.least(F.size("_past"), F.lit(n)), F.greatest(F.least(F.size("_past"), F.lit(n)), F.lit(1)))).otherwise(F.array().cast("array<double>"))
-    df = df.withColumns({"_box": F.array_sort(tail(settings.local_boxplot_window)), "_sig": tail(settings.local_nsigma_window), "_reg": tail(settings.local_regression_window), "_trd": tail(settings.local_trend_window)})
-    for name in ("_sig", "_box", "_trd"):
-        df = df.withColumn(f"{name}_mean", _mean(name))
-        df = df.withColumn(f"{name}_sd", _deviation(name, F.col(f"{name}_mean")))
-    x = F.col("value")
-    q1, q3 = _quantile("_box", 0.25), _quantile("_box", 0.75)
-    df = df.withColumns({"_q1": q1, "_q3": q3, "_med": _quantile("_box", 0.5), "_fit": F.when(F.size("_reg") >= LEAST, (joint_of if settings.line_rule == "joint" else huber_of)("_reg"))})
-    gate = lambda off, sd: F.abs(off) >= F.greatest(2 * sd, F.lit(0.005))
-    iqr = F.col("_q3") - F.col("_q1")
-    # Differences of the last values and of the current one; their order is the same for doubles as in a loop.
-    series_of = F.concat("_trd", F.array("value"))
-    diffs = F.when(F.size("_trd") >= 6, F.zip_with(F.slice(series_of, 2, F.size("_trd")), "_trd", lambda b, a: b - a))
-    flags = {
-        "robust_regression": (F.size("_reg") >= LEAST) & (F.abs(x - F.col("_fit.forecast")) > F.greatest(3 * F.col("_fit.deviation"), F.lit(0.01))),
-        "boxplot": (F.size("_box") >= LEAST) & gate(x - F.col("_med"), F.col("_box_sd")) & ((x < F.col("_q1") - 1.5 * iqr) | (x > F.col("_q3") + 1.5 * iqr)),
-        "n_sigma": (F.size("_sig") >= LEAST) & (F.col("_sig_sd") > 0) & gate(x - F.col("_sig_mean"), F.col("_sig_sd")) & (F.abs(x - F.col("_sig_mean")) > 3 * F.col("_sig_sd")),
-        "trend": (F.size("_trd") >= 6) & (F.abs(mann_kendall_z(F.col("_diffs"))) > NORMAL_5) & (F.abs(x - F.col("_trd_mean")) > F.greatest(2 * F.col("_trd_sd"), F.lit(0.005))),
-    }
-    df = df.withColumn("_diffs", diffs).withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
+    """df, whose ``_past`` has the values before each row's, with the flags; row by row, so it also serves a stream.
+
+    The values go to Python once, where rows with as many of them make a matrix for all four detectors.
+    """
+
+    @F.pandas_udf(T.StructType([T.StructField(n, T.BooleanType()) for n in LABELS]))
+    def flags(past: pd.Series, value: pd.Series) -> pd.DataFrame:
+        out, x = np.zeros((len(past), len(LABELS)), bool), value.to_numpy(float)
+        size = past.map(len).to_numpy()
+        for n in np.unique(size[size > 0]):
+            own = np.flatnonzero(size == n)
+            out[own] = local_flags(np.stack(past.iloc[own].tolist()), x[own], settings)
+        return pd.DataFrame(out, columns=list(LABELS))
+
+    df = df.withColumn("_hit", flags("_past", "value")).withColumns({k: F.col(f"_hit.{k}") for k in LABELS})
     hits = F.array_compact(F.array(*(F.when(F.col(k), k) for k in LABELS)))
     found = df.withColumn("local_labels", hits).withColumn("local_score", F.size("local_labels") / len(LABELS))
     return found.drop(*[c for c in found.columns if c.startswith("_")])

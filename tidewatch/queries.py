@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import exprs as ex
 from tidewatch.functions.kernels import covariance_kde_of, huber_of, kde_of, mann_kendall_p
-from tidewatch.operators import alerts, calendars, detect, features, history, ingest, routing
+from tidewatch.operators import alerts, calendars, detect, features, history, ingest, models, routing
 from tidewatch.operators.downsample import downsample
 from tidewatch.operators.zero_rule import zero_rule
 from tidewatch.plans.prediction import predict_and_judge
 from tidewatch.plans.replay import replay
+from tidewatch.schemas import POINT
 from tidewatch.session import ensure_checkpoint_dir
 from tidewatch.settings import MAX_Z_HISTORY, Settings
-from tidewatch.sources.points import demo_points, demo_registry, empty_calendar, event_points, event_stream
+from tidewatch.sources.points import demo_points, demo_registry, empty_calendar, event_points, event_stream, read_jsonl_lenient
 from tidewatch.streaming import engine
 
 QUERIES: dict = {}
@@ -616,3 +617,70 @@ def _(spark, d):
 @query("console_lines")
 def _(spark, d):
     return alerts.console_lines(replay(points(spark, d)).alerts)
+
+
+# Stored history, model versions, lines of text
+
+
+@query("stored_history", PTS + """, late AS (SELECT * FROM pts WHERE ingest_seq % 3 = 0), kept AS (
+  SELECT metric_name, timestamp, value, 1 AS b, ingest_seq FROM late UNION ALL SELECT metric_name, timestamp, value / 2, 0, ingest_seq FROM pts),
+one AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY metric_name, timestamp, b ORDER BY ingest_seq DESC) = 1),
+newest AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY metric_name, timestamp ORDER BY b DESC) = 1)
+SELECT metric_name, timestamp, round(value + 0.0000137, 4) AS value FROM newest WHERE timestamp >= (SELECT max(timestamp) - 1209600 FROM pts)""")
+def _(spark, d):
+    """Two batches of points in a store, the second of which corrects a third of the first, a retried one, and two weeks' retention."""
+    store = history.HistoryStore(spark, f"{ensure_checkpoint_dir(spark)}/history-{uuid.uuid4().hex}")
+    late = ingest.deduplicate(points(spark, d).where(F.col("ingest_seq") % 3 == 0))
+    store.append("raw_points", deduped(spark, d).withColumn("value", F.col("value") / 2), 0)
+    for _ in range(2):
+        store.append("raw_points", late, 1)
+    store.retain(store.newest("raw_points") - 1209600, 1)
+    return store.read("raw_points").select("metric_name", "timestamp", *s4("value"))
+
+
+@query("recent_rows", PTS + """, r AS (SELECT * FROM ded WHERE metric_name = 'events.view' ORDER BY timestamp DESC LIMIT 500)
+SELECT metric_name, timestamp, round(value + 0.0000137, 4) AS value FROM r""")
+def _(spark, d):
+    """The last points of one metric, as a restarted process asks for them."""
+    store = history.HistoryStore(spark, f"{ensure_checkpoint_dir(spark)}/history-{uuid.uuid4().hex}")
+    store.append("raw_points", deduped(spark, d), 0)
+    return store.recent("raw_points", "events.view", limit=500).select("metric_name", "timestamp", *s4("value"))
+
+
+@query("model_versions", PTS + """, m AS (SELECT metric_name, round(avg(value) + 0.0000137, 4) AS level, round(stddev_pop(value) + 0.0000137, 4) AS spread FROM ded GROUP BY metric_name)
+SELECT metric_name, CASE WHEN metric_name = 'events.view' THEN 'w_20' ELSE 'w_10' END AS version, CASE WHEN metric_name = 'events.view' THEN 20 ELSE 30 END::BIGINT AS published,
+  CASE WHEN metric_name = 'events.view' THEN 2 * level ELSE level END AS level, spread FROM m""")
+def _(spark, d):
+    """Two published versions of every metric's level and spread, and a rollback to the first of all but one metric."""
+    known = deduped(spark, d).groupBy("metric_name").agg(F.avg("value").alias("level"), F.stddev_pop("value").alias("spread")).select("metric_name", *s4("level", "spread"))
+    params = lambda times: known.select("metric_name", F.create_map(F.lit("level"), times * F.col("level"), F.lit("spread"), F.col("spread")).alias("params"))
+    versions = models.publish(params(1), "w", 10).unionByName(models.publish(params(2), "w", 20))
+    rolled = models.rollback(versions.where("metric_name <> 'events.view'"), "w_10", 30).unionByName(versions.where("metric_name = 'events.view'"))
+    return models.active(rolled).select("metric_name", "version", "published", F.col("params")["level"].alias("level"), F.col("params")["spread"].alias("spread"))
+
+
+@query("lenient_lines", PTS + """ SELECT coalesce(metric_name, 'rejected') AS metric_name, count(*) AS n, round(coalesce(sum(value), 0), 2) AS total FROM (
+  SELECT CASE WHEN ingest_seq % 7 <> 0 THEN metric_name END AS metric_name, CASE WHEN ingest_seq % 7 <> 0 THEN value END AS value FROM pts) GROUP BY ALL""")
+def _(spark, d):
+    """The points as JSON lines, each seventh of which is broken off, read leniently."""
+    folder = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    line = F.to_json(F.struct(*POINT.names))
+    points(spark, d).select(F.when(F.col("ingest_seq") % 7 == 0, F.substring_index(line, ",", 2)).otherwise(line).alias("value")).write.text(folder)
+    good, rejected = read_jsonl_lenient(spark, folder)
+    both = good.select("metric_name", "value").unionByName(rejected.select(F.lit("rejected").alias("metric_name"), F.lit(0.0).alias("value")))
+    return both.groupBy("metric_name").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("alert_texts", PTS + """, l AS (SELECT *, value > 80 AS g, list_filter(['boxplot', CASE WHEN value > 90 THEN 'trend' END], lambda x: x IS NOT NULL AND (x <> 'boxplot' OR value > 70)) AS ls FROM ded),
+w AS (SELECT *, CASE WHEN g THEN list_concat(['global'], ls) ELSE ls END AS labels FROM l)
+SELECT metric_name, timestamp, CASE WHEN len(labels) > 0 THEN array_to_string(labels, '+') ELSE 'global' END AS alert_type,
+  business_line || ' ' || metric_name || ' abnormal: duration=' || CASE WHEN timestamp % 7200 < 60 THEN (timestamp % 7200) || 's' ELSE ((timestamp % 7200) // 60) || 'm' || (timestamp % 60) || 's' END AS message FROM w""")
+def _(spark, d):
+    """Types and messages of alerts for judged points."""
+    labels = F.array_compact(F.array(F.when(F.col("value") > 70, "boxplot"), F.when(F.col("value") > 90, "trend")))
+    rows = deduped(spark, d).withColumns({
+        "global_abnormal": F.col("value") > 80, "local_labels": labels, "local_score": F.size(labels) / 4, "predict_value": F.lit(50.0), "lower_bound": F.lit(-3.0), "upper_bound": F.lit(3.0),
+        "confidence_score": F.lit(0.5), "status": F.lit("firing"), "alert_level": F.lit("P1"), "duration_sec": F.col("timestamp") % 7200, "granularity": F.lit("1s"),
+    })
+    told = alerts.alert_rows(detect.graded(rows))
+    return told.select("metric_name", "timestamp", "alert_type", F.regexp_replace("message", "current=.*, duration", "duration").alias("message"))
