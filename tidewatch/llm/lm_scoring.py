@@ -41,7 +41,7 @@ from tidewatch.llm.hashing import END, mix, token_hashes
 from tidewatch.session import table
 
 #: Tokens that a task packs at a time, bytes of text in a part, and tokens that are scored at a time.
-PACK, PART_BYTES, SLICE = 2_000_000, 24_000_000, 500_000
+PACK, PART_BYTES, SLICE = 2_000_000, 20_000_000, 500_000
 #: Context frequencies from 0, 1, 2, 4, ... on; the last bucket is open.
 BUCKETS = 16
 #: Bins per power of ten of the held-out histogram.
@@ -222,7 +222,7 @@ def _weights(frame: pd.DataFrame) -> pd.DataFrame:
             x = np.maximum(x, 1e-6 * has)
             x /= x.sum()
         weights[b] = x
-    return pd.DataFrame({"weights": [weights.tobytes()]})
+    return pd.DataFrame({"weights": [weights.tobytes()], "total": frame["total"].iloc[:1].to_numpy(), "vocabulary": frame["n_words"].iloc[:1].to_numpy()})
 
 
 def _sums(hot: np.ndarray, homes: int):
@@ -307,8 +307,7 @@ def score_texts(docs: DataFrame, kind: F.Column, parts: int | None = None) -> Da
     # Without held-out tokens one empty bin stands for them, so the weights are there in any case.
     learned = (
         facts.join(bins.withColumn("one", F.lit(1)), "one", "left").na.fill(0)
-        .groupBy("one").applyInPandas(tidy_group(_weights), "weights binary").withColumn("one", F.lit(1))
-        .join(facts.select("one", "total", F.col("n_words").alias("vocabulary")), "one")
+        .groupBy("one").applyInPandas(tidy_group(_weights), "weights binary, total long, vocabulary long").withColumn("one", F.lit(1))
     )
     weighed = packed.withColumn("one", one).join(F.broadcast(learned), "one").drop("one")
     scored = weighed.groupBy("part").cogroup(dealt.groupBy("part")).applyInPandas(tidy_group(_sums(hot, max(12, parts // 8))), "home int, keys binary, n_tokens binary, n_known binary, base_score binary, score binary")
