@@ -119,22 +119,27 @@ class Part:
     """All tokens of a part: context h, word w, text (key and kind)."""
 
     def __init__(self, blobs: pd.DataFrame, hot: np.ndarray):
-        keys, kinds, hs, ws, ds, base = [], [], [], [], [], 0
-        for b in blobs.itertuples(index=False):
+        # Tokens are numbers of words from the start; their hashes are looked at a blob at a time.
+        each = [(np.frombuffer(b.context, np.uint64), np.frombuffer(b.word, np.uint64)) for b in blobs.itertuples(index=False)]
+        self.words = np.unique(np.concatenate([x for both in each for x in both]))
+        keys, kinds, hs, ws, ds, hot_at, hot_pairs, base, size = [], [], [], [], [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0, 0
+        for b, (context, word) in zip(blobs.itertuples(index=False), each, strict=True):
             key = np.frombuffer(b.key, np.int64)
             keys.append(key)
             kinds.append(np.frombuffer(b.kind, np.uint8))
-            hs.append(np.frombuffer(b.context, np.uint64)[_large(b.context_at)])
-            ws.append(np.repeat(np.frombuffer(b.word, np.uint64), _large(b.word_n)))
+            hs.append(np.searchsorted(self.words, context).astype(np.int32)[_large(b.context_at)])
+            ws.append(np.repeat(np.searchsorted(self.words, word).astype(np.int32), _large(b.word_n)))
             ds.append(_large(b.doc_at).astype(np.int32) + base)
-            base += len(key)
+            pair = _pair(self.words[hs[-1]], self.words[ws[-1]])
+            own = np.flatnonzero(np.isin(pair, hot))
+            hot_at.append(own + size)
+            hot_pairs.append(pair[own])
+            base, size = base + len(key), size + len(pair)
         self.key, kind = np.concatenate(keys), np.concatenate(kinds)
-        h, w, self.d = np.concatenate(hs), np.concatenate(ws), np.concatenate(ds)
+        self.h, self.w, self.d = np.concatenate(hs), np.concatenate(ws), np.concatenate(ds)
         self.kind = kind[self.d]
-        self.words = np.union1d(h, w)
-        self.hot = np.flatnonzero(np.isin(pair := _pair(h, w), hot))
-        self.pairs, self.pair_at = np.unique(pair[self.hot], return_inverse=True)
-        self.h, self.w = (np.searchsorted(self.words, x).astype(np.int32) for x in (h, w))
+        self.hot = np.concatenate(hot_at)
+        self.pairs, self.pair_at = np.unique(np.concatenate(hot_pairs), return_inverse=True)
 
     def asked(self) -> pd.DataFrame:
         """Words, and then hot bigrams, with their training and retained counts in this part."""
@@ -296,7 +301,7 @@ def score_texts(docs: DataFrame, kind: F.Column, parts: int | None = None) -> Da
     own = F.col("first") & ~F.col("is_pair")
     number = lambda c: F.coalesce(F.sum(F.when(own, c)), F.lit(0))
     sums = answers.agg(number(F.col("all_train")).alias("total"), number(F.col("all_kept")).alias("n_kept"), number((F.col("all_train") > 0).cast("long")).alias("vocabulary"))
-    dealt = answers.repartition("part")  # one exchange, for the histogram and for the scores
+    dealt = answers.drop("first").repartition("part")  # one exchange, for the histogram and for the scores
     bins = (
         packed.groupBy("part").cogroup(dealt.groupBy("part"))
         .applyInPandas(tidy_group(_histogram(hot)), "bucket long, bin2 long, bin1 long, n long, sum2 double, sum1 double")
