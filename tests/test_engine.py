@@ -155,7 +155,8 @@ def test_a_started_stream_fills_the_tables(spark, tmp_path):
 
 def test_assessments_come_as_commands(spark, tmp_path):
     """A metric becomes eligible in mid-stream: seconds from then on, and a flush closes its bucket under the mode it has by then."""
-    registry = ingest.register(points_of(spark, [("a", T, 1, "AA", "P1", "rate", {}), ("f", T, 1, "AA", "P0", "rate", {"force_ai": "true"})]))
+    rows = points_of(spark, [("a", T, 1, "AA", "P1", "rate", {}), ("f", T, 1, "AA", "P0", "rate", {"force_ai": "true"})])
+    registry = spark.createDataFrame(ingest.register(rows).collect(), REGISTRY)
     history = points_of(spark, [("a", T - 1000 + i, 0.9, "AA", "P1", "rate", {}) for i in range(100)])
     none = spark.createDataFrame([], "metric_name string, since long, eligible boolean")
     s = Settings(history_weeks_required=0)
@@ -166,4 +167,5 @@ def test_assessments_come_as_commands(spark, tmp_path):
     assert routing.assess_due(history, registry, known, T + 86400, s).count() == 0 and routing.assess_due(history.withColumn("timestamp", F.col("timestamp") + 600_000), registry, known, T + 604800, s).count() == 1
     batches = [[point("a", T + i, 0.9, priority="P1", metric_type="rate") for i in range(5)], [{"metric_name": "a", "timestamp": T + 5, "command": "eligible"}, point("a", T + 6, 0.9), flush("a", T + 7)]]
     got, _ = run(spark, tmp_path, batches, registry.where("metric_name = 'a'"), "modes", s, name="judged")
-    assert sorted((r.timestamp, r.mode, r.granularity) for r in got.collect()) == [(T + 4, "ai", "1s"), (T + 6, "ai", "1s")]
+    # The open bucket's five seconds under the mode of the flush; the second between, filled; the last one.
+    assert sorted((r.timestamp, r.mode, r.granularity) for r in got.collect()) == [(T + 4, "ai", "1s"), (T + 5, "ai", "1s"), (T + 6, "ai", "1s")]
