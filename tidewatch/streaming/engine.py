@@ -12,8 +12,8 @@ point; when it runs and newer points have come, it is set anew, else every state
 unsaid. A point that comes later than that finds nothing either, timer or no timer.
 
 Order. Within a micro-batch a metric's points are taken by time, and of those with one time the last. Across batches:
-a point later than LATENESS behind the stream's newest is dropped by the watermark and counted in the query's
-progress. One within it is taken when it comes: it is clipped and judged like any other, no gap is filled before it,
+a point more than LATENESS behind the newest that the stream had two batches ago is dropped by the watermark and counted
+in the query's progress. One within it is taken when it comes: it is clipped and judged like any other, no gap is filled before it,
 and the next gap is still measured from the newest point. In buckets, another bucket, an older one too, closes the
 open one.
 
