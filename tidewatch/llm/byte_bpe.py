@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import heapq
 import itertools
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -44,7 +45,7 @@ CHUNK, OVERLAP = 32_768, 1_024
 UNSURE = 8
 
 
-#: Distinct pre-tokens that a task keeps in each of two generations, some 300 bytes each, and bytes of the longest; the rank of a pair that is no token.
+#: Distinct pre-tokens that a task keeps in each of two generations, some 200 bytes each, and bytes of the longest; the rank of a pair that is no token.
 KEPT, KEPT_BYTES, NEVER = 200_000, 64, 1 << 62
 
 
@@ -97,7 +98,7 @@ def _merged_long(raw: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Encoder(dict):
-    """Pre-tokens and their ids, those seen lately: when there are too many they become the old ones, and come back as they are met."""
+    """Pre-tokens and their ids (as the bytes of 32-bit numbers), those seen lately: when there are too many they become the old ones, and come back as they are met."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
@@ -109,13 +110,13 @@ class Encoder(dict):
         for token, rank in self.ranks.items():
             self.words[rank] = token
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, pre_token: str) -> tuple[int, ...]:
+    def __missing__(self, pre_token: str) -> bytes:
         ids = self.old.get(pre_token)
         if ids is None:
             raw = pre_token.encode()
-            ids = merged(raw, self.ranks)
+            ids = array("i", merged(raw, self.ranks)).tobytes()
             if len(raw) > KEPT_BYTES:
                 return ids
         if len(self) >= KEPT:
@@ -124,8 +125,8 @@ class Encoder(dict):
         self[pre_token] = ids
         return ids
 
-    def encode(self, text: str) -> Iterator[int]:
-        return itertools.chain.from_iterable(map(self.__getitem__, self.pattern.findall(text)))
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, self.pattern.findall(text))), np.int32)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
@@ -139,7 +140,7 @@ def _encoder(vocabulary: str) -> Encoder:
 def _ids(vocabulary: str, texts: Iterable[str | None]) -> pa.ListArray:
     """Ids of each text as an Arrow column."""
     enc = _encoder(vocabulary)
-    each = [np.fromiter(enc.encode(t), np.int32) if t else np.empty(0, np.int32) for t in texts]
+    each = [enc.encode(t or "") for t in texts]
     ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *each])))
 
