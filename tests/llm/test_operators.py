@@ -469,6 +469,41 @@ def test_licenses_stand_twice_cut_up_and_side_by_side(spark):
     assert got[len(texts)] == got[0]
 
 
+def test_licenses_stand_in_pieces_however_far_apart(spark):
+    """Copies cut into pieces, with foreign text of up to 30,000 words between them and words missing, against the words that are there."""
+    own = {name: licenses.words_of(t) for name, t in licenses.TEMPLATES.items()}
+    foreign = lambda n: [f"q{rng.randint(0, 400)}" for _ in range(n)]
+    texts, want = [], []
+    for name in ("MIT-full", "BSD-3-Clause-full", "ISC-full", "Unlicense-full", "MIT-text", "GPL-3.0-notice") * 4:
+        n = len(own[name])
+        edge = max(licenses.PIECE + 5, n // 6 + 1)  # without a piece at an end, the rest isn't covered
+        may = range(edge, n - edge + 1, licenses.PIECE + 5)
+        cuts = sorted(rng.sample(may, rng.randint(1, min(3, len(may)))))
+        lost = set(rng.sample(range(n), n // 20))
+        words = foreign(rng.randint(0, 50))
+        for begin, end in zip([0, *cuts], [*cuts, n], strict=True):
+            words += [own[name][k] for k in range(begin, end) if k not in lost] + foreign(rng.choice([300, 3000, 30_000]))
+        texts.append(" ".join(words))
+        want.append([(name, n - len(lost), n)])
+    mit = own["MIT-text"]
+    texts += [
+        " ".join([*mit[:24], *mit, *mit[24:]]),  # a copy within another
+        " ".join(w for k in range(0, len(mit), 5) for w in [*mit[k : k + 5], *foreign(20)]),  # crumbs
+        " ".join([*own["MIT-full"][:90], *foreign(300), *own["ISC-full"], *foreign(300), *own["MIT-full"][90:]]),
+        "released " + " ".join(foreign(9)) + " under the " + " ".join(foreign(9)) + " mit license",
+    ]
+    want += [[("MIT-text", len(mit), len(mit))] * 2, [], [(t, len(own[t]), len(own[t])) for t in ("ISC-full", "MIT-full")], []]
+    df = spark.createDataFrame(make([*texts, texts[0]]), DOCS)
+    got = {r.doc_id: r.licenses for r in licenses.find_licenses(df).collect()}
+    for n, places in enumerate(want):
+        assert sorted(x.name for x in got[n]) == [p[0] for p in places]
+        for x, (_, there, of) in zip(sorted(got[n], key=lambda x: x.name), places, strict=True):
+            assert there / of - 0.03 <= x.coverage <= there / of + 1e-9
+    assert got[len(texts)] == got[0]
+    same = {"B": licenses.TEMPLATES["MIT-text"], "A": licenses.TEMPLATES["MIT-text"]}  # a tie: the smaller name stays
+    assert [[x.name for x in r.licenses] for r in licenses.find_licenses(df.where(f"doc_id = {len(texts) - 4}"), same).collect()] == [["A", "A"]]
+
+
 def test_very_long_texts(spark):
     """One text of more than half a megabyte among short ones, and a copy of it with a word less."""
     g = np.random.default_rng(6)

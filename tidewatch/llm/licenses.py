@@ -6,17 +6,21 @@ anchors are aligned in the same way (runs of equal words at a gap's ends are tak
 template's coverage is the share of its words that the alignment matches; a place of at least
 the asked coverage is found.
 
-Texts are scanned whole. A place is a window of at most WIDE times the template's words. Whatever is
-covered holds all but a few of the words that the template has once, so only windows with enough
+Texts are scanned whole. A place is a dense window, of at most WIDE times the template's words, or
+several pieces as dense with PIECE matched words or more each and foreign text of any length between
+them. Windows come first, and pieces are sought outside the windows of all templates, and within those of others
+where that matches more words. Whatever is covered holds all but a few of the words that the template has once, so only windows with enough
 distinct ones of these are aligned, the shortest ones first, from left to right. Words are unique
 or not within such a window, so neither a second copy of a license nor common words around it
 take anchors away; what a window leaves of the template's ends is aligned with the words next to it.
-Each place of a template is reported, and the scan goes on behind it. A text that holds none of a
+Each place of a template is reported, and the scan goes on behind it. The words that windows leave are
+then searched for pieces in stretches that grow from level to level up to the whole text, half of each
+shared with the next, so that each level reads the text twice. A text that holds none of a
 template's ``needed`` words can't cover it (the other words are too few), which is tested on the
 JVM before any text goes to Python.
 
 Defined cases: null and empty texts have no license; repeated rows give a row each; several
-templates may be found in one text, but where their places overlap only the one with the most
+templates may be found in one text, but where pieces of their places overlap only the one with the most
 matched words stays (then the best covered, then the smaller name, then the earlier); extra
 columns don't matter.
 """
@@ -29,6 +33,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,8 +86,9 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 COVERAGE = 0.85
-#: A place has at most so many times the template's words.
-WIDE = 2
+#: A window has at most so many times the template's words, and a piece so many times its matched ones. Matched words of a piece, at
+#: least, and foreign words in a row that end one, if there are more of them.
+WIDE, PIECE = 2, 10
 WORD = re.compile(r"[0-9A-Za-z]+")
 
 
@@ -190,6 +196,47 @@ class Template:
                 after, held = pairs[-1][0] + 1, Counter()
                 left = bisect.bisect_left(met, (after, -1))
 
+    def scattered(self, words: Sequence[str], at: Mapping[str, Sequence[int]], taken: Sequence[tuple[int, int]]) -> Iterator[list[list[tuple[int, int]]]]:
+        """Pieces of each place that no window holds, among the words outside taken (begin, end of words)."""
+        if self.least < 2 * PIECE:
+            return
+        free = np.ones(len(words), bool)
+        for begin, end in taken:
+            free[begin:end] = False
+        met = {w: [n for n in at.get(w, ()) if free[n]] for w in self.once}
+        if sum(map(bool, met.values())) < self.need:
+            return
+        rest = np.flatnonzero(free).tolist()
+        width = 2 * WIDE * len(self.words)
+        while True:
+            begin = 0
+            while begin < len(rest):
+                stretch = rest[begin : begin + width]
+                pieces: list[list[tuple[int, int]]] = []
+                if sum(bisect.bisect_left(m, stretch[0]) < bisect.bisect_right(m, stretch[-1]) for m in met.values()) >= self.need:
+                    pieces = dense_pieces([(stretch[a], b) for a, b in align([words[n] for n in stretch], self.words)])
+                if sum(map(len, pieces)) < self.least:
+                    begin += width // 2
+                    continue
+                yield pieces
+                for piece in pieces:
+                    free[piece[0][0] : piece[-1][0] + 1] = False
+                rest = [n for n in rest if free[n]]
+                met = {w: [n for n in m if free[n]] for w, m in met.items()}
+            if width >= len(rest):
+                return
+            width *= 2
+
+
+def dense_pieces(pairs: Sequence[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Matched places cut where more than PIECE foreign words stand in a row; without pieces that are short, or thin."""
+    pieces: list[list[tuple[int, int]]] = []
+    for n, pair in enumerate(pairs):
+        if not n or pair[0] - pairs[n - 1][0] > PIECE + 1:
+            pieces.append([])
+        pieces[-1].append(pair)
+    return [p for p in pieces if len(p) >= PIECE and p[-1][0] - p[0][0] < WIDE * len(p)]
+
 
 def scan(text: str, templates: Mapping[str, Template]) -> list[tuple[str, float, int, int]]:
     """(name, coverage, begin, end) in characters of each template's places, best covered first."""
@@ -200,15 +247,35 @@ def scan(text: str, templates: Mapping[str, Template]) -> list[tuple[str, float,
     for n, w in enumerate(words):
         if w in known:
             at.setdefault(w, []).append(n)
-    found = []
+    found = {name: [[pairs] for pairs in template.places(words, at)] for name, template in templates.items()}
+    windows = [piece for _, pieces in _best(found, templates, len(words)) for piece in pieces]
     for name, template in templates.items():
-        for pairs in template.places(words, at):
-            found.append((len(pairs), name, len(pairs) / len(template.words), spans[pairs[0][0]][0], spans[pairs[-1][0]][1]))
-    kept: list[tuple[str, float, int, int]] = []
-    for _, *f in sorted(found, key=lambda f: (-f[0], -f[2], f[1], f[3])):  # where templates overlap, the one with most words
-        if all(f[2] >= k[3] or f[3] <= k[2] for k in kept):
-            kept.append(tuple(f))
-    return sorted(kept, key=lambda f: (-f[1], f[2], f[0]))
+        own = _extents(found[name])
+        found[name] += template.scattered(words, at, [*windows, *own])
+        found[name] += template.scattered(words, at, own)  # a window of another template may be part of this one
+    best = _best(found, templates, len(words))
+    return sorted(((name, share, spans[pieces[0][0]][0], spans[pieces[-1][1] - 1][1]) for (name, share), pieces in best), key=lambda f: (-f[1], f[2], f[0]))
+
+
+def _extents(places: Sequence[list[list[tuple[int, int]]]]) -> list[tuple[int, int]]:
+    """Begin and end, in words, of each piece."""
+    return [(piece[0][0], piece[-1][0] + 1) for pieces in places for piece in pieces]
+
+
+def _best(found: Mapping[str, list], templates: Mapping[str, Template], n_words: int) -> list[tuple[tuple[str, float], list[tuple[int, int]]]]:
+    """(name, coverage) and pieces of places; where some overlap, the one with most words."""
+    ranked = []
+    for name, places in found.items():
+        for n, place in enumerate(places):
+            size = sum(map(len, place))
+            ranked.append((-size, -size / len(templates[name].words), name, n, _extents([place])))
+    kept, free = [], np.ones(n_words, bool)
+    for _, share, name, _, pieces in sorted(ranked):
+        if all(free[begin:end].all() for begin, end in pieces):
+            kept.append(((name, -share), pieces))
+            for begin, end in pieces:
+                free[begin:end] = False
+    return kept
 
 
 FOUND = pa.list_(pa.struct([("name", pa.string()), ("coverage", pa.float64()), ("begin", pa.int64()), ("end", pa.int64())]))
