@@ -31,6 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_jaccard": jaccard.OP3_SQL,
         "op4_suffix_dedup": suffix_dedup.OP4_SQL,
         "op6_url_filter": url_filter.OP6_SQL,
+        "op9_sharding": sharding.OP9_SQL,
         "op11_warc": warc.OP11_SQL,
         "op12_conversations": conversations.OP12_SQL,
         "op13_periodic_runs": periodic.OP13_SQL,

@@ -76,3 +76,28 @@ def interleaved_shards(docs: DataFrame, n_shards: int = 24, seed: str = "mix-1",
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(table(spark, sf_dir, "documents"))
+
+
+#: The fixed numbers are the reflected polynomial of CRC-32 and its all-ones start; each byte's table entry comes from eight steps.
+OP9_SQL = r"""
+WITH entry AS (
+  SELECT list(list_reduce(list_prepend(b, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1))) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256))::UBIGINT AS b)),
+given AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS stratum, octet_length(encode(coalesce(text, ''))) + 8 AS size, coalesce(text, '') AS text,
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, '-' || sha1(coalesce(text, '')))) AS key
+  FROM documents),
+summed AS (
+  SELECT * EXCLUDE (text, t), xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(string_split(regexp_replace(hex(encode(text)), '(..)', '\1 ', 'g'), ' ')[:-2], lambda x: ('0x' || x)::UBIGINT)),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)::BIGINT]))) AS text_crc32
+  FROM given, entry),
+ranked AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id, text_crc32, size) - 1) / (2 * count(*) OVER (PARTITION BY stratum)) AS rank FROM summed),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY rank, stratum, key, doc_id, text_crc32, size) - 1 AS place, count(*) OVER () AS total FROM ranked),
+dealt AS (SELECT *, place * 24 // total AS s FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, s::INTEGER AS shard, (place - (s * total + 23) // 24)::BIGINT AS slot,
+  NULL::INTEGER AS grown_shard, source
+FROM dealt
+"""
