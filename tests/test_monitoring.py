@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.functions import exprs as ex
 from tidewatch.functions import kernels
 from tidewatch.operators import alerts, detect, history, ingest, models, routing
 from tidewatch.plans.online import Monitor
@@ -228,6 +229,17 @@ def test_incident_states():
     assert i == alerts.Incident()
 
 
+def test_numbers_in_texts_round_as_doubles(spark):
+    values = [18.0175, 30.5875, 140.3875, 0.0625, 0.1875, 2.5, -0.0004, -18.0175, 1234567.00049, 0.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(ex.fixed(F.col("v"), 3).alias("t")).collect()
+    assert [r.t for r in got] == ["%.3f" % v for v in values]
+    row = spark.createDataFrame([("AA", "m", 88.07, 16.0, 18.0175, 0.6125, 5)], "b string, m string, v double, p double, z double, c double, d long")
+    text = row.select(ex.alert_message(*map(F.col, "bmvpzcd")).alias("t")).first().t
+    assert text == "AA m abnormal: current=88.0700, predict=16.0000, z=18.017, confidence=%.3f, duration=5s" % 0.6125
+    line = alerts.console_lines(row.selectExpr("'P0' alert_level", "m metric_name", "'firing' status", "v current_value", "p predict_value", "c confidence_score", "z z_score")).first().line
+    assert line == "[P0] m firing value=88.0700 predict=16.0000 confidence=%.3f z=18.017" % 0.6125
+
+
 def test_jsonl_and_registry(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text("\n".join([json.dumps({"metric_name": "a", "timestamp": T, "value": 1.5, "business_line": "AA"}), "", json.dumps({"metric_name": "b", "timestamp": T, "value": 2, "business_line": "BB", "tags": {"k": True}})]))
     rows = src.read_jsonl(spark, str(tmp_path / "p.jsonl")).orderBy("metric_name").collect()

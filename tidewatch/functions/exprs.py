@@ -28,6 +28,11 @@ def humanize_duration(seconds: Column) -> Column:
     return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).otherwise(F.concat(F.expr("1") * F.floor(s / 60), F.lit("m"), F.pmod(s, F.lit(60)), F.lit("s")))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """x with so many decimals, rounded as the double that it is: 18.0175 lies below that number, so three decimals are 18.017. (%.3f rounds its shortest decimal form.)"""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits))
+
+
 def route_seconds(priority: Column, settings: Settings = DEFAULTS) -> Column:
     return reduce(lambda c, kv: F.when(priority == kv[0], kv[1]).otherwise(c), settings.priority_route_seconds.items(), F.lit(300))
 
@@ -94,7 +99,8 @@ def alert_type(labels: Column) -> Column:
 
 def alert_message(business_line: Column, metric: Column, actual: Column, predicted: Column, z: Column, confidence: Column, duration: Column) -> Column:
     label = F.when(F.coalesce(business_line, F.lit("")) != "", F.concat(business_line, F.lit(" "), metric)).otherwise(metric)
-    return F.concat(F.format_string("%s abnormal: current=%.4f, predict=%.4f, z=%.3f, confidence=%.3f, duration=", label, actual, predicted, z, confidence), humanize_duration(duration))
+    numbers = (fixed(actual, 4), fixed(predicted, 4), fixed(z, 3), fixed(confidence, 3))
+    return F.concat(F.format_string("%s abnormal: current=%s, predict=%s, z=%s, confidence=%s, duration=", label, *numbers), humanize_duration(duration))
 
 
 def candidate_periods(granularity: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exprs import alert_level, alert_message, alert_type, humanize_duration
+from tidewatch.functions.exprs import alert_level, alert_message, alert_type, fixed, humanize_duration
 from tidewatch.operators.folds import Carry, fold_by_key
 from tidewatch.settings import DEFAULTS, LEVELS, Settings
 
@@ -75,5 +75,6 @@ def alert_rows(rows: DataFrame) -> DataFrame:
 
 def console_lines(alerts: DataFrame) -> DataFrame:
     """One line of text per alert."""
-    line = F.format_string("[%s] %s %s value=%.4f predict=%.4f confidence=%.3f z=%.3f", "alert_level", "metric_name", "status", "current_value", "predict_value", "confidence_score", "z_score")
+    numbers = [fixed(F.col(c), n) for c, n in (("current_value", 4), ("predict_value", 4), ("confidence_score", 3), ("z_score", 3))]
+    line = F.format_string("[%s] %s %s value=%s predict=%s confidence=%s z=%s", "alert_level", "metric_name", "status", *numbers)
     return alerts.select(line.alias("line"))
