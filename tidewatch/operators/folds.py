@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +17,10 @@ from pyspark.sql import types as T
 STATE = "metric_name string, kind string, state binary"
 
 
+#: Rows of a series that one task takes at least, where a series is dealt out in pieces.
+PIECE = 50_000
+
+
 @dataclass
 class Carry:
     """States of earlier batches (STATE), and those that this batch's folds have left by their kind."""
@@ -98,3 +103,46 @@ def fold_by_key(
     found = rows.repartition(*keys).sortWithinPartitions(*keys, "_given", *order).mapInPandas(run, T.StructType([*fields, *extra.fields])).checkpoint()
     carry.left[kind] = found.where("_state is not null").select("metric_name", F.lit(kind).alias("kind"), F.col("_state").alias("state"))
     return found.where("_state is null").drop("_given", "_state")
+
+
+def moving(df: DataFrame, keys: list[str], order: list[str], before: int, reads: list[str], compute: Callable, added: str, size: int = PIECE) -> DataFrame:
+    """df with the columns of ``added``, which depend on a row and on at most ``before`` rows before it.
+
+    Each key's rows are dealt out in pieces of ``size`` rows, a piece with copies of the rows before it,
+    so the tasks of one long series share the work. compute(columns, first) gets the ``reads`` columns of
+    rows in order as arrays and gives the added ones, as arrays, of the rows from first on; there are
+    ``before`` rows before those, or as many as the series has.
+    """
+    size = max(size, before)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    own = F.floor(F.col("_at") / size).cast("int")
+    pieces = F.when(F.col("_at") % size >= size - before, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = df.withColumn("_at", place).withColumn("_piece", F.explode(pieces)).withColumn("_lead", F.col("_piece") != own)
+    extra, names = T.StructType.fromDDL(added), df.columns
+    schema = T.StructType([*df.schema.fields, *extra.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, tail = None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = [batch.column(k).to_numpy(zero_copy_only=False) for k in (*keys, "_piece")]
+            lead = batch.column("_lead").to_numpy(zero_copy_only=False)
+            new = np.zeros(len(lead), bool)
+            for x in of:
+                new[1:] |= x[1:] != x[:-1]
+            cuts, columns, found = [0, *np.flatnonzero(new), len(lead)], {c: batch.column(c).to_numpy(zero_copy_only=False) for c in reads}, []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(x[a] for x in of)
+                if key != current:
+                    current, tail = key, {c: columns[c][:0] for c in reads}
+                rows = {c: np.concatenate([tail[c], columns[c][a:b]]) for c in reads}
+                first = len(tail[reads[0]]) + int(lead[a:b].sum())
+                if first < len(rows[reads[0]]):
+                    found.append(compute(rows, first))
+                tail = {c: x[max(len(x) - before, 0) :] for c, x in rows.items()}
+            if found:
+                kept = batch.select(names).filter(pa.array(~lead))
+                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(np.concatenate([f[c] for f in found])) for c in extra.names)], names=schema.names)
+
+    return dealt.repartition(*keys, "_piece").sortWithinPartitions(*keys, "_piece", "_at").mapInArrow(run, schema)
