@@ -469,3 +469,21 @@ def test_confidence_and_clipping_share_out_one_long_series(spark, monkeypatch):
         if t >= 20:
             most = 10 * max(np.quantile(np.abs(jumps[max(t - 600, 0) : t]), 0.99), 1e-6)
             assert abs(limits[t] - min(jumps[t], most)) < 1e-6
+
+
+def test_aligned_history_equals_a_loop_in_one_exchange_of_points(spark):
+    rng = np.random.default_rng(7)
+    cal = lambda t: (t // 40 % 2, t // 20 % 2, t // 5 % 4, t % 5, False)
+    slots = "weekday int, hour int, minute int, second int, isHoliday boolean"
+    known = [("m", int(t), float(v), *map(int, cal(t)[:4]), False) for t, v in enumerate(rng.normal(size=400)) if t % 3]
+    asks = [("m", int(t), *map(int, cal(t)[:4]), False) for t in (*range(0, 500, 7), 2000)] + [("other", 5, 0, 0, 0, 0, False)]
+    raw, asked = spark.createDataFrame(known, f"metric_name string, timestamp long, value double, {slots}"), spark.createDataFrame(asks, f"metric_name string, timestamp long, {slots}")
+    found = history.aligned_history(raw, asked, 3, 6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan  # each question met each of its values in a row of its own
+    got = {(r.metric_name, r.timestamp): r.aligned_values for r in found.collect()}
+    assert len(got) == len(asks)
+    for m, t, *slot in asks:
+        own = [r[2] for r in known if r[0] == m and r[1] < t and list(r[3:]) == slot][-3:]
+        same = [r[2] for r in known if r[0] == m and r[1] < t and r[6] == slot[3]][-6:]
+        assert got[m, t] == (own or same)[::-1]

@@ -45,20 +45,21 @@ def drop_metric(df: DataFrame, metric: str) -> DataFrame:
 def aligned_history(raw: DataFrame, asked: DataFrame, limit: int = 28, fallback: int = 60) -> DataFrame:
     """asked (metric_name, timestamp, weekday, hour, minute, second, isHoliday) with aligned_values: earlier values at the same slot, else at the same second, newest first."""
 
-    def values(on: list[str], n: int, name: str) -> DataFrame:
-        # Each point's place in its slot is known, so a question names the places that it wants and meets them by an equal join.
-        key = ["metric_name", *on]
-        both = raw.select("timestamp", "value", *key, F.lit(1).alias("_raw")).unionByName(asked.select("timestamp", F.lit(None).cast("double").alias("value"), *key, F.lit(0).alias("_raw")))
-        placed = both.withColumn("_place", F.sum("_raw").over(Window.partitionBy(*key).orderBy("timestamp", "_raw")))
-        wanted = placed.where("_raw = 0 and _place > 0").select("metric_name", *on, "timestamp", F.col("_place").alias("_last"), F.explode(F.sequence(F.greatest(F.col("_place") - n + 1, F.lit(1).cast("long")), F.col("_place"))).alias("_place"))
-        met = wanted.join(placed.where("_raw = 1").select(*key, "_place", "value"), [*key, "_place"])
-        newest_first = F.array_sort(F.collect_list(F.struct((F.col("_last") - F.col("_place")).alias("age"), "value")))
-        return met.groupBy("metric_name", "timestamp").agg(F.transform(newest_first, lambda x: x["value"]).alias(name))
-
-    slot = values(["weekday", "hour", "minute", "second", "isHoliday"], limit, "_slot")
-    second = values(["second"], fallback, "_second")
-    both = asked.join(slot, ["metric_name", "timestamp"], "left").join(second, ["metric_name", "timestamp"], "left")
-    return both.withColumn("aligned_values", F.coalesce("_slot", "_second", F.array().cast("array<double>"))).drop("_slot", "_second")
+    key = ["metric_name", "weekday", "hour", "minute", "second", "isHoliday"]
+    both = raw.select("timestamp", "value", *key, F.lit(1).alias("_raw")).unionByName(asked.withColumn("_raw", F.lit(0)), allowMissingColumns=True)
+
+    def values(rows: DataFrame, on: list[str], n: int, name: str) -> DataFrame:
+        # A row's place is how many points its slot has up to it, so the last n points before a question are a range of places.
+        slot = Window.partitionBy("metric_name", *on)
+        placed = rows.withColumn("_place", F.sum("_raw").over(slot.orderBy("timestamp", "_raw").rowsBetween(Window.unboundedPreceding, 0)))
+        held = F.collect_list(F.when(F.col("_raw") == 1, F.struct("value"))).over(slot.orderBy("_place").rangeBetween(1 - n, 0))
+        return placed.withColumn(name, F.when(F.col("_raw") == 0, F.reverse(F.transform(held, lambda x: x["value"])))).drop("_place")
+
+    # Slots lie within seconds, so both windows share the one exchange by second.
+    dealt = both.repartition("metric_name", "second")
+    found = values(values(dealt, key[1:], limit, "_slot"), ["second"], fallback, "_second").where("_raw = 0")
+    either = F.when(F.size("_slot") > 0, F.col("_slot")).otherwise(F.col("_second"))
+    return found.select(*asked.columns, either.alias("aligned_values"))
 
 
 class HistoryStore:
