@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import exprs as ex
 from tidewatch.functions import kernels
 from tidewatch.operators import alerts, detect, folds, history, ingest, models, routing
+from tidewatch.plans import prediction
 from tidewatch.plans.online import Monitor
 from tidewatch.plans.prediction import Bounds, State, judge, predict_minute, predict_second
 from tidewatch.plans.replay import replay
@@ -487,3 +488,19 @@ def test_aligned_history_equals_a_loop_in_one_exchange_of_points(spark):
         own = [r[2] for r in known if r[0] == m and r[1] < t and list(r[3:]) == slot][-3:]
         same = [r[2] for r in known if r[0] == m and r[1] < t and r[6] == slot[3]][-6:]
         assert got[m, t] == (own or same)[::-1]
+
+
+def test_minutes_fitted_ahead_equal_those_fitted_one_by_one(monkeypatch):
+    rng, calls = np.random.default_rng(8), []
+    rows = pd.DataFrame({"granularity": "1m", "timestamp": T + 60 * np.arange(700), "value": rng.exponential(50, 700), "mode": "minute_ai", "base_value": 0.0, "factor": 1.0, "local_score": (rng.random(700) < 0.08) * 0.25})
+    rows.loc[300:305, "value"] = 5000.0
+    found = []
+    monkeypatch.setattr(prediction, "huber_lines", lambda y, **k: calls.append(len(y)) or kernels.huber_lines(y, **k))
+    for ahead in (True, False):
+        state = State()
+        known = rows.assign(**prediction.with_rolling(state, rows, DEFAULTS))
+        state.ahead = state.ahead if ahead else {}
+        found.append([prediction.predict_row(state, r, DEFAULTS) for r in known.itertuples(index=False)])
+    for one, other in zip(*found, strict=True):
+        assert all(abs(a - b) < 1e-6 * max(1, abs(b)) if isinstance(b, float) else a == b for a, b in zip(one, other, strict=True))
+    assert any(r[-1] for r in found[0]) and 0 < len(calls) < 200  # each minute was a fit of its own

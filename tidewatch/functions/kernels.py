@@ -119,10 +119,11 @@ def _density(x: np.ndarray, grid: np.ndarray, width: float) -> np.ndarray:
     place = (x - grid[0]) / width / step
     at = np.rint(place).astype(np.int64)
     off, n = (place - at) * step, len(grid)
-    apart = step * np.arange(1 - n, n)
+    wide = min(int(10 / step) + 1, n - 1)  # farther kernels are below rounding
+    apart = step * np.arange(-wide, wide + 1)
     weight, kernel, out, term, size = np.exp(-0.5 * off * off), np.exp(-0.5 * apart * apart), np.zeros(n), 0, 1.0
     while size > 1e-17:
-        out += np.convolve(np.bincount(at, weights=weight, minlength=n), kernel)[n - 1 : 2 * n - 1]
+        out += np.convolve(np.bincount(at, weights=weight, minlength=n), kernel)[wide : wide + n]
         term += 1
         size *= most / term
         weight, kernel = weight * off / term, kernel * apart

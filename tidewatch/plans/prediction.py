@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidewatch.functions.kernels import huber_forecast, kde_bounds
+from tidewatch.functions.kernels import huber_forecast, huber_lines, joint_lines, kde_bounds
 from tidewatch.operators.features import ROLLING, Tail
 from tidewatch.operators.folds import Carry, fold_by_key
 from tidewatch.settings import DEFAULTS, EPS, MAX_Z_HISTORY, RECENT_LIMIT, Settings
@@ -36,6 +36,49 @@ class Bounds:
     at: int = 0
 
 
+#: Values that a minute's line is fitted to, and how few and how many minutes are fitted at once.
+LINE, LEAST_AHEAD, AHEAD = 60, 16, 512
+
+
+class Ahead:
+    """Lines of the minutes to come, fitted many at once, for as long as those minutes turn out as assumed.
+
+    A minute's line reads the values before it, and of flagged ones their predictions. Local flags are known
+    beforehand; so flagged minutes are fitted one by one, the others all together, on the assumption that no other
+    minute will be flagged. One that is ends what was fitted, and fitting goes on from the next, over about as many
+    minutes as were of use, and over twice as many once all were.
+    """
+
+    def __init__(self, values: np.ndarray, flags: np.ndarray, settings: Settings):
+        self.values, self.flags, self.settings, self.at, self.begin, self.fits, self.size = values, flags, settings, 0, 0, [], LEAST_AHEAD
+
+    def fit(self, clean: list) -> tuple[float, float]:
+        """Forecast and deviation of the next minute; clean: the values before it."""
+        if self.at >= self.begin + len(self.fits):
+            self._look_ahead(clean)
+        return self.fits[self.at - self.begin]
+
+    def _look_ahead(self, clean: list) -> None:
+        joint = self.settings.line_rule == "joint"
+        lines = lambda y: joint_lines(y) if joint else huber_lines(y, rounds=200)
+        stop = min(self.at + self.size, len(self.values))
+        y, known = np.concatenate([clean, self.values[self.at : stop]]), {}
+        for n in np.flatnonzero(self.flags[self.at : stop]).tolist():
+            forecast, sd, _, _ = lines(y[None, n : n + LINE])[0].tolist()
+            known[n] = forecast, sd
+            y[n + LINE] = max(forecast, EPS)
+        rest = [n for n in range(stop - self.at) if n not in known]
+        if rest:
+            known.update(zip(rest, map(tuple, lines(np.lib.stride_tricks.sliding_window_view(y, LINE)[rest])[:, :2].tolist()), strict=True))
+        self.begin, self.fits, self.size = self.at, [known[n] for n in range(stop - self.at)], min(2 * self.size, AHEAD)
+
+    def took(self, flag: bool) -> None:
+        if flag != bool(self.flags[self.at]):
+            self.fits = self.fits[: self.at + 1 - self.begin]
+            self.size = max(LEAST_AHEAD, len(self.fits))
+        self.at += 1
+
+
 @dataclass
 class State:
     correction: float = 1.0
@@ -45,6 +88,10 @@ class State:
     down: int = 0
     bounds: dict = field(default_factory=lambda: {s: Bounds() for s in ("peak", "valley", "mid")})
     series: dict = field(default_factory=dict)
+    ahead: dict = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"ahead": {}}
 
     def of(self, label: str, settings: Settings) -> tuple[Tail, deque]:
         """The tail of values, and (actual, predicted, flag) of the last points, of one granularity."""
@@ -62,11 +109,13 @@ def predict_second(s: State, x: float, base: float, day_diff: float, factor: flo
     return p, low, high
 
 
-def predict_minute(s: State, x: float, tail: deque, settings: Settings = DEFAULTS) -> tuple[float, float, float]:
-    clean = [p if flag else a for a, p, flag in list(tail)[-60:]]
+def predict_minute(s: State, x: float, tail: deque, settings: Settings = DEFAULTS, ahead: Ahead | None = None) -> tuple[float, float, float]:
+    clean = [p if flag else a for a, p, flag in list(tail)[-LINE:]]
     if len(clean) < 5:
         p = sum(clean) / len(clean) if clean else x
         sd = (sum((c - p) ** 2 for c in clean) / len(clean)) ** 0.5 if len(clean) > 1 else (0.0 if clean else s.minute_sd)
+    elif ahead is not None and len(clean) == LINE:
+        p, sd = ahead.fit(clean)
     else:
         p, sd, _, _ = huber_forecast(clean, rounds=200, joint=settings.line_rule == "joint")
     s.minute_sd = max(0.8 * s.minute_sd + 0.2 * sd, 0.001)
@@ -108,9 +157,11 @@ def predict_row(s: State, row, settings: Settings) -> tuple:
     if row.mode == "ai":
         p, low, high = predict_second(s, x, row.base_value, diff, row.factor)
     else:
-        p, low, high = predict_minute(s, x, tail, settings)
+        p, low, high = predict_minute(s, x, tail, settings, s.ahead.get(row.granularity))
     z, lower, upper, name, way, abnormal = judge(s, now, x, p, p70, p30, row.granularity, settings)
     tail.append((x, p, bool(abnormal or row.local_score > 0)))
+    if row.granularity in s.ahead:
+        s.ahead[row.granularity].took(tail[-1][2])
     return p, low, high, "seasonal_adjustment" if row.mode == "ai" else "minute_huber", diff, mean, sd, p70, p30, z, lower, upper, name, way, abnormal
 
 
@@ -121,6 +172,9 @@ def with_rolling(s: State, rows: pd.DataFrame, settings: Settings) -> dict[str,
     for label in dict.fromkeys(labels):
         own = labels == label
         found[own] = s.of(label, settings)[0].take(times[own], values[own])
+        s.ahead.pop(label, None)
+        if (rows["mode"].to_numpy()[own] != "ai").all() and np.isfinite(values[own]).all():
+            s.ahead[label] = Ahead(values[own].astype(float), rows["local_score"].to_numpy()[own] > 0, settings)
     return dict(zip(ROLLING, found.T, strict=True))
 
 

@@ -110,7 +110,8 @@ def replay(
 
     # Seconds keep their points; everything else meets in buckets.
     dated = calendars.with_calendar(on_route if past is None else past.raw.select(*on_route.columns).withColumn("_old", F.lit(True)).unionByName(on_route.withColumn("_old", F.lit(False))), calendar, rca, settings.timezone)
-    seconds = of_now(features.aligned_baseline(dated)).where("mode = 'ai'")
+    by_second = on_route.where("mode = 'ai'").select("metric_name").distinct()  # the others need no baselines
+    seconds = of_now(features.aligned_baseline(dated.join(F.broadcast(by_second), "metric_name", "left_semi"))).where("mode = 'ai'")
     seconds = seconds.withColumns({"factor": feature_factor(F.col("isHoliday"), F.col("isHotSpot"), F.col("isRCA"), F.col("registry_line")), "granularity": F.lit("1s"), "bucket": F.lit(None).cast("long")}).select(*SERIES)
     slow = calendars.with_calendar(_buckets(on_route, past, flush), calendar, rca, settings.timezone).join(facts.drop("core_link"), "metric_name")
     slow = slow.withColumn("mode", F.when(F.col("granularity_sec") >= 600, "zero_rule").otherwise("minute_ai")).withColumns({"base_value": F.col("value"), "factor": F.lit(1.0)}).select(*SERIES).checkpoint()
