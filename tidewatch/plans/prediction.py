@@ -36,8 +36,8 @@ class Bounds:
     at: int = 0
 
 
-#: Values that a minute's line is fitted to, and how few and how many minutes are fitted at once.
-LINE, LEAST_AHEAD, AHEAD = 60, 16, 512
+#: Values that a minute's line is fitted to, and how many minutes are fitted at once at most.
+LINE, AHEAD = 60, 512
 
 
 class Ahead:
@@ -50,7 +50,7 @@ class Ahead:
     """
 
     def __init__(self, values: np.ndarray, flags: np.ndarray, settings: Settings):
-        self.values, self.flags, self.settings, self.at, self.begin, self.fits, self.size = values, flags, settings, 0, 0, [], LEAST_AHEAD
+        self.values, self.flags, self.settings, self.at, self.begin, self.fits, self.size = values, flags, settings, 0, 0, [], 1
 
     def fit(self, clean: list) -> tuple[float, float]:
         """Forecast and deviation of the next minute; clean: the values before it."""
@@ -75,7 +75,7 @@ class Ahead:
     def took(self, flag: bool) -> None:
         if flag != bool(self.flags[self.at]):
             self.fits = self.fits[: self.at + 1 - self.begin]
-            self.size = max(LEAST_AHEAD, len(self.fits))
+            self.size = max(1, len(self.fits))
         self.at += 1
 
 
