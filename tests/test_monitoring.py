@@ -101,6 +101,18 @@ def test_eligibility_is_throttled(spark):
     assert routing.eligibility_times(rows, ingest.register(rows)).count() == 1
 
 
+def test_a_fold_after_a_join_by_its_key_deals_out_its_rows_itself(spark):
+    """Else adaptive execution, which makes that join a broadcast, may read its rows where they lie: a metric's in several tasks."""
+    rows = points_of(spark, [("a", T + i, 0.9, "AA", "P1", "rate", {}) for i in range(30)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a large table
+    try:
+        told = routing.eligibility_times(rows, ingest.register(rows))
+        assert "REPARTITION_BY_COL" in told._jdf.queryExecution().executedPlan().toString()
+        assert told.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_kernels():
     x = np.arange(40.0) * 0.5 + 3
     x[10] = 500

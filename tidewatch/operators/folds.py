@@ -40,6 +40,15 @@ def _empty(kind: T.DataType):
     return F.lit(None).cast(kind)
 
 
+def dealt_out(df: DataFrame, *keys: str) -> DataFrame:
+    """df with all rows of a key in one partition.
+
+    By a hash of the keys: a repartition by the bare keys falls away where a join before it has dealt out the rows by
+    the same, and adaptive execution may then read that join's rows where they lie, a key's in several partitions.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def fold_by_key(
     df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable | None, added: str, carry: Carry | None = None, kind: str = "", prepare: Callable | None = None
 ) -> DataFrame:
@@ -94,13 +103,13 @@ def fold_by_key(
             yield last.assign(_state=pickle.dumps(state), **{c: pd.Series([None], dtype=object) for c in extra.names})
 
     if carry is None:
-        return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, T.StructType([*df.schema.fields, *extra.fields]))
+        return dealt_out(df, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, T.StructType([*df.schema.fields, *extra.fields]))
     rows = df.withColumns({"_given": F.lit(1), "_state": F.lit(None).cast("binary")})
     if carry.states is not None:
         known = carry.states.where(F.col("kind") == kind).select(*keys, *(_empty(f.dataType).alias(f.name) for f in df.schema.fields if f.name not in keys), F.lit(0).alias("_given"), F.col("state").alias("_state"))
         rows = rows.unionByName(known)
     fields = [T.StructField(f.name, f.dataType) for f in rows.schema.fields]
-    found = rows.repartition(*keys).sortWithinPartitions(*keys, "_given", *order).mapInPandas(run, T.StructType([*fields, *extra.fields])).checkpoint()
+    found = dealt_out(rows, *keys).sortWithinPartitions(*keys, "_given", *order).mapInPandas(run, T.StructType([*fields, *extra.fields])).checkpoint()
     carry.left[kind] = found.where("_state is not null").select("metric_name", F.lit(kind).alias("kind"), F.col("_state").alias("state"))
     return found.where("_state is null").drop("_given", "_state")
 
@@ -145,4 +154,4 @@ def moving(df: DataFrame, keys: list[str], order: list[str], before: int, reads:
                 kept = batch.select(names).filter(pa.array(~lead))
                 yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(np.concatenate([f[c] for f in found])) for c in extra.names)], names=schema.names)
 
-    return dealt.repartition(*keys, "_piece").sortWithinPartitions(*keys, "_piece", "_at").mapInArrow(run, schema)
+    return dealt_out(dealt, *keys, "_piece").sortWithinPartitions(*keys, "_piece", "_at").mapInArrow(run, schema)
