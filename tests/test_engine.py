@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from tidewatch.operators import ingest, routing
+from tidewatch.operators.downsample import downsample
 from tidewatch.operators.history import HistoryStore
 from tidewatch.plans.replay import replay
 from tidewatch.schemas import POINT, REGISTRY
@@ -169,3 +170,20 @@ def test_assessments_come_as_commands(spark, tmp_path):
     got, _ = run(spark, tmp_path, batches, registry.where("metric_name = 'a'"), "modes", s, name="judged")
     # The open bucket's five seconds under the mode of the flush; the second between, filled; the last one.
     assert sorted((r.timestamp, r.mode, r.granularity) for r in got.collect()) == [(T + 4, "ai", "1s"), (T + 5, "ai", "1s"), (T + 6, "ai", "1s")]
+
+
+def test_a_table_is_streamed_in_micro_batches_of_bounded_size(spark, tmp_path):
+    """In order of time whatever the order of its rows, with the last ingested of a second, and no bucket forgotten in a gap between them."""
+    rows = [(m, T + 7 * i + (10 * 86400 if i > 200 else 0), i % 11 + n, "AA", "P0", "count", {}) for m in "ab" for i in range(400) for n in range(1 + (i % 10 == 0))]
+    points = points_of(spark, rows).checkpoint()
+    ends = points.groupBy("metric_name").agg((F.max("timestamp") + 1).alias("timestamp")).withColumn("command", F.lit("flush"))
+    stream = src.paced_stream(points.repartition(8, F.xxhash64("ingest_seq", F.lit(5))).unionByName(ends, allowMissingColumns=True), str(tmp_path / "stream"), 200)
+    own = eng.Engine(ingest.register(points).checkpoint(), *src.empty_calendar(spark), Settings(max_missing_fill=0, jump_clip_multiplier=1e12, state_ttl_sec=10**10))
+    cols = ["metric_name", "bucket", "timestamp", "bucket_size", "value"]
+    query = own.series(own.repaired(stream)).select(cols).writeStream.format("memory").queryName("paced").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert query.exception() is None
+    sizes = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert sum(sizes) == len(rows) + 2 and len(sizes) == 5 and max(sizes) < 250
+    want = downsample(ingest.deduplicate(points).withColumn("granularity_sec", F.lit(60))).select(cols)
+    assert sorted(map(tuple, spark.table("paced").collect())) == sorted(map(tuple, want.collect()))

@@ -17,7 +17,7 @@ from tidewatch.plans.replay import replay
 from tidewatch.schemas import POINT
 from tidewatch.session import ensure_checkpoint_dir
 from tidewatch.settings import MAX_Z_HISTORY, Settings
-from tidewatch.sources.points import demo_points, demo_registry, empty_calendar, event_points, event_stream, read_jsonl_lenient
+from tidewatch.sources.points import demo_points, demo_registry, empty_calendar, event_points, paced_stream, read_jsonl_lenient
 from tidewatch.streaming import engine
 
 QUERIES: dict = {}
@@ -220,15 +220,17 @@ def _(spark, d):
 
 @query("stream_buckets", PTS + " " + _buckets("CASE priority WHEN 'P0' THEN 60 WHEN 'P1' THEN 300 WHEN 'P2' THEN 600 ELSE 1800 END").replace("FROM ded) GROUP", "FROM ded WHERE metric_name <> 'events.error') GROUP"))
 def _(spark, d):
-    """The events as a stream through the engine's keyed states, with commands that close the last buckets; forced metrics have none."""
+    """The events as a stream through the engine's keyed states, with commands that close the last buckets; forced metrics have none.
+
+    A table has no idle metrics, so none is forgotten between micro-batches.
+    """
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    registry = ingest.register(points(spark, d))
+    registry = ingest.register(points(spark, d)).checkpoint()  # each micro-batch reads it
     ends = points(spark, d).groupBy("metric_name").agg((F.max("timestamp") + 1).alias("timestamp")).withColumn("command", F.lit("flush"))
-    ends.write.json(f"{folder}/commands")
-    commands = spark.readStream.schema("metric_name string, timestamp long, command string").json(f"{folder}/commands").withColumn("event_time", F.timestamp_seconds("timestamp"))
-    own = engine.Engine(registry, *empty_calendar(spark), Settings(max_missing_fill=0, jump_clip_multiplier=1e12))
+    own = engine.Engine(registry, *empty_calendar(spark), Settings(max_missing_fill=0, jump_clip_multiplier=1e12, state_ttl_sec=10**10))
     engine.use_state_store(spark)
-    closed = own.series(own.repaired(event_stream(spark, d).unionByName(commands, allowMissingColumns=True))).where("mode <> 'ai'").select("metric_name", "bucket", "timestamp", "bucket_size", *r4("value"))
+    stream = paced_stream(points(spark, d).unionByName(ends, allowMissingColumns=True), folder)
+    closed = own.series(own.repaired(stream)).where("mode <> 'ai'").select("metric_name", "bucket", "timestamp", "bucket_size", *r4("value"))
     closed.writeStream.format("parquet").option("path", f"{folder}/closed").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(closed.schema).parquet(f"{folder}/closed")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ EVENT_METRICS = {
     "signup": ("gauge", "P3", False, False, "BB"),
 }
 DEMO_START, DEMO_SECONDS = 1711180800, 1800
+#: Rows of a micro-batch of a table that is streamed; keyed operators hold a metric's rows of one in Python.
+BATCH_ROWS = 500_000
 
 
 def with_defaults(points: DataFrame, *more: str) -> DataFrame:
@@ -91,10 +96,24 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_points(table(spark, sf_dir, "events"))
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stream with event time."""
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern the path may be a file, too
-    return as_points(events).withColumn("event_time", F.timestamp_seconds("timestamp"))
+def paced_stream(points: DataFrame, folder: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """A table of points, and of commands, as a stream with event time: some ``rows`` of them a micro-batch, in order of time.
+
+    Rows of one second stay together. The folder gets a file for each micro-batch; its name is that of no earlier stream.
+    """
+    spark = points.sparkSession
+    n = max(1, math.ceil(points.count() / rows))
+    cuts = points.agg(F.percentile_approx("timestamp", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    piece = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c <= F.col("timestamp")))
+    points.withColumn("piece", piece).repartition("piece").write.partitionBy("piece").parquet(f"{folder}/pieces")
+    pieces = spark.read.parquet(f"{folder}/pieces")
+    for (number,) in sorted(pieces.select("piece").distinct().collect()):  # one after another: a stream takes files by their times
+        pieces.where(F.col("piece") == number).coalesce(1).write.mode("append").parquet(f"{folder}/files")
+    written = spark.read.parquet(f"{folder}/files").groupBy("piece").agg(F.min("_metadata.file_modification_time"), F.max("_metadata.file_modification_time")).orderBy("piece").collect()
+    if any(later[1] <= earlier[2] for earlier, later in itertools.pairwise(written)):
+        raise ValueError(f"times of files in {folder} don't tell their order")
+    files = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/files")
+    return files.withColumn("event_time", F.timestamp_seconds("timestamp"))
 
 
 def as_points(events: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ Idle metrics are forgotten. Each operator has one event-time timer a metric, ``s
 point; when it runs and newer points have come, it is set anew, else every state of the metric goes, open buckets
 unsaid. A point that comes later than that finds nothing either, timer or no timer.
 
-Order. Within a micro-batch a metric's points are taken by time, and of those with one time the last. Across batches:
+Order. Within a micro-batch a metric's points are taken by time, and of those with one time the last: by ``ingest_seq``
+where the stream has it, else as they come. A micro-batch's rows of a metric are held in memory, so the source must pace
+them (``paced_stream`` does for a table). Across batches:
 a point more than LATENESS behind the newest that the stream had two batches ago is dropped by the watermark and counted
 in the query's progress. One within it is taken when it comes: it is clipped and judged like any other, no gap is filled before it,
 and the next gap is still measured from the newest point. In buckets, another bucket, an older one too, closes the
@@ -90,7 +92,8 @@ class Keyed(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows)).sort_values("timestamp", kind="stable")
+        got = pd.concat(list(rows))
+        got = got.sort_values([c for c in ("timestamp", "ingest_seq") if c in got], kind="stable")
         seen, newest = self.get("seen"), int(got["timestamp"].max())
         if seen and int(got["timestamp"].min()) - seen[0] >= self.settings.state_ttl_sec:
             self.forget()
@@ -420,7 +423,8 @@ class Engine:
         facts = self.registry.select("metric_name", F.col("business_line").alias("registry_line"), F.col("priority").alias("registry_priority"), "core_link", "force_ai")
         command = F.col("command") if "command" in points.columns else F.lit(None).cast("string")
         sound = ingest.validate(points.withColumn("command", command), F.col("command").isNull())
-        late = sound.withWatermark("event_time", LATENESS).select(*POINT.names, "event_time", "command")
+        seq = [F.coalesce("ingest_seq", F.lit(2**63 - 1)).alias("ingest_seq")] if "ingest_seq" in points.columns else []
+        late = sound.withWatermark("event_time", LATENESS).select(*POINT.names, "event_time", "command", *seq)
         return self._keyed(late.join(F.broadcast(facts), "metric_name", "left"), Repair, REPAIRED)
 
     def series(self, repaired: DataFrame) -> DataFrame:
