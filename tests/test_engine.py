@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from tidewatch.functions.exprs import route_seconds
 from tidewatch.operators import ingest, routing
 from tidewatch.operators.downsample import downsample
 from tidewatch.operators.history import HistoryStore
@@ -13,7 +14,7 @@ from tidewatch.schemas import POINT, REGISTRY
 from tidewatch.settings import Settings
 from tidewatch.sources import points as src
 from tidewatch.streaming import engine as eng
-from tidewatch.streaming.monitor import read_points
+from tidewatch.streaming.monitor import SHARES, read_points, stream_buckets
 
 T = 1711180800
 TOLD = ["metric_name", "timestamp", "granularity", "alert_level", "alert_type", "duration_sec", "message", "status"]
@@ -187,3 +188,45 @@ def test_a_table_is_streamed_in_micro_batches_of_bounded_size(spark, tmp_path):
     assert sum(sizes) == len(rows) + 2 and len(sizes) == 5 and max(sizes) < 250
     want = downsample(ingest.deduplicate(points).withColumn("granularity_sec", F.lit(60))).select(cols)
     assert sorted(map(tuple, spark.table("paced").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_streamed_buckets_equal_the_batch_with_few_states(spark, tmp_path):
+    """Widths by metric; repeated points over micro-batches, of which the last ingested counts; states by shares of a metric, not by point or second of the week."""
+    kinds = {"a": ("P0", "count"), "b": ("P1", "rate"), "c": ("P2", "latency"), "d": ("P3", "gauge")}
+    rows = [(m, T + 97 * i - (4 if n == 2 else 0), (i * 7 % 31) / 8 + n, "AA", p, k, {}) for i in range(900) for m, (p, k) in kinds.items() for n in range(1 + 2 * (i % 10 == 0))]
+    seq = {r: i for i, r in enumerate(sorted(range(len(rows)), key=lambda i: i * 7919 % len(rows)))}
+    points = points_of(spark, rows).withColumn("event_time", F.timestamp_seconds("timestamp")).toPandas()
+    points["ingest_seq"] = [seq[i] for i in range(len(rows))]
+    points = points.sort_values("timestamp", kind="stable")
+    points["tags"] = [{} for _ in rows]
+    names = [*POINT.names, "ingest_seq"]
+    table = spark.createDataFrame(points[names], f"{POINT.simpleString()[7:-1]},ingest_seq:bigint")
+    for begin in range(0, len(rows), 1200):  # no cut within a second matters: a bucket's points are kept until it closes
+        spark.createDataFrame(points[names].iloc[begin : begin + 1200], table.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.05)
+    (end,) = spark.createDataFrame(points[names].iloc[-1:], table.schema).collect()
+    spark.createDataFrame([end.asDict() | {"timestamp": end.timestamp + 3600}], table.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("event_time", F.timestamp_seconds("timestamp"))
+    cols = ["metric_name", "bucket", "timestamp", "bucket_size", F.round("value", 6)]
+    got = stream_buckets(stream, route_seconds(F.col("priority"))).select(cols)
+    query = got.writeStream.format("memory").queryName("shared").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert query.exception() is None and sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]) == 0
+    want = downsample(ingest.deduplicate(table).withColumn("granularity_sec", route_seconds(F.col("priority")))).select(cols)
+    assert sorted(map(tuple, spark.table("shared").collect())) == sorted(map(tuple, want.collect()))
+    assert max(op["numRowsUpdated"] for p in query.recentProgress for op in p["stateOperators"]) <= SHARES * len(kinds)
+
+
+def test_a_micro_batch_has_several_files_and_small_ones_as_many(spark, tmp_path):
+    """Most points lie in one second, so ranges of time are of unequal sizes; each micro-batch comes whole and in order."""
+    at = F.when(F.col("id") < 40, F.col("id")).when(F.col("id") < 150_000, 50).otherwise(F.col("id") - 149_000)
+    points = spark.range(170_000).select(F.lit("a").alias("metric_name"), (at + T).alias("timestamp"), F.col("id").alias("ingest_seq"))
+    stream, got = src.paced_stream(points, str(tmp_path / "stream"), 100_000), {}
+
+    def keep(df, n):
+        got[n] = df.agg(F.count("*"), F.min("timestamp"), F.max("timestamp"), F.sum("ingest_seq")).first()
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(300)
+    batches = [got[n] for n in sorted(got)]
+    assert len(batches) == 2 and sum(b[0] for b in batches) == 170_000 and sum(b[3] for b in batches) == 170_000 * 169_999 // 2
+    assert batches[0][2] < batches[1][1] and [len(list((tmp_path / "stream" / "files" / str(n)).glob("*.parquet"))) for n in (0, 1)] == [2, 2]

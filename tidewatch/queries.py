@@ -16,9 +16,12 @@ from tidewatch.plans.prediction import predict_and_judge
 from tidewatch.plans.replay import replay
 from tidewatch.schemas import POINT
 from tidewatch.session import ensure_checkpoint_dir
-from tidewatch.settings import MAX_Z_HISTORY, Settings
+from tidewatch.settings import DEFAULTS, MAX_Z_HISTORY, Settings
 from tidewatch.sources.points import demo_points, demo_registry, empty_calendar, event_points, paced_stream, read_jsonl_lenient
-from tidewatch.streaming import engine
+from tidewatch.streaming import engine, monitor
+
+#: Rows of a micro-batch of a query's stream, whose states lie in the state store and not in Python.
+STREAM_ROWS = 2_000_000
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -220,17 +223,18 @@ def _(spark, d):
 
 @query("stream_buckets", PTS + " " + _buckets("CASE priority WHEN 'P0' THEN 60 WHEN 'P1' THEN 300 WHEN 'P2' THEN 600 ELSE 1800 END").replace("FROM ded) GROUP", "FROM ded WHERE metric_name <> 'events.error') GROUP"))
 def _(spark, d):
-    """The events as a stream through the engine's keyed states, with commands that close the last buckets; forced metrics have none.
+    """The events as a stream, in buckets of each priority's width; forced metrics have none.
 
-    A table has no idle metrics, so none is forgotten between micro-batches.
+    One point comes once more, beyond the table's end: the watermark then passes all buckets but that one's own, which stays open.
     """
-    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    registry = ingest.register(points(spark, d)).checkpoint()  # each micro-batch reads it
-    ends = points(spark, d).groupBy("metric_name").agg((F.max("timestamp") + 1).alias("timestamp")).withColumn("command", F.lit("flush"))
-    own = engine.Engine(registry, *empty_calendar(spark), Settings(max_missing_fill=0, jump_clip_multiplier=1e12, state_ttl_sec=10**10))
+    folder, whole = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}", max(DEFAULTS.priority_route_seconds.values())
+    forced = F.coalesce(F.lower(F.col("tags")["force_ai"]).isin("true", "1"), F.lit(False))
+    known = routing.route(ingest.validate(points(spark, d)).withColumns({"force_ai": forced, "eligible": F.lit(False)})).where("mode <> 'ai'")
+    rows = known.select("metric_name", "timestamp", "value", "business_line", "metric_type", "granularity_sec", "ingest_seq")
+    end = rows.limit(1).withColumn("timestamp", F.lit((rows.agg(F.max("timestamp")).first()[0] or 0) + 2 * whole))
     engine.use_state_store(spark)
-    stream = paced_stream(points(spark, d).unionByName(ends, allowMissingColumns=True), folder)
-    closed = own.series(own.repaired(stream)).where("mode <> 'ai'").select("metric_name", "bucket", "timestamp", "bucket_size", *r4("value"))
+    stream = paced_stream(rows.unionByName(end), folder, STREAM_ROWS)
+    closed = monitor.stream_buckets(stream, F.col("granularity_sec")).select("metric_name", "bucket", "timestamp", "bucket_size", *r4("value"))
     closed.writeStream.format("parquet").option("path", f"{folder}/closed").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(closed.schema).parquet(f"{folder}/closed")
 

@@ -22,6 +22,8 @@ EVENT_METRICS = {
 DEMO_START, DEMO_SECONDS = 1711180800, 1800
 #: Rows of a micro-batch of a table that is streamed; keyed operators hold a metric's rows of one in Python.
 BATCH_ROWS = 500_000
+#: Files of such a micro-batch, and the rows that one holds at least.
+BATCH_FILES, FILE_ROWS = 8, 50_000
 
 
 def with_defaults(points: DataFrame, *more: str) -> DataFrame:
@@ -99,21 +101,26 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paced_stream(points: DataFrame, folder: str, rows: int = BATCH_ROWS) -> DataFrame:
     """A table of points, and of commands, as a stream with event time: some ``rows`` of them a micro-batch, in order of time.
 
-    Rows of one second stay together. The folder gets a file for each micro-batch; its name is that of no earlier stream.
+    Rows of one second stay together. The folder's name is that of no earlier stream. It gets a few files for each
+    micro-batch, as many for every one, for a stream takes so many files at a time, and takes them by their times.
     """
     spark = points.sparkSession
-    n = max(1, math.ceil(points.count() / rows))
-    cuts = points.agg(F.percentile_approx("timestamp", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
-    piece = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c <= F.col("timestamp")))
-    points.withColumn("piece", piece).repartition("piece").write.partitionBy("piece").parquet(f"{folder}/pieces")
-    pieces = spark.read.parquet(f"{folder}/pieces")
-    for (number,) in sorted(pieces.select("piece").distinct().collect()):  # one after another: a stream takes files by their times
-        pieces.where(F.col("piece") == number).coalesce(1).write.mode("append").parquet(f"{folder}/files")
-    written = spark.read.parquet(f"{folder}/files").groupBy("piece").agg(F.min("_metadata.file_modification_time"), F.max("_metadata.file_modification_time")).orderBy("piece").collect()
-    if any(later[1] <= earlier[2] for earlier, later in itertools.pairwise(written)):
-        raise ValueError(f"times of files in {folder} don't tell their order")
-    files = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/files")
-    return files.withColumn("event_time", F.timestamp_seconds("timestamp"))
+    n, files = max(1, math.ceil(points.count() / rows)), max(1, min(BATCH_FILES, rows // FILE_ROWS))
+    ranges = points.repartitionByRange(n * files, "timestamp").withColumn("piece", F.floor(F.spark_partition_id() / files).cast("int"))
+    ranges.write.partitionBy("piece").parquet(f"{folder}/pieces")
+    pieces = spark.read.schema(ranges.schema).parquet(f"{folder}/pieces")
+    for number, held in sorted(map(tuple, pieces.groupBy("piece").count().collect())) or [(0, 0)]:  # one after another
+        piece = pieces.where(F.col("piece") == number).drop("piece")
+        parts = [piece.repartition(files)] if held >= FILE_ROWS else [piece.coalesce(1), *[piece.limit(0).coalesce(1)] * (files - 1)]
+        for part in parts:
+            part.write.mode("append").parquet(f"{folder}/files/{number}")
+    at = F.col("modificationTime")
+    written = spark.read.format("binaryFile").load(f"{folder}/files/*").groupBy(F.regexp_extract("path", r"/(\d+)/[^/]*$", 1).cast("int").alias("piece"))
+    times = written.agg(F.count("*"), F.min(at), F.max(at)).orderBy("piece").collect()
+    if any(t[1] != files for t in times) or any(later[2] <= earlier[3] for earlier, later in itertools.pairwise(times)):
+        raise ValueError(f"times or numbers of files in {folder} don't tell their order")
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/files/*")
+    return stream.withColumn("event_time", F.timestamp_seconds("timestamp"))
 
 
 def as_points(events: DataFrame) -> DataFrame:
