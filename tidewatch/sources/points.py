@@ -105,15 +105,20 @@ def paced_stream(points: DataFrame, folder: str, rows: int = BATCH_ROWS) -> Data
     micro-batch, as many for every one, for a stream takes so many files at a time, and takes them by their times.
     """
     spark = points.sparkSession
-    n, files = max(1, math.ceil(points.count() / rows)), max(1, min(BATCH_FILES, rows // FILE_ROWS))
-    ranges = points.repartitionByRange(n * files, "timestamp").withColumn("piece", F.floor(F.spark_partition_id() / files).cast("int"))
-    ranges.write.partitionBy("piece").parquet(f"{folder}/pieces")
-    pieces = spark.read.schema(ranges.schema).parquet(f"{folder}/pieces")
-    for number, held in sorted(map(tuple, pieces.groupBy("piece").count().collect())) or [(0, 0)]:  # one after another
-        piece = pieces.where(F.col("piece") == number).drop("piece")
-        parts = [piece.repartition(files)] if held >= FILE_ROWS else [piece.coalesce(1), *[piece.limit(0).coalesce(1)] * (files - 1)]
-        for part in parts:
-            part.write.mode("append").parquet(f"{folder}/files/{number}")
+    total, files = points.count(), max(1, min(BATCH_FILES, rows // FILE_ROWS))
+    n = max(1, math.ceil(total / rows))
+    ranges = points.repartitionByRange(n * files, "timestamp").withColumn("range", F.spark_partition_id())
+    ranges.write.partitionBy("range").parquet(f"{folder}/ranges")
+    held = spark.read.schema(ranges.schema).parquet(f"{folder}/ranges")
+    pieces, before = {}, 0  # ranges of each micro-batch, whatever their number and sizes
+    for number, size in sorted(map(tuple, held.groupBy("range").count().collect())) or [(0, 0)]:
+        pieces.setdefault(int((before + size / 2) * n / max(total, 1)), []).append((number, size))
+        before += size
+    for name, span in pieces.items():  # one after another
+        piece = held.where(F.col("range").between(span[0][0], span[-1][0])).drop("range")
+        enough = sum(size for _, size in span) >= FILE_ROWS
+        for part in [piece.repartition(files)] if enough else [piece.coalesce(1), *[piece.limit(0).coalesce(1)] * (files - 1)]:
+            part.write.mode("append").parquet(f"{folder}/files/{name}")
     at = F.col("modificationTime")
     written = spark.read.format("binaryFile").load(f"{folder}/files/*").groupBy(F.regexp_extract("path", r"/(\d+)/[^/]*$", 1).cast("int").alias("piece"))
     times = written.agg(F.count("*"), F.min(at), F.max(at)).orderBy("piece").collect()
